@@ -19,6 +19,7 @@ import functools
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -75,6 +76,12 @@ def encode_text(enc: tiktoken.Encoding, text: str, size: int = PIECE_CHARS) -> l
     return ids
 
 
+def encode_array(enc: tiktoken.Encoding, text: str, size: int = PIECE_CHARS) -> np.ndarray:
+    """The ids of a text as an array."""
+    parts = [enc.encode_to_numpy(p, allowed_special=set(), disallowed_special=()) for p in pieces(text, size)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def decode_ids(enc: tiktoken.Encoding, ids: list[int]) -> bytes:
     """The bytes of the ids: tokens may split a character, so only bytes are exact."""
     return enc.decode_bytes(ids)
@@ -98,16 +105,18 @@ def encode(df: DataFrame, id_col: str, text_col: str, *, rank_file: str | None =
             counts, all_ids, id_sha, out_sha = [], [], [], []
             for raw in batch.column(1):
                 raw = raw.as_py()
-                ids = encode_text(enc, raw.decode("utf-8", "replace")) if raw else []
+                text = raw.decode("utf-8", "replace") if raw else ""
+                ids = encode_text(enc, text) if digests else encode_array(enc, text)
                 counts.append(len(ids))
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(np.asarray(ids, np.int32))
                 if digests:
                     id_sha.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
                     out_sha.append(hashlib.sha256(decode_ids(enc, ids)).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64())]
             if with_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *all_ids]))))
             if digests:
                 columns += [pa.array(id_sha, pa.string()), pa.array(out_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0].strip("`") for f in schema.split(", ")])

@@ -84,19 +84,20 @@ def measure(text: str, table: WordHash) -> tuple[int, ...]:
 
 
 def measures(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """id_col, the columns in keep and the MEASURES of each text."""
+    """id_col, the columns in keep (the text may be one) and the MEASURES of each text."""
     ship(df.sparkSession)
     kept = [id_col, *keep]
+    at = kept.index(text_col) if text_col in kept else len(kept)
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{m} bigint" for m in MEASURES]
 
     def batches(it):
         table = WordHash()
         for batch in it:
-            rows = [measure(raw.as_py().decode("utf-8", "replace") if raw.is_valid else "", table) for raw in batch.column(len(kept))]
+            rows = [measure(raw.as_py().decode("utf-8", "replace") if raw.is_valid else "", table) for raw in batch.column(at).cast(pa.binary())]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(c, pa.int64()) for c in columns)], names=[*kept, *MEASURES])
 
-    return df.select(*kept, F.col(text_col).cast("binary").alias("__raw")).mapInArrow(batches, ", ".join(fields))
+    return df.select(*kept, *([] if text_col in kept else [text_col])).mapInArrow(batches, ", ".join(fields))
 
 
 def base_failed():
@@ -171,6 +172,16 @@ def judge(measured: DataFrame, cuts: dict, stratum: str) -> DataFrame:
     return measured.withColumns({"base_failed": base_failed(), "junk_score": junk_score()}).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("junk_score") > cut, F.lit(False)))
 
 
+def keep(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", stratum: str = "lang", workspace) -> DataFrame:
+    """The rows of df that the rules keep.
+
+    The texts are measured twice, for the cutoffs and for the verdicts, rather than shuffled.
+    """
+    cuts = cutoffs(workspace.stage(measures(df, id_col, text_col, stratum), "measures"), labels, id_col, label_col, stratum)
+    others = [c for c in df.columns if c != id_col]
+    return judge(measures(df, id_col, text_col, *others), cuts, stratum).filter("kept").select(*df.columns)
+
+
 def rules(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", stratum: str = "lang", workspace, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per row of df: id, stratum, MEASURES, base_failed, junk_score, kept.
 

@@ -105,6 +105,33 @@ def scan(df: DataFrame, id_col: str, text_col: str, *, rank_file: str | None = N
     return df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__raw")).mapInArrow(batches, schema)
 
 
+def mask(df: DataFrame, text_col: str, *, count_col: str | None = None, rank_file: str | None = None, max_ratio: float = 2.2) -> DataFrame:
+    """df with every span of a secret in text_col replaced by a mark; count_col, if given, gets the new number of code points (null for a null text)."""
+    ship(df.sparkSession)
+    rank_file, pattern = rank_file or bpe.default_rank_file(), bpe.default_pattern()
+    at = df.columns.index(text_col)
+    n_at = df.columns.index(count_col) if count_col else None
+
+    def batches(it):
+        enc = bpe.encoding(rank_file, pattern)
+        for batch in it:
+            texts = []
+            for raw in batch.column(at).cast(pa.binary()):
+                raw = raw.as_py()
+                text = None if raw is None else raw.decode("utf-8", "replace")
+                if text:
+                    base = base_spans(text)
+                    text = redact(text, sorted(base + random_spans(text, enc, base, max_ratio)))
+                texts.append(text)
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, pa.string())
+            if n_at is not None:
+                columns[n_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[n_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(batches, df.schema)
+
+
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     """text with every stretch that spans cover replaced by the name of its first kind."""
     if not spans:
