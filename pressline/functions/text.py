@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Named references that plain_text decodes.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”", "bull": "•", "euro": "€", "pound": "£", "copy": "©"}
@@ -44,7 +45,7 @@ def normalize_headline(headline: Column) -> Column:
     return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}']+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_headline(headline: pd.Series) -> pd.Series:
     """normalize_headline under full compatibility decomposition, which no built-in offers."""
     import re
@@ -153,7 +154,7 @@ def official_body_of(provider: str | None, source: str | None) -> str | None:
     return text if MIN_BODY <= len(text) <= MAX_BODY else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def official_body(provider: pd.Series, html: pd.Series) -> pd.Series:
     """Balanced-element selection counts depth, which no built-in expression does."""
     from pressline.functions.text import official_body_of
@@ -185,7 +186,7 @@ def figure_image_of(source: str | None) -> dict | None:
     return None
 
 
-@F.pandas_udf("src string, alt string, caption string, credit string")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("src", "alt", "caption", "credit")]))
 def figure_image(html: pd.Series) -> pd.DataFrame:
     from pressline.functions.text import figure_image_of
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pressline.plans import feeds, operations
+from pressline.plans.feeds import flagship
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+_ALL = {**feeds.QUERIES, **operations.QUERIES}
+
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
 def queries():
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: text for name, (_, text) in _ALL.items() if text}
