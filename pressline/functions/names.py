@@ -88,32 +88,52 @@ def is_alias(left_key: Column, right_key: Column) -> Column:
     return (left_key != "") & (right_key != "") & F.array_contains(_strings(_alias_keys()), F.concat(left_key, F.lit("|"), right_key))
 
 
-def key_similarity(a: Column, b: Column) -> Column:
-    """0..1 for two normal forms; not symmetric where both have as many tokens, as the left one is then the shorter."""
-    ta, tb = F.split(a, " "), F.split(b, " ")
-    left_first = F.size(ta) <= F.size(tb)
-    short, long_ = F.when(left_first, ta).otherwise(tb), F.when(left_first, tb).otherwise(ta)
+def let(body, **columns: Column) -> Column:
+    """body of named columns that are evaluated once, however often body uses them."""
+    bound = F.struct(*(c.alias(k) for k, c in columns.items()))
+    return F.get(F.transform(F.array(bound), lambda row: body(**{k: row[k] for k in columns})), 0)
+
+
+def _shared(short: Column, long_: Column) -> Column:
+    """Tokens of the shorter name that the longer one has, clipped ones at a discount."""
 
     def prefix(token, least):
         return F.exists(long_, lambda o: (F.length(o) >= least) & (o.startswith(token) | token.startswith(o)))
 
     def credit(token):
-        last = token == F.element_at(short, -1)
-        clipped = F.when(last, prefix(token, 3)).otherwise((F.size(short) >= 3) & (F.length(token) >= 4) & prefix(token, 4))
+        clipped = F.when(token == F.element_at(short, -1), prefix(token, 3)).otherwise((F.size(short) >= 3) & (F.length(token) >= 4) & prefix(token, 4))
         return F.when(F.array_contains(long_, token), 1.0).when((F.length(token) < 3) | (F.size(short) < 2), 0.0).when(clipped, 0.85).otherwise(0.0)
 
-    shared = F.aggregate(F.array_distinct(short), F.lit(0.0), lambda acc, t: acc + credit(t))
-    na, nb = F.size(F.array_distinct(ta)), F.size(F.array_distinct(tb))
+    return F.aggregate(F.array_distinct(short), F.lit(0.0), lambda acc, t: acc + credit(t))
+
+
+def _graded(shared: Column, na: Column, nb: Column) -> Column:
     fewer = F.least(na, nb)
     score = shared / fewer * 0.75 + shared / (na + nb - shared) * 0.25
-    graded = (
+    return (
         F.when(shared == 0, 0.0)
         .when((shared == fewer) & (fewer >= 2), F.least(F.lit(1.0), F.greatest(score, F.lit(0.75))))
         .when((shared <= 1) & ((na > 1) | (nb > 1)), F.least(score, F.lit(0.59)))
         .otherwise(F.least(F.lit(1.0), score))
     )
-    same = (a == b) | (F.replace(a, F.lit(" "), F.lit("")) == F.replace(b, F.lit(" "), F.lit("")))
-    return F.when(is_alias(a, b), 1.0).when((a == "") | (b == ""), 0.0).when(same, 1.0).otherwise(graded)
+
+
+def _by_tokens(ta: Column, tb: Column) -> Column:
+    left_first = F.size(ta) <= F.size(tb)
+    sides = {"short": F.when(left_first, ta).otherwise(tb), "long_": F.when(left_first, tb).otherwise(ta)}
+    counts = {"na": F.size(F.array_distinct(ta)), "nb": F.size(F.array_distinct(tb))}
+    return let(lambda shared, na, nb: _graded(shared, na, nb), shared=let(_shared, **sides), **counts)
+
+
+def key_similarity(a: Column, b: Column) -> Column:
+    """0..1 for two normal forms; not symmetric where both have as many tokens, as the left one is then the shorter."""
+
+    def of(a, b):
+        same = (a == b) | (F.replace(a, F.lit(" "), F.lit("")) == F.replace(b, F.lit(" "), F.lit("")))
+        graded = let(_by_tokens, ta=F.split(a, " "), tb=F.split(b, " "))
+        return F.when(is_alias(a, b), 1.0).when((a == "") | (b == ""), 0.0).when(same, 1.0).otherwise(graded)
+
+    return let(of, a=a, b=b)
 
 
 def name_similarity(left: Column, right: Column) -> Column:

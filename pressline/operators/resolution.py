@@ -39,15 +39,20 @@ def similar(left: DataFrame, right: DataFrame, threshold: float = names.MATCH_AT
         joined = F.concat(F.lit("="), F.replace(key, F.lit(" "), F.lit("")))
         # the longest token that a shorter one may be a prefix of differs, so three letters are the common part
         heads = F.transform(F.filter(tokens, lambda t: F.length(t) >= 3), lambda t: F.concat(F.lit("^"), F.substring(t, 1, 3)))
-        aliases = F.filter(F.array(*(F.when(key == a, F.lit(f"~{min(a, b)}|{max(a, b)}")) for pair in _alias_pairs() for a, b in (pair, pair[::-1]))), lambda x: x.isNotNull())
+        aliases = F.filter(F.split(F.coalesce(exchange.lookup(key, _alias_blocks()), F.lit("")), ","), lambda x: x != "")
         return df.select(i, n, key.alias(f"{n}_key"), F.explode(F.array_distinct(F.concat(tokens, heads, F.array(joined), aliases))).alias("block"))
 
     pairs = keys(left, "lid", "lname").join(keys(right, "rid", "rname"), "block").select("lid", "lname_key", "rid", "rname_key").distinct()
     return pairs.withColumn("similarity", names.key_similarity(F.col("lname_key"), F.col("rname_key"))).filter(F.col("similarity") >= threshold)
 
 
-def _alias_pairs():
-    return sorted({(names.key_of(a), names.key_of(b)) for a, b in names.ALIASES})
+def _alias_blocks() -> dict[str, str]:
+    """Normal form to the keys of its alias pairs."""
+    out: dict[str, list[str]] = {}
+    for i, pair in enumerate(sorted({(names.key_of(a), names.key_of(b)) for a, b in names.ALIASES})):
+        for name in pair:
+            out.setdefault(name, []).append(f"~{i}")
+    return {k: ",".join(v) for k, v in out.items()}
 
 
 def best_candidate(candidates: DataFrame) -> DataFrame:

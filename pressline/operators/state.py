@@ -141,7 +141,7 @@ V2_STATE = "provider_id string, source_id string, revision int, action string, h
 
 
 def _fold_revisions(strict: bool):
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         import hashlib
 
         rows = rows.sort_values("seq")
