@@ -14,8 +14,10 @@ Bands of the representatives' sketches give buckets.  Nowhere are all pairs of a
 in each round a bucket offers one or a few pivots, its members are compared with the pivots
 alone, confirmed links join components, a pivot leaves its bucket once it has met all the
 others, and a bucket ends when its members are in one component.  As a bucket ends in no other
-way, each pair of a bucket is either compared or already connected: no link is lost to a large
-bucket.  Links are confirmed on full sets.  Components come from hooking to the smallest
+way, each pair of a bucket is either compared, excluded by an exact bound or already
+connected: no link is lost to a large bucket.  The bound comes from a bucket's first pivot P:
+for members X and Y compared with it, |X & Y| <= min(|X & P|, |Y & P|) + |(X - P) & (Y - P)|,
+and the differences from P are short where P is near to most.  Links are confirmed on full sets.  Components come from hooking to the smallest
 neighbour and pointer jumping.
 
 *Scale.*  Sets are made again from the text for bucket members only, and staged.  Every hot key
@@ -151,12 +153,13 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame | None:
     return whole
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets' similarity is at least percent / 100."""
+def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with linked (similarity of at least percent / 100) and own (the shingles of a that b has not)."""
     one, other = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    both = pairs.join(one, "a").join(other, "b")
-    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    both = pairs.join(one, "a").join(other, "b").withColumn("own", F.array_except("sa", "sb"))
+    common = F.size("sa") - F.size("own")
+    linked = 100 * common >= percent * (F.size("own") + F.size("sb"))
+    return both.select("a", "b", linked.alias("linked"), "own")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 80, workspace: Workspace) -> DataFrame:
@@ -168,30 +171,46 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     lone = feats.filter("n > 0 AND id IS NOT NULL").select("id", "n", "d1", "d2", "bands").join(copies, ["d1", "d2"], "left").filter("rep IS NULL OR rep = id")
     rows = ws.stage(lone.select(F.explode("bands").alias("key"), F.col("id").alias("node"), F.col("n").cast("int").alias("n")), "bands")
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    active = ws.stage(rows.join(ws.stage(full, "buckets"), "key"), "active-0")
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    active = ws.stage(rows.join(ws.stage(full, "buckets"), "key"), "members")
     ws.drop("bands")
-
-    nodes = ws.stage(active.select("node").distinct(), "nodes")
+    # what a node's buckets hold together: the member that most others are near to has the most
+    nodes = ws.stage(active.groupBy("node").agg(F.sum("c").alias("weight")), "nodes")
     mine = df.select(id_col, text_col).join(nodes, F.col(id_col) == F.col("node"), "left_semi")
     sets = ws.stage(shingle_sets(mine, id_col, text_col, shingle), "sets")
-    active = active.withColumn("root", F.col("node"))
-    labels, step = None, 0
+    near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+
+    lead = F.max(F.struct("weight", "node", "n")).alias("p")
+    weighed = ws.stage(active.drop("c").join(nodes, "node"), "weighed")
+    pivots = ws.stage(weighed.groupBy("key").agg(lead).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")), "pivots-0")
+    met = ws.stage(weighed.drop("weight").join(pivots, "key").filter("node <> pivot"), "met-0")
+    first = ws.stage(compare(ws.stage(met.filter(near).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs-0"), sets, percent), "first")
+    labels = components(ws, first.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), "cc-0")
+    own = first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "own")
+    rest = met.select("key", "node", "n", "pivot")
+    # a bucket of two is done; those that are one component with their pivot too
+    rest = rest.withColumn("root", F.col("node")) if labels is None else rest.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = ws.stage(rest, "rest-0")
+    step = 0
     while True:
-        mixed = active.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        mixed = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
         mixed = ws.stage(mixed, f"mixed-{step}")
         if mixed.isEmpty():
             break
-        active = ws.stage(active.join(mixed, "key"), f"mixed-active-{step}")
-        # the members of the latest roots come first: a large component tends to have the smallest root,
-        # so it is the stragglers that meet all of it, and the first pivots of a fresh bucket are any
+        rest = rest.join(mixed, "key")
+        if step == 0:
+            rest = rest.join(own, ["node", "pivot"], "left").drop("pivot")
+        rest = ws.stage(rest, f"mixed-rest-{step}")
+        step += 1
+        # the latest roots come first: a large component tends to have the smallest root, so stragglers meet all of it
         way = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(4 ** min(step, 5)))
-        pick = F.min if step == 0 else F.max
-        pivots = active.groupBy("key", way.alias("way")).agg(pick(F.struct("root", "node", "n")).alias("p")).select("key", F.col("p.root").alias("proot"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
+        last = F.max(F.struct("root", "node", "n", "own")).alias("p")
+        pivots = rest.groupBy("key", way.alias("way")).agg(last).select("key", F.col("p.root").alias("proot"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.own").alias("pown"))
         pivots = ws.stage(pivots, f"pivots-{step}")
-        near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-        pairs = active.join(pivots, "key").filter((F.col("root") != F.col("proot")) & near).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        links = ws.stage(confirm(ws.stage(pairs, f"pairs-{step}"), sets, percent), f"links-{step}")
+        most = F.least(F.col("n") - F.size("own"), F.col("pn") - F.size("pown")) + F.size(F.array_intersect("own", "pown"))
+        could = F.col("own").isNull() | F.col("pown").isNull() | (100 * most >= percent * (F.col("n") + F.col("pn") - most))
+        pairs = rest.join(pivots, "key").filter((F.col("root") != F.col("proot")) & near & could).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+        links = ws.stage(compare(ws.stage(pairs, f"pairs-{step}"), sets, percent).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), f"links-{step}")
         if labels is not None:
             u, v = labels.toDF("u", "ru"), labels.toDF("v", "rv")
             links = links.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
@@ -203,11 +222,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 up = fresh.toDF("root", "top")
                 old = labels.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
                 labels = ws.stage(old.union(fresh.join(labels, "node", "left_anti")), f"labels-{step}")
-        met = pivots.select("key", F.col("pivot").alias("node"))
-        active = active.drop("root").join(met, ["key", "node"], "left_anti")
-        active = active.withColumn("root", F.col("node")) if labels is None else active.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        step += 1
-        active = ws.stage(active.select("key", "node", "n", "root"), f"active-{step}")
+        rest = rest.drop("root").join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+        rest = rest.withColumn("root", F.col("node")) if labels is None else rest.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rest = ws.stage(rest.select("key", "node", "n", "own", "root"), f"rest-{step}")
 
     thin = feats.select("id", "n", "d1", "d2")
     placed = thin.join(copies, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep"))
