@@ -246,10 +246,9 @@ def json_paths(docs: DataFrame, json_col: str, *keys: str) -> DataFrame:
         deeper = level.filter("nested")
         if deeper.isEmpty():
             break
-        deeper.createOrReplaceTempView("__pressline_level")
-        cols = "".join(f"`{k}`, " for k in keys)
-        opened = docs.sparkSession.sql(f"SELECT {cols}path, x.key AS k, x.value AS v FROM __pressline_level, LATERAL variant_explode(v) AS x")
-        step = F.when(F.col("k").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat_ws(".", F.nullif("path", F.lit("")), "k"))
+        inner = docs.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("__key"), F.col("value").alias("__value"))
+        opened = deeper.lateralJoin(inner).select(*keys, "path", "__key", F.col("__value").alias("v"))
+        step = F.when(F.col("__key").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat_ws(".", F.nullif("path", F.lit("")), "__key"))
         level = opened.select(*keys, step.alias("path"), "v")
     typed = leaves.groupBy(*keys, "path").agg(F.array_join(F.array_sort(F.collect_set("type")), ", ").alias("types"), F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy(*keys, "path").orderBy("sample"))
