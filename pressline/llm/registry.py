@@ -82,4 +82,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_mixing": mixing.ORACLE, "op7_topk": topk.ORACLE}
+    return {"op6_mixing": mixing.ORACLE, "op7_topk": topk.ORACLE, "op9_url_filter": url_filter.ORACLE}

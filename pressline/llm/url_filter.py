@@ -7,11 +7,13 @@ rule that fits decides.
 
 *Reputation.*  Labelled page outcomes (bad or not) are counted per host, registered domain and
 suffix.  Shares are shrunk through beta-binomial priors along that chain: a suffix towards the
-whole table, a domain towards its suffix, a host towards its domain.  The strength of the prior
-of each level is estimated from the table by the method of moments (the spread of the shares
-of the level's members beyond binomial noise), within fixed limits.  A page is blocked if the
-lower bound of its host's posterior, mean - z standard deviations, is at least ``block_at``:
-a host with few labels stays with its domain's share, and nothing is blocked on thin evidence.
+whole table, a domain towards its suffix, a host towards its domain, each prior made of the
+others' labels and not of the member's own.  The strength of the prior of each level is
+estimated from the table by the method of moments (the spread of the shares of the level's
+members beyond binomial noise), within fixed limits.  A page is blocked if the lower bound,
+mean - z standard deviations, of its host's posterior is at least ``block_at``; a host without
+labels has the prior that its domain gives, a domain without labels that of its suffix.  So a
+host with few labels stays near its domain, and nothing is blocked on thin evidence.
 
 *Scale.*  Counts are pre-aggregated per host before any shuffle by domain or suffix; pages join
 the staged table of hosts, whose size the planner sees and whose hot keys adaptive execution
@@ -82,32 +84,79 @@ def strength(n: str, bad: str, mean: Column) -> Column:
     return F.when((F.sum(F.col(n) - 1) > 0) & (rho > 0), F.greatest(F.lit(MIN_STRENGTH), F.least(F.lit(MAX_STRENGTH), 1 / rho - 1))).otherwise(F.lit(MAX_STRENGTH))
 
 
-def reputation(outcomes: DataFrame, ws: Workspace, z: float = Z) -> DataFrame:
-    """host, n, bad, post_mean, post_low from outcomes (host, bad 0/1); host '*' stands for hosts without labels."""
+def _low(mean: Column, size: Column, z: float) -> Column:
+    return mean - z * F.sqrt(mean * (1 - mean) / (size + 1))
+
+
+def reputation(outcomes: DataFrame, ws: Workspace, z: float = Z) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Posteriors of labelled hosts (host, n, bad, post_mean, post_low), and what domains and suffixes lend to members without labels (domain or suffix, low)."""
     marked = outcomes.filter(F.col("bad").isin(0, 1) & (F.col("host") != ""))
     hosts = ws.stage(marked.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").cast("long").alias("bad")).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
     domains = ws.stage(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad")), "domains")
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
-    total = suffixes.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("tn"), F.coalesce(F.sum("sbad"), F.lit(0)).alias("tbad")).select(((F.col("tbad") + 0.5) / (F.col("tn") + 1.0)).alias("m0"))
-    m0 = F.lit(total.first()["m0"])  # one number
+    suffixes = ws.stage(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad")), "suffixes")
+    # four numbers: the mean share and the strength of each level
+    total = suffixes.agg(((F.coalesce(F.sum("sbad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("sn"), F.lit(0)) + 1.0)).alias("m")).first()
+    m0 = F.lit(total["m"])
     ks = suffixes.agg(strength("sn", "sbad", m0).alias("k")).first()["k"]
     kd = domains.agg(strength("dn", "dbad", m0).alias("k")).first()["k"]
     kh = hosts.agg(strength("n", "bad", m0).alias("k")).first()["k"]
-    s = ws.stage(suffixes.select("suffix", ((F.col("sbad") + ks * m0) / (F.col("sn") + ks)).alias("sm")), "suffix-means")
-    d = ws.stage(domains.join(s, "suffix").select("domain", ((F.col("dbad") + kd * F.col("sm")) / (F.col("dn") + kd)).alias("dm")), "domain-means")
-    h = hosts.join(d, "domain").select("host", "n", "bad", (F.col("bad") + kh * F.col("dm")).alias("a"), (F.col("n") - F.col("bad") + kh * (1 - F.col("dm"))).alias("b"))
-    mean, size = F.col("a") / (F.col("a") + F.col("b")), F.col("a") + F.col("b")
-    return h.select("host", "n", "bad", mean.alias("post_mean"), (mean - z * F.sqrt(mean * (1 - mean) / (size + 1))).alias("post_low"))
+    c = F.col
+    of_suffix = suffixes.select("suffix", "sn", "sbad", ((c("sbad") + ks * m0) / (c("sn") + ks)).alias("sm"))
+    d = domains.join(of_suffix, "suffix")
+    others = (c("sbad") - c("dbad") + ks * m0) / (c("sn") - c("dn") + ks)
+    d = ws.stage(d.select("domain", "dn", "dbad", others.alias("om"), ((c("dbad") + kd * others) / (c("dn") + kd)).alias("dm")), "domain-means")
+    rest = (c("dbad") - c("bad") + kd * c("om")) / (c("dn") - c("n") + kd)
+    mean = (c("bad") + kh * rest) / (c("n") + kh)
+    h = hosts.join(d, "domain").select("host", "n", "bad", mean.alias("post_mean"), _low(mean, c("n") + kh, z).alias("post_low"))
+    return ws.stage(h, "host-low"), ws.stage(d.select("domain", _low(c("dm"), F.lit(kh), z).alias("low")), "domain-low"), ws.stage(of_suffix.select("suffix", _low(c("sm"), F.lit(kd), z).alias("low")), "suffix-low")
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, z: float = Z, block_at: float = BLOCK_AT, workspace: Workspace) -> DataFrame:
-    """One row per page: id_col, host, path, rule, verdict, blocked_by (rule, reputation or null).
+    """One row per page: id_col, host, path, rule, verdict.
 
     outcomes: host, bad (0 or 1), a row per labelled page.
     """
-    bad_hosts = workspace.stage(reputation(outcomes, workspace, z).filter(F.col("post_low") >= block_at).select(F.col("host").alias("__bad")), "bad-hosts")
+    hosts, domains, suffixes = reputation(outcomes, workspace, z)
     seen = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    seen = seen.withColumn("__domain", domain_of(F.col("host"))).withColumn("__suffix", suffix_of(F.col("host")))
     rule, verdict = matching(F.col("host"), F.col("path"), rules)
-    joined = seen.join(bad_hosts, F.col("host") == F.col("__bad"), "left").select(id_col, "host", "path", rule.alias("rule"), verdict.alias("__said"), F.col("__bad").isNotNull().alias("__blocked"))
-    method = F.when(F.col("__blocked"), F.lit("block")).otherwise(F.lit("allow"))
-    return joined.select(id_col, "host", "path", "rule", F.coalesce("__said", method).alias("verdict"))
+    joined = seen.join(hosts.select(F.col("host").alias("__host"), F.col("post_low").alias("__h")), F.col("host") == F.col("__host"), "left")
+    joined = joined.join(domains.select(F.col("domain").alias("__d0"), F.col("low").alias("__d")), F.col("__domain") == F.col("__d0"), "left")
+    joined = joined.join(suffixes.select(F.col("suffix").alias("__s0"), F.col("low").alias("__s")), F.col("__suffix") == F.col("__s0"), "left")
+    blocked = F.coalesce(F.coalesce("__h", "__d", "__s") >= block_at, F.lit(False)) & (F.col("host") != "")
+    method = F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))
+    return joined.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
+
+
+def _strength_sql(n: str, bad: str) -> str:
+    spread = f"sum({n} * power({bad}::DOUBLE / {n} - m, 2) / (m * (1 - m)))"
+    rho = f"(({spread} - count(*)) / sum({n} - 1))"
+    return f"CASE WHEN sum({n} - 1) > 0 AND {rho} > 0 THEN greatest({MIN_STRENGTH}, least({MAX_STRENGTH}, 1 / {rho} - 1)) ELSE {MAX_STRENGTH} END"
+
+
+def _rule_sql() -> tuple[str, str]:
+    fits = [(f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))", h + p, v) for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
+    return "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END", "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits) + " END"
+
+
+_TWO = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
+_LONG = f"{_TWO} IN ({', '.join(repr(x) for x in LONG_SUFFIXES)})"
+_PARTS = f"""CASE WHEN {_LONG} THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE {_TWO} END AS domain, CASE WHEN {_LONG} THEN {_TWO} ELSE list_extract(string_split(host, '.'), -1) END AS suffix"""
+_LOW_SQL = f"{{0}} - {Z} * sqrt({{0}} * (1 - {{0}}) / ({{1}} + 1))"
+
+#: The outcome of a page is the quality label of the document whose number its path names.
+ORACLE = f"""
+WITH p0 AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_AZ}', '{_az}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+  TRY_CAST(regexp_extract(url, '://[^/]*/[^/]*/([0-9]{{1,18}})', 1) AS BIGINT) AS num FROM pages),
+p AS (SELECT *, {_PARTS} FROM p0),
+h AS (SELECT host, domain, suffix, count(*) AS n, sum(1 - quality) AS bad FROM p JOIN labels ON doc_id = num WHERE quality IN (0, 1) AND host <> '' GROUP BY ALL),
+d AS (SELECT suffix, domain, sum(n) AS dn, sum(bad) AS dbad FROM h GROUP BY ALL), s AS (SELECT suffix, sum(dn) AS sn, sum(dbad) AS sbad FROM d GROUP BY ALL),
+m AS (SELECT (coalesce(sum(sbad), 0) + 0.5::DOUBLE) / (coalesce(sum(sn), 0) + 1.0::DOUBLE) AS m FROM s),
+k AS (SELECT m, (SELECT {_strength_sql("sn", "sbad")} FROM s) AS ks, (SELECT {_strength_sql("dn", "dbad")} FROM d) AS kd, (SELECT {_strength_sql("n", "bad")} FROM h) AS kh FROM m),
+sm AS (SELECT suffix, sn, sbad, (sbad + ks * m) / (sn + ks) AS sm FROM s, k),
+dm AS (SELECT domain, dn, dbad, (sbad - dbad + ks * m) / (sn - dn + ks) AS om FROM d JOIN sm USING (suffix), k),
+dl AS (SELECT domain, (dbad + kd * om) / (dn + kd) AS v, kh FROM dm, k),
+hm AS (SELECT host, (bad + kh * ((dbad - bad + kd * om) / (dn - n + kd))) / (n + kh) AS v, n + kh AS z FROM h JOIN dm USING (domain), k),
+l AS (SELECT p.*, coalesce({_LOW_SQL.format("hm.v", "hm.z")}, {_LOW_SQL.format("dl.v", "dl.kh")}, {_LOW_SQL.format("sm.sm", "k.kd")}) AS low FROM p LEFT JOIN hm USING (host) LEFT JOIN dl USING (domain) LEFT JOIN sm USING (suffix), k)
+SELECT page_id, host, path, {_rule_sql()[0]} AS rule, coalesce({_rule_sql()[1]}, CASE WHEN host <> '' AND low >= {BLOCK_AT} THEN 'block' ELSE 'allow' END) AS verdict FROM l
+"""
