@@ -47,8 +47,9 @@ from pressline.llm.common import Workspace, ship
 
 CHUNK_BYTES = 1 << 20
 FILE_CHUNKS = 32
-_VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 _MAGIC = b"\x1f\x8b\x08"
+_RUNS_ON = re.compile(rb"WARC/1\.[01]$")
+_ONCE = frozenset(("warc-type", "warc-record-id", "content-length"))
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
@@ -139,9 +140,11 @@ def parse(raw, at: int) -> tuple[Record, int] | str:
     headers = {}
     for line in bytes(raw[version.end() : end]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
-        if not colon or not name or b"WARC/1." in line[:7]:
+        key = name.decode("latin-1").lower()
+        # a record that is cut inside its headers runs into the next one's
+        if not colon or not name or _RUNS_ON.search(line) or (key in _ONCE and key in headers):
             return "bad header line"
-        headers[name.decode("latin-1").lower()] = value.decode("utf-8", "replace").strip()
+        headers[key] = value.decode("utf-8", "replace").strip()
     length = headers.get("content-length", "")
     if not length.isdigit():
         return "no content length"
