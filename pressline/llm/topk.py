@@ -118,7 +118,8 @@ def top_k(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_c
     def grid(wanted: DataFrame) -> DataFrame:
         c = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).withColumn("qb", F.col("qb").cast("long"))
         q = wanted.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("cb", F.col("cb").cast("long"))
-        return c.join(q, (F.col("qb") == F.col("qblock")) & (F.col("cb") == F.col("block")) & (F.col("dim") == F.col("qdim")))
+        # the blocks are repeated after their size is estimated: no broadcast on that estimate
+        return c.hint("merge").join(q, (F.col("qb") == F.col("qblock")) & (F.col("cb") == F.col("block")) & (F.col("dim") == F.col("qdim")))
 
     def gather(it):
         held: dict[int, np.ndarray] = {}
