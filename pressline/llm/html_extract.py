@@ -53,10 +53,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 WHOLE = frozenset("html body main article".split())
 #: Words that, first or last in a class or id, mark an element that is no part of an article.
 MARKS = frozenset(
-    "ad ads adsense advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related recommended recommendations replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
+    "ad ads adsense alert announcement announcements advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related recommended recommendations replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar tooltip topbar widget".split()
 )
 NOT_MARKS = frozenset("has with without no".split())
-_INLINE_HEADER = frozenset(("header",))
 
 
 def set_aside(tag: str, attributes: str, inside: bool) -> bool:
@@ -77,7 +76,7 @@ def set_aside(tag: str, attributes: str, inside: bool) -> bool:
         if name in ("class", "id"):
             for one in value.split():
                 words = [w.lower() for w in _TOKEN.findall(one)]
-                if words and (words[0] in MARKS or words[-1] in MARKS) and not NOT_MARKS.intersection(words) and not (inside and words[-1] == "header"):
+                if words and (words[0] in MARKS or words[-1] in MARKS or (words[-1] == "header" and not inside)) and not NOT_MARKS.intersection(words):
                     return True
     return False
 

@@ -214,3 +214,26 @@ def test_language_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert langid.train(df.limit(0), id_col="doc_id", text_col="text", label_col="lang") is None
     assert {r["lang_pred"] for r in langid.predict(df, None, id_col="doc_id", text_col="text").collect()} == {"und"}
+
+
+LONG_ARTICLE = "<h1>Big title</h1><p class='byline'>By A. Person</p><p>First para, with text. It is long enough, I think.</p><p>Ok.</p><blockquote>Quote, here.</blockquote><pre>code  x</pre><table><tr><td>cell one</td><td>cell two</td></tr></table><figure><img src=x><figcaption>Cap.</figcaption></figure>"
+LONG_WANT = "Big title By A. Person First para, with text. It is long enough, I think. Ok. Quote, here. code x cell one cell two Cap."
+CHROME = "".join(["<div class='site-header'><h2>Site name</h2><p>Tagline, here.</p></div>","<div id='top-nav'><a>Home</a></div>","<div class='alert alert-info'><p>Service notice, please read it, all.</p></div>","<div class='sidebar'><p>Side bar text that is long, and has commas, too.</p></div>","<ul class='menu'><li>A</li><li>B</li></ul>","<div role='complementary'><p>Complement, text here.</p></div>","<div class=ad-banner>Buy, now!</div>","<noscript>No js</noscript>","<form><label>Name</label><input><button>Go</button></form>","<div class='comments-area'><h3>3 comments</h3><p>Nice one, truly, this is a very long comment text, with many words, and so on.</p></div>","<footer><p>Foot, text.</p></footer>","<div class='footer-links'>x y z</div>","<div class='cookie-consent'>Cookies, ok?</div>"])
+TEMPLATES = {
+    "article": "<html><body>{c}<article>{a}</article>{c}</body></html>",
+    "main": "<html><body>{c}<main>{a}{c}</main>{c}</body></html>",
+    "div": "<html><body>{c}<div class='content'>{a}</div>{c}</body></html>",
+    "wrapped": "<html><body><div id=page>{c}<div id=wrap><div class='post-body'>{a}</div>{c}</div></div></body></html>",
+    "unclosed": "<body>{c}<article>{a}",
+    "fragment": "{c}<div>{a}</div>",
+}
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_html_templates(name):
+    assert html_extract.extract(TEMPLATES[name].format(a=LONG_ARTICLE, c=CHROME)) == LONG_WANT
+
+
+def test_header_of_an_article_stays():
+    head, rest = LONG_ARTICLE.split("<p>First", 1)
+    assert html_extract.extract(f"<article><header>{head}</header><p>First{rest}{CHROME}</article>") == LONG_WANT
