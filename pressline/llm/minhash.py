@@ -176,7 +176,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ws.drop("bands")
     # what a node's buckets hold together: the member that most others are near to has the most
     nodes = ws.stage(active.groupBy("node").agg(F.sum("c").alias("weight")), "nodes")
-    mine = df.select(id_col, text_col).join(nodes, F.col(id_col) == F.col("node"), "left_semi")
+    # texts are shuffled by id at every size: a broadcast of ids would grow with the candidates
+    mine = df.select(id_col, text_col).hint("merge").join(nodes, F.col(id_col) == F.col("node"), "left_semi")
     sets = ws.stage(shingle_sets(mine, id_col, text_col, shingle), "sets")
     near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
 
