@@ -1,5 +1,8 @@
 """Corpus pipeline: documents in, token statistics of the mixed corpus out.
 
+Texts join decisions by id in shuffles at every size, as a broadcast of ids would grow with the
+corpus.
+
 Five stages, each an operator of ``pressline.llm`` whose decisions take effect: rejected
 documents go, one document of each group of near copies stays, secrets are masked, sources are
 mixed (documents repeat or drop out), and what is left is encoded.  All but the last return the
@@ -36,7 +39,7 @@ def near_dedup(spark, docs, sf_dir):
     marked = minhash.near_duplicates(docs, shingle=minhash.SHINGLE, percent=80, workspace=ws)
     kept = ws.stage(marked.filter("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    stay = _documents(docs.join(kept, same, "left_semi"))
+    stay = _documents(docs.hint("merge").join(kept, same, "left_semi"))
     again = kept.filter("n > 1 AND __id IS NOT NULL")
     if again.isEmpty():
         return stay
@@ -55,7 +58,7 @@ def mix_sources(spark, docs, sf_dir):
     ws = Workspace(spark, "pipeline-mix")
     mixed = mixing.mix(docs, workspace=ws).select(F.col("doc_id").alias("__id"), mixing.copies().alias("copies")).filter("copies > 0")
     mixed = ws.stage(mixed.groupBy("__id").agg(F.max("copies").alias("copies")), "copies")
-    many = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    many = docs.hint("merge").join(mixed, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return _documents(many)
 
 
