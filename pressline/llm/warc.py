@@ -19,11 +19,13 @@ is a valid archive throughout.
 checksum, the version line, the headers, Content-Length, the record's closing line ends and,
 where there is one, the digest of the block's payload.  After a failed check it searches from
 the next byte on for the next member or version line that passes them, logs the bytes between
-as a quarantined gap with the reason, and goes on; records inside a broken member that were
-inflated before the break and pass their checks are kept.
+as a quarantined gap with the reason, and goes on.  In a member of several records it searches
+the inflated bytes in the same way: records before and after a bad one are kept, and the gap
+has the member's place and says which of its inflated bytes are lost.  Records inside a broken
+member that were inflated before the break and pass their checks are kept.
 
 Memory is one archive file (Spark's binaryFile source: up to 2 GB a file, so larger archives
-have to be cut before) and one record; the writer starts a new file every FILE_CHUNKS chunks.
+have to be cut before) and one inflated member with its records; the writer starts a new file every FILE_CHUNKS chunks.
 
 Defined cases: a null payload is empty; a null id is written as ``null`` and read as null, and
 is a response only where all ids of its payload are null; rows that repeat the id and payload
@@ -193,22 +195,46 @@ def inflate(raw: bytes, at: int) -> tuple[bytes, int, str]:
     return b"".join(out), min(i, len(raw)) - len(d.unused_data), ""
 
 
+def walk(plain: bytes) -> Iterator[Record | Gap]:
+    """Records of inflated bytes and the stretches between them that pass no check, in order; places are those in plain."""
+    at, bad_from, reason = 0, None, ""
+    while at < len(plain):
+        got = parse(plain, at)
+        if isinstance(got, str):
+            if bad_from is None:
+                bad_from, reason = at, got
+            at = plain.find(b"WARC/1.", at + 1)
+            at = len(plain) if at < 0 else at
+            continue
+        if bad_from is not None:
+            yield Gap(bad_from, at - bad_from, reason)
+            bad_from = None
+        yield got[0]
+        at = got[1]
+    if bad_from is not None:
+        yield Gap(bad_from, len(plain) - bad_from, reason)
+
+
 def salvage(raw: bytes) -> Iterator[Record | Gap]:
-    """Records and quarantined gaps of an archive, in order; offsets and lengths are of its own bytes."""
+    """Records and quarantined gaps of an archive, in order; offsets and lengths are of its own bytes (of what is inside a member: the member's)."""
     at, bad_from, reason = 0, None, ""
     while at < len(raw):
-        found: list[Record] = []
+        found: list[Record | Gap] = []
         wrong, after = "no member or version line", at + 1
+        intact = False
         if raw.startswith(_MAGIC, at):
             plain, after, wrong = inflate(raw, at)
-            inner = 0
-            while inner < len(plain):
-                got = parse(plain, inner)
-                if isinstance(got, str):
-                    wrong = wrong or got
-                    break
-                found.append(Record(at, after - at, got[0].headers, got[0].block))
-                inner = got[1]
+            intact = not wrong
+            parts = list(walk(plain))
+            if wrong and parts and isinstance(parts[-1], Gap):
+                parts.pop()  # what the break left of a record belongs to the gap of the break
+            if any(isinstance(x, Record) for x in parts):
+                inside = "{}; bytes {} to {} of the inflated member"
+                found = [x._replace(offset=at, length=after - at) if isinstance(x, Record) else Gap(at, after - at, inside.format(x.reason, x.offset, x.offset + x.length)) for x in parts]
+                if wrong:
+                    wrong += f"; from byte {parts[-1].offset + parts[-1].length} of the inflated member on"
+            elif parts:
+                wrong = wrong or parts[0].reason
         elif raw.startswith(b"WARC/1.", at):
             got = parse(raw, at)
             if isinstance(got, str):
@@ -225,6 +251,9 @@ def salvage(raw: bytes) -> Iterator[Record | Gap]:
         if bad_from is None:
             bad_from, reason = at, wrong
         yield from found
+        if intact:  # its bytes are compressed and pass the checksum: no mark in them is one
+            at = after
+            continue
         marks = [x for x in (raw.find(_MAGIC, at + 1), raw.find(b"WARC/1.", at + 1)) if x >= 0]
         at = min(marks, default=len(raw))
     if bad_from is not None:

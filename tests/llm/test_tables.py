@@ -82,6 +82,31 @@ def test_salvage(packed):
         assert covered == len(raw)
 
 
+def test_salvage_inside_a_member_of_several_records(spark, tmp_path):
+    parts = archive(12, False)
+    long = [p.replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9", 1) if i == 5 else p for i, p in enumerate(parts)]
+    flipped = [p.replace(b"<p>", b"<q>") if i in (0, 5, 11) else p for i, p in enumerate(parts)]
+    assert long[5] != parts[5]
+    for hurt, lost in ((long, [5]), (flipped, [0, 5, 11]), (parts[:5] + [b"junk WARC/1. "] + parts[5:], [])):
+        one = warc.member(b"".join(hurt))
+        raw = warc.SEPARATOR + one + warc.member(parts[3])
+        found = list(warc.salvage(raw))[1:]
+        assert ids(found) == [i for i in range(12) if i not in lost] + [3]
+        gaps = [x for x in found if isinstance(x, warc.Gap)]
+        assert len(gaps) == max(1, len(lost)) and {(g.offset, g.length) for g in gaps} == {(len(warc.SEPARATOR), len(one))}
+        starts = [sum(map(len, hurt[:i])) for i in lost or [5]]
+        assert [tuple(map(int, re.search("bytes ([0-9]+) to ([0-9]+) of", g.reason).groups())) for g in gaps] == [(s, s + len(hurt[i])) for s, i in zip(starts, lost or [5], strict=True)]
+        (tmp_path / "a.warc.gz").write_bytes(raw)
+        rows = warc.read(spark, str(tmp_path)).collect()
+        assert sum(r["gap"] is None for r in rows) == len(found) + 1 - len(gaps)
+    # the member breaks off after a bad record: what was inflated is searched as well
+    cut = warc.member(b"".join(flipped[:6] + parts[6:]) + random.Random(5).randbytes(60_000))[:40_000]
+    found = list(warc.salvage(cut + warc.member(parts[3])))
+    assert ids(found) == [*range(1, 5), *range(6, 12), 3]
+    gaps = [x for x in found if isinstance(x, warc.Gap)]
+    assert [g.reason.split(";")[0] for g in gaps[:2]] == ["payload digest differs"] * 2 and "inflated member on" in gaps[2].reason and (gaps[2].offset, gaps[2].length) == (0, len(cut))
+
+
 def test_salvage_of_nothing():
     assert list(warc.salvage(b"")) == []
     assert list(warc.salvage(b"\x1f\x8b\x08 no")) and isinstance(next(iter(warc.salvage(b"zzz"))), warc.Gap)
