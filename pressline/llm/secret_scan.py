@@ -4,11 +4,12 @@ Style: free (Arrow batches, Python's re and the tiktoken library); no shuffle, o
 time, whole texts.
 
 The efficiency test: a candidate is a run of at least ``min_chars`` letters, digits and
-``+/_=-`` of mixed character classes.  Text that people write packs into few tokens of a byte
+``+/_=-`` that holds letters.  Text that people write packs into few tokens of a byte
 pair vocabulary; a random string does not, so a candidate with at most ``max_ratio``
-characters per token is a secret of kind ``random``.  Excluded first, as random looking but
-public: hexadecimal digests of the usual lengths, UUIDs, numbers and dates, paths and
-identifiers made of words (see ``is_known``), and whatever overlaps a pattern's span.
+characters per token is a secret of kind ``random``.  Excluded, as random looking but public:
+hexadecimal digests of the usual lengths, UUIDs, numbers and dates, repetitions of a few
+characters, paths and identifiers made of words of the vocabulary (see ``is_worded``), and
+whatever overlaps a pattern's span.
 
 Defined cases: a null text has no spans; repeated rows each give their row; offsets count
 code points, ends are exclusive.
@@ -33,6 +34,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs, so the same matches as of shorter ones that are dropped
 _NAMES = ("passw", "secret", "token", "api")  # what every match of _ASSIGN holds: looked for first, as that is fast
 MIN_ASSIGN, MIN_ACCESS = 8, 16
+MIN_ONE_CLASS = 16  # a short word beside a ruled line is none; base32 with its padding of up to six has 18
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
@@ -42,14 +44,22 @@ _WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[0-9]+")
 
 
 def is_known(text: str) -> bool:
-    """Digests, UUIDs, numbers, and identifiers or paths whose parts are mostly words of three or more letters."""
+    """Digests, UUIDs, numbers, and repetitions of up to four characters."""
     run = _HEXRUN.fullmatch(text)
     if run and len(run[1]) in DIGEST_CHARS:
         return True
     if _UUID.fullmatch(text) or not re.search(r"[A-Za-z]", text):
         return True
+    return any(text == (text[:n] * (len(text) // n + 1))[: len(text)] for n in range(1, 5))
+
+
+def is_worded(text: str, enc) -> bool:
+    """Identifiers and paths: most characters are in words, parts that the vocabulary packs at three or more letters a token.
+
+    Case does not count, as the vocabulary holds few words in capitals.
+    """
     parts = _WORDS.findall(text)
-    worded = sum(len(p) for p in parts if p[0].isalpha() and len(p) >= 4)
+    worded = sum(len(p) for p in parts if p[0].isalpha() and len(p) >= 3 * len(enc.encode_ordinary(" " + p.lower())))
     return worded >= 0.7 * sum(len(p) for p in parts)
 
 
@@ -68,9 +78,9 @@ def random_spans(text: str, enc, taken: list[tuple[int, int, int]], max_ratio: f
     for m in _CANDIDATE.finditer(text):
         word = m[0].strip("=-_/+") or m[0]
         classes = bool(re.search("[a-z]", word)) + bool(re.search("[A-Z]", word)) + bool(re.search("[0-9]", word))
-        if classes < 2 or any(a < m.end() and m.start() < b for a, _, b in taken) or is_known(word):
+        if any(a < m.end() and m.start() < b for a, _, b in taken) or is_known(word) or (classes < 2 and len(word) < MIN_ONE_CLASS):
             continue
-        if len(word) <= max_ratio * len(enc.encode_ordinary(word)):
+        if len(word) <= max_ratio * len(enc.encode_ordinary(word)) and not is_worded(word, enc):
             found.append((m.start(), 3, m.end()))
     return found
 
