@@ -98,7 +98,7 @@ def _titles(spark, d):
 
 
 def _topics(spark, d):
-    t = F.concat(F.when(_C("doc_id") % 4 == 0, "Revenue and inflation: ").when(_C("doc_id") % 4 == 1, "Regulator acts: ").otherwise(""), F.substring("text", 1, 40))
+    t = F.concat(F.when(_C("doc_id") % 4 == 0, "Revenue and inflation: ").when(_C("doc_id") % 4 == 1, "Regulator acts: ").otherwise(""), _C("text"))
     return _docs(spark, d).select("doc_id", F.array_join(text.topics(t), ",").alias("topics"), text.official_topic(t).alias("official"))
 
 

@@ -164,7 +164,7 @@ def _market_store(spark, d):
 def _events(m):
     """Conversations as source events: a turn is a version, some are deletes, some stale, some equal."""
     t = _C("turn")
-    return m.table("conversations").select(F.lit("wire").alias("provider_id"), _C("conv_id").cast("string").alias("source_id"), F.when((_C("conv_id") + t) % 6 == 5, "delete").otherwise("upsert").alias("action"), F.concat(F.lit("head "), (_C("conv_id") % 3 + F.floor(t / 2)).cast("string")).alias("headline"), F.when(t % 3 != 2, F.substring("text", 1, 40)).alias("body"), F.timestamp_seconds(F.lit(1704067200) + (t * 7 % 5) * 3600).alias("updated_at"), t.alias("seq"))
+    return m.table("conversations").select(F.lit("wire").alias("provider_id"), _C("conv_id").cast("string").alias("source_id"), F.when((_C("conv_id") + t) % 6 == 5, "delete").otherwise("upsert").alias("action"), F.concat(F.lit("head "), (_C("conv_id") % 3 + F.floor(t / 2)).cast("string")).alias("headline"), F.when(t % 3 != 2, F.col("text")).alias("body"), F.timestamp_seconds(F.lit(1704067200) + (t * 7 % 5) * 3600).alias("updated_at"), t.alias("seq"))
 
 
 def _history(spark, d):

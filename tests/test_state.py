@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressline.operators import analytics, reads, resolution, state, v2
+from pressline.plans import catalogue
 from pressline.sources import files
 from pressline.sources.sinks import latest_state, write_csv
 from pressline.streaming import jobs
@@ -83,6 +84,26 @@ def test_revisions(spark):
     assert {r["source_id"]: r["deleted"] for r in strict.collect()} == {"a": True, "b": False}
 
 
+@pytest.mark.parametrize("name, turn", [("revision_history", 0), ("stream_upsert_state", 1)])
+def test_revision_queries_keep_whole_bodies(spark, tmp_path, name, turn):
+    """Versions of one time and headline that differ late in the body are versions (the stream's state has one event a turn)."""
+    long = "word " * 300
+    data = [(1, 0, "user", long + "a"), (1, turn, "user", long + "b"), (1, turn, "user", long + "b"), (2, 1, "user", long)]
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [(r["source_id"], r["revision"], r["body"]) for r in catalogue.queries()[name](spark, str(tmp_path)).orderBy("source_id", "revision").collect()]
+    assert [(i, n) for i, n, _ in got] == [("1", 1), ("1", 2), ("2", 1)]
+    assert sorted(b for _, _, b in got) == sorted([long + "a", long + "b", long])
+
+
+def test_scrub_and_topics_read_whole_texts(spark, tmp_path):
+    long = "word " * 300
+    spark.createDataFrame([(1, 0, "user", long + "a"), (1, 0, "user", long + "b")], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [tuple(r) for r in catalogue.queries()["tombstone_scrub"](spark, str(tmp_path)).select("articles", "bodies", "revisions").collect()] == [(1, 1, 2)]
+    spark.createDataFrame([(2, long + "inflation"), (3, long)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["topics"] for r in catalogue.queries()["topic_tags"](spark, str(tmp_path)).collect()}
+    assert "inflation" in got[2] and "inflation" not in got[3]
+
+
 def test_stream_of_revisions_equals_the_batch_and_replays_change_nothing(spark, tmp_path):
     rng = random.Random(9)
     data = [("p", f"s{rng.randrange(6)}", rng.choice(["upsert"] * 5 + ["delete"]), f"h{rng.randrange(3)}", f"b{rng.randrange(3)}", datetime(2024, 1, 1) + timedelta(hours=rng.randrange(30)), i) for i in range(90)]
