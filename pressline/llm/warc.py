@@ -16,13 +16,19 @@ separator after each chunk, which is itself a gzip member with a warcinfo record
 is a valid archive throughout.
 
 *Salvage reader.*  Reads members (or plain records) one after the other and checks the gzip
-checksum, the version line, the headers, Content-Length, the record's closing line ends and,
-where there is one, the digest of the block's payload.  After a failed check it searches from
-the next byte on for the next member or version line that passes them, logs the bytes between
-as a quarantined gap with the reason, and goes on.  In a member of several records it searches
-the inflated bytes in the same way: records before and after a bad one are kept, and the gap
-has the member's place and says which of its inflated bytes are lost.  Records inside a broken
-member that were inflated before the break and pass their checks are kept.
+checksum, the version line, the headers (the mandatory type, id and length among them, none of
+them twice), the record's closing line ends and, where there is one, the digest of the block or
+its payload.  After a failed check it searches from the next byte on for the next member or
+version line that passes them, logs the bytes between as a quarantined gap with the reason, and
+goes on.  In a member of several records it searches the inflated bytes in the same way: records
+before and after a bad one are kept, and the gap has the member's place and says which of its
+inflated bytes are lost.  A broken member (bad checksum, cut short, bad codes) is inflated byte
+by byte up to its break; the records in it that pass their checks are kept, once each, and the
+search goes on behind the last byte that they needed.  A record's checks cover its header's form
+and its digest, so a broken member's record without a digest is kept unverified, next to the
+logged gap.  Recovered stretches and gaps cover the file once; each mark is searched for once
+and a start that must meet a known fault is skipped, so the time is linear in hostile archives
+too.
 
 Memory is one archive file (Spark's binaryFile source: up to 2 GB a file, so larger archives
 have to be cut before) and one inflated member with its records; the writer starts a new file every FILE_CHUNKS chunks.
@@ -49,8 +55,8 @@ from pressline.llm.common import Workspace, ship
 
 CHUNK_BYTES = 1 << 20
 FILE_CHUNKS = 32
-_MAGIC = b"\x1f\x8b\x08"
-_RUNS_ON = re.compile(rb"WARC/1\.[01]$")
+STEP = 1 << 14
+_MAGIC, _WARC = b"\x1f\x8b\x08", b"WARC/1."
 _ONCE = frozenset(("warc-type", "warc-record-id", "content-length"))
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
@@ -131,37 +137,71 @@ class Gap(NamedTuple):
     reason: str
 
 
-def parse(raw, at: int) -> tuple[Record, int] | str:
-    """The record that begins at ``at`` and the place after it, or what is wrong with it."""
+class Bad(NamedTuple):
+    """What is wrong with a record, and the first place where a later record could begin: every start before it meets the same fault."""
+
+    reason: str
+    look_from: int
+
+
+class Marks:
+    """The next place of each mark, each stretch of the bytes searched once: the places asked for never go back."""
+
+    def __init__(self, raw: bytes, *marks: bytes):
+        self.raw, self.places = raw, dict.fromkeys(marks, -1)
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of mark from ``at`` on; the end of the bytes if there is none."""
+        if self.places[mark] < at:
+            found = self.raw.find(mark, at)
+            self.places[mark] = len(self.raw) if found < 0 else found
+        return self.places[mark]
+
+
+def parse(raw: bytes, at: int) -> Record | Bad:
+    """The record that begins at ``at``, or what is wrong with it."""
     version = _VERSION.match(raw, at)
     if not version:
-        return "no version line"
-    end = raw.find(b"\r\n\r\n", version.end() - 2)
-    if end < 0:
-        return "headers do not end"
-    headers = {}
-    for line in bytes(raw[version.end() : end]).split(b"\r\n"):
+        return Bad("no version line", at + 1)
+    headers: dict[str, str] = {}
+    places: dict[str, int] = {}
+    here, key = version.end(), ""
+    while True:
+        end = raw.find(b"\r\n", here)
+        if end < 0:
+            return Bad("headers do not end", len(raw))
+        if end == here:
+            break
+        line = raw[here:end]
+        if line[:1] in (b" ", b"\t") and key:  # a folded value goes on
+            headers[key] += " " + line.decode("utf-8", "replace").strip()
+            here = end + 2
+            continue
         name, colon, value = line.partition(b":")
         key = name.decode("latin-1").lower()
-        # a record that is cut inside its headers runs into the next one's
-        if not colon or not name or _RUNS_ON.search(line) or (key in _ONCE and key in headers):
-            return "bad header line"
-        headers[key] = value.decode("utf-8", "replace").strip()
+        if not colon or not name:  # a version line is one such
+            return Bad("bad header line", here)
+        if key in _ONCE and key in headers:  # a record that is cut inside its headers runs into the next one's
+            return Bad("bad header line", places[key])
+        headers[key], places[key] = value.decode("utf-8", "replace").strip(), here
+        here = end + 2
+    start = end + 2
     length = headers.get("content-length", "")
-    if not length.isdigit():
-        return "no content length"
-    start = end + 4
+    if not length.isascii() or not length.isdigit():
+        return Bad("no content length", end)
+    if not headers.keys() >= _ONCE:
+        return Bad("no type or no id", end)
     stop = start + int(length)
-    if bytes(raw[stop : stop + 4]) != b"\r\n\r\n":
-        return "no line ends after the block"
-    block = bytes(raw[start:stop])
+    if raw[stop : stop + 4] != b"\r\n\r\n":
+        return Bad("no line ends after the block", end)
+    block = raw[start:stop]
     said = headers.get("warc-payload-digest", "")
-    if said.startswith("sha1:") and headers.get("warc-type") == "response" and digest_of(payload_of(block)) != said[5:]:
-        return "payload digest differs"
+    if said.startswith("sha1:") and headers["warc-type"] == "response" and digest_of(payload_of(block)) != said[5:]:
+        return Bad("payload digest differs", end)
     said = headers.get("warc-block-digest", "")
     if said.startswith("sha1:") and digest_of(block) != said[5:]:
-        return "block digest differs"
-    return Record(at, stop + 4 - at, headers, block), stop + 4
+        return Bad("block digest differs", end)
+    return Record(at, stop + 4 - at, headers, block)
 
 
 def payload_of(block: bytes) -> bytes:
@@ -181,82 +221,151 @@ def payload_size(r: Record) -> int:
     return int(said[1]) if said else 0
 
 
-def inflate(raw: bytes, at: int) -> tuple[bytes, int, str]:
-    """The bytes of the gzip member at ``at``, the place after it, and what is wrong with it ('' if nothing)."""
-    d, out, step, i = zlib.decompressobj(31), [], 1 << 14, at
-    try:
-        while not d.eof:
-            if i >= len(raw):
-                return b"".join(out), i, "member is cut short"
-            out.append(d.decompress(raw[i : i + step]))
-            i += step
-    except zlib.error as e:
-        return b"".join(out), min(i + step, len(raw)), f"member fails: {e}"
-    return b"".join(out), min(i, len(raw)) - len(d.unused_data), ""
+def deflate_start(raw: bytes, at: int) -> int:
+    """Where the compressed bytes of the gzip member at ``at`` begin; -1 if its header is cut short."""
+    if len(raw) < at + 10:
+        return -1
+    flags, here = raw[at + 3], at + 10
+    if flags & 4:
+        here += 2 + int.from_bytes(raw[here : here + 2], "little")
+    for bit in (8, 16):  # a name, a comment
+        if flags & bit:
+            here = raw.find(b"\0", here) + 1
+            if not here:
+                return -1
+    here += 2 if flags & 2 else 0
+    return here if here <= len(raw) else -1
+
+
+class Member(NamedTuple):
+    plain: bytes
+    after: int  # the place after the member, or where it breaks
+    wrong: str  # '' if nothing is
+
+
+def _feed(raw: bytes, start: int, stop: int, step: int, into: bytearray, d=None, enough: int | None = None):
+    """Inflate raw[start:stop] step by step into ``into``; the inflater as it stands after the last good step, the place after it, and the fault if one ended it.
+
+    With ``enough``, it ends as soon as so many bytes are there.
+    """
+    d, i = d or zlib.decompressobj(-15), start
+    while i < stop and not d.eof and (enough is None or len(into) < enough):
+        before = d.copy() if step == 1 else None
+        try:
+            got = d.decompress(raw[i : min(i + step, stop)])
+        except zlib.error as e:
+            return before, i, str(e)
+        into += got
+        i = min(i + step, stop)
+    return d, i - len(d.unused_data), ""
+
+
+def inflate(raw: bytes, at: int) -> Member:
+    """The gzip member at ``at``: all that it holds, up to its break if it has one."""
+    begin = deflate_start(raw, at)
+    if begin < 0:
+        return Member(b"", len(raw), "member is cut short")
+    plain = bytearray()
+    d, i, fault = _feed(raw, begin, len(raw), STEP, plain)
+    if fault:
+        # the bytes of the failing step are lost with it: again up to it, then byte by byte
+        plain = bytearray()
+        d = _feed(raw, begin, i, STEP, plain)[0]
+        _, i, fault = _feed(raw, i, len(raw), 1, plain, d)
+        return Member(bytes(plain), i, f"member fails: {fault}")
+    if not d.eof or len(raw) < i + 8:
+        return Member(bytes(plain), len(raw), "member is cut short")
+    crc, size = zlib.crc32(plain), len(plain) & 0xFFFFFFFF
+    said = raw[i : i + 8]
+    wrong = "" if said == crc.to_bytes(4, "little") + size.to_bytes(4, "little") else "member fails: checksum or size differs"
+    return Member(bytes(plain), i + 8, wrong)
+
+
+def place_of(raw: bytes, at: int, size: int) -> int:
+    """The first place by which the member at ``at`` has given ``size`` bytes."""
+    begin, plain = deflate_start(raw, at), bytearray()
+    _, i, _ = _feed(raw, begin, len(raw), STEP, plain, enough=size)
+    near = max(begin, i - STEP)  # the step before the one that gave enough
+    plain = bytearray()
+    d, i, _ = _feed(raw, begin, near, STEP, plain)
+    return _feed(raw, i, len(raw), 1, plain, d, enough=size)[1]
 
 
 def walk(plain: bytes) -> Iterator[Record | Gap]:
     """Records of inflated bytes and the stretches between them that pass no check, in order; places are those in plain."""
-    at, bad_from, reason = 0, None, ""
+    at, bad_from, reason, marks = 0, None, "", Marks(plain, _WARC)
     while at < len(plain):
         got = parse(plain, at)
-        if isinstance(got, str):
+        if isinstance(got, Bad):
             if bad_from is None:
-                bad_from, reason = at, got
-            at = plain.find(b"WARC/1.", at + 1)
-            at = len(plain) if at < 0 else at
+                bad_from, reason = at, got.reason
+            at = marks.next(_WARC, got.look_from)
             continue
         if bad_from is not None:
             yield Gap(bad_from, at - bad_from, reason)
             bad_from = None
-        yield got[0]
-        at = got[1]
+        yield got
+        at += got.length
     if bad_from is not None:
         yield Gap(bad_from, len(plain) - bad_from, reason)
 
 
+_INSIDE = "{}; bytes {} to {} of the inflated member"
+
+
+def unpack(raw: bytes, at: int) -> tuple[list[Record | Gap], int, Bad | None]:
+    """What the gzip member at ``at`` holds, the place after what was recovered, and what is wrong with the rest.
+
+    Records and inner gaps have the place of the stretch of the member that was recovered.
+    """
+    m = inflate(raw, at)
+    parts = list(walk(m.plain))
+    if not any(isinstance(x, Record) for x in parts):
+        if m.wrong or not parts:
+            return [], at, Bad(m.wrong or "empty member", at + 1 if m.wrong else m.after)
+        return [], at, Bad(parts[0].reason, m.after)  # its bytes are compressed and pass the checksum: no mark in them is one
+    after = m.after
+    if m.wrong:
+        if isinstance(parts[-1], Gap):
+            parts.pop()  # what the break left of a record belongs to the gap of the break
+        done = parts[-1].offset + parts[-1].length
+        after = place_of(raw, at, done)
+        m = m._replace(wrong=f"{m.wrong}; from byte {done} of the inflated member on")
+    length = after - at
+    found = [x._replace(offset=at, length=length) if isinstance(x, Record) else Gap(at, length, _INSIDE.format(x.reason, x.offset, x.offset + x.length)) for x in parts]
+    return found, after, Bad(m.wrong, after) if m.wrong else None
+
+
 def salvage(raw: bytes) -> Iterator[Record | Gap]:
-    """Records and quarantined gaps of an archive, in order; offsets and lengths are of its own bytes (of what is inside a member: the member's)."""
-    at, bad_from, reason = 0, None, ""
+    """Records and quarantined gaps of an archive, in order; offsets and lengths are of its own bytes (of what is inside a member: the recovered stretch of the member).
+
+    Recovered stretches and gaps cover every byte once, and no record is given twice.
+    """
+    at, bad_from, reason, marks = 0, None, "", Marks(raw, _MAGIC, _WARC)
     while at < len(raw):
         found: list[Record | Gap] = []
-        wrong, after = "no member or version line", at + 1
-        intact = False
+        after = at
         if raw.startswith(_MAGIC, at):
-            plain, after, wrong = inflate(raw, at)
-            intact = not wrong
-            parts = list(walk(plain))
-            if wrong and parts and isinstance(parts[-1], Gap):
-                parts.pop()  # what the break left of a record belongs to the gap of the break
-            if any(isinstance(x, Record) for x in parts):
-                inside = "{}; bytes {} to {} of the inflated member"
-                found = [x._replace(offset=at, length=after - at) if isinstance(x, Record) else Gap(at, after - at, inside.format(x.reason, x.offset, x.offset + x.length)) for x in parts]
-                if wrong:
-                    wrong += f"; from byte {parts[-1].offset + parts[-1].length} of the inflated member on"
-            elif parts:
-                wrong = wrong or parts[0].reason
-        elif raw.startswith(b"WARC/1.", at):
+            found, after, bad = unpack(raw, at)
+        elif raw.startswith(_WARC, at):
             got = parse(raw, at)
-            if isinstance(got, str):
-                wrong = got
-            else:
-                found, after, wrong = [got[0]], got[1], ""
-        if not wrong:
+            bad = got if isinstance(got, Bad) else None
+            if bad is None:
+                found, after = [got], at + got.length
+        else:
+            bad = Bad("no member or version line", at + 1)
+        if found:
             if bad_from is not None:
                 yield Gap(bad_from, at - bad_from, reason)
                 bad_from = None
             yield from found
+        if bad is None:
             at = after
             continue
         if bad_from is None:
-            bad_from, reason = at, wrong
-        yield from found
-        if intact:  # its bytes are compressed and pass the checksum: no mark in them is one
-            at = after
-            continue
-        marks = [x for x in (raw.find(_MAGIC, at + 1), raw.find(b"WARC/1.", at + 1)) if x >= 0]
-        at = min(marks, default=len(raw))
-    if bad_from is not None:
+            bad_from, reason = after, bad.reason
+        at = min(marks.next(m, bad.look_from) for m in (_MAGIC, _WARC))
+    if bad_from is not None and bad_from < len(raw):
         yield Gap(bad_from, len(raw) - bad_from, reason)
 
 
