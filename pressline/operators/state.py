@@ -52,27 +52,56 @@ def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("__n", place).filter("__n = 1").drop("__n")
 
 
-def store_articles(batch: DataFrame, articles: DataFrame, links: DataFrame, floor: float = relevance.FLOOR) -> dict[str, DataFrame]:
-    """An ingest batch (company_id, dedupe_hash, content_hash, relevance, seq) against stored articles and links.
+def store_verdicts(batch: DataFrame, articles: DataFrame, links: DataFrame, floor: float = relevance.FLOOR) -> DataFrame:
+    """Rows of an ingest batch (company_id, dedupe_hash, content_hash, relevance, seq) with what becomes of them against stored articles and links.
+
+    verdict, the first that holds in the order of seq:
+
+    * repeat: the company's batch had the URL before, whatever became of it;
+    * known: the story is stored for the company, or an earlier row of its batch was kept for it;
+    * rejected: below the relevance floor (a null relevance is); so a better-sourced twin that
+      comes later may still be kept;
+    * kept: the rest.
 
-    In this order: duplicates of a story of the company (stored, or earlier in the batch) go,
-    then irrelevant links, then the first writer of an article inserts it and every company
-    links to it once.
+    inserted: the first kept row of an article that is not stored.  linked: a kept row whose
+    company has no link to the article yet.
     """
-    deduped = first_by(batch, ["company_id", "dedupe_hash"], "seq")
-    deduped = first_by(deduped, ["company_id", "content_hash"], "seq")
+    place = F.row_number().over(Window.partitionBy("company_id", "dedupe_hash").orderBy("seq"))
+    rows = batch.withColumn("repeat", place > 1)
     stored = links.join(articles.select("dedupe_hash", "content_hash"), "dedupe_hash").select("company_id", "content_hash").distinct()
-    fresh = deduped.join(stored, ["company_id", "content_hash"], "left_anti")
-    rejected = fresh.filter(F.col("relevance") < floor)
-    kept = fresh.filter(F.col("relevance") >= floor)
-    inserted = first_by(kept, ["dedupe_hash"], "seq").join(articles.select("dedupe_hash"), "dedupe_hash", "left_anti")
-    linked = kept.select("dedupe_hash", "company_id", "relevance").join(links.select("dedupe_hash", "company_id"), ["dedupe_hash", "company_id"], "left_anti")
-    return {"inserted": inserted, "linked": linked, "rejected": rejected}
+    rows = rows.join(stored.withColumn("stored", F.lit(True)), ["company_id", "content_hash"], "left")
+    passes = ~F.col("repeat") & F.coalesce(F.col("relevance") >= floor, F.lit(False))
+    keeper = F.min(F.when(passes, F.col("seq"))).over(Window.partitionBy("company_id", "content_hash"))
+    rows = rows.withColumn("keeper", keeper)
+    known = F.coalesce(F.col("stored"), F.lit(False)) | F.coalesce(F.col("keeper") < F.col("seq"), F.lit(False))
+    verdict = F.when(F.col("repeat"), "repeat").when(known, "known").when(F.coalesce(F.col("keeper") == F.col("seq"), F.lit(False)), "kept").otherwise("rejected")
+    rows = rows.withColumn("verdict", verdict).drop("repeat", "stored", "keeper")
+    kept = F.col("verdict") == "kept"
+    rows = rows.join(articles.select("dedupe_hash").distinct().withColumn("old", F.lit(True)), "dedupe_hash", "left")
+    first = F.min(F.when(kept, F.col("seq"))).over(Window.partitionBy("dedupe_hash")) == F.col("seq")
+    rows = rows.withColumn("inserted", kept & F.col("old").isNull() & F.coalesce(first, F.lit(False)))
+    rows = rows.join(links.select("dedupe_hash", "company_id").distinct().withColumn("has", F.lit(True)), ["dedupe_hash", "company_id"], "left")
+    return rows.withColumn("linked", kept & F.col("has").isNull()).select(*batch.columns, "verdict", "inserted", "linked")
 
 
-def store_stats(batch: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    n = F.count(F.lit(1))
-    return batch.agg(n.alias("seen")).crossJoin(parts["inserted"].agg(n.alias("inserted"))).crossJoin(parts["linked"].agg(n.alias("linked"))).crossJoin(parts["rejected"].agg(n.alias("rejected")))
+def store_articles(batch: DataFrame, articles: DataFrame, links: DataFrame, floor: float = relevance.FLOOR) -> dict[str, DataFrame]:
+    """New articles, new links and rejected rows of an ingest batch."""
+    rows = store_verdicts(batch, articles, links, floor)
+    return {
+        "inserted": rows.filter("inserted").select(*batch.columns),
+        "linked": rows.filter("linked").select("dedupe_hash", "company_id", "relevance"),
+        "rejected": rows.filter("verdict = 'rejected'").select(*batch.columns),
+    }
+
+
+def store_stats(verdicts: DataFrame, *by: str) -> DataFrame:
+    """Counts of what became of a batch, for each value of the columns in by."""
+    return verdicts.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("seen"),
+        F.count_if("inserted").alias("inserted"),
+        F.count_if("linked").alias("linked"),
+        F.count_if(F.col("verdict") == "rejected").alias("rejected"),
+    )
 
 
 def store_market(batch: DataFrame, articles: DataFrame) -> DataFrame:
@@ -217,20 +246,46 @@ def seed_aliases(candidates: DataFrame, companies: DataFrame, listings: DataFram
     return ok.join(clash, key, "left_anti").join(stored.select(*key), key, "left_anti")
 
 
+def merge_plan(articles: DataFrame, resolved: DataFrame) -> DataFrame:
+    """What becomes of the articles whose wrapper links were resolved (id, new_url): id, action, survivor, url, dedupe_hash.
+
+    Only resolved articles change.  One that leads to a dead host goes (``dead``).  Of the
+    others that share a destination, the article that has it already, whatever its id, else the
+    resolved one with the smallest id, survives: a resolved survivor is ``rewritten``, the rest
+    are ``merged`` into it.  Stored articles have a dedupe_hash column; where it is missing it
+    is made from the url.
+    """
+    if "dedupe_hash" not in articles.columns:
+        articles = articles.withColumn("dedupe_hash", hashing.dedupe_hash(url.canonical_url(F.col("url"))))
+    new = resolved.filter("new_url IS NOT NULL").select("id", "new_url")
+    touched = articles.select("id").join(new, "id").withColumn("key", hashing.dedupe_hash(url.canonical_url(F.col("new_url")))).withColumn("dead", url.is_dead_host(F.col("new_url")))
+    first = touched.filter("NOT dead").groupBy("key").agg(F.min("id").alias("first"))
+    owners = articles.select("id", F.col("dedupe_hash").alias("key")).join(first.select("key"), "key", "left_semi").join(new.select("id"), "id", "left_anti")
+    owners = owners.groupBy("key").agg(F.min("id").alias("owner"))
+    plan = touched.join(first, "key", "left").join(owners, "key", "left").withColumn("survivor", F.when(~F.col("dead"), F.coalesce("owner", "first")))
+    action = F.when(F.col("dead"), "dead").when(F.col("survivor") == F.col("id"), "rewritten").otherwise("merged")
+    return plan.select("id", action.alias("action"), "survivor", F.col("new_url").alias("url"), F.col("key").alias("dedupe_hash"))
+
+
 def merge_colliding(articles: DataFrame, links: DataFrame, resolved: DataFrame) -> dict[str, DataFrame]:
-    """Wrapper links once resolved (id, new_url): rewritten articles, their links and what is deleted.
+    """The articles, their links and the deleted ids once wrapper links are resolved, by merge_plan.
 
-    An article on a dead host goes; of those with one canonical URL the smallest id stays and
-    gets the links of the others.
+    A survivor gets the companies that it lacks of the articles merged into it; where several
+    bring one company, the link of the survivor itself counts, else of the smallest id.
     """
-    both = articles.join(resolved, "id", "left").withColumn("final_url", F.coalesce("new_url", "url"))
-    canon = url.canonical_url(F.col("final_url"))
-    both = both.withColumn("key", hashing.dedupe_hash(canon)).withColumn("dead", F.col("new_url").isNotNull() & url.is_dead_host(F.col("new_url")))
-    alive = both.filter("NOT dead").withColumn("survivor", F.min("id").over(Window.partitionBy("key")))
-    kept = alive.filter("id = survivor").select("id", F.col("final_url").alias("url"), F.col("key").alias("dedupe_hash"))
-    moved = links.join(alive.select(F.col("id").alias("article_id"), "survivor"), "article_id").select(F.col("survivor").alias("article_id"), "company_id").distinct()
-    gone = both.select("id").join(kept.select("id"), "id", "left_anti")
-    return {"articles": kept, "links": moved, "deleted": gone}
+    plan = merge_plan(articles, resolved)
+    told = plan.select("id", "action", "survivor", F.col("url").alias("__url"), F.col("dedupe_hash").alias("__hash"))
+    now = articles.join(told, "id", "left").withColumn("action", F.coalesce("action", F.lit("untouched")))
+    moved = F.col("action") == "rewritten"
+    new = {"url": F.when(moved, F.col("__url")).otherwise(F.col("url"))}
+    if "dedupe_hash" in articles.columns:
+        new["dedupe_hash"] = F.when(moved, F.col("__hash")).otherwise(F.col("dedupe_hash"))
+    kept = now.filter("action IN ('untouched', 'rewritten')").withColumns(new).select(*articles.columns)
+    to = links.join(plan.select(F.col("id").alias("article_id"), "action", "survivor"), "article_id", "left").filter("action IS NULL OR action <> 'dead'")
+    to = to.withColumn("target", F.coalesce("survivor", "article_id"))
+    place = F.row_number().over(Window.partitionBy("target", "company_id").orderBy(F.col("article_id") != F.col("target"), "article_id"))
+    to = to.withColumn("__n", place).filter("__n = 1").withColumn("article_id", F.col("target")).select(*links.columns)
+    return {"articles": kept, "links": to, "deleted": now.filter("action IN ('merged', 'dead')").select("id", "action")}
 
 
 def known_urls(batch: DataFrame, articles: DataFrame) -> DataFrame:

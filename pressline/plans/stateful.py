@@ -136,22 +136,39 @@ def _batch(m):
     return m.table("lineitem").select(_C("l_suppkey").alias("company_id"), F.concat(F.lit("u"), (n % 4000).cast("string")).alias("dedupe_hash"), F.concat(F.lit("c"), (n % 2500).cast("string")).alias("content_hash"), ((_C("l_partkey") % 100) / 100.0).alias("relevance"), (n * 100_000_000 + _C("l_partkey") * 1000 + F.round(_C("l_quantity")).cast("long") * 10 + _C("l_linenumber")).alias("seq"))
 
 
-def _store(spark, d):
+def _verdicts(spark, d):
     m = Model(spark, d)
     batch = _batch(m).groupBy("seq").agg(F.min(F.struct("company_id", "dedupe_hash", "content_hash", "relevance")).alias("r")).select("seq", "r.*")
     stored = spark.range(0, 4000, 7).select(F.concat(F.lit("u"), _C("id").cast("string")).alias("dedupe_hash"), F.concat(F.lit("c"), (_C("id") % 2500).cast("string")).alias("content_hash"))
     links = stored.select("dedupe_hash", (F.regexp_extract("dedupe_hash", "[0-9]+", 0).cast("long") % 50).alias("company_id"))
-    return state.store_stats(batch, state.store_articles(batch, stored, links))
+    return state.store_verdicts(batch, stored, links)
+
+
+def _store_rows(spark, d):
+    return _verdicts(spark, d).select("seq", "company_id", "verdict", "inserted", "linked")
+
+
+def _store(spark, d):
+    return state.store_stats(_verdicts(spark, d), "company_id")
 
 
-_STORE = """WITH b0 AS (SELECT l_suppkey AS company_id, 'u' || (l_orderkey % 4000) AS dh, 'c' || (l_orderkey % 2500) AS ch, (l_partkey % 100) / 100.0::DOUBLE AS rel, l_orderkey * 100000000 + l_partkey * 1000 + CAST(round(l_quantity) AS BIGINT) * 10 + l_linenumber AS seq FROM lineitem),
+# A row is skipped only for a story that is stored for the company or that an earlier row of its batch was kept for.
+_STORE_ROWS = """WITH b0 AS (
+  SELECT l_suppkey AS company_id, 'u' || (l_orderkey % 4000) AS dh, 'c' || (l_orderkey % 2500) AS ch, (l_partkey % 100) / 100.0::DOUBLE AS rel,
+    l_orderkey * 100000000 + l_partkey * 1000 + CAST(round(l_quantity) AS BIGINT) * 10 + l_linenumber AS seq FROM lineitem),
 b AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY seq ORDER BY company_id, dh, ch, rel) = 1),
 st AS (SELECT 'u' || i AS dh, 'c' || (i % 2500) AS ch, i % 50 AS company_id FROM range(0, 4000, 7) t(i)),
-d1 AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY company_id, dh ORDER BY seq) = 1),
-d2 AS (SELECT * FROM d1 QUALIFY row_number() OVER (PARTITION BY company_id, ch ORDER BY seq) = 1),
-f AS (SELECT * FROM d2 WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.company_id = d2.company_id AND st.ch = d2.ch)),
-k AS (SELECT * FROM f WHERE rel >= 0.35)
-SELECT (SELECT count(*) FROM b) AS seen, (SELECT count(DISTINCT dh) FROM k WHERE dh NOT IN (SELECT dh FROM st)) AS inserted, (SELECT count(*) FROM k WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.dh = k.dh AND st.company_id = k.company_id)) AS linked, (SELECT count(*) FROM f WHERE rel < 0.35) AS rejected"""
+u AS (SELECT *, seq = min(seq) OVER (PARTITION BY company_id, dh) AS fresh FROM b),
+good AS (SELECT company_id, ch, min(seq) AS at FROM u WHERE fresh AND rel >= 0.35 GROUP BY ALL),
+v AS (SELECT u.*, CASE
+    WHEN NOT fresh THEN 'repeat'
+    WHEN EXISTS (SELECT 1 FROM st WHERE st.company_id = u.company_id AND st.ch = u.ch) OR EXISTS (SELECT 1 FROM good g WHERE g.company_id = u.company_id AND g.ch = u.ch AND g.at < u.seq) THEN 'known'
+    WHEN rel < 0.35 THEN 'rejected' ELSE 'kept' END AS verdict FROM u),
+writer AS (SELECT dh, min(seq) AS seq FROM v WHERE verdict = 'kept' AND dh NOT IN (SELECT dh FROM st) GROUP BY dh),
+r AS (SELECT seq, company_id, verdict, seq IN (SELECT seq FROM writer) AS inserted, verdict = 'kept' AND NOT EXISTS (SELECT 1 FROM st WHERE st.dh = v.dh AND st.company_id = v.company_id) AS linked FROM v)
+"""
+_STORE = _STORE_ROWS + "SELECT company_id, count(*) AS seen, count(*) FILTER (inserted) AS inserted, count(*) FILTER (linked) AS linked, count(*) FILTER (verdict = 'rejected') AS rejected FROM r GROUP BY company_id"
+_STORE_ROWS += "SELECT * FROM r"
 
 
 def _market_store(spark, d):
@@ -179,21 +196,32 @@ def _scrubbed(spark, d):
 
 
 def _wrapped(m):
+    """Every third article is a wrapper; one in four of these leads to a dead host, others to stories that untouched articles have, or to new ones."""
     n = _C("o_orderkey")
-    return m.articles.select("id", F.when(_C("id") % 3 == 0, F.concat(F.lit("https://finnhub.io/api/news?id="), _C("id").cast("string"))).otherwise(_C("url")).alias("url")), m.table("orders").filter(n % 3 == 0).select(n.alias("id"), F.when(n % 12 == 0, F.concat(F.lit("https://chartmill.com/x/"), n.cast("string"))).otherwise(F.concat(F.lit("http://WWW.site.example.com/s/"), (n % 900).cast("string"), F.lit("?utm_source=a"))).alias("new_url"))
+    articles = m.articles.select("id", F.when(_C("id") % 3 == 0, F.concat(F.lit("https://finnhub.io/api/news?id="), _C("id").cast("string"))).when(_C("id") % 31 == 1, F.concat(F.lit("https://site.example.com/s/"), _C("id").cast("string"))).otherwise(_C("url")).alias("url"))
+    story = F.concat(F.lit("http://WWW.site.example.com/s/"), (n % 900).cast("string"), F.lit("?utm_source=a"))
+    resolved = m.table("orders").filter(n % 3 == 0).select(n.alias("id"), F.when(n % 12 == 0, F.concat(F.lit("https://chartmill.com/x/"), n.cast("string"))).when(n % 15 != 3, story).alias("new_url"))
+    return articles, resolved
 
 
 def _collide(spark, d):
+    """Each article that is left with its url, or what became of it, and its companies."""
     m = Model(spark, d)
     articles, resolved = _wrapped(m)
     out = state.merge_colliding(articles, m.links.select("article_id", "company_id"), resolved)
     n = F.count(F.lit(1))
-    return out["articles"].agg(n.alias("articles"), F.countDistinct("dedupe_hash").alias("keys")).crossJoin(out["links"].agg(n.alias("links"), F.sum("article_id").cast("long").alias("link_ids"))).crossJoin(out["deleted"].agg(n.alias("deleted")))
+    companies = out["links"].groupBy(_C("article_id").alias("id")).agg(n.alias("companies"), F.sum("company_id").cast("long").alias("company_ids"))
+    kept = out["articles"].select("id", "url", F.lit("kept").alias("action")).join(companies, "id", "left")
+    return kept.unionByName(out["deleted"], allowMissingColumns=True)
 
 
-_COLLIDE = sql("""WITH x AS (SELECT id, CASE WHEN id % 3 <> 0 THEN 'own ' || id WHEN id % 12 = 0 THEN NULL ELSE 's' || (id % 900) END AS k FROM articles),
-s AS (SELECT id, min(id) OVER (PARTITION BY k) AS survivor FROM x WHERE k IS NOT NULL), lk AS (SELECT DISTINCT survivor, company_id FROM links l JOIN s ON s.id = l.article_id)
-SELECT (SELECT count(*) FROM s WHERE id = survivor) AS articles, (SELECT count(*) FROM s WHERE id = survivor) AS keys, (SELECT count(*) FROM lk) AS links, (SELECT CAST(sum(survivor) AS BIGINT) FROM lk) AS link_ids, (SELECT count(*) FROM x) - (SELECT count(*) FROM s WHERE id = survivor) AS deleted""", "articles", "links")
+_COLLIDE = sql("""WITH a AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'https://finnhub.io/api/news?id=' || id WHEN id % 31 = 1 THEN 'https://site.example.com/s/' || id ELSE url END AS url,
+  id % 3 = 0 AND (id % 12 = 0 OR id % 15 <> 3) AS done, id % 12 = 0 AS dead, 'http://WWW.site.example.com/s/' || (id % 900) || '?utm_source=a' AS target, id % 900 AS story FROM articles),
+owner AS (SELECT id, id AS story FROM a WHERE NOT done AND id % 3 <> 0 AND id % 31 = 1),
+t AS (SELECT a.*, coalesce((SELECT o.id FROM owner o WHERE o.story = a.story), min(a.id) OVER (PARTITION BY a.story)) AS survivor FROM a WHERE done AND NOT dead),
+fate AS (SELECT a.id, CASE WHEN a.done AND a.dead THEN 'dead' WHEN t.survivor <> a.id THEN 'merged' ELSE 'kept' END AS action, CASE WHEN t.survivor = a.id THEN a.target ELSE a.url END AS url, coalesce(t.survivor, a.id) AS survivor FROM a LEFT JOIN t USING (id)),
+lk AS (SELECT survivor AS id, count(DISTINCT company_id) AS companies, CAST(sum(DISTINCT company_id) AS BIGINT) AS company_ids FROM links JOIN fate ON fate.id = article_id WHERE action <> 'dead' GROUP BY survivor)
+SELECT id, action, CASE WHEN action = 'kept' THEN url END AS url, CASE WHEN action = 'kept' THEN companies END AS companies, CASE WHEN action = 'kept' THEN company_ids END AS company_ids FROM fate LEFT JOIN lk USING (id)""", "articles", "links")
 
 
 def _url_cache(spark, d):
@@ -383,6 +411,7 @@ u AS (SELECT company_id, is_primary AND company_id NOT IN (SELECT id FROM a) AS
 SELECT company_id, count(*) AS n, count(*) FILTER (WHERE p) AS primaries, count(*) FILTER (WHERE c = 0.5) AS asserted_or_half FROM u GROUP BY 1""", "listings", "companies")),
     "symbol_owner": (_symbol_owner, sql("SELECT upper(symbol) AS symbol, min(company_id) AS company_id FROM listings GROUP BY 1", "listings")),
     "us_symbols": (_us_symbols, sql("SELECT company_id, count(DISTINCT upper(symbol)) FILTER (WHERE is_us) AS n, coalesce(min(upper(symbol)) FILTER (WHERE is_us), '') AS first FROM listings GROUP BY 1", "listings")),
+    "store_articles": (_store_rows, _STORE_ROWS),
     "store_articles_stats": (_store, _STORE),
     "store_market_news": (_market_store, """WITH st AS (SELECT 'u' || i AS dh, i % 2 = 0 AS w FROM range(0, 4000, 3) t(i)), b AS (SELECT DISTINCT 'u' || (l_orderkey % 4000) AS dh FROM lineitem WHERE l_suppkey % 5 = 0)
 SELECT w AS is_market_wide, count(*) AS n FROM (SELECT w FROM st UNION ALL SELECT TRUE FROM b WHERE dh NOT IN (SELECT dh FROM st)) GROUP BY 1"""),

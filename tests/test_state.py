@@ -25,13 +25,64 @@ def test_ingest_is_idempotent(spark):
     none_a = spark.createDataFrame([], "dedupe_hash string, content_hash string")
     none_l = spark.createDataFrame([], "dedupe_hash string, company_id long")
     parts = state.store_articles(batch, none_a, none_l)
-    assert rows(state.store_stats(batch, parts)) == [(5, 1, 2, 1)]
+    assert rows(state.store_stats(state.store_verdicts(batch, none_a, none_l))) == [(5, 1, 2, 1)]
     stored = parts["inserted"].select("dedupe_hash", "content_hash")
     links = parts["linked"].select("dedupe_hash", "company_id")
     again = state.store_articles(batch, stored, links)
     assert again["inserted"].isEmpty() and again["linked"].isEmpty()
 
 
+def plain_store(batch, articles, links, floor):
+    """The batch one row after the other, as an ingest run stores it."""
+    stored, linked, out = dict(articles), set(links), []
+    have = {(c, stored[d]) for d, c in links if d in stored}
+    seen = set()
+    for company, url, story, score, seq in sorted(batch, key=lambda r: r[4]):
+        if (company, url) in seen:
+            out.append((seq, "repeat", False, False))
+            continue
+        seen.add((company, url))
+        if (company, story) in have:
+            out.append((seq, "known", False, False))
+        elif score < floor:
+            out.append((seq, "rejected", False, False))
+        else:
+            out.append((seq, "kept", url not in stored, (url, company) not in linked))
+            stored.setdefault(url, story)
+            linked.add((url, company))
+            have.add((company, story))
+    return sorted(out)
+
+
+def test_a_rejected_story_does_not_block_its_better_sourced_twin(spark):
+    batch = spark.createDataFrame([(1, "u1", "c1", 0.1, 1), (1, "u2", "c1", 0.9, 2), (1, "u3", "c1", 0.1, 3), (1, "u1", "c1", 0.9, 4)], BATCH)
+    none_a, none_l = spark.createDataFrame([], "dedupe_hash string, content_hash string"), spark.createDataFrame([], "dedupe_hash string, company_id long")
+    got = state.store_verdicts(batch, none_a, none_l).select("seq", "verdict").collect()
+    assert sorted(map(tuple, got)) == [(1, "rejected"), (2, "kept"), (3, "known"), (4, "repeat")]
+
+
+def test_store_verdicts_follow_a_plain_run(spark):
+    rng = random.Random(8)
+    for n in range(4):
+        batch = [(rng.randrange(4), f"u{(s := rng.randrange(40))}", f"c{s % 13}", rng.choice([0.1, 0.3, 0.5, 0.9]), i) for i in range(250)]
+        articles = [(f"u{s}", f"c{s % 13}") for s in rng.sample(range(40), 5)]
+        links = [(u, rng.randrange(4)) for u, _ in articles]
+        got = state.store_verdicts(spark.createDataFrame(batch, BATCH), spark.createDataFrame(articles, "dedupe_hash string, content_hash string"), spark.createDataFrame(links, "dedupe_hash string, company_id long"))
+        assert sorted(map(tuple, got.select("seq", "verdict", "inserted", "linked").collect())) == plain_store(batch, articles, links, 0.35), n
+
+
+def test_resolved_links_merge_into_the_owner_of_the_story(spark):
+    s = "https://a.com/s/"
+    articles = [(1, "https://finnhub.io/x1"), (2, "https://finnhub.io/x2"), (3, "https://finnhub.io/x3"), (4, "https://finnhub.io/x4"), (5, "https://finnhub.io/x5"), (6, "https://a.com/same"), (7, "https://www.a.com/same"), (9, s + "1"), (10, "https://finnhub.io/x10")]
+    resolved = [(1, "http://www.a.com/s/1/"), (2, s + "2"), (3, s + "2?utm_source=x"), (4, "https://chartmill.com/z"), (5, None), (10, s + "1")]
+    links = [(1, 100), (1, 101), (2, 100), (3, 100), (3, 102), (4, 100), (5, 100), (6, 1), (7, 1), (9, 101), (10, 103)]
+    out = state.merge_colliding(spark.createDataFrame(articles, "id long, url string"), spark.createDataFrame(links, "article_id long, company_id long"), spark.createDataFrame(resolved, "id long, new_url string"))
+    assert rows(out["deleted"]) == rows(spark.createDataFrame([(1, "merged"), (3, "merged"), (4, "dead"), (10, "merged")], "id long, action string"))
+    # the owner of s/1 has the larger id; two untouched articles of one story stay; an unresolved wrapper stays
+    assert {r["id"]: r["url"] for r in out["articles"].collect()} == {2: s + "2", 5: articles[4][1], 6: articles[5][1], 7: articles[6][1], 9: s + "1"}
+    assert sorted(map(tuple, out["links"].collect())) == [(2, 100), (2, 102), (5, 100), (6, 1), (7, 1), (9, 100), (9, 101), (9, 103)]
+
+
 def test_pages_put_together_are_the_whole(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(f"{i:03}", datetime(2024, 1, 1) + timedelta(days=rng.randrange(5))) for i in range(47)], "id string, published_at timestamp")
