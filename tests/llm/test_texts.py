@@ -205,6 +205,153 @@ def test_html_rows(spark):
     assert got[3]["text"].startswith("x é y long") and got[3]["text"].count("long, long text.") == 20000
 
 
+def test_names_are_signals_and_no_verdicts():
+    body = "<p>First paragraph, with text. It is long enough, I think.</p><p>A second one; it goes on.</p>"
+    want = "First paragraph, with text. It is long enough, I think. A second one; it goes on."
+    for name in ("share-price", "comment-ary", "search-for-meaning", "social history", "ad hoc"):
+        for attribute in ("class", "id"):
+            assert html_extract.extract(f"<h1>T</h1><div {attribute}='{name}'>{body}</div>").endswith(want), name
+    for outer in ("form", "nav", "footer", "aside"):
+        assert html_extract.extract(f"<{outer}>{body}</{outer}>") == want
+    # beside a real article, the same names do tell
+    for name in ("share-price", "comment-ary"):
+        got = html_extract.extract(f"<div class=text>{body}<p>Third, and more of it, to the end.</p></div><div class='{name}'><p>Other words, of some length, here.</p></div>")
+        assert got == want + " Third, and more of it, to the end."
+
+
+def test_link_lists_are_no_content():
+    body = "<p>First paragraph, with text. It is long enough, I think.</p><p>A second one, with <a href=x>a link</a> in it.</p>"
+    links = "<ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul>"
+    want = "First paragraph, with text. It is long enough, I think. A second one, with a link in it."
+    assert html_extract.extract(f"<article>{links}{body}{links}</article>") == want
+    assert html_extract.extract(f"<div>{links}</div><div>{body}<ul><li>One, and</li><li>two</li></ul></div><div>{links}</div>") == want + " One, and two"
+    assert html_extract.extract("<article><h1><a href=x>Linked title</a></h1>" + body + "</article>") == "Linked title " + want
+
+
+def test_hostile_pages_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    n = 50_000
+    pages = {
+        "<a" * n: "", "<div>" * n + "deep": "deep", "<!--" * n: "", "<script>" * n: "", "<" * n: "<" * n, "</p>" * n: "", '<a ="' * n: "", "<p class='x>" * n: "",
+        "<section><table>" + "<div>" * n + "</section>" * n + "text": "text", "<b class=ad>" * n + "x" + "</b>" * n: "x", "<ul><li>" * n + "one.": "one.", "<a " + "= " * n + '"': "", "<p " + " " * n + "a" * n + ">x": "x",
+    }
+    for page, want in pages.items():
+        start = time.time()
+        assert html_extract.extract(page) == want, page[:20]
+        assert time.time() - start < 5, page[:20]
+    tracemalloc.start()
+    html_extract.extract("<div>" * n + "deep")
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    # a tag whose quoted value never ends goes to its own end
+    assert html_extract.extract('<p title="never>one</p><p>two</p>') == "one two"
+    assert html_extract.extract('<p title="a>b" class=c>one</p>') == "one"
+
+
+def brute_path_values(source):
+    """Values by tuples of (tag, class, factor), from the standard library's parser; for pages that close what they open."""
+    import html.parser
+    import math
+
+    class Reader(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.path, self.blocks, self.text, self.links, self.link = (), [], "", 0, False
+
+        def flush(self):
+            text = " ".join(self.text.split())
+            if text:
+                self.blocks.append((self.path, text, min(self.links, len(text))))
+            self.text, self.links = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.link = True
+            elif tag in html_extract.BLOCKS:
+                self.flush()
+                classes = dict(attrs).get("class") or ""
+                inside = any(t in ("article", "main") for t, _, _ in self.path)
+                factor = html_extract.signal(tag, f"class='{classes}'", inside)[0]
+                self.path += ((tag, classes, factor),)
+
+        def handle_endtag(self, tag):
+            if tag == "a":
+                self.link = False
+            elif tag in html_extract.BLOCKS:
+                self.flush()
+                self.path = self.path[:-1]
+
+        def handle_data(self, data):
+            self.text += data
+            self.links += len(" ".join(data.split())) if self.link else 0
+
+    r = Reader()
+    r.feed(source)
+    r.close()
+    r.flush()
+    order = list(dict.fromkeys(p for p, _, _ in r.blocks))
+    mine = lambda p: [(t, k) for q, t, k in r.blocks if q == p]
+    heading = lambda p: bool(p) and p[-1][0] in html_extract.HEADINGS
+    inside = lambda p: any(t in ("article", "main") for t, _, _ in p)
+    text = {p: sum(len(t) - (0 if heading(p) else 0.9 * k) for t, k in mine(p)) / len(mine(p)) for p in order}
+    mark = {p: sum(len(re.findall(html_extract._PUNCTUATION, t)) for t, _ in mine(p)) / len(mine(p)) for p in order}
+    plain = {p: sum(len(t) - k for t, k in mine(p)) for p in order if not heading(p)}
+    has_article = any(inside(p) and n for p, n in plain.items())
+
+    def overruled(prefix):
+        tag, _, factor = prefix[-1]
+        held = sum(n for p, n in plain.items() if p[: len(prefix)] == prefix)
+        return (factor == 0.01 or tag == "form") and not has_article and held >= 0.8 * sum(plain.values())
+
+    out = []
+    for i, p in enumerate(order):
+        near = []
+        for j, q in enumerate(order):
+            common = next((n for n, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
+            apart = len(p) + len(q) - 2 * common
+            if abs(i - j) <= 2 and apart < 6:
+                near.append((math.exp(-((i - j) ** 2 + (apart / 2) ** 2) / 2), q))
+        total = sum(w for w, _ in near)
+        smooth = lambda ratio: sum(w * ratio[q] for w, q in near) / total  # noqa: B023, E731
+        value = math.log(1 + smooth(text)) * (1 + math.log(1 + smooth(mark)))
+        for n in range(len(p)):
+            value *= 1 if overruled(p[: n + 1]) else p[n][2]
+        if not heading(p):
+            value *= 1 - 0.95 * sum(k for _, k in mine(p)) / sum(len(t) for t, _ in mine(p))
+        if not inside(p) and any(map(inside, order)):
+            value *= 0.1
+        out.append(value)
+    return out
+
+
+def test_path_values_against_brute_force():
+    rng = random.Random(12)
+    words = ["alpha", "beta,", "gamma.", "d", "long-word;", "x!", "&amp;", "é"]
+
+    def element(depth):
+        if depth == 0 or rng.random() < 0.3:
+            text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))
+            return f"<a href=x>{text}</a> {rng.choice(words)}" if rng.random() < 0.2 else text
+        tag = rng.choice(kinds)
+        name = rng.choice(["", " class='ad'", " class='post'", " class='comments'"])
+        return f"<{tag}{name}>" + "".join(element(depth - 1) for _ in range(rng.randrange(1, 5))) + f"</{tag}>"
+
+    for n in range(200):
+        kinds = ["div", "div", "section", "h2", "blockquote", "nav", "form"] + ["article", "main"] * (n % 2)
+        source = "<html><body>" + "".join(element(4) for _ in range(3)) + "</body></html>"
+        got = list(html_extract.path_values(html_extract.Page(source)).values())
+        assert got == pytest.approx(brute_path_values(source), rel=1e-9)
+
+
+def test_html_tables(spark):
+    schema = "page_id long, url string, html string, n_chars string"
+    df = spark.createDataFrame([(None, None, "<p>a b</p>", "k"), (1, "u", "<p>a b</p>", "k"), (1, "u", "<p>a b</p>", "k")], schema)
+    assert [(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_extract.main_text(df).orderBy("page_id").collect()] == [(None, None, "a b", 3), (1, "u", "a b", 3), (1, "u", "a b", 3)]
+    assert html_extract.main_text(df.limit(0)).collect() == []
+
+
 def test_codewords():
     for k in (2, 3, 5, 9, 30):
         code = langid.codewords(k)
