@@ -58,7 +58,8 @@ def page_outcomes(spark, sf_dir):
 
 
 def op9_url_filter(spark, sf_dir):
-    return url_filter.judge(_read(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir), workspace=Workspace(spark, "op9"))
+    judged = url_filter.judge(_read(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir), workspace=Workspace(spark, "op9"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("bad_mean", "bad_low")})
 
 
 def op10_quality_rules(spark, sf_dir):

@@ -381,12 +381,67 @@ def test_url_rules_and_reputation(spark, ws):
 
 def test_shrinkage_follows_the_chain(spark, ws):
     rows = [(f"h{i}.evil.org", 1) for i in range(30)] + [(f"h{i}.good.org", 0) for i in range(30)] + [("new.evil.org", 0), ("new.good.org", 1)]
-    hosts, domains, _ = url_filter.reputation(spark.createDataFrame(rows, "host string, bad int"), ws)
+    hosts, domains, _, _ = url_filter.reputation(spark.createDataFrame(rows, "host string, bad int"), ws)
     rep = {r["host"]: r["post_mean"] for r in hosts.collect()}
     assert rep["new.evil.org"] > rep["new.good.org"]
     low = {r["domain"]: r["low"] for r in domains.collect()}
     assert low["evil.org"] > 0.5 > low["good.org"]
-    assert [df.count() for df in url_filter.reputation(spark.createDataFrame([], "host string, bad int"), ws)] == [0, 0, 0]
+    *frames, (mean, low) = url_filter.reputation(spark.createDataFrame([], "host string, bad int"), ws)
+    assert [df.count() for df in frames] == [0, 0, 0] and mean == 0.5 and 0.4 < low < 0.5
+
+
+def test_beta_quantiles(spark):
+    """Against draws of the distribution: the share below the bound is the tail."""
+    rng = np.random.default_rng(20)
+    cases = [(0.14, 1000.0), (0.14, 0.86), (1.0, 1.0), (3.0, 9.0), (40.0, 2.0), (900.0, 100.0), (5e5, 2e6)]
+    df = spark.createDataFrame(cases, "a double, b double")
+    for tail in (0.05, 0.25):
+        for r in df.select("a", "b", url_filter.beta_low(F.col("a"), F.col("b"), tail).alias("low")).collect():
+            draws = rng.beta(r["a"], r["b"], 200_000)
+            assert abs((draws < r["low"]).mean() - tail) < 0.005, r
+
+
+def test_keys_of_reputation(spark):
+    hosts = {"a.b.co.uk:8080": ("b.co.uk", "co.uk"), "user@x.example.com.": ("example.com", "com"), "10.0.0.1:80": ("10.0.0.1", "numbers"), "[::1]:80": ("[::1]", "numbers"), "me.github.io": ("me.github.io", "github.io"), "co.uk": ("co.uk", "co.uk"), "a.com.au": ("a.com.au", "com.au"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").withColumn("key", url_filter.reputation_key(F.col("host")))
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", url_filter.domain_of(F.col("key")), url_filter.suffix_of(F.col("key"))).collect()} == hosts
+
+
+def planted_hosts(rng, n):
+    """Outcomes of hosts of which a tenth has mostly bad pages, and the hosts' shares."""
+    share = {f"h{i}.d{i % 40}.org": (rng.uniform(0.75, 0.98) if rng.random() < 0.1 else rng.uniform(0.0, 0.2)) for i in range(n)}
+    return [(h, int(rng.random() < p)) for h, p in share.items() for _ in range(rng.choice([1, 3, 8, 30]))], share
+
+
+def test_calibrated_blocks_are_right(spark, ws):
+    rng = random.Random(21)
+    outcomes, share = planted_hosts(rng, 400)
+    pages = [(i, f"http://{h}/x") for i, h in enumerate(share)]
+    judged = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "host string, bad int"), workspace=ws)
+    blocked = {r["host"] for r in judged.filter("verdict = 'block'").collect()}
+    bad = {h for h, p in share.items() if p > 0.5}
+    seen = {h for h in bad if sum(o[0] == h for o in outcomes) >= 3}
+    assert len(blocked & bad) >= 0.95 * len(blocked) and len(blocked & seen) >= 0.8 * len(seen)
+    # outcomes that do not depend on hosts block nothing
+    even = [(h, int(rng.random() < 0.14)) for h in share for _ in range(6)]
+    none = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(even, "host string, bad int"), workspace=ws)
+    assert none.filter("verdict = 'block'").count() == 0
+    # a dearer good page blocks less, a cheaper one more
+    hosts = url_filter.reputation(spark.createDataFrame(outcomes, "host string, bad int"), ws)[0]
+    assert url_filter.calibrated(hosts, 0.2) <= url_filter.calibrated(hosts, 1.0) <= url_filter.calibrated(hosts, 20.0)
+
+
+def brute_cutoff(hosts):
+    costs = [(sum((r["n"] - r["bad"]) * ((r["low_less_good"] or 0) >= x) - r["bad"] * ((r["low_less_bad"] or 0) >= x) for r in hosts), -x) for x in url_filter.CUTOFFS]
+    best, at = min(costs)
+    return -at if best < 0 else url_filter.NEVER
+
+
+def test_cutoff_against_brute_force(spark, ws):
+    for seed in (1, 2, 3):
+        outcomes, _ = planted_hosts(random.Random(seed), 60)
+        hosts = url_filter.reputation(spark.createDataFrame(outcomes, "host string, bad int"), ws)[0]
+        assert url_filter.calibrated(hosts) == brute_cutoff(hosts.collect())
 
 
 # ---------------------------------------------------------------- pipeline
