@@ -3,22 +3,32 @@
 Style: free (Arrow batches, Python's re and the tiktoken library); no shuffle, one text at a
 time, whole texts.
 
-The efficiency test: a candidate is a run of at least ``min_chars`` letters, digits and
-``+/_=-`` that holds letters.  Text that people write packs into few tokens of a byte
-pair vocabulary; a random string does not, so a candidate with at most ``max_ratio``
-characters per token is a secret of kind ``random``.  Excluded, as random looking but public:
-hexadecimal digests of the usual lengths, UUIDs, numbers and dates, repetitions of a few
-characters, paths and identifiers made of words of the vocabulary (see ``is_worded``), and
-whatever overlaps a pattern's span.
-
-Defined cases: a null text has no spans; repeated rows each give their row; offsets count
-code points, ends are exclusive.
+The efficiency test: a candidate is a run of letters, digits and ``+/_=-`` that holds letters:
+of at least MIN_MIXED characters if it mixes digits with letters or changes case inside, else of
+at least MIN_PLAIN.  Text that people write packs into few tokens of a byte pair vocabulary; a
+random string does not, so a candidate with at most ``max_ratio`` characters per token is a
+secret of kind ``random``.  Excluded, as random looking but public: hexadecimal digests of the
+usual lengths, UUIDs, numbers and dates, repetitions of a few characters, paths and identifiers
+made of words of the vocabulary (see ``is_worded``), and whatever overlaps a pattern's span.
+
+The bounds are measured, not guessed (README): MAX_RATIO is the least that loses at most 1% of
+random strings of any usual alphabet from MIN_MIXED characters on; prose has candidates down to
+2.3 characters a token at MIN_PLAIN, and below 2.2 among shorter words of one case, which
+therefore don't count.
+
+Time is linear in the text (spans are compared with patterns' by bisection).
+
+Defined cases: a null text has no spans (mask keeps it null), nor has an empty one; very long
+texts are read whole; ties (two kinds at one start) are ordered as KINDS; repeated rows each
+give their row; null ids stay; an empty table gives an empty result; scan reads no other
+columns, mask keeps them all; offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,10 +44,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs, so the same matches as of shorter ones that are dropped
 _NAMES = ("passw", "secret", "token", "api")  # what every match of _ASSIGN holds: looked for first, as that is fast
 MIN_ASSIGN, MIN_ACCESS = 8, 16
-MIN_ONE_CLASS = 16  # a short word beside a ruled line is none; base32 with its padding of up to six has 18
+MAX_RATIO, MIN_MIXED, MIN_PLAIN = 2.2, 16, 20
+MIN_WITHIN = 16  # a short word beside a ruled line is none; base32 with its padding of up to six has 18
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_MIXED},}}")
+_SWITCH = re.compile("[a-z][A-Z]")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _HEXRUN = re.compile(r"(?:0x)?([0-9a-fA-F]+)")
 _WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[0-9]+")
@@ -73,12 +85,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def random_spans(text: str, enc, taken: list[tuple[int, int, int]], max_ratio: float) -> list[tuple[int, int, int]]:
+def is_mixed(word: str) -> bool:
+    """Digits among letters, or at least two changes from lower to upper case."""
+    return bool(re.search("[0-9]", word) and re.search("[A-Za-z]", word)) or len(_SWITCH.findall(word)) > 1
+
+
+def random_spans(text: str, enc, taken: list[tuple[int, int, int]], max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
+    """Spans of kind random that overlap none of ``taken`` (ordered by start)."""
+    starts = [a for a, _, _ in taken]
+    reach = list(accumulate((b for _, _, b in taken), max))  # the furthest end of the spans up to each
     found = []
     for m in _CANDIDATE.finditer(text):
         word = m[0].strip("=-_/+") or m[0]
-        classes = bool(re.search("[a-z]", word)) + bool(re.search("[A-Z]", word)) + bool(re.search("[0-9]", word))
-        if any(a < m.end() and m.start() < b for a, _, b in taken) or is_known(word) or (classes < 2 and len(word) < MIN_ONE_CLASS):
+        if len(word) < MIN_WITHIN or not (is_mixed(word) or len(m[0]) >= MIN_PLAIN):
+            continue
+        before = bisect_left(starts, m.end())
+        if (before and reach[before - 1] > m.start()) or is_known(word):
             continue
         if len(word) <= max_ratio * len(enc.encode_ordinary(word)) and not is_worded(word, enc):
             found.append((m.start(), 3, m.end()))
@@ -89,7 +111,7 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(df: DataFrame, id_col: str, text_col: str, *, rank_file: str | None = None, max_ratio: float = 2.2, with_text: bool = True) -> DataFrame:
+def scan(df: DataFrame, id_col: str, text_col: str, *, rank_file: str | None = None, max_ratio: float = MAX_RATIO, with_text: bool = True) -> DataFrame:
     """id_col, spans (array of kind, start, end, ordered by start then kind) and, with_text, redacted (the text with each span masked)."""
     ship(df.sparkSession)
     rank_file, pattern = rank_file or bpe.default_rank_file(), bpe.default_pattern()
@@ -115,7 +137,7 @@ def scan(df: DataFrame, id_col: str, text_col: str, *, rank_file: str | None = N
     return df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__raw")).mapInArrow(batches, schema)
 
 
-def mask(df: DataFrame, text_col: str, *, count_col: str | None = None, rank_file: str | None = None, max_ratio: float = 2.2) -> DataFrame:
+def mask(df: DataFrame, text_col: str, *, count_col: str | None = None, rank_file: str | None = None, max_ratio: float = MAX_RATIO) -> DataFrame:
     """df with every span of a secret in text_col replaced by a mark; count_col, if given, gets the new number of code points (null for a null text)."""
     ship(df.sparkSession)
     rank_file, pattern = rank_file or bpe.default_rank_file(), bpe.default_pattern()
