@@ -2,33 +2,45 @@
 
 Style: free (numpy on packed blocks) for scores, DataFrame operations for the exchange.
 
-An inner product is the sum of the partial scores of m slices of the dimensions, so a vector
-is a row of m sorted lists, and the uniform-threshold scheme applies:
-
-1. every block of candidates gathers, for each query, the k best entries of each slice's list
-   and scores these exactly; the k-th best score over all blocks is a safe cutoff, as at least
-   k candidates reach it;
-2. the cutoff goes back to the blocks (joined to the query blocks).  A candidate that reaches
-   it has a partial score of at least cutoff / m in some slice; these sufficient entries are
-   collected;
-3. their remaining partial scores are resolved, whatever falls short of the cutoff goes, and
-   the k best of the rest, with ties to smaller ids, are the answer.
-
-Nothing is approximate: ties at the cutoff pass every test.
-
-Queries and candidates are packed into blocks, and each query block meets each candidate block
-once: queries x rows scores have to be looked at, but only the k-th scores and the few entries
-above the cutoff ever leave a block.  Blocks are dealt by hash of the id, so equal vectors and
-hot labels spread.
+An inner product is the sum of the partial scores of m slices of the dimensions, so a vector is
+a row of m lists, and a candidate that reaches a cutoff has a partial score of at least
+cutoff / m in some list.  Rows are grouped around pivots (fitted on a bounded sample; every row
+has its pivot), and a group's pivot and radius of each slice bound its entries of each list.
+
+1. *Gather.*  Each query visits the groups with the largest bounds until these hold more than k
+   rows, and keeps their k best exact scores.  The k-th best is a safe cutoff: k candidates
+   reach it.
+2. *Collect.*  The cutoff goes with the query to those groups alone that were not visited and
+   whose bounds allow it: one list at least at cutoff / m, and the sum at the cutoff.  In each
+   block of such a group (whose own bounds are looked at first), the first list's partial
+   scores are made; entries that can't reach cutoff / m in any list, or the cutoff with the
+   rest at its bound, are left out.
+3. *Resolve.*  For the sufficient entries that remain, the other partial scores are made;
+   whatever falls short of the cutoff goes, and the k best of both phases, with ties to smaller
+   ids, are the answer.
+
+Nothing is approximate (bounds are rounded up), no pair is scored twice, and groups out of
+reach are never read for a query.  How much that saves depends on the vectors: clustered ones
+save most pairs; on directions drawn evenly in 64 dimensions no bound excludes anything, and
+all pairs are scored once.
+
+*Scale.*  Rows are never repeated: a block of at most about BLOCK rows of one group (a hot group
+is split by hash of the id) meets chunks of at most about CHUNK queries that visit it.  Pivots
+and radii, PIVOTS for each length of vectors, are all that is broadcast or read by the driver;
+the sample has at most SAMPLE rows.  Integers are packed as small as they fit.
 
 Defined cases: null vectors and vectors with null or non-finite components take no part, nor
-do rows with a null id; rows that repeat an id count once, with the smallest of their vectors;
-vectors of different lengths have no score with each other; with fewer than k candidates all
-are returned; components and scores beyond 64 bits stop at their bounds.
+do rows with a null id; every other row is a candidate, also one that repeats an id or a whole
+row; queries are the distinct (id, vector) of the query rows, and rows of one id share a list;
+vectors of different lengths have no score with each other, those of length zero score 0; with
+fewer than k candidates all are returned; empty tables give an empty result; other columns are
+not read; components and scores beyond 64 bits stop at their bounds.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,9 +49,8 @@ from pyspark.sql import functions as F
 from pressline.llm.common import Workspace
 
 K, SLICES = 10, 2
-CANDIDATE_BLOCK, QUERY_BLOCK = 512, 4096
-HELD_QUERIES = 100_000
-_PACKED = "block bigint, dim bigint, ids binary, vectors binary"
+PIVOTS, SAMPLE, ROUNDS = 1024, 16_384, 4
+BLOCK, CHUNK = 4096, 1024
 _EXACT = 2**53
 
 
@@ -53,132 +64,298 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, finite), F.lit(False))
 
 
-def pack(df: DataFrame, blocks: int) -> DataFrame:
-    """df (id, q) as rows of whole blocks; one vector an id."""
-    keyed = df.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.size("q").cast("long").alias("dim"), "id", "q")
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A list column of one length as rows."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
-    def one(table: pa.Table) -> pa.Table:
-        dim = table.column("dim")[0].as_py()
-        ids = table.column("id").to_numpy()
-        values = table.column("q").combine_chunks()
-        flat = (values.flatten() if hasattr(values, "flatten") else pa.concat_arrays([c.flatten() for c in values.chunks])).to_numpy().reshape(len(ids), dim)
-        order = np.lexsort((*flat.T[::-1], ids))
-        ids, flat = ids[order], flat[order]
-        first = np.r_[True, ids[1:] != ids[:-1]]
-        return pa.table({"block": [table.column("block")[0].as_py()], "dim": [dim], "ids": [ids[first].tobytes()], "vectors": [np.ascontiguousarray(flat[first]).tobytes()]})
-
-    return keyed.groupBy("block", "dim").applyInArrow(one, _PACKED)
-
-
-def partial_scores(q: np.ndarray, c: np.ndarray, slices: int) -> list[np.ndarray]:
-    """Exact inner products of the rows of q and c, one matrix for each slice of the dimensions."""
-    cuts = np.linspace(0, q.shape[1], slices + 1).astype(int)
-    top = max(1, int(np.abs(q.astype(object)).max(initial=0)) if q.size and np.abs(q.astype(float)).max() > 2**31 else int(np.abs(q).max(initial=0)))
-    top *= max(1, int(np.abs(c.astype(object)).max(initial=0)) if c.size and np.abs(c.astype(float)).max() > 2**31 else int(np.abs(c).max(initial=0)))
-    kind = np.float64 if top * max(1, q.shape[1]) * slices < _EXACT else object
+
+def cuts_of(dim: int, slices: int) -> list[tuple[int, int]]:
+    at = np.linspace(0, dim, slices + 1).astype(int)
+    return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
+def norms(x: np.ndarray, slices: int) -> np.ndarray:
+    """Length of each row in each slice, rounded up."""
+    x = x.astype(np.float64)
+    return np.stack([np.sqrt((x[:, i:j] ** 2).sum(1)) * (1 + 1e-12) for i, j in cuts_of(x.shape[1], slices)], 1)
+
+
+def to_bytes(x: np.ndarray) -> tuple[bytes, str]:
+    """Integers in the smallest type that holds them."""
+    top = max(abs(int(x.min(initial=0))), abs(int(x.max(initial=0))))
+    kind = "i2" if top < 2**15 else "i4" if top < 2**31 else "i8"
+    return np.ascontiguousarray(x, kind).tobytes(), kind
+
+
+def from_bytes(raw: bytes, kind: str, dim: int, n: int) -> np.ndarray:
+    return np.frombuffer(raw, kind).reshape(n, dim)
+
+
+def partial_scores(q: np.ndarray, c: np.ndarray, slices: int, which: slice = slice(None)) -> list[np.ndarray]:
+    """Exact inner products of the rows of q and c, one matrix for each of the slices of the dimensions in ``which``."""
+    top = lambda x: max(abs(int(x.min(initial=0))), abs(int(x.max(initial=0))))
+    kind = np.float64 if top(q) * top(c) * max(1, q.shape[1]) < _EXACT else object
     q, c = q.astype(kind), c.astype(kind)
-    if kind is object:
-        return [np.array([[sum(x * y for x, y in zip(a[i:j], b[i:j], strict=True)) for b in c] for a in q], object).reshape(len(q), len(c)) for i, j in zip(cuts, cuts[1:])]
-    return [q[:, i:j] @ c[:, i:j].T for i, j in zip(cuts, cuts[1:])]
+    return [q[:, i:j] @ c[:, i:j].T if j > i else np.zeros((len(q), len(c)), kind) for i, j in cuts_of(q.shape[1], slices)[which]]
+
+
+def clipped(x: np.ndarray) -> np.ndarray:
+    """Exact scores as 64-bit integers; what is beyond stops at the bounds."""
+    if x.dtype != object:
+        return x.astype(np.int64)
+    return np.array([max(-(2**63), min(2**63 - 1, int(v))) for v in x.ravel()], np.int64).reshape(x.shape)
+
 
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, ties to smaller ids, best first."""
+    if len(scores) > 4 * k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        few = np.flatnonzero(scores >= least)
+        return few[best_sorted(scores[few], ids[few])[:k]]
+    return best_sorted(scores, ids)[:k]
 
-def _long(x) -> np.ndarray:
-    return np.array([max(-(2**63), min(2**63 - 1, int(v))) for v in x], np.int64)
 
+def best_sorted(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return np.lexsort((ids, ~scores))  # ~x falls as x grows, without overflow
 
-def unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(vectors, np.int64).reshape(len(i), dim)
 
+def fit_pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """At most n rows around which the sample is grouped: a few rounds of k-means from spread rows."""
+    x = np.unique(sample.astype(np.float64), axis=0)
+    n = min(n, len(x))
+    p = x[np.linspace(0, len(x) - 1, n).astype(int)]
+    for _ in range(ROUNDS):
+        near = nearest(x, p)
+        size = np.bincount(near, minlength=n)
+        total = np.zeros_like(p)
+        np.add.at(total, near, x)
+        p = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], p)
+    return p
 
-def local_list(parts: list[np.ndarray], qid: np.ndarray, cid: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the exact scores of the k best entries of each slice's list, at most k, the best of them."""
-    total = sum(parts)
+
+def nearest(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Number of the nearest pivot of each row."""
+    half = (p**2).sum(1) / 2
+    return np.concatenate([np.empty(0, np.int64), *((half - x[i : i + 4096] @ p.T).argmin(1) for i in range(0, len(x), 4096))])
+
+
+def bounds(q: np.ndarray, q_norms: np.ndarray, p: np.ndarray, radii: np.ndarray, slices: int) -> np.ndarray:
+    """Upper bounds (slice, query, group) of the partial scores of queries with the rows of groups."""
+    q = q.astype(np.float64)
     out = []
-    for i in range(len(qid)):
-        take = np.unique(np.concatenate([np.argpartition(-p[i].astype(float), k - 1)[:k] if len(cid) > k else np.arange(len(cid)) for p in parts]))
-        take = take[cid[take] != qid[i]]
-        out.append(np.sort(total[i][take])[::-1][:k])
-    return out
+    for s, (i, j) in enumerate(cuts_of(q.shape[1], slices)):
+        reach = q_norms[:, s : s + 1] * radii[None, :, s]
+        middle = q[:, i:j] @ p[:, i:j].T
+        size = q_norms[:, s : s + 1] * np.sqrt((p[:, i:j] ** 2).sum(1))[None, :]
+        out.append(middle + reach + 1e-9 * (size + reach) + 1e-6)
+    return np.stack(out)
 
 
-def top_k(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = 1024, slices: int = SLICES, workspace: Workspace) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best rows of df for each row of queries but the row with its own id."""
-    ws = workspace
+def allowed(bound: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Can a (query, group) pair hold a score of the query's cutoff: some list at cutoff / m, and the sum at the cutoff?"""
+    cut = cut.astype(np.float64)[:, None]
+    cut = cut - 1e-9 * np.abs(cut)
+    return (bound.max(0) * len(bound) >= cut) & (bound.sum(0) >= cut)
 
-    def clean(part: DataFrame) -> DataFrame:
-        return part.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("q"))
 
-    rows, asked = clean(df), clean(queries)
-    n_blocks = max(1, -(-rows.count() // CANDIDATE_BLOCK))
-    n_asked = max(1, -(-asked.count() // QUERY_BLOCK))
-    candidates = ws.stage(pack(rows, n_blocks), "candidates")
-    wanted = ws.stage(pack(asked, n_asked).toDF("qblock", "qdim", "qids", "qvectors"), "queries")
+class Groups:
+    """The pivots of each length of vectors; what is broadcast."""
 
-    def grid(wanted: DataFrame) -> DataFrame:
-        c = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).withColumn("qb", F.col("qb").cast("long"))
-        q = wanted.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("cb", F.col("cb").cast("long"))
-        # the blocks are repeated after their size is estimated: no broadcast on that estimate
-        return c.hint("merge").join(q, (F.col("qb") == F.col("qblock")) & (F.col("cb") == F.col("block")) & (F.col("dim") == F.col("qdim")))
+    def __init__(self, pivots: dict[int, np.ndarray]):
+        self.pivots = pivots
+        self.radii: dict[int, np.ndarray] = {}
+        self.sizes: dict[int, np.ndarray] = {}
 
-    def gather(it):
-        held: dict[int, np.ndarray] = {}
+    def of(self, dim: int) -> np.ndarray:
+        got = self.pivots.get(dim)
+        return np.zeros((1, dim)) if got is None else got
 
-        def flush():
-            qs = [q for q, s in held.items() for _ in range(len(s))]
-            scores = _long(v for s in held.values() for v in s)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "score"])
 
+def _by_length(batch: pa.RecordBatch, name: str):
+    """Places and rows of a batch's list column for each length."""
+    column = batch.column(name)
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == dim)
+        yield dim, at, matrix(column.take(pa.array(at)), dim)
+
+
+def top_k(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = 1024, slices: int = SLICES, workspace: Workspace, counter=None) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best rows of df for each row of queries but those with its own id.
+
+    counter: an accumulator that gets the number of pairs of which any partial score was made.
+    """
+    ws, spark = workspace, workspace.spark
+    sc = spark.sparkContext
+
+    def clean(part: DataFrame) -> DataFrame:
+        return part.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("q"))
+
+    rows = ws.stage(clean(df), "rows")
+    asked = ws.stage(clean(queries).distinct(), "asked")
+    n_rows = rows.count()
+
+    # pivots from a sample by hash of the id: at most SAMPLE rows reach the driver
+    share = min(1.0, SAMPLE / max(1, 2 * n_rows))
+    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) <= int(share * (1 << 30))).limit(SAMPLE).toArrow()
+    by_dim: dict[int, list] = {}
+    for q in drawn.column("q").to_pylist():
+        by_dim.setdefault(len(q), []).append(q)
+    groups = Groups({d: fit_pivots(np.array(v, np.float64).reshape(len(v), d), min(PIVOTS, math.isqrt(n_rows) + 1)) for d, v in by_dim.items()})
+    shared = sc.broadcast(groups)
+
+    def assign(it):
         for batch in it:
-            for r in batch.to_pylist():
-                cid, c = unpack(r["ids"], r["vectors"], r["dim"])
-                qid, q = unpack(r["qids"], r["qvectors"], r["dim"])
-                for one, scores in zip(qid.tolist(), local_list(partial_scores(q, c, slices), qid, cid, k), strict=True):
-                    held[one] = np.sort(np.concatenate([held[one], scores]))[::-1][:k] if one in held else scores
-                if len(held) >= HELD_QUERIES:
-                    yield flush()
-        if held:
-            yield flush()
-
-    lists = grid(wanted).select("dim", "ids", "vectors", "qids", "qvectors").mapInArrow(gather, "query_id bigint, score bigint")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
-    cutoffs = lists.withColumn("place", place).filter(F.col("place") <= k).filter(F.col("place") == k).select(F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).alias("qblock"), F.struct("query_id", "score").alias("cut"))
-    cutoffs = ws.stage(cutoffs.groupBy("qblock").agg(F.map_from_entries(F.collect_list("cut")).alias("cuts")), "cutoffs")
-
-    def collect(it):
-        for batch in it:
-            for r in batch.to_pylist():
-                cid, c = unpack(r["ids"], r["vectors"], r["dim"])
-                qid, q = unpack(r["qids"], r["qvectors"], r["dim"])
-                cuts = dict(r["cuts"] or [])
-                parts = partial_scores(q, c, slices)
-                qs, vs, ss = [], [], []
-                for i, one in enumerate(qid.tolist()):
-                    cut = cuts.get(one)
-                    if cut is None:
-                        at = np.arange(len(cid))
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for dim, at, x in _by_length(batch, "q"):
+                p = shared.value.of(dim)
+                group = nearest(x.astype(np.float64), p)
+                far = norms(x - p[group], slices) if dim else np.zeros((len(at), slices))
+                far = far * (1 + 1e-9) + 1e-6
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), dim)), pa.array(group), pa.FixedSizeListArray.from_arrays(pa.array(far.ravel()), slices).cast(pa.list_(pa.float64())), batch.column("q").take(pa.array(at))], names=["id", "dim", "grp", "far", "q"])
+
+    placed = ws.stage(rows.mapInArrow(assign, "id bigint, dim bigint, grp bigint, far array<double>, q array<bigint>"), "placed")
+    # a row for each pivot: bounded by PIVOTS for each length of vectors
+    stats = placed.groupBy("dim", "grp").agg(F.count(F.lit(1)).alias("n"), *(F.max(F.get("far", s)).alias(f"r{s}") for s in range(slices))).collect()
+    for r in stats:
+        p = groups.of(r["dim"])
+        radii = groups.radii.setdefault(r["dim"], np.zeros((len(p), slices)))
+        radii[r["grp"]] = [r[f"r{s}"] for s in range(slices)]
+        groups.sizes.setdefault(r["dim"], np.zeros(len(p), np.int64))[r["grp"]] = r["n"]
+    known = sc.broadcast(groups)
+
+    # blocks of the candidates: a hot group is split by hash of the id
+    parts = spark.createDataFrame([(r["dim"], r["grp"], max(1, -(-r["n"] // BLOCK))) for r in stats], "dim bigint, grp bigint, parts bigint") if stats else spark.createDataFrame([], "dim bigint, grp bigint, parts bigint")
+    parts = ws.stage(parts, "parts")
+    keyed = placed.join(F.broadcast(parts), ["dim", "grp"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), "parts"))  # a row a pivot
+
+    def pack(table: pa.Table) -> pa.Table:
+        dim = table.column("dim")[0].as_py()
+        ids = table.column("id").to_numpy()
+        x = matrix(table.column("q"), dim)
+        order = np.argsort(ids, kind="stable")
+        middle = x.mean(0)
+        radii = norms(x - middle, slices).max(0) * (1 + 1e-9) + 1e-6
+        raw, kind = to_bytes(x[order])
+        first = lambda name: [table.column(name)[0].as_py()]
+        return pa.table({"dim": [dim], "grp": first("grp"), "part": first("part"), "ids": [ids[order].tobytes()], "vectors": [raw], "kind": [kind], "middle": [middle.astype(np.float64).tobytes()], "radii": [radii.tobytes()]})
+
+    blocks = ws.stage(keyed.select("dim", "grp", "part", "id", "q").groupBy("dim", "grp", "part").applyInArrow(pack, "dim bigint, grp bigint, part bigint, ids binary, vectors binary, kind string, middle binary, radii binary"), "blocks")
+
+    def visits(phase: int):
+        """Rows (query, group) of the groups that each query visits: in phase 1 those with the largest bounds, in phase 2 the others that its cutoff allows."""
+
+        def run(it):
+            g = known.value
+            for batch in it:
+                ids = batch.column("id").to_numpy(zero_copy_only=False)
+                cut = batch.column("cut").to_numpy(zero_copy_only=False) if phase == 2 else None
+                for dim, at, x in _by_length(batch, "q"):
+                    if dim not in g.radii:
+                        continue  # no candidate of this length
+                    sizes = g.sizes[dim]
+                    for start in range(0, len(at), 1024):
+                        here = slice(start, start + 1024)
+                        b = bounds(x[here], norms(x[here], slices), g.of(dim), g.radii[dim], slices)
+                        order = np.argsort(-np.where(sizes > 0, b.sum(0), -np.inf), axis=1, kind="stable")
+                        held = np.cumsum(sizes[order], axis=1)
+                        # enough rows before this group: k and the query's own
+                        first = np.zeros(order.shape, bool)
+                        np.put_along_axis(first, order, (held - sizes[order]) <= k, axis=1)
+                        first &= sizes > 0
+                        take = first
+                        if phase == 2:
+                            some = cut[at[here]]
+                            has = ~np.isnan(some.astype(np.float64))
+                            take = ~first & (sizes > 0) & (allowed(b, np.where(has, some, 0)) | ~has[:, None])
+                        q_at, grp = np.nonzero(take)
+                        places = at[here][q_at]
+                        columns = [pa.array(ids[places]), pa.array(np.full(len(places), dim)), pa.array(grp), batch.column("q").take(pa.array(places))]
+                        if phase == 2:
+                            columns.append(batch.column("cut").take(pa.array(places)))
+                        yield pa.RecordBatch.from_arrays(columns, names=["id", "dim", "grp", "q", "cut"][: len(columns)])
+
+        return run
+
+    def score(phase: int):
+        def run(it):
+            for batch in it:
+                for r in batch.to_pylist():
+                    dim, cid, qid = r["dim"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
+                    c, q = from_bytes(r["vectors"], r["kind"], dim, len(cid)), from_bytes(r["qvectors"], r["qkind"], dim, len(qid))
+                    qs, vs, ss, made = [], [], [], 0
+                    if phase == 1:
+                        total = clipped(sum(partial_scores(q, c, slices)))
+                        made = total.size
+                        for i, one in enumerate(qid.tolist()):
+                            mine = np.flatnonzero(cid != one)
+                            top = mine[best(total[i][mine], cid[mine], k)]
+                            qs.append(np.full(len(top), one))
+                            vs.append(cid[top])
+                            ss.append(total[i][top])
                     else:
-                        enough = parts[0][i] * slices >= cut
-                        for p in parts[1:]:
-                            enough = enough | (p[i] * slices >= cut)
-                        at = np.flatnonzero(enough)
-                    at = at[cid[at] != one]
-                    score = _long(sum(p[i][at] for p in parts))
-                    if cut is not None:
-                        at, score = at[score >= cut], score[score >= cut]
-                    if len(at) > k:
-                        best = np.lexsort((cid[at], -score.astype(object) if len(score) and score.min() == -(2**63) else -score))[:k]
-                        at, score = at[best], score[best]
-                    qs += [one] * len(at)
-                    vs.append(cid[at])
-                    ss.append(score)
-                yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *vs])), pa.array(np.concatenate([np.empty(0, np.int64), *ss]))], names=["query_id", "vec_id", "score"])
-
-    cutting = wanted.join(cutoffs, "qblock", "left")
-    entries = grid(cutting).select("dim", "ids", "vectors", "qids", "qvectors", "cuts").mapInArrow(collect, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return entries.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                        has = np.frombuffer(r["has"], bool)
+                        cut = np.frombuffer(r["cuts"], np.int64)
+                        qn, cn = norms(q, slices), norms(c, slices)
+                        block = bounds(q, qn, np.frombuffer(r["middle"], np.float64)[None, :], np.frombuffer(r["radii"], np.float64)[None, :], slices)
+                        go = np.flatnonzero(allowed(block, np.where(has, cut, 0))[:, 0] | ~has)
+                        made = len(go) * len(cid)
+                        head = partial_scores(q[go], c, slices, slice(0, 1))[0] if len(go) else None
+                        for i, at in enumerate(go.tolist()):
+                            # sufficient entries: some list may reach cutoff / m, and the sum the cutoff
+                            near = head[i].astype(np.float64)
+                            rest = qn[at, 1:] * cn[:, 1:] * (1 + 1e-9) + 1e-6
+                            need = float(cut[at]) - 1e-9 * abs(float(cut[at])) if has[at] else -np.inf
+                            enough = (np.maximum(near, rest.max(1, initial=-np.inf)) * slices >= need) & (near + rest.sum(1) >= need)
+                            mine = np.flatnonzero(enough & (cid != qid[at]))
+                            if not len(mine):
+                                continue
+                            total = head[i][mine]
+                            for p in partial_scores(q[at : at + 1], c[mine], slices, slice(1, None)):
+                                total = total + p[0]
+                            total = clipped(total)
+                            if has[at]:
+                                stay = total >= cut[at]
+                                mine, total = mine[stay], total[stay]
+                            top = best(total, cid[mine], k)
+                            qs.append(np.full(len(top), qid[at]))
+                            vs.append(cid[mine[top]])
+                            ss.append(total[top])
+                    if counter is not None:
+                        counter.add(made)
+                    join = lambda parts: pa.array(np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([join(qs), join(vs), join(ss)], names=["query_id", "vec_id", "score"])
+
+        return run
+
+    def chunk(table: pa.Table) -> pa.Table:
+        dim = table.column("dim")[0].as_py()
+        raw, kind = to_bytes(matrix(table.column("q"), dim))
+        out = {"dim": [dim], "grp": [table.column("grp")[0].as_py()], "qids": [table.column("id").to_numpy().tobytes()], "qvectors": [raw], "qkind": [kind]}
+        if "cut" in table.column_names:
+            cut = table.column("cut").combine_chunks()
+            out |= {"cuts": [cut.fill_null(0).to_numpy().tobytes()], "has": [cut.is_valid().to_numpy(zero_copy_only=False).tobytes()]}
+        return pa.table(out)
+
+    def meet(visiting: DataFrame, phase: int) -> DataFrame:
+        """Entries (query_id, vec_id, score) of the visits."""
+        visiting = ws.stage(visiting, f"visits-{phase}")
+        many = ws.stage(visiting.groupBy("dim", "grp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).join(parts, ["dim", "grp"]), f"many-{phase}")  # a row a pivot
+        dealt = visiting.join(F.broadcast(many.drop("parts")), ["dim", "grp"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(4)), "chunks")).drop("chunks")
+        schema = "dim bigint, grp bigint, qids binary, qvectors binary, qkind string" + (", cuts binary, has binary" if phase == 2 else "")
+        packed = dealt.groupBy("dim", "grp", "chunk").applyInArrow(chunk, schema)
+        packed = packed.join(F.broadcast(many.drop("chunks")), ["dim", "grp"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        # queries, whose number of groups is not known beforehand, are not broadcast
+        met = blocks.hint("merge").join(packed.withColumn("part", F.col("part").cast("long")), ["dim", "grp", "part"])
+        return ws.stage(met.mapInArrow(score(phase), "query_id bigint, vec_id bigint, score bigint"), f"entries-{phase}")
+
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    first = meet(asked.mapInArrow(visits(1), "id bigint, dim bigint, grp bigint, q array<bigint>"), 1)
+    kth = first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).filter(F.col("place") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cut"))
+    again = asked.join(kth, "id", "left")
+    second = meet(again.mapInArrow(visits(2), "id bigint, dim bigint, grp bigint, q array<bigint>, cut bigint"), 2)
+    return first.union(second).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = f"""
@@ -189,8 +366,7 @@ WITH v AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
-  WHERE a.vec_id % 100 = 0),
+  FROM (SELECT DISTINCT vec_id, q FROM v WHERE vec_id % 100 = 0) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= {K}
 """

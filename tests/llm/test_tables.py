@@ -332,26 +332,56 @@ def test_mixing(spark, ws):
 
 
 def brute_top(vectors, k, scale=1024):
-    q = {i: [math.floor(scale * x) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    out = []
-    for a in (i for i in q if i % 100 == 0):
-        scores = sorted((-sum(x * y for x, y in zip(q[a], q[b], strict=True)), b) for b in q if b != a and len(q[b]) == len(q[a]))
-        out += [(a, r + 1, b, -s) for r, (s, b) in enumerate(scores[:k])]
-    return sorted(out)
+    """vectors: (id, vector) rows; queries are the distinct rows of ids divisible by 100, which share a list by id."""
+    rows = [(i, tuple(math.floor(scale * x) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    scores = defaultdict(list)
+    for a, q in {r for r in rows if r[0] % 100 == 0}:
+        scores[a] += [(-sum(x * y for x, y in zip(q, c, strict=True)), b) for b, c in rows if b != a and len(c) == len(q)]
+    return sorted((a, r + 1, b, -s) for a, found in scores.items() for r, (s, b) in enumerate(sorted(found)[:k]))
+
+
+def search(spark, ws, data, k=10, **more):
+    df = spark.createDataFrame([(i, v, "x") for i, v in data], "vec_id long, embedding array<double>, score string")
+    return sorted(tuple(r) for r in topk.top_k(df, df.filter("vec_id % 100 = 0"), k=k, workspace=ws, **more).collect())
 
 
 def test_top_k(spark, ws):
     rng = random.Random(13)
     data = [(i, [rng.gauss(0, 0.2) for _ in range(7)]) for i in range(0, 900)]
-    data += [(1000 + i, [0.5] * 7) for i in range(40)] + [(2000, None), (2001, [None] * 7), (2002, [float("nan")] * 7), (2003, [float("inf")] * 7), (None, [0.1] * 7), (2100, [1.0, 2.0]), (2101, [1.0, 3.0]), (2200, []), (100, data[100][1])]
-    df = spark.createDataFrame([(i, v, "x") for i, v in data], "vec_id long, embedding array<double>, score string")
-    got = sorted(tuple(r) for r in topk.top_k(df, df.filter("vec_id % 100 = 0"), workspace=ws).collect())
-    assert got == brute_top({i: v for i, v in data}.items(), 10)
+    data += [(1000 + i, [0.5] * 7) for i in range(40)] + [(2000, None), (2001, [None] * 7), (2002, [float("nan")] * 7), (2003, [float("inf")] * 7), (None, [0.1] * 7), (2100, [1.0, 2.0]), (2101, [1.0, 3.0]), (2200, []), (2201, [])]
+    # a whole row twice, one id with two vectors, as query and as candidate
+    data += [data[100], data[5], (200, data[7][1]), (7, [0.4] * 7)]
+    assert search(spark, ws, data) == brute_top(data, 10)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     assert topk.top_k(df.limit(0), df.limit(0), workspace=ws).collect() == []
+    assert topk.top_k(df, df.limit(0), workspace=ws).collect() == []
     few = df.filter("vec_id in (0, 1, 2)")
     assert [r["rank"] for r in topk.top_k(few, few.filter("vec_id = 0"), workspace=ws).orderBy("rank").collect()] == [1, 2]
 
 
+def test_top_k_skips_most_pairs_of_clustered_vectors(spark, ws):
+    rng = np.random.default_rng(14)
+    centres = rng.normal(0, 1, (20, 16))
+    x = centres[rng.integers(0, 20, 4000)] + rng.normal(0, 0.03, (4000, 16))
+    x[:1300] = centres[0] + rng.normal(0, 0.03, (1300, 16))  # a hot cluster
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    made = spark.sparkContext.accumulator(0)
+    assert search(spark, ws, data, counter=made) == brute_top(data, 10)
+    assert 0 < made.value < 0.35 * 40 * 4000, made.value
+
+
+def test_top_k_of_hostile_vectors(spark, ws, monkeypatch):
+    """Blocks and chunks of a few rows, zero vectors, equal vectors, negative scores, components near 64 bits."""
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    monkeypatch.setattr(topk, "CHUNK", 3)
+    rng = random.Random(15)
+    data = [(i, [-1.0 - rng.random() for _ in range(4)]) for i in range(150)] + [(1000 + i, [0.0] * 4) for i in range(30)] + [(2000 + i, [1.0, -1.0, 1.0, -1.0]) for i in range(25)]
+    assert search(spark, ws, data, k=3) == brute_top(data, 3)
+    big = [(i, [rng.choice([-1, 1]) * 2.0 ** rng.randrange(20, 50) for _ in range(3)]) for i in range(0, 400, 20)]
+    want = [(a, r, b, max(-(2**63), min(2**63 - 1, s))) for a, r, b, s in brute_top(big, 30)]
+    assert {x[:1] + x[2:] for x in search(spark, ws, big, k=30)} == {x[:1] + x[2:] for x in want}
+
+
 def test_large_components_stay_exact():
     q = np.array([[2**40, -(2**40), 3]], np.int64)
     c = np.array([[2**41, 5, 7], [1, 1, 1]], np.int64)
