@@ -6,18 +6,23 @@ Each language is a codeword of bits: all distinct ways to split the languages in
 they are few, else random splits chosen for their least distance between codewords.  A binary
 classifier per bit, a ridge regression on hashed byte n-grams (1 to 3 letters, square roots of
 counts, unit length), predicts the bit.  Decoding picks the codeword with the least total
-loss log(1 + exp(-2 * bit * value)), each bit weighed by how well it separates its training
+loss log(1 + exp(-4 * bit * value)), each bit weighed by how well it separates its training
 rows; where the runner-up is about as near, the answer is flagged as ambiguous.  score is the
 share of the nearest codeword in exp(-loss) over all codewords.
 
-Training: a hash sample of about ``sample`` labelled documents of each language (a documented
-bound; whole texts), turned into feature vectors by the executors; the driver gets
-sample x languages vectors of DIMENSIONS floats.  Prediction uses every whole text and nothing
-but the text.
-
-Defined cases: a null text and a text without any letter give ``und`` with score 0; so does
-every text if nothing was learned; one learned language is predicted for any text with a
-letter, with score 1; repeated rows each give their row.
+Training: a hash sample of about ``sample`` labelled documents of each language (whole texts)
+and of about MAX_ROWS in all, of the MAX_LANGUAGES most frequent labels (ties: the first by
+name), so noise in labels can't make the model grow.  The executors turn them into feature
+vectors; the driver gets at most about MAX_ROWS vectors of DIMENSIONS floats (200 MB) and
+solves a system of at most DIMENSIONS unknowns (134 MB), whatever the number of languages.
+Prediction uses every whole text and nothing but the text.
+
+Defined cases: a null text and a text without any letter (an empty one too) give ``und`` with
+score 0; so does every text if nothing was learned; one learned language is predicted for any
+text with a letter, with score 1; very long texts are read whole; ties go to the first language
+by name; repeated rows each give their row; null ids stay (and are not learned from by
+``learning_part``); null labels are not learned from; an empty table gives no model and no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,8 +39,8 @@ from pyspark.sql import functions as F
 from pressline.llm.common import ship
 
 DIMENSIONS = 4096
-SAMPLE = 400
-MAX_EXHAUSTIVE, RANDOM_BITS = 6, 48
+SAMPLE, MAX_ROWS, MAX_LANGUAGES = 400, 12_000, 256
+MAX_EXHAUSTIVE, RANDOM_BITS, MANY, MANY_BITS = 6, 48, 64, 96
 RIDGE, AMBIGUOUS = 0.05, 0.1
 
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -68,11 +73,12 @@ def codewords(k: int) -> np.ndarray:
         rest = np.array([[1 if s >> i & 1 else -1 for s in splits] for i in range(k - 1)])
         return np.vstack([-np.ones(len(splits)), rest])
     rng, best, least = np.random.default_rng(7), None, -1
+    bits = RANDOM_BITS if k <= MANY else MANY_BITS
     for _ in range(50):
-        code = rng.choice([-1.0, 1.0], (k, RANDOM_BITS))
+        code = rng.choice([-1.0, 1.0], (k, bits))
         code[:, np.abs(code.sum(0)) == k] *= np.where(np.arange(k) % 2, 1, -1)[:, None]
         agree = code @ code.T
-        far = (RANDOM_BITS - (agree - np.diag(np.diag(agree) + RANDOM_BITS)).max()) / 2
+        far = (bits - (agree - np.diag(np.diag(agree) + bits)).max()) / 2
         if far > least:
             best, least = code, far
     return best
@@ -86,7 +92,7 @@ class Model(NamedTuple):
 
 
 def fit(vectors: np.ndarray, languages: list[str]) -> Model:
-    """Ridge regressions in the dual, one for each bit of the code."""
+    """Ridge regressions, one for each bit of the code; in the dual where there are fewer rows than dimensions."""
     names = sorted(set(languages))
     code = codewords(len(names))
     at = {n: i for i, n in enumerate(names)}
@@ -94,14 +100,26 @@ def fit(vectors: np.ndarray, languages: list[str]) -> Model:
     share = np.bincount([at[n] for n in languages], minlength=len(names))
     mean = (code * (1 / len(names))).sum(0)  # as if all languages had as many rows
     w = np.sqrt(1 / share[[at[n] for n in languages]])[:, None]
-    x = vectors.astype(np.float64)
-    centre = np.average(x, axis=0, weights=w[:, 0] ** 2)
-    xc = (x - centre) * w
-    gram = xc @ xc.T
-    dual = np.linalg.solve(gram + RIDGE * np.trace(gram) / len(gram) * np.eye(len(gram)), (y - mean) * w)
-    weights = xc.T @ dual
+    n, dim = vectors.shape
+    centre = (vectors.T @ w[:, 0] ** 2) / (w**2).sum()
+    parts = [slice(i, i + 1024) for i in range(0, n, 1024)]  # so that only a part is ever held in double precision
+    scaled = lambda at: (vectors[at] - centre) * w[at]
+    goal = (y - mean) * w
+    if n <= dim:
+        xc = scaled(slice(None))
+        gram = xc @ xc.T
+        gram[np.diag_indices(n)] += RIDGE * max(np.trace(gram) / n, 1e-9)
+        weights = xc.T @ np.linalg.solve(gram, goal)
+    else:
+        gram, right = np.zeros((dim, dim)), np.zeros((dim, y.shape[1]))
+        for at in parts:
+            xc = scaled(at)
+            gram += xc.T @ xc
+            right += xc.T @ goal[at]
+        gram[np.diag_indices(dim)] += RIDGE * max(np.trace(gram) / n, 1e-9)
+        weights = np.linalg.solve(gram, right)
     bias = mean - centre @ weights
-    margin = ((x @ weights + bias) * y * w**2).sum(0) / (w**2).sum()
+    margin = sum(((vectors[at] @ weights + bias) * y[at] * w[at] ** 2).sum(0) for at in parts) / (w**2).sum()
     return Model(names, weights.astype(np.float32), bias, np.clip(margin, 0.05, 1.0))
 
 
@@ -121,17 +139,17 @@ def learning_part(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def train(df: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Model | None:
-    """A model from about ``sample`` rows of each label of df; None if df has no labelled text with letters."""
+def train(df: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES) -> Model | None:
+    """A model from about ``sample`` rows of each of the most frequent labels of df; None if df has no labelled text with letters."""
     ship(df.sparkSession)
-    usable = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(label_col).count().collect()}  # one row a language
+    usable = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("binary").alias("raw"))
+    counts = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").limit(max_languages).collect()
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(29)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col(label_col) == name, F.lit(min(1.0, sample / n))).otherwise(share)
+    each = min(sample, max_rows // len(counts))
+    draw = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["label"], min(1.0, each / r["n"]))))
+    share = F.coalesce(F.try_element_at(shares, F.col("label")), F.lit(0.0))
 
     def batches(it):
         for batch in it:
@@ -139,7 +157,7 @@ def train(df: DataFrame, *, id_col: str, text_col: str, label_col: str, sample:
             rows = [(label, vector(raw)) for label, raw in rows if has_letter(raw)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["label", "x"])
 
-    drawn = usable.filter(draw < share).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("binary").alias("raw"))
+    drawn = usable.filter(draw < share).select("label", "raw")
     got = sorted(((r["label"], bytes(r["x"])) for r in drawn.mapInArrow(batches, "label string, x binary").collect()))
     if not got:
         return None

@@ -12,15 +12,24 @@ sequences need no correction along the grid, and Bonferroni's correction joins t
 with probability 1 - delta no certified cutoff of any stratum loses more than alpha of its good
 documents.  As that holds for all of them at once, the one used may be picked by the labels:
 the one with the least cost, a lost good document counting GOOD_COST times a kept bad one
-(ties: the mildest).  A stratum with too few labelled good documents can't justify any cutoff and rejects
-by the base rules alone.
+(ties: the mildest).  A stratum with too few labelled good documents can't justify any cutoff
+and rejects by the base rules alone.
+
+The bound is for independent trials, so a holdout has one vote for each distinct text of a
+stratum, however many copies or labels it has (good if any label says so: a lost good text is
+the error that is bounded).  It is a bound on what the cutoff loses of the good texts that pass
+the base rules; those that the base rules reject come on top and are no matter of labels
+(``holdout`` counts both).
 
 What reaches the driver is one histogram over the grid for each stratum that could be
 certified at all (at least log(level)/log(1-alpha) good documents).
 
-Defined cases: a null text has no words and fails the base rules; a null stratum is a stratum
-of its own; a document with several labels counts once a label; labels without a document and
-null labels are ignored; repeated rows each give their row.
+Defined cases: a null text counts as empty, and an empty one has no words and fails the base
+rules; very long texts are measured whole; a null stratum is a stratum of its own; labels
+without a document and null labels are ignored; ties with the cutoff are kept; repeated rows
+each give their row and null ids stay, unlabelled; an empty table gives an empty result.
+``keep`` returns all columns of its table unchanged, whatever their names; ``rules`` reads no
+others than it names, and raises where the id or stratum is named like one of its results.
 """
 
 from __future__ import annotations
@@ -30,7 +39,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressline.llm.common import WordHash, ship, window_hashes
@@ -83,37 +93,50 @@ def measure(text: str, table: WordHash) -> tuple[int, ...]:
     return len(words), word_chars, len(_SYMBOLS.findall(text)), dups, repeated_words(table.array(words)), lines, upper
 
 
-def measures(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """id_col, the columns in keep (the text may be one) and the MEASURES of each text."""
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
+def measures(df: DataFrame, id_col: str, text_col: str, *keep: str, into: str) -> DataFrame:
+    """id_col, the columns in keep (the text may be one) and ``into``: a struct of the MEASURES of each text and two halves of its digest."""
     ship(df.sparkSession)
     kept = [id_col, *keep]
     at = kept.index(text_col) if text_col in kept else len(kept)
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{m} bigint" for m in MEASURES]
+    names = [*MEASURES, "digest1", "digest2"]
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"`{into}` struct<{', '.join(f'{m}:bigint' for m in names)}>"]
 
     def batches(it):
         table = WordHash()
         for batch in it:
-            rows = [measure(raw.as_py().decode("utf-8", "replace") if raw.is_valid else "", table) for raw in batch.column(at).cast(pa.binary())]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(c, pa.int64()) for c in columns)], names=[*kept, *MEASURES])
+            rows = []
+            for raw in batch.column(at).cast(pa.binary()):
+                raw = raw.as_py() or b""
+                digest = xxhash.xxh3_128_digest(raw)
+                rows.append((*measure(raw.decode("utf-8", "replace"), table), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            found = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], found], names=[*kept, into])
 
     return df.select(*kept, *([] if text_col in kept else [text_col])).mapInArrow(batches, ", ".join(fields))
 
 
-def base_failed():
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
 
 
-def junk_score():
+def junk_score(m: Column) -> Column:
     """The largest of the measures over their reference values; 0 for a text without words."""
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
+    words = F.greatest(m["n_words"], F.lit(1)).cast("double")
+    lines = F.greatest(m["n_lines"], F.lit(1)).cast("double")
     parts = {
-        "symbols_per_word": F.col("n_symbols") / words,
-        "upper_share": F.col("n_upper_words") / words,
-        "dup_line_share": F.col("n_dup_lines") / lines,
-        "repeat_share": F.col("n_repeat_words") / words,
-        "long_words": F.col("word_chars") / words,
+        "symbols_per_word": m["n_symbols"] / words,
+        "upper_share": m["n_upper_words"] / words,
+        "dup_line_share": m["n_dup_lines"] / lines,
+        "repeat_share": m["n_repeat_words"] / words,
+        "long_words": m["word_chars"] / words,
     }
     return F.greatest(*(parts[k] / F.lit(v) for k, v in REFERENCE.items()))
 
@@ -143,15 +166,22 @@ def certify(lost: list[int], caught: list[int], n: int, alpha: float, level: flo
     return best
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, stratum: str, *, alpha: float = ALPHA, delta: float = DELTA) -> dict:
-    """stratum value -> certified cutoff, from the labelled documents that pass the base rules."""
-    marks = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), (F.col(label_col) == 1).alias("__good"))
-    scored = measured.filter(~base_failed()).select(F.col(id_col).alias("__id"), F.col(stratum).alias("__stratum"), junk_score().alias("__score"))
-    above = lambda c, good: F.count(F.when((F.col("__score") > c) & (F.col("__good") == good), 1))
+def votes(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, stratum: str, m: str) -> DataFrame:
+    """A row for each distinct labelled text of a stratum: stratum, good, failed (by the base rules), score."""
+    marks = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("good"))
+    found = measured.select(F.col(id_col).alias("id"), F.col(stratum).alias("stratum"), F.col(m).alias("m"))
+    # measures depend on the text alone, so all rows of a digest have the same
+    same = found.join(marks, "id").groupBy("stratum", F.col("m.digest1"), F.col("m.digest2")).agg(F.max("good").alias("good"), F.first("m").alias("m"))
+    return same.select("stratum", "good", base_failed(F.col("m")).alias("failed"), junk_score(F.col("m")).alias("score"))
+
+
+def cutoffs(votes: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA) -> dict:
+    """stratum value -> certified cutoff, from the votes that pass the base rules."""
+    above = lambda c, good: F.count(F.when((F.col("score") > c) & (F.col("good") == good), 1))
     per = (
-        scored.join(marks, "__id")
-        .groupBy("__stratum")
-        .agg(F.count_if("__good").alias("n"), *(above(c, True).alias(f"x{i}") for i, c in enumerate(GRID)), *(above(c, False).alias(f"y{i}") for i, c in enumerate(GRID)))
+        votes.filter("NOT failed")
+        .groupBy("stratum")
+        .agg(F.count_if("good").alias("n"), *(above(c, True).alias(f"x{i}") for i, c in enumerate(GRID)), *(above(c, False).alias(f"y{i}") for i, c in enumerate(GRID)))
         .filter(F.col("n") >= math.log(delta) / math.log1p(-alpha))
     )
     rows = per.collect()
@@ -160,26 +190,40 @@ def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str,
     for r in rows:
         cut = certify([r[f"x{i}"] for i in range(len(GRID))], [r[f"y{i}"] for i in range(len(GRID))], r["n"], alpha, level)
         if cut is not None:
-            out[r["__stratum"]] = cut
+            out[r["stratum"]] = cut
     return out
 
 
-def judge(measured: DataFrame, cuts: dict, stratum: str) -> DataFrame:
-    """measured with base_failed, junk_score and kept."""
+def cutoff_of(cuts: dict, stratum: Column) -> Column:
     cut = F.lit(None).cast("double")
     for value, c in cuts.items():
-        cut = F.when(F.col(stratum).eqNullSafe(F.lit(value)), F.lit(c)).otherwise(cut)
-    return measured.withColumns({"base_failed": base_failed(), "junk_score": junk_score()}).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("junk_score") > cut, F.lit(False)))
+        cut = F.when(stratum.eqNullSafe(F.lit(value)), F.lit(c)).otherwise(cut)
+    return cut
+
+
+def verdict(m: Column, stratum: Column, cuts: dict) -> Column:
+    """Do the rules keep a text with the measures m?"""
+    return ~base_failed(m) & ~F.coalesce(junk_score(m) > cutoff_of(cuts, stratum), F.lit(False))
+
+
+def holdout(votes: DataFrame, cuts: dict) -> DataFrame:
+    """What the labelled texts of each stratum show: good and bad ones, how many of them the base rules reject, and how many more the cutoff."""
+    cut = F.coalesce(~F.col("failed") & (F.col("score") > cutoff_of(cuts, F.col("stratum"))), F.lit(False))
+    count = lambda good, what: F.count_if((F.col("good") == good) & what)
+    parts = {"": F.lit(True), "_base": F.col("failed"), "_cut": cut}
+    return votes.groupBy("stratum").agg(*(count(good, what).alias(name + tail) for name, good in (("good", True), ("bad", False)) for tail, what in parts.items()))
 
 
 def keep(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", stratum: str = "lang", workspace) -> DataFrame:
-    """The rows of df that the rules keep.
+    """The rows of df that the rules keep, with df's columns.
 
-    The texts are measured twice, for the cutoffs and for the verdicts, rather than shuffled.
+    The texts are measured once: rows and measures are staged together, for the cutoffs (which
+    read the measures alone) and the verdicts.
     """
-    cuts = cutoffs(workspace.stage(measures(df, id_col, text_col, stratum), "measures"), labels, id_col, label_col, stratum)
-    others = [c for c in df.columns if c != id_col]
-    return judge(measures(df, id_col, text_col, *others), cuts, stratum).filter("kept").select(*df.columns)
+    m = fresh(df, "__measures")
+    measured = workspace.stage(measures(df, id_col, text_col, *(c for c in df.columns if c != id_col), into=m), "measured")
+    cuts = cutoffs(votes(measured, labels, id_col, label_col, stratum, m))
+    return measured.filter(verdict(F.col(m), F.col(stratum), cuts)).select(*df.columns)
 
 
 def rules(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", stratum: str = "lang", workspace, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -188,6 +232,11 @@ def rules(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     The measures are staged in the workspace: the holdout and the verdicts read them, the
     texts are read once.
     """
-    measured = workspace.stage(measures(df, id_col, text_col, stratum), "measures")
-    cuts = cutoffs(measured, labels, id_col, label_col, stratum, alpha=alpha, delta=delta)
-    return judge(measured, cuts, stratum)
+    out = [*MEASURES, "base_failed", "junk_score", "kept"]
+    if {id_col, stratum} & set(out):
+        raise ValueError(f"the id and the stratum can't be named like a result: {out}")
+    m = fresh(df, "__measures")
+    measured = workspace.stage(measures(df, id_col, text_col, stratum, into=m), "measures")
+    cuts = cutoffs(votes(measured, labels, id_col, label_col, stratum, m), alpha=alpha, delta=delta)
+    found = F.col(m)
+    return measured.select(id_col, stratum, *(found[x].alias(x) for x in MEASURES), base_failed(found).alias("base_failed"), junk_score(found).alias("junk_score"), verdict(found, F.col(stratum), cuts).alias("kept"))

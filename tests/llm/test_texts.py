@@ -259,6 +259,89 @@ def test_quality_rows(spark, ws):
     assert quality.rules(df.limit(0), labels, workspace=ws).count() == 0
 
 
+@pytest.mark.parametrize("name", [*quality.MEASURES, "kept", "base_failed", "junk_score", "__measures", "digest1", "m", "id", "stratum"])
+def test_quality_keeps_columns_that_clash(spark, ws, name):
+    clean = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, clean, "en", "orig"), (2, "few", "en", "orig"), (3, clean + " x", "en", None)], f"doc_id long, text string, lang string, `{name}` string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    kept = quality.keep(df, labels, workspace=ws)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r[name]) for r in kept.collect()) == [(1, "orig"), (3, None)]
+    assert quality.rules(df, labels, workspace=ws).count() == 3
+    if name in quality.MEASURES:
+        with pytest.raises(ValueError):
+            quality.rules(df.withColumn(name, F.col("doc_id")), labels.withColumn(name, F.col("doc_id")), id_col=name, workspace=ws)
+
+
+def test_one_vote_for_each_distinct_text(spark, ws):
+    clean = [" ".join(f"w{i}x{j}" for i in range(60)) for j in range(5)]
+    docs = [(i, clean[i % 5], "en" if i < 40 else "fr") for i in range(50)] + [(100, "short", "en"), (101, "short", "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i != 3)) for i in range(50)] + [(0, 1), (100, 1), (101, 0)], "doc_id long, quality int")
+    measured = quality.measures(df, "doc_id", "text", "lang", into="m")
+    got = quality.votes(measured, labels, "doc_id", "quality", "lang", "m")
+    held = {r["stratum"]: r for r in quality.holdout(got, {}).collect()}
+    assert (held["en"]["good"], held["en"]["bad"], held["en"]["good_base"], held["en"]["good_cut"]) == (6, 0, 1, 0)
+    assert (held["fr"]["good"], held["fr"]["good_base"]) == (5, 0)
+
+
+def brute_rules(docs, labels, alpha=quality.ALPHA, delta=quality.DELTA):
+    """doc -> kept, by plain loops over whole texts and exact fractions."""
+    from fractions import Fraction
+    from math import comb
+
+    def failed(t):
+        n, _, _, _, rep = brute_measure(t)
+        return n < 50 or 100 * rep > 50 * n
+
+    def score(t):
+        n, chars, symbols, dups, rep = brute_measure(t)
+        words = t.split()
+        lines = max(1, sum(bool(x.strip()) for x in t.split("\n")))
+        upper = sum(w.isupper() and len(w.encode()) > 1 for w in words)
+        return max(symbols / max(1, n) / 0.1, upper / max(1, n) / 0.3, dups / lines / 0.3, rep / max(1, n) / 0.3, chars / max(1, n) / 12.0)
+
+    text = {i: (t or "", lang) for i, t, lang in docs}
+    good = {}
+    for i, q in labels:
+        if i in text and q in (0, 1) and not failed(text[i][0]):
+            key = (text[i][1], text[i][0])
+            good[key] = good.get(key, 0) or q
+    tested = {lang: [(score(t), g) for (k, t), g in good.items() if k == lang] for lang in {k for k, _ in good}}
+    tested = {k: v for k, v in tested.items() if sum(g for _, g in v) >= np.log(delta) / np.log(1 - alpha)}
+    cuts = {}
+    for lang, votes in tested.items():
+        n, least = sum(g for _, g in votes), 0
+        for cut in quality.GRID:
+            lost, caught = sum(s > cut and g == 1 for s, g in votes), sum(s > cut and g == 0 for s, g in votes)
+            a = Fraction(str(alpha))
+            if sum(comb(n, i) * a**i * (1 - a) ** (n - i) for i in range(lost + 1)) > Fraction(delta) / len(tested):
+                break
+            if quality.GOOD_COST * lost - caught < least:
+                least, cuts[lang] = quality.GOOD_COST * lost - caught, cut
+    return {i: not failed(t) and not (lang in cuts and score(t) > cuts[lang]) for i, (t, lang) in text.items()}
+
+
+def test_verdicts_of_the_registered_query_against_brute_force(spark, tmp_path):
+    from pressline.llm import registry
+
+    rng = random.Random(9)
+
+    def text(bad):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 60, 120]))]
+        for _ in range(rng.randrange(len(words)) if bad else rng.randrange(3)):
+            words[rng.randrange(len(words))] = rng.choice(["%%%", "LOUD", "a|b"])
+        return "\n".join(" ".join(words[i : i + 8]) for i in range(0, len(words), 8))
+
+    docs = [(i, text(i % 7 == 0), rng.choice(["en", "en", "de", None])) for i in range(900)] + [(2000 + i, text(True), "xx") for i in range(9)]
+    docs += [(3000, docs[0][1], "en"), (3001, None, "en"), (3002, "", None)]
+    labels = [(i, int(i % 7 != 0)) for i in range(0, 900, 1) if i % 5] + [(0, None), (10**9, 1)]
+    spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r["kept"] for r in registry.op10_quality_rules(spark, str(tmp_path)).collect()}
+    want = brute_rules(docs, labels)
+    assert got == want and not all(want[i] for i in range(0, 900, 7)) and len({want[i] for i in range(2000, 2009)}) <= 2
+
+
 ARTICLE = "<article><h1>Title &amp; more</h1><p>First paragraph, with <b>bold</b> text.<br>Next line.<p>Second one; it ends here.</p><div class='ad'>Buy now!</div><ul><li>One.</li><li>Two</li></ul></article>"
 WANT = "Title & more First paragraph, with bold text. Next line. Second one; it ends here. One. Two"
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="has-sidebar">
@@ -467,6 +550,76 @@ def test_language_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(df, None, id_col="doc_id", text_col="text").collect()} == {"und"}
 
 
+def test_decoding_against_brute_force():
+    import math
+
+    rng = np.random.default_rng(16)
+    for k in (2, 3, 4, 9, 70):
+        code = langid.codewords(k)
+        bits = code.shape[1]
+        trust = rng.uniform(0.05, 1, bits)
+        model = langid.Model([f"l{i:03}" for i in range(k)], np.zeros((1, bits)), np.zeros(bits), trust)
+        values = rng.normal(0, 1, (40, bits))
+        number, score, vague = langid.decode(model, values)
+        for row in range(40):
+            loss = [sum(trust[b] * math.log(1 + math.exp(-4 * code[i][b] * values[row][b])) for b in range(bits)) for i in range(k)]
+            p = sorted((math.exp(-x) / sum(math.exp(-y) for y in loss) for x in loss), reverse=True)
+            assert number[row] == loss.index(min(loss)) and score[row] == pytest.approx(p[0], rel=1e-6) and vague[row] == (p[0] - p[1] < langid.AMBIGUOUS)
+
+
+def test_fit_is_the_same_in_the_primal_and_the_dual():
+    rng = np.random.default_rng(17)
+    x = rng.normal(0, 1, (60, 40)).astype(np.float32)
+    names = [f"l{i % 3}" for i in range(60)]
+    primal = langid.fit(x, names)  # more rows than dimensions
+    wide = np.hstack([x, np.zeros((60, 40), np.float32)])
+    dual = langid.fit(wide, names)
+    assert np.allclose(primal.weights, dual.weights[:40], atol=1e-5) and np.allclose(primal.bias, dual.bias, atol=1e-6)
+
+
+def test_many_labels_fit_in_bounded_memory(spark):
+    """200 languages and noise labels: the driver's rows are bounded, the frequent labels are learned."""
+    import tracemalloc
+
+    rng = random.Random(18)
+    own = {f"l{i:03}": [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{j}"[:2] + rng.choice("aeiou") + chr(97 + (i * 7 + j) % 26) for j in range(12)] for i in range(200)}
+    docs = [(i, " ".join(rng.choice(own[name]) for _ in range(40)), name) for i, name in enumerate(sorted(own) * 25)] + [(10**6 + i, "noise text", f"noise{i}") for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.train(df.filter("(doc_id DIV 200) % 5 <> 0"), id_col="doc_id", text_col="text", label_col="lang", max_rows=4400)
+    assert len(model.languages) == langid.MAX_LANGUAGES and set(own) <= set(model.languages)
+    held = {i: name for i, _, name in docs[:5000] if i // 200 % 5 == 0}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df.filter("doc_id < 5000 AND (doc_id DIV 200) % 5 = 0"), model, id_col="doc_id", text_col="text").collect()}
+    assert sum(got[i] == name for i, name in held.items()) >= 0.95 * len(held)
+    tracemalloc.start()
+    x = rng_vectors = np.random.default_rng(1).random((6000, langid.DIMENSIONS), np.float32)
+    langid.fit(rng_vectors, [f"l{i % 200}" for i in range(len(x))])
+    assert tracemalloc.get_traced_memory()[1] < 1.2e9
+    tracemalloc.stop()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_registered_language_query(spark):
+    import zlib
+
+    from pressline.llm import registry
+
+    rows = registry.op8_language_id(spark, SF).collect()
+    truth = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").collect()}
+    assert len(rows) == len(truth)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r["held_out"] and truth[r["doc_id"]]["lang"] and re.search("[^\\W\\d_]", truth[r["doc_id"]]["text"] or "")]
+    assert len(held) > 150 and sum(r["lang_pred"] == truth[r["doc_id"]]["lang"] for r in held) >= 0.98 * len(held)
+
+
+def test_language_tables(spark):
+    schema = "doc_id long, text string, lang string, score string"
+    empty = spark.createDataFrame([], schema)
+    model = langid.train(spark.createDataFrame([(1, "un deux", "fr", "x")], schema), id_col="doc_id", text_col="text", label_col="lang")
+    assert langid.predict(empty, model, id_col="doc_id", text_col="text").collect() == []
+    two = spark.createDataFrame([(None, "trois", None, "x")] * 2, schema)
+    assert [tuple(r) for r in langid.predict(two, model, id_col="doc_id", text_col="text").collect()] == [(None, "fr", 1.0, False)] * 2
+
+
 LONG_ARTICLE = "<h1>Big title</h1><p class='byline'>By A. Person</p><p>First para, with text. It is long enough, I think.</p><p>Ok.</p><blockquote>Quote, here.</blockquote><pre>code  x</pre><table><tr><td>cell one</td><td>cell two</td></tr></table><figure><img src=x><figcaption>Cap.</figcaption></figure>"
 LONG_WANT = "Big title By A. Person First para, with text. It is long enough, I think. Ok. Quote, here. code x cell one cell two Cap."
 CHROME = "".join(["<div class='site-header'><h2>Site name</h2><p>Tagline, here.</p></div>","<div id='top-nav'><a>Home</a></div>","<div class='alert alert-info'><p>Service notice, please read it, all.</p></div>","<div class='sidebar'><p>Side bar text that is long, and has commas, too.</p></div>","<ul class='menu'><li>A</li><li>B</li></ul>","<div role='complementary'><p>Complement, text here.</p></div>","<div class=ad-banner>Buy, now!</div>","<noscript>No js</noscript>","<form><label>Name</label><input><button>Go</button></form>","<div class='comments-area'><h3>3 comments</h3><p>Nice one, truly, this is a very long comment text, with many words, and so on.</p></div>","<footer><p>Foot, text.</p></footer>","<div class='footer-links'>x y z</div>","<div class='cookie-consent'>Cookies, ok?</div>"])
