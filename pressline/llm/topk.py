@@ -51,6 +51,7 @@ from pressline.llm.common import Workspace
 K, SLICES = 10, 2
 PIVOTS, SAMPLE, ROUNDS = 1024, 16_384, 4
 BLOCK, CHUNK = 4096, 1024
+DENSE = 0.02
 _EXACT = 2**53
 
 
@@ -107,17 +108,24 @@ def clipped(x: np.ndarray) -> np.ndarray:
     return np.array([max(-(2**63), min(2**63 - 1, int(v))) for v in x.ravel()], np.int64).reshape(x.shape)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to smaller ids, best first."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        few = np.flatnonzero(scores >= least)
-        return few[best_sorted(scores[few], ids[few])[:k]]
-    return best_sorted(scores, ids)[:k]
-
-
-def best_sorted(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return np.lexsort((ids, ~scores))  # ~x falls as x grows, without overflow
+def best(total: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest valid entries of each row, ties to the first columns."""
+    n = total.shape[1]
+    if not total.size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if max(abs(int(total.min())), abs(int(total.max()))) < 2**62 // n:
+        key = total * n + np.arange(n - 1, -1, -1)  # no two entries of a row are equal
+    else:  # places in the order of the row
+        order = np.argsort(~total, axis=1, kind="stable")
+        key = np.empty_like(total)
+        np.put_along_axis(key, order, np.broadcast_to(np.arange(n, 0, -1), total.shape), axis=1)
+    key[~valid] = -(2**63)
+    few = min(k, n)
+    columns = np.argpartition(key, n - few, axis=1)[:, n - few :]
+    rows = np.repeat(np.arange(len(total)), few)
+    columns = columns.ravel()
+    fine = valid[rows, columns]
+    return rows[fine], columns[fine]
 
 
 def fit_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -159,6 +167,32 @@ def allowed(bound: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return (bound.max(0) * len(bound) >= cut) & (bound.sum(0) >= cut)
 
 
+def resolve(q: np.ndarray, c: np.ndarray, qn: np.ndarray, cn: np.ndarray, has: np.ndarray, cut: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact scores, and which of them are of sufficient entries that reach their query's cutoff; the others may be unfinished.
+
+    After the first list, entries stay for which some list may reach cutoff / m and the sum the
+    cutoff; the rest of the lists is made for these alone where they are few.
+    """
+    head = partial_scores(q, c, slices, slice(0, 1))[0]
+    near = head.astype(np.float64)
+    most, whole = near.copy(), near.copy()
+    for s in range(1, slices):
+        reach = np.outer(qn[:, s], cn[:, s]) * (1 + 1e-9) + 1e-6
+        np.maximum(most, reach, out=most)
+        whole += reach
+    need = np.where(has, cut.astype(np.float64) - 1e-9 * np.abs(cut.astype(np.float64)), -np.inf)[:, None]
+    enough = (most * slices >= need) & (whole >= need)
+    if enough.mean() > DENSE:
+        total = clipped(sum(partial_scores(q, c, slices, slice(1, None)), head))
+    else:
+        total = np.zeros(head.shape, np.int64)
+        for i in np.flatnonzero(enough.any(1)).tolist():
+            at = np.flatnonzero(enough[i])
+            rest = partial_scores(q[i : i + 1], c[at], slices, slice(1, None))
+            total[i, at] = clipped(sum((p[0] for p in rest), head[i, at]))
+    return total, enough & ((total >= cut[:, None]) | ~has[:, None])
+
+
 class Groups:
     """The pivots of each length of vectors; what is broadcast."""
 
@@ -284,48 +318,25 @@ def top_k(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_c
                 for r in batch.to_pylist():
                     dim, cid, qid = r["dim"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
                     c, q = from_bytes(r["vectors"], r["kind"], dim, len(cid)), from_bytes(r["qvectors"], r["qkind"], dim, len(qid))
-                    qs, vs, ss, made = [], [], [], 0
                     if phase == 1:
+                        go = np.arange(len(qid))
                         total = clipped(sum(partial_scores(q, c, slices)))
-                        made = total.size
-                        for i, one in enumerate(qid.tolist()):
-                            mine = np.flatnonzero(cid != one)
-                            top = mine[best(total[i][mine], cid[mine], k)]
-                            qs.append(np.full(len(top), one))
-                            vs.append(cid[top])
-                            ss.append(total[i][top])
+                        valid = np.ones(total.shape, bool)
                     else:
-                        has = np.frombuffer(r["has"], bool)
-                        cut = np.frombuffer(r["cuts"], np.int64)
+                        has, cut = np.frombuffer(r["has"], bool), np.frombuffer(r["cuts"], np.int64)
                         qn, cn = norms(q, slices), norms(c, slices)
                         block = bounds(q, qn, np.frombuffer(r["middle"], np.float64)[None, :], np.frombuffer(r["radii"], np.float64)[None, :], slices)
                         go = np.flatnonzero(allowed(block, np.where(has, cut, 0))[:, 0] | ~has)
-                        made = len(go) * len(cid)
-                        head = partial_scores(q[go], c, slices, slice(0, 1))[0] if len(go) else None
-                        for i, at in enumerate(go.tolist()):
-                            # sufficient entries: some list may reach cutoff / m, and the sum the cutoff
-                            near = head[i].astype(np.float64)
-                            rest = qn[at, 1:] * cn[:, 1:] * (1 + 1e-9) + 1e-6
-                            need = float(cut[at]) - 1e-9 * abs(float(cut[at])) if has[at] else -np.inf
-                            enough = (np.maximum(near, rest.max(1, initial=-np.inf)) * slices >= need) & (near + rest.sum(1) >= need)
-                            mine = np.flatnonzero(enough & (cid != qid[at]))
-                            if not len(mine):
-                                continue
-                            total = head[i][mine]
-                            for p in partial_scores(q[at : at + 1], c[mine], slices, slice(1, None)):
-                                total = total + p[0]
-                            total = clipped(total)
-                            if has[at]:
-                                stay = total >= cut[at]
-                                mine, total = mine[stay], total[stay]
-                            top = best(total, cid[mine], k)
-                            qs.append(np.full(len(top), qid[at]))
-                            vs.append(cid[mine[top]])
-                            ss.append(total[top])
+                        if not len(go):
+                            continue
+                        q, qn, has, cut = q[go], qn[go], has[go], cut[go]
+                        total, valid = resolve(q, c, qn, cn, has, cut, slices)
+                    made = total.size
+                    valid &= cid[None, :] != qid[go][:, None]
+                    row, column = best(total, valid, k)
                     if counter is not None:
                         counter.add(made)
-                    join = lambda parts: pa.array(np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([join(qs), join(vs), join(ss)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[go][row]), pa.array(cid[column]), pa.array(total[row, column])], names=["query_id", "vec_id", "score"])
 
         return run
 
