@@ -9,7 +9,8 @@ import zipfile
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -69,6 +70,39 @@ class Workspace:
         hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+class Sieve:
+    """Bits of the hashes of a column of ids: rows whose id is not among them pass by without a shuffle.
+
+    The bitmaps take at most MAX_BITS bits (64 MB), whatever the number of ids, so they may be
+    broadcast.  With more ids than bits the sieve holds ever more of the others too, which then
+    take part in the exact join that has to follow.
+    """
+
+    MAX_BITS = 1 << 29
+
+    def __init__(self, workspace: Workspace, ids: DataFrame, name: str):
+        """ids: a staged frame of one column."""
+        n, self.bits = ids.count(), 1 << 15
+        while self.bits < 16 * n and self.bits < self.MAX_BITS:
+            self.bits *= 2
+        place = self._place(F.col(ids.columns[0]))
+        maps = ids.select(F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place).alias("bit"))
+        self.maps = workspace.stage(maps.groupBy("__bucket").agg(F.bitmap_construct_agg("bit").alias("__bits")), name)
+
+    def _place(self, column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.bits))
+
+    def mark(self, df: DataFrame, column: str) -> DataFrame:
+        """df with __held: may the row's id be among the ids?"""
+        place = self._place(F.col(column))
+        at = F.bitmap_bit_position(place)
+        joined = df.withColumn("__at", F.bitmap_bucket_number(place)).join(F.broadcast(self.maps), F.col("__at") == F.col("__bucket"), "left")
+        byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+        power = F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8 + 1).cast("int"))
+        held = F.col(column).isNotNull() & F.coalesce(F.floor(byte / power) % 2 == 1, F.lit(False))
+        return joined.withColumn("__held", held).drop("__at", "__bucket", "__bits")
+
+
 class WordHash(dict):
     """word -> 64-bit hash; frequent words are looked up, the table is emptied when it is full."""
 

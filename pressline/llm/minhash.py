@@ -39,11 +39,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressline.llm.common import WordHash, Workspace, mix64, ship, window_hashes
+from pressline.llm.common import Sieve, WordHash, Workspace, mix64, ship, window_hashes
 
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 SHINGLE = 5
+JUMPS = 3
 _BIN_BITS, _ROUND_BITS = np.uint64(8), np.uint64(9)
 _HASH_BITS = np.uint64(64 - 8 - 9)
 _HASH_MASK = np.uint64((1 << 47) - 1)
@@ -133,13 +134,15 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame | None:
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parent = ws.stage(both.groupBy("u").agg(F.min("v").alias("p")).select(F.col("u").alias("node"), F.least("u", "p").alias("root")), f"{name}-p{level}-0")
-        jump = 0
-        while True:
+        for jump in range(1, 64):  # each round of three makes the paths an eighth as long
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            jump += 1
-            moved = ws.stage(parent.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") < F.col("root")).alias("moved")), f"{name}-p{level}-{jump}")
-            parent = moved.drop("moved")
-            if moved.filter("moved").isEmpty():
+            moved = parent
+            for _ in range(JUMPS):
+                moved = moved.join(up, "root").select("node", F.col("top").alias("root"))
+            moved = moved.join(up, "root").select("node", "root", (F.col("top") < F.col("root")).alias("short"))
+            moved = ws.stage(moved, f"{name}-p{level}-{jump}")
+            parent = moved.drop("short")
+            if moved.filter("short").isEmpty():
                 break
         if whole is None:
             whole = parent
@@ -176,8 +179,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ws.drop("bands")
     # what a node's buckets hold together: the member that most others are near to has the most
     nodes = ws.stage(active.groupBy("node").agg(F.sum("c").alias("weight")), "nodes")
-    # texts are shuffled by id at every size: a broadcast of ids would grow with the candidates
-    mine = df.select(id_col, text_col).hint("merge").join(nodes, F.col(id_col) == F.col("node"), "left_semi")
+    # texts that may be candidates join the others by id; a broadcast of ids would grow with the candidates
+    likely = Sieve(ws, nodes.select("node"), "sieve").mark(df.select(id_col, text_col), id_col).filter("__held").select(id_col, text_col)
+    mine = likely.hint("merge").join(nodes, F.col(id_col) == F.col("node"), "left_semi")
     sets = ws.stage(shingle_sets(mine, id_col, text_col, shingle), "sets")
     near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
 

@@ -516,6 +516,48 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(tuple, cp.run(spark, str(tmp_path)).collect()), key=str) == sorted(map(tuple, seen["encode"]), key=str)
 
 
+def test_sieve_holds_its_ids_and_few_others(spark, ws):
+    from pressline.llm.common import Sieve
+
+    rng = random.Random(30)
+    ids = {rng.randrange(10**12) for _ in range(3000)}
+    others = {rng.randrange(10**12) for _ in range(20000)} - ids
+    held = Sieve(ws, spark.createDataFrame([(i,) for i in ids], "node long"), "s")
+    df = spark.createDataFrame([(i, i in ids) for i in ids | others] + [(None, False)], "doc_id long, there boolean")
+    got = {(r["there"], r["__held"]): r["count"] for r in held.mark(df, "doc_id").groupBy("there", "__held").count().collect()}
+    assert got[True, True] == len(ids) and (True, False) not in got and got[False, True] < 0.1 * len(others)
+    none = Sieve(ws, spark.createDataFrame([], "node long"), "none")
+    assert none.mark(df, "doc_id").filter("__held").count() == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)]])
+def test_pipeline_of_nothing(spark, tmp_path, rows):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_mixing_of_hot_and_missing_ids(spark, ws):
+    """A third of the rows with one id, another with none: equal rows get equal shares, the words are right but for the group at the cut."""
+    docs = [(5, "a b c", "s")] * 300 + [(None, f"w{i} x", "s") for i in range(300)] + [(1000 + i, "d e", "s" if i % 2 else "t") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mix(df, workspace=ws).collect()
+    assert len(rows) == len(docs) and len({(r["size"], r["taken"]) for r in rows if r["doc_id"] == 5}) == 1
+    assert sum(r["taken"] > r["epochs"] * r["size"] for r in rows if r["doc_id"] is None) not in (0, 300)
+    sources = {(r["source_size"], r["target"]) for r in rows}
+    taken = defaultdict(int)
+    for r in rows:
+        taken[r["source_size"]] += r["taken"]
+    assert all(0 <= math.floor(t) - taken[s] <= 300 for s, t in sources)
+    copies = defaultdict(int)
+    for r in mixing.repeat(df, workspace=ws).collect():
+        copies[r["source"]] += len(r["text"].split())
+    size = {s: sum(len(t.split()) for _, t, x in docs if x == s) for s in "st"}
+    assert all(abs(copies[s] - dict(sources)[size[s]]) <= 450 for s in "st")
+
+
 def test_work_folders_need_a_shared_place_on_a_cluster(spark):
     from pressline.llm.common import Workspace
 
