@@ -1,12 +1,18 @@
 """Corpus pipeline: documents in, token statistics of the mixed corpus out.
 
-Texts join decisions by id in shuffles at every size, as a broadcast of ids would grow with the
-corpus.
-
 Five stages, each an operator of ``pressline.llm`` whose decisions take effect: rejected
 documents go, one document of each group of near copies stays, secrets are masked, sources are
 mixed (documents repeat or drop out), and what is left is encoded.  All but the last return the
 columns of documents; every stage's result is written as Parquet before the next one reads it.
+
+Texts stay where they are but for those that are, or by a bounded sieve of hashed ids may be,
+near copies: these join decisions by id in shuffles at every size, as a broadcast of ids would
+grow with the corpus.
+
+Defined cases, for each stage those of its operator and: null and empty texts have no words, so
+the quality rules reject them; very long texts pass whole; rows that repeat an id are one
+document from near_dedup on; ties and equal rows get equal decisions; rows without an id stay
+apart; columns beyond those of documents are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressline.llm import bpe, minhash, mixing, quality, secret_scan
-from pressline.llm.common import Workspace
+from pressline.llm.common import Sieve, Workspace
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,19 +39,18 @@ def near_dedup(spark, docs, sf_dir):
     """One document of each group of near copies: the one with the smallest id.
 
     Rows that repeat an id are one document and leave one row (the smallest); rows without an
-    id can't be told apart by it and all stay.
+    id can't be told apart by it and all stay.  Only rows that a sieve holds for copies are
+    shuffled.
     """
     ws = Workspace(spark, "pipeline-dedup")
     marked = minhash.near_duplicates(docs, shingle=minhash.SHINGLE, percent=80, workspace=ws)
-    kept = ws.stage(marked.filter("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    stay = _documents(docs.hint("merge").join(kept, same, "left_semi"))
-    again = kept.filter("n > 1 AND __id IS NOT NULL")
-    if again.isEmpty():
-        return stay
+    per = marked.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("n"))
+    copies = ws.stage(per.filter("NOT __kept OR n > 1").select("__id", "__kept"), "copies")
+    held = Sieve(ws, copies.select("__id"), "copies-sieve").mark(_documents(docs), "doc_id")
+    told = held.filter("__held").hint("merge").join(copies, F.col("doc_id") == F.col("__id"), "left")
     first = F.min(F.struct(*COLUMNS[1:])).alias("row")
-    one = stay.join(again, same, "left_semi").groupBy("doc_id").agg(first).select("doc_id", "row.*")
-    return stay.join(again, same, "left_anti").unionByName(one)
+    again = told.filter("__kept").groupBy("doc_id").agg(first).select("doc_id", "row.*")
+    return _documents(held.filter("NOT __held")).unionByName(_documents(told.filter("__id IS NULL"))).unionByName(_documents(again))
 
 
 def secret_scans(spark, docs, sf_dir):
@@ -55,11 +60,7 @@ def secret_scans(spark, docs, sf_dir):
 
 def mix_sources(spark, docs, sf_dir):
     """Documents as often as the mix takes them."""
-    ws = Workspace(spark, "pipeline-mix")
-    mixed = mixing.mix(docs, workspace=ws).select(F.col("doc_id").alias("__id"), mixing.copies().alias("copies")).filter("copies > 0")
-    mixed = ws.stage(mixed.groupBy("__id").agg(F.max("copies").alias("copies")), "copies")
-    many = docs.hint("merge").join(mixed, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return _documents(many)
+    return mixing.repeat(_documents(docs), workspace=Workspace(spark, "pipeline-mix"))
 
 
 def encode(spark, docs, sf_dir):
