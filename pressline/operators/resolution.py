@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressline.functions import exchange, names
 
 NEAR_TIE = 0.05
-# Passes in order and the confidence of each.
-PASSES = (("directory", 0.95), ("scoped_id", 0.7), ("rename", 0.8), ("directory_name", 0.9), ("bare_ticker", 0.75), ("name_search", 0.5), ("asserted_us", 0.6))
-
 
 def ticker_candidates(companies: DataFrame, directory: DataFrame) -> DataFrame:
     """Directory rows under any spelling of a company's ticker; variant 0 is the ticker as given."""
@@ -55,24 +50,16 @@ def _alias_blocks() -> dict[str, str]:
     return {k: ",".join(v) for k, v in out.items()}
 
 
-def best_candidate(candidates: DataFrame) -> DataFrame:
-    """One candidate per company (score, quality, symbol): among those within 0.05 of the best score the best quality, then score, then symbol.
+def best_candidate(candidates: DataFrame, by=("company_id",), last: str = "symbol") -> DataFrame:
+    """One candidate for each value of by (score, quality, last): among those within 0.05 of the best score the best quality, then score, then last.
 
     The near-tie rule taken pairwise is no order; this is its closest total one.
     """
+    by = list(by)
     ok = candidates.filter((F.col("score") >= names.MATCH_AT) & (F.col("quality") >= 0))
-    top = ok.withColumn("top", F.max("score").over(Window.partitionBy("company_id"))).filter(F.col("score") > F.col("top") - NEAR_TIE)
-    place = F.row_number().over(Window.partitionBy("company_id").orderBy(F.col("quality").desc(), F.col("score").desc(), "symbol"))
-    return top.withColumn("place", place).filter("place = 1").drop("place", "top")
-
-
-def cascade(passes: list[tuple[int, DataFrame]], companies: DataFrame) -> DataFrame:
-    """First pass that finds something decides: candidates of all passes, one row per company by (pass, -score, symbol)."""
-    every = reduce(lambda a, b: a.unionByName(b), (df.select("company_id", "symbol", "exchange_code", "score", F.lit(n).alias("pass")) for n, df in passes))
-    place = F.row_number().over(Window.partitionBy("company_id").orderBy("pass", F.col("score").desc(), "symbol"))
-    won = every.withColumn("place", place).filter("place = 1").drop("place")
-    confidence = exchange.lookup(F.col("pass"), {i: c for i, (_, c) in enumerate(PASSES)})
-    return companies.select(F.col("id").alias("company_id")).join(won, "company_id", "left").withColumn("confidence", confidence).withColumn("resolution_status", F.when(F.col("symbol").isNotNull(), "resolved").otherwise("unresolved"))
+    top = ok.withColumn("top", F.max("score").over(Window.partitionBy(*by))).filter(F.col("score") > F.col("top") - NEAR_TIE)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("quality").desc(), F.col("score").desc(), last))
+    return top.withColumn("__n", place).filter("__n = 1").drop("__n", "top")
 
 
 def rename_accepted(left: Column, right: Column) -> Column:
@@ -90,18 +77,28 @@ def expand(primary: DataFrame, siblings: DataFrame, named: DataFrame, hints: Dat
     cols = ["company_id", "exchange_code", "symbol", "mic", "is_us", "is_primary", "confidence"]
     cap = primary.groupBy("company_id").agg(F.max("confidence").alias("cap"))
     rest = siblings.select(*cols).unionByName(named.select(*cols)).join(cap, "company_id").withColumn("confidence", F.least("confidence", "cap")).select(*cols)
-    lines = primary.select(*cols).unionByName(rest).groupBy("company_id", "exchange_code", "symbol").agg(F.max_by(F.struct("mic", "is_us"), F.struct("confidence", F.coalesce("mic", F.lit("")))).alias("b"), F.bool_or("is_primary").alias("marked"), F.max("confidence").alias("confidence"))
-    lines = lines.select("company_id", "exchange_code", "symbol", "b.mic", "b.is_us", "marked", "confidence").join(hints, "company_id", "left")
+    return joined_lines(primary.select(*cols).unionByName(rest), hints)
+
+
+def joined_lines(lines: DataFrame, hints: DataFrame) -> DataFrame:
+    """Equal lines put together, and one primary for each company (see expand); hints: company_id, hint_code."""
+    best = F.max_by(F.struct("mic", "is_us"), F.struct("confidence", F.coalesce("mic", F.lit("")))).alias("b")
+    once = lines.groupBy("company_id", "exchange_code", "symbol").agg(best, F.bool_or("is_primary").alias("marked"), F.max("confidence").alias("confidence"))
+    once = once.select("company_id", "exchange_code", "symbol", "b.mic", "b.is_us", "marked", "confidence").join(hints, "company_id", "left")
     rank = F.when(F.col("marked"), 0).when(F.col("exchange_code") == F.col("hint_code"), 1).when(F.col("is_us") & (F.col("mic") != "OOTC"), 2).otherwise(3)
     place = F.row_number().over(Window.partitionBy("company_id").orderBy(rank, F.col("confidence").desc(), "exchange_code", "symbol"))
-    return lines.withColumn("is_primary", place == 1).drop("marked", "hint_code")
+    return once.withColumn("is_primary", place == 1).drop("marked", "hint_code")
+
+
+def may_assert_us(companies: DataFrame) -> Column:
+    """Does the supplier say twice (hint and flag), with a plain ticker, that the company has a US line?"""
+    hinted = F.coalesce(exchange.hint_field(F.col("exchange_hint"), "country") == "US", F.lit(False))
+    return F.coalesce(hinted & F.coalesce(F.col("is_us_listed"), F.lit(False)) & F.col("ticker").rlike("^[A-Z][A-Z0-9]{0,5}$"), F.lit(False))
 
 
 def asserted_us(companies: DataFrame, lines: DataFrame) -> DataFrame:
     """Companies whose supplier says US twice (hint and flag) with a plain ticker, and that have no US line: one asserted line each, which becomes the sole primary."""
-    hinted = F.coalesce(exchange.hint_field(F.col("exchange_hint"), "country") == "US", F.lit(False))
-    may = companies.filter(hinted & F.coalesce(F.col("is_us_listed"), F.lit(False)) & F.col("ticker").rlike("^[A-Z][A-Z0-9]{0,5}$"))
-    none = may.join(lines.filter("is_us").select(F.col("company_id").alias("id")), "id", "left_anti")
+    none = companies.filter(may_assert_us(companies)).join(lines.filter("is_us").select(F.col("company_id").alias("id")), "id", "left_anti")
     return none.select(F.col("id").alias("company_id"), F.lit("US").alias("exchange_code"), F.col("ticker").alias("symbol"), exchange.hint_field(F.col("exchange_hint"), "mic").alias("mic"), F.lit(True).alias("is_us"), F.lit(True).alias("is_primary"), F.lit(0.5).alias("confidence"))
 
 

@@ -78,26 +78,39 @@ def _us_directory(spark, d):
     return _directory(Model(spark, d)).groupBy("mic").agg(F.count(F.lit(1)).alias("n"), F.min("venue_rank").cast("long").alias("rank"), F.bool_or("exchange_listed").alias("listed"), F.count_if(exchange.classify_security(_C("type"), _C("description")) == "adr").alias("adrs"))
 
 
-def _wanted(m):
-    """Companies to resolve: every fifth part, under its symbol or an unknown one."""
-    n = _C("p_partkey")
-    return m.table("part").filter(n % 5 == 0).select(n.alias("id"), F.when(n % 10 == 0, F.concat(F.lit("p"), (n % 700).cast("string"))).otherwise(F.concat(F.lit("Z"), n.cast("string"))).alias("ticker"), F.when(n % 20 == 0, F.col("p_name")).otherwise(F.concat(F.split(F.col("p_name"), " ")[0], F.lit(" works "), (n % 7).cast("string"))).alias("company_name"))
+def _resolution_tables(m):
+    """All parts as companies, as a directory of every third symbol and as identifiers on venues.
+
+    Names are two words of the part's name; a company's may be shortened, prolonged or changed in one word.
+    """
+    n, name = _C("p_partkey"), F.col("p_name")
+    one, two = F.split(name, " ")[0], F.split(name, " ")[1]
+    part = m.table("part")
+    hint = F.when(n % 5 == 1, "LSE").when(n % 5 == 2, "NYSE").when(n % 5 == 3, "XTRA").when(n % 5 == 4, "NOWHERE")
+    called = F.when(n % 4 == 1, F.concat(name, F.lit(" plc"))).when(n % 4 == 2, F.concat(one, F.lit(" brightwater"))).when(n % 4 == 3, F.concat(name, F.lit(" tavkozlesi overseas"))).otherwise(F.concat(F.lit("quillfeather "), n.cast("string")))
+    symbol = F.concat(F.lit("P"), n.cast("string"))
+    ticker = F.when(n % 7 == 6, F.concat(F.lit("Z"), n.cast("string"))).otherwise(F.lower(symbol))
+    companies = part.select(n.alias("id"), ticker.alias("ticker"), called.alias("company_name"), hint.alias("exchange_hint"), (n % 2 == 0).alias("is_us_listed"))
+    share = F.concat(F.lit("S"), F.floor(n / 2).cast("string"))
+    mic = F.when(n % 2 == 0, "XNYS").otherwise("OOTC")
+    directory = part.filter(n % 3 == 0).select(symbol.alias("symbol"), F.concat(F.lower(name), F.lit(" "), (n % 50).cast("string"), F.lit("x inc")).alias("description"), mic.alias("mic"), share.alias("share_class"), F.concat(F.lit("F"), n.cast("string")).alias("figi"), F.lit("Common Stock").alias("type"))
+    venue = F.when(n % 6 == 1, "LN").when(n % 6 == 2, "GY").when(n % 6 == 4, "SS").when(n % 6 == 5, "QQ").otherwise("JT")
+    ids = part.select(n.alias("place"), symbol.alias("symbol"), venue.alias("exchange_code"), name.alias("name"), F.lit("Common Stock").alias("type1"), F.when(n % 11 == 0, "Option").otherwise("Common Stock").alias("type2"), F.concat(F.lit("F"), n.cast("string")).alias("figi"), F.lit(None).cast("string").alias("composite"), share.alias("share_class"))
+    return companies, files.us_directory(directory, least=10), ids
 
 
-def _cascade_passes(m):
-    wanted, directory = _wanted(m), _directory(m)
-    by_ticker = resolution.ticker_candidates(wanted, directory).select(_C("id").alias("company_id"), "symbol", _C("mic").alias("exchange_code"), names.name_similarity(_C("company_name"), _C("description")).alias("score"), "company_name", "description")
-    cols = ["company_id", "symbol", "exchange_code", "score"]
-    exact = by_ticker.filter(_C("score") >= names.MATCH_AT)
-    renamed = by_ticker.filter((_C("score") < names.MATCH_AT) & resolution.rename_accepted(_C("company_name"), _C("description")))
-    named = resolution.name_candidates(wanted, directory).select(_C("id").alias("company_id"), "symbol", _C("mic").alias("exchange_code"), F.lit(1.0).alias("score"))
-    return wanted, [(0, exact.select(*cols)), (2, renamed.select(*cols)), (3, named)]
+def _cascade(spark, d):
+    from pressline.operators import cascade
 
+    companies, directory, ids = _resolution_tables(Model(spark, d))
+    return cascade.status(cascade.resolve(companies, directory, ids)).withColumn("confidence", F.round("confidence", 6))
 
-def _cascade(spark, d):
-    m = Model(spark, d)
-    wanted, passes = _cascade_passes(m)
-    return resolution.cascade(passes, wanted).select("company_id", "symbol", "pass", F.round("score", 6).alias("score"), "confidence", "resolution_status")
+
+def _cascade_lines(spark, d):
+    from pressline.operators import cascade
+
+    companies, directory, ids = _resolution_tables(Model(spark, d))
+    return cascade.resolve(companies, directory, ids).filter("symbol IS NOT NULL").select("company_id", "exchange_code", "symbol", "mic", "is_us", "is_primary", F.round("confidence", 6).alias("confidence"))
 
 
 def _best(spark, d):
@@ -398,6 +411,7 @@ FROM companies c WHERE is_active AND id % 9 <> 0 AND id % 40 <= 24 AND id % 40 >
     "us_symbol_directory": (_us_directory, """SELECT m AS mic, count(*) AS n, CAST(CASE m WHEN 'XNYS' THEN 0 WHEN 'XNAS' THEN 1 WHEN 'ARCX' THEN 2 WHEN 'OOTC' THEN 9 ELSE 8 END AS BIGINT) AS rank, m IN ('XNYS', 'XNAS', 'ARCX') AS listed, count(*) FILTER (WHERE p_type = 'PROMO') AS adrs
 FROM (SELECT *, CASE p_size % 6 WHEN 0 THEN 'XNYS' WHEN 1 THEN 'XNAS' WHEN 2 THEN 'OOTC' WHEN 3 THEN 'ARCX' ELSE 'XLON' END AS m FROM part) GROUP BY m"""),
     "resolution_cascade": (_cascade, None),
+    "resolution_lines": (_cascade_lines, None),
     "best_by_name_and_quality": (_best, sql("""WITH c AS (SELECT company_id, symbol, 0.5 + (id % 50) / 100.0::DOUBLE AS score, CASE WHEN exchange_code = 'SS' THEN 9 WHEN exchange_code = 'US' THEN 4 ELSE 3 END + CASE WHEN id % 4 = 0 THEN 2 ELSE 0 END + 1 AS quality FROM listings),
 t AS (SELECT *, max(score) OVER (PARTITION BY company_id) AS top FROM c WHERE score >= 0.6)
 SELECT company_id, symbol, round(score, 6) AS score, CAST(quality AS BIGINT) AS quality FROM t WHERE score > top - 0.05 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY quality DESC, score DESC, symbol) = 1""", "listings")),
