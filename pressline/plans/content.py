@@ -65,16 +65,16 @@ def _docs(spark, d):
 
 def _content_hash(spark, d):
     when = F.timestamp_seconds(F.lit(1704067200) + _C("doc_id") % 3 * 86400)
-    return _docs(spark, d).select("doc_id", hashing.content_hash(F.substring("text", 1, 80), when).alias("content_hash"))
+    return _docs(spark, d).select("doc_id", hashing.content_hash(F.substring_index("text", "\n", 1), when).alias("content_hash"))
 
 
 def _syndicated(spark, d):
-    h = _docs(spark, d).select("doc_id", text.normalize_headline(F.substring("text", 1, 80)).alias("headline"))
+    h = _docs(spark, d).select("doc_id", text.normalize_headline(F.substring_index("text", "\n", 1)).alias("headline"))
     return h.groupBy("headline").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).filter("copies > 1")
 
 
 def _exact_headline(spark, d):
-    return _docs(spark, d).select("doc_id", text.exact_headline(F.substring("text", 1, 80)).alias("headline"))
+    return _docs(spark, d).select("doc_id", text.exact_headline(F.substring_index("text", "\n", 1)).alias("headline"))
 
 
 def _plain(spark, d):
@@ -93,7 +93,7 @@ def _preview(spark, d):
 
 
 def _titles(spark, d):
-    t = F.concat(F.substring("text", 1, 30), F.when(_C("doc_id") % 2 == 0, F.concat(F.lit(" - "), _C("source"))).otherwise(""))
+    t = F.concat(F.substring_index("text", "\n", 1), F.when(_C("doc_id") % 2 == 0, F.concat(F.lit(" - "), _C("source"))).otherwise(""))
     return _docs(spark, d).select("doc_id", text.title_source(t).alias("publisher"), text.title_without_source(t).alias("headline"))
 
 
@@ -122,18 +122,17 @@ def _normalize(spark, d):
     return _companies(spark, d).select("id", names.normalize_name(_C("name")).alias("key"))
 
 
-def _distinct_names(spark, d, upto):
-    c = _companies(spark, d).groupBy("name").agg(F.min("id").alias("id")).filter(_C("id") < upto)
-    return c
+def _distinct_names(spark, d):
+    return _companies(spark, d).groupBy("name").agg(F.min("id").alias("id"))
 
 
 def _similar(spark, d):
-    c = _distinct_names(spark, d, 150)
+    c = _distinct_names(spark, d)
     return resolution.similar(c.select(_C("id").alias("lid"), _C("name").alias("lname")), c.select(_C("id").alias("rid"), _C("name").alias("rname"))).select("lid", "rid", F.round("similarity", 9).alias("similarity"))
 
 
 _SIMILAR = f"""WITH {_NAMES}, {_NORMAL},
-u AS (SELECT min(id) AS id, key, name FROM normal GROUP BY key, name), n AS (SELECT id, key, string_split(key, ' ') AS t FROM u WHERE id < 150),
+u AS (SELECT min(id) AS id, key, name FROM normal GROUP BY key, name), n AS (SELECT id, key, string_split(key, ' ') AS t FROM u),
 p AS (SELECT a.id AS lid, b.id AS rid, a.key AS ka, b.key AS kb, len(list_distinct(a.t)) AS na, len(list_distinct(b.t)) AS nb, CASE WHEN len(a.t) <= len(b.t) THEN a.t ELSE b.t END AS s, CASE WHEN len(a.t) <= len(b.t) THEN b.t ELSE a.t END AS l FROM n a, n b),
 h AS (SELECT *, list_sum(list_transform(list_distinct(s), lambda w: CASE WHEN list_contains(l, w) THEN 1.0::DOUBLE WHEN length(w) < 3 OR len(s) < 2 THEN 0.0
   WHEN w = s[-1] THEN CASE WHEN len(list_filter(l, lambda o: length(o) >= 3 AND (starts_with(o, w) OR starts_with(w, o)))) > 0 THEN 0.85 ELSE 0.0 END
@@ -183,11 +182,11 @@ def _stories(spark, d):
     """Documents as stories about a company whose name is taken from parts, some of them naming it."""
     name = F.concat(F.element_at(F.array(F.lit("Red Widget Corp"), F.lit("Orange plc"), F.lit("3M Co"), F.lit("Holding AG")), (_C("doc_id") % 4 + 1).cast("int")))
     lead = F.when(_C("doc_id") % 3 == 0, "Orange earnings: red 3m ").when(_C("doc_id") % 3 == 1, "A widget in Red and orange, ").otherwise("")
-    return _source(spark, d).select("doc_id", name.alias("company"), F.concat(lead, F.substring("text", 1, 40)).alias("headline"), "src", F.when(_C("doc_id") % 5 == 0, "ticker").otherwise("name_match").alias("method"))
+    return _source(spark, d).select("doc_id", name.alias("company"), F.concat(lead, F.substring_index("text", "\n", 1)).alias("headline"), "src", F.when(_C("doc_id") % 5 == 0, "ticker").otherwise("name_match").alias("method"))
 
 
 _STORIES = f"""stories AS (SELECT doc_id, (['Red Widget Corp', 'Orange plc', '3M Co', 'Holding AG'])[CAST(doc_id % 4 + 1 AS INTEGER)] AS company, (['red,widget', 'orange', '3m', ''])[CAST(doc_id % 4 + 1 AS INTEGER)] AS tk,
-  CASE doc_id % 3 WHEN 0 THEN 'Orange earnings: red 3m ' WHEN 1 THEN 'A widget in Red and orange, ' ELSE '' END || substr(text, 1, 40) AS headline, {_SRC} AS src, CASE WHEN doc_id % 5 = 0 THEN 'ticker' ELSE 'name_match' END AS method FROM documents),
+  CASE doc_id % 3 WHEN 0 THEN 'Orange earnings: red 3m ' WHEN 1 THEN 'A widget in Red and orange, ' ELSE '' END || split_part(text, chr(10), 1) AS headline, {_SRC} AS src, CASE WHEN doc_id % 5 = 0 THEN 'ticker' ELSE 'name_match' END AS method FROM documents),
 w AS (SELECT *, list_filter(string_split(tk, ','), lambda t: t <> '') AS toks, regexp_split_to_array(lower(headline || ' '), '[^a-z0-9_]+') AS ws, regexp_matches(headline || ' ', '(?i){relevance.FINANCE}') AS biz FROM stories),
 v AS (SELECT *, len(toks) AS n, len(list_filter(toks, lambda t: list_contains(ws, t))) AS p FROM w),
 x AS (SELECT *, CASE WHEN n >= 2 THEN p >= 2 ELSE n = 1 AND p > 0 AND biz END AS ok, CASE WHEN n = 0 THEN 'company name has no distinctive tokens' WHEN n >= 2 AND p >= 2 THEN 'matched ' || p || '/' || n || ' name tokens' WHEN n >= 2 THEN 'only ' || p || '/' || n || ' name tokens present'
@@ -253,13 +252,13 @@ QUERIES = {
 SELECT page_id, dead, FALSE AS wrapper, NOT dead AS readable, starts_with(url, 'https:') AS public_https FROM d"""),
     "tracking_param_report": (_tracking, f"""WITH q AS (SELECT unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) AS p FROM pages) SELECT split_part(p, '=', 1) AS name, count(*) AS n, bool_or(regexp_matches(split_part(p, '=', 1), '(?i){_TRACK}')) AS tracking FROM q WHERE p <> '' GROUP BY 1"""),
     "redacted_urls": (_redacted, "SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'token=REDACTED&x=1' AS shown, 'failed: api_key=REDACTED' AS message FROM pages WHERE NOT contains(url, '#')"),
-    "headline_content_hash": (_content_hash, r"""SELECT doc_id, substr(sha256('content:' || trim(regexp_replace(regexp_replace(lower(strip_accents(substr(text, 1, 80))), '[‘’“”]', '''', 'g'), '[^\p{L}\p{N}'']+', ' ', 'g')) || ':2024-01-0' || (1 + doc_id % 3)), 1, 40) AS content_hash FROM documents"""),
-    "syndicated_duplicates": (_syndicated, r"""SELECT trim(regexp_replace(regexp_replace(lower(strip_accents(substr(text, 1, 80))), '[‘’“”]', '''', 'g'), '[^\p{L}\p{N}'']+', ' ', 'g')) AS headline, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1"""),
-    "headline_full_decomposition": (_exact_headline, r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(substr(text, 1, 80))), '[‘’“”]', '''', 'g'), '[^\p{L}\p{N}'']+', ' ', 'g')) AS headline FROM documents"""),
+    "headline_content_hash": (_content_hash, r"""SELECT doc_id, substr(sha256('content:' || trim(regexp_replace(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[‘’“”]', '''', 'g'), '[^\p{L}\p{N}'']+', ' ', 'g')) || ':2024-01-0' || (1 + doc_id % 3)), 1, 40) AS content_hash FROM documents"""),
+    "syndicated_duplicates": (_syndicated, r"""SELECT trim(regexp_replace(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[‘’“”]', '''', 'g'), '[^\p{L}\p{N}'']+', ' ', 'g')) AS headline, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1"""),
+    "headline_full_decomposition": (_exact_headline, r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[‘’“”]', '''', 'g'), '[^\p{L}\p{N}'']+', ' ', 'g')) AS headline FROM documents"""),
     "html_plain_text": (_plain, f"WITH {_PLAIN} SELECT page_id, trim(t, ' ' || chr(10)) AS text FROM t5"),
     "preview_and_reading_time": (_preview, r"""WITH p AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), q AS (SELECT *, CASE WHEN contains(substr(t, 1, 700), ' ') THEN length(substr(t, 1, 700)) - strpos(reverse(substr(t, 1, 700)), ' ') ELSE -1 END AS sp FROM p)
 SELECT doc_id, CASE WHEN t = '' THEN NULL WHEN length(t) <= 700 THEN t ELSE rtrim(substr(t, 1, CASE WHEN sp > 500 THEN sp ELSE 699 END)) || '…' END AS preview, greatest(1, CAST(ceil(len(string_split(t, ' ')) / 200.0) AS BIGINT)) AS minutes FROM q"""),
-    "title_publishers": (_titles, r"""WITH t AS (SELECT doc_id, substr(text, 1, 30) || CASE WHEN doc_id % 2 = 0 THEN ' - ' || source ELSE '' END AS t FROM documents) SELECT doc_id, nullif(regexp_extract(t, '\s+-\s+([^-]{2,40})$', 1), '') AS publisher, trim(regexp_replace(t, '\s+-\s+([^-]{2,40})$', '')) AS headline FROM t"""),
+    "title_publishers": (_titles, r"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) || CASE WHEN doc_id % 2 = 0 THEN ' - ' || source ELSE '' END AS t FROM documents) SELECT doc_id, nullif(regexp_extract(t, '\s+-\s+([^-]{2,40})$', 1), '') AS publisher, trim(regexp_replace(t, '\s+-\s+([^-]{2,40})$', '')) AS headline FROM t"""),
     "topic_tags": (_topics, "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'earnings,inflation' WHEN 1 THEN 'regulation' ELSE 'markets' END AS topics, CASE WHEN doc_id % 4 = 0 THEN 'inflation' ELSE 'regulation' END AS official FROM documents"),
     "name_normalize": (_normalize, f"WITH {_NAMES}, {_NORMAL} SELECT id, key FROM normal"),
     "name_similarity_pairs": (_similar, _SIMILAR),

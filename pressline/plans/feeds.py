@@ -80,7 +80,7 @@ def _velocity(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     m = Model(spark, sf_dir)
-    few = m.links.filter("company_id % 4 <> 0")
+    few = m.links.withColumn("company_id", F.col("company_id") - (F.col("company_id") % 4 == 0).cast("int"))
     return reads.fetch_candidates(m.companies, m.listings.filter("is_primary"), few, limit=30).select("id", "has_news", "symbols")
 
 
@@ -159,7 +159,7 @@ FROM companies c WHERE c.is_active""", "companies", "listings", "links", "articl
     "refresh_tier_membership": (_velocity, sql(f"""WITH r AS (SELECT company_id, count(*) AS n FROM links l JOIN articles a ON a.id = l.article_id WHERE published_at > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND published_at <= TIMESTAMP '{AS_OF}' GROUP BY 1),
 v AS (SELECT id, coalesce(n, 0) AS recent, id % 3 <> 0 AS fetched FROM companies LEFT JOIN r ON r.company_id = id WHERE is_active)
 SELECT id, recent, recent >= 21 AS hot, (recent BETWEEN 3 AND 20) OR NOT fetched AS active, recent <= 2 AND fetched AS quiet FROM v""", "companies", "links", "articles")),
-    "fetch_candidates_unserved_first": (_candidates, sql("""SELECT c.id, EXISTS (SELECT 1 FROM links l WHERE l.company_id = c.id AND l.company_id % 4 <> 0) AS has_news,
+    "fetch_candidates_unserved_first": (_candidates, sql("""SELECT c.id, EXISTS (SELECT 1 FROM links l WHERE l.company_id - CAST(l.company_id % 4 = 0 AS INTEGER) = c.id) AS has_news,
   (SELECT string_agg(symbol, ',' ORDER BY is_primary DESC, confidence DESC, id) FROM listings s WHERE s.company_id = c.id AND is_primary) AS symbols
 FROM companies c WHERE is_active AND resolution_status = 'resolved' ORDER BY has_news, id LIMIT 30""", "companies", "listings", "links")),
     "unmatched_requests": (_unmatched, sql("""WITH q AS (SELECT lower(ticker) AS ticker FROM companies UNION ALL SELECT n_name FROM nation)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 AS_OF = "2001-06-01 00:00:00"
 DAY = "2024-01-15 00:00:00"
+AFTER = "2024-02-01 00:00:00"
 
 
 class Model:
@@ -80,7 +81,7 @@ class Model:
         when = F.timestamp_seconds(F.lit(1704067200) + (d * 97 % 86400) * 60)
         rights = F.struct((d % 3 != 0).alias("bodyAllowed"), (d % 5 == 0).alias("imageAllowed"))
         return self.table("documents").select(
-            F.lpad(d.cast("string"), 9, "0").alias("id"), F.col("source").alias("provider_id"), F.substring("text", 1, 60).alias("headline"), F.when(d % 4 != 0, F.substring("text", 1, 150)).alias("summary"), F.when(d % 6 != 0, F.col("text")).alias("body"), when.alias("published_at"),
+            F.lpad(d.cast("string"), 9, "0").alias("id"), F.col("source").alias("provider_id"), F.substring_index("text", "\n", 1).alias("headline"), F.when(d % 4 != 0, F.col("text")).alias("summary"), F.when(d % 6 != 0, F.col("text")).alias("body"), when.alias("published_at"),
             F.array("lang", F.when(d % 9 == 0, "inflation").otherwise("markets")).alias("topics"), F.when(d % 23 == 0, "macro").alias("genre"), rights.alias("rights"), (d % 17 == 0).alias("deleted"), F.concat(F.lit("https://Img.example.org/"), d.cast("string"), F.lit(".png")).alias("image_url"), (d % 3 + 1).alias("revision"),
         )
 
@@ -121,8 +122,8 @@ CTES = {
   CAST(json_extract(props, '$.k') AS BIGINT) AS articles_new, event_id % 500 AS ms, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS started_at, ts AS at_ts,
   'p' || (event_id % 3) AS p1, CASE event_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_news' ELSE 'error' END AS second FROM events)""",
     "run_rows": """run_rows AS (SELECT * FROM run_events QUALIFY row_number() OVER (PARTITION BY run_id, company_id ORDER BY seq DESC) = 1)""",
-    "v2": """v2 AS (SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id, doc_id, source AS provider_id, substr(text, 1, 60) AS headline,
-  CASE WHEN doc_id % 4 <> 0 THEN substr(text, 1, 150) END AS summary, CASE WHEN doc_id % 6 <> 0 THEN text END AS body,
+    "v2": """v2 AS (SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id, doc_id, source AS provider_id, split_part(text, chr(10), 1) AS headline,
+  CASE WHEN doc_id % 4 <> 0 THEN text END AS summary, CASE WHEN doc_id % 6 <> 0 THEN text END AS body,
   to_timestamp(1704067200 + (doc_id * 97 % 86400) * 60)::TIMESTAMP AS published_at, [lang, CASE WHEN doc_id % 9 = 0 THEN 'inflation' ELSE 'markets' END] AS topics,
   CASE WHEN doc_id % 23 = 0 THEN 'macro' END AS genre, doc_id % 3 <> 0 AS body_allowed, doc_id % 5 = 0 AS image_allowed, doc_id % 17 = 0 AS deleted, doc_id % 3 + 1 AS revision FROM documents)""",
     "v2_status": """v2_status AS (SELECT source AS provider_id, n % 5 <> 0 AS enabled, n % 7 <> 0 AS configured, n % 2 = 0 AS free, n % 3 = 0 AS full_text_enabled

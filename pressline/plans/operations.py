@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pressline.functions import url
 from pressline.operators import analytics as an
 from pressline.operators import state
-from pressline.plans.model import DAY, Model, sql
+from pressline.plans.model import AFTER, DAY, Model, sql
 
 
 def _day():
@@ -31,10 +31,20 @@ def _rows(spark, d):
     return an.run_company_rows(m.run_rows, m.companies, 3, "error", 20, 5)
 
 
+def _us_lines(m, only: str):
+    """All listings; a line is a domestic one only where the condition holds too."""
+    return m.listings.withColumn("is_us", F.col("is_us") & F.expr(only))
+
+
+def _uneven_links(m, every: int):
+    """All links; those of the companies whose id every divides into go to the company before, so they have no news."""
+    return m.links.withColumn("company_id", F.col("company_id") - F.when(F.col("company_id") % every == every - 1, 1).otherwise(0))
+
+
 def _connectivity(spark, d):
     m = Model(spark, d)
-    answers = an.latest_answers(m.run_rows, m.listings.filter("id % 7 = 0"), _day())
-    return an.connectivity(m.companies, m.links.filter("company_id % 2 = 0"), answers)
+    answers = an.latest_answers(m.run_rows, m.listings, _day())
+    return an.connectivity(m.companies, _uneven_links(m, 2), answers)
 
 
 def _latest_outcome(spark, d):
@@ -44,12 +54,12 @@ def _latest_outcome(spark, d):
 
 def _segments(spark, d):
     m = Model(spark, d)
-    return an.segment_shares(m.companies, m.listings.filter("company_id % 3 = 0 OR NOT is_us"))
+    return an.segment_shares(m.companies, _us_lines(m, "company_id % 3 = 0"))
 
 
 def _segment_ladders(spark, d):
     m = Model(spark, d)
-    f = an.flagged(m.companies, m.listings.filter("company_id % 3 = 0 AND (id % 11 = 0 OR mic = 'OOTC')"))
+    f = an.flagged(m.companies, _us_lines(m, "company_id % 3 = 0 AND (id % 11 = 0 OR mic = 'OOTC')"))
     return f.select("id", an.metric_segment().alias("metric"), an.evaluation_segment().alias("evaluation"), an.probe_segment().alias("probe"))
 
 
@@ -72,7 +82,7 @@ def _bands(spark, d):
 
 def _coverage(spark, d):
     m = Model(spark, d)
-    return an.coverage_stats(m.companies, m.links.filter("company_id % 3 <> 0"))
+    return an.coverage_stats(m.companies, _uneven_links(m, 3))
 
 
 def _native(spark, d):
@@ -90,7 +100,7 @@ def _domains(spark, d):
 
 def _gaps(spark, d):
     m = Model(spark, d)
-    return an.coverage_gaps(m.companies, m.listings.filter("company_id % 3 <> 1 OR NOT is_us"), m.links.filter("company_id % 2 = 0"))
+    return an.coverage_gaps(m.companies, _us_lines(m, "company_id % 3 <> 1"), _uneven_links(m, 2))
 
 
 def _gap_counts(spark, d):
@@ -99,13 +109,13 @@ def _gap_counts(spark, d):
 
 def _sample(spark, d):
     m = Model(spark, d)
-    seg = an.flagged(m.companies.filter("is_active"), m.listings.filter("company_id % 3 = 0")).select("id", "ticker", an.evaluation_segment().alias("segment"))
+    seg = an.flagged(m.companies.filter("is_active"), _us_lines(m, "company_id % 3 = 0")).select("id", "ticker", an.evaluation_segment().alias("segment"))
     return an.stratified_sample(seg, "segment", "id", 4, "0.42:").select("segment", "ticker", "place")
 
 
 def _evaluation(spark, d):
     m = Model(spark, d)
-    seg = an.flagged(m.companies, m.listings.filter("company_id % 3 = 0")).select(F.col("id").alias("company_id"), an.evaluation_segment().alias("segment"))
+    seg = an.flagged(m.companies, _us_lines(m, "company_id % 3 = 0")).select(F.col("id").alias("company_id"), an.evaluation_segment().alias("segment"))
     return an.evaluation(m.run_events.join(seg, "company_id"))
 
 
@@ -131,7 +141,7 @@ def _costs(spark, d):
 
 
 def _book(spark, d):
-    li = Model(spark, d).table("lineitem").filter("l_orderkey < 200")
+    li = Model(spark, d).table("lineitem")
     item = F.struct(F.struct(F.col("l_extendedprice").cast("string").alias("value"), F.lit("USD").alias("currency")).alias("px"), F.col("l_quantity").cast("string").alias("qty"))
     tie = F.struct(F.col("l_extendedprice"), F.col("l_quantity"), item.alias("x"))
     b = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.when(F.col("l_linestatus") == "O", tie))).alias("b"), F.array_sort(F.collect_list(F.when(F.col("l_linestatus") == "F", tie))).alias("o"))
@@ -157,8 +167,8 @@ def _two_windows(spark, d):
 
 
 def _stale(spark, d):
-    runs = Model(spark, d).run_rows.groupBy("run_id").agg(F.max("at").alias("finished_at")).filter("run_id <= 12")
-    return an.staleness(runs, DAY)
+    runs = Model(spark, d).run_rows.groupBy("run_id").agg(F.max("at").alias("finished_at"))
+    return an.staleness(runs, AFTER)
 
 
 def _fetch_state(spark, d):
@@ -180,16 +190,16 @@ def _cascade(spark, d):
     return rows.groupBy(state.cascade_outcome(F.col("provider_attempts"), F.array(F.lit("p0"), F.lit("p1"))).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_LATEST = f"""since AS (SELECT company_id, max(resolved_at) AS since FROM listings WHERE id % 7 = 0 GROUP BY 1),
+_LATEST = f"""since AS (SELECT company_id, max(resolved_at) AS since FROM listings GROUP BY 1),
 ans AS (SELECT r.company_id, run_id, started_at, CASE WHEN outcome IN ('ok', 'no_news', 'skipped') THEN outcome WHEN second IN ('ok', 'no_news') THEN second END AS answer FROM run_rows r),
 latest AS (SELECT a.company_id, answer FROM ans a LEFT JOIN since s USING (company_id) WHERE answer IS NOT NULL AND started_at > coalesce(since, TIMESTAMP '{DAY}' - INTERVAL 14 DAY) QUALIFY row_number() OVER (PARTITION BY a.company_id ORDER BY run_id DESC) = 1)"""
-_FLAGS = """f AS (SELECT company_id, bool_or(is_us) AS us, bool_or(is_us AND mic <> 'OOTC') AS us_exchange, bool_or(is_us AND is_primary) AS us_primary FROM listings WHERE {0} GROUP BY 1),
+_FLAGS = """f AS (SELECT company_id, bool_or(is_us) AS us, bool_or(is_us AND mic <> 'OOTC') AS us_exchange, bool_or(is_us AND is_primary) AS us_primary FROM (SELECT * REPLACE (is_us AND ({0}) AS is_us) FROM listings) GROUP BY 1),
 g AS (SELECT c.*, coalesce(us, FALSE) AS us, coalesce(us_exchange, FALSE) AS us_exchange, coalesce(us_primary, FALSE) AS us_primary FROM companies c LEFT JOIN f ON f.company_id = c.id)"""
 _METRIC = "CASE WHEN resolution_status <> 'resolved' THEN 'unresolved' WHEN us_exchange THEN 'US exchange listing' WHEN us THEN 'US OTC line only' ELSE 'no US line' END"
 _EVAL = "CASE WHEN resolution_status <> 'resolved' THEN 'unresolved' WHEN NOT us THEN 'no_us_line' WHEN NOT us_exchange THEN 'us_otc_only' ELSE 'us_exchange_control' END"
 _PROBE = "CASE WHEN resolution_status <> 'resolved' THEN 'unresolved' WHEN us_exchange AND us_primary THEN 'us_exchange' WHEN us_primary THEN 'us_otc' WHEN us THEN 'foreign_with_us_line' ELSE 'foreign_only' END"
-_GAP = f"""WITH {_FLAGS.format("company_id % 3 <> 1 OR NOT is_us")},
-served AS (SELECT DISTINCT company_id FROM links WHERE company_id % 2 = 0),
+_GAP = f"""WITH {_FLAGS.format("company_id % 3 <> 1")},
+served AS (SELECT DISTINCT company_id - company_id % 2 AS company_id FROM links),
 tw AS (SELECT name_normalized AS nn, min(ticker) AS covered_as FROM companies WHERE resolution_status = 'resolved' AND id IN (SELECT company_id FROM served) GROUP BY 1),
 gap AS (SELECT ticker, company_name, resolution_status, CASE WHEN resolution_status <> 'resolved' AND covered_as IS NOT NULL THEN 'duplicate_listing_line'
   WHEN resolution_status <> 'resolved' AND (regexp_matches(ticker, '^0[A-Z0-9]{{3}}$') OR ticker LIKE '%.L') THEN 'unresolved_london_secondary_line'
@@ -213,17 +223,17 @@ SELECT p AS failed_provider, served_by, count(*) AS times FROM a WHERE o NOT IN
 SELECT *, CASE WHEN ok + no_news = 0 THEN 'failed' WHEN failed + refused + skipped > 0 THEN 'partial' ELSE 'succeeded' END AS status FROM t""", "run_rows")),
     "run_company_rows": (_rows, sql("SELECT ticker, company_name, provider, outcome, articles_new FROM run_rows r JOIN companies c ON c.id = r.company_id WHERE run_id = 3 AND outcome = 'error' ORDER BY ticker LIMIT 20 OFFSET 5", "run_rows", "companies")),
     "connectivity_states": (_connectivity, sql(f"""WITH {_LATEST},
-k AS (SELECT ticker, CASE WHEN resolution_status <> 'resolved' THEN 'not_connected_unresolved' WHEN id % 2 = 0 AND id IN (SELECT company_id FROM links) THEN 'connected_has_news' WHEN answer = 'no_news' THEN 'connected_no_news_in_window'
+k AS (SELECT ticker, CASE WHEN resolution_status <> 'resolved' THEN 'not_connected_unresolved' WHEN id IN (SELECT company_id - company_id % 2 FROM links) THEN 'connected_has_news' WHEN answer = 'no_news' THEN 'connected_no_news_in_window'
   WHEN answer = 'skipped' THEN 'no_provider_covers_this_market' ELSE 'no_definitive_answer' END AS state FROM companies c LEFT JOIN latest l ON l.company_id = c.id)
 SELECT state, count(*) AS companies, CASE WHEN state IN ('not_connected_unresolved', 'no_definitive_answer', 'no_provider_covers_this_market') THEN array_to_string(list_slice(list(ticker ORDER BY ticker), 1, 50), ',') ELSE '' END AS tickers FROM k GROUP BY state""", "run_rows", "listings", "links", "companies")),
     "latest_outcome_per_company": (_latest_outcome, sql("SELECT company_id, run_id, outcome FROM run_rows QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY run_id DESC) = 1", "run_rows")),
-    "segment_shares": (_segments, sql(f"WITH {_FLAGS.format('company_id % 3 = 0 OR NOT is_us')} SELECT {_METRIC} AS segment, count(*) AS companies, round(100.0 * count(*)::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM g WHERE is_active GROUP BY 1", "companies", "listings")),
+    "segment_shares": (_segments, sql(f"WITH {_FLAGS.format('company_id % 3 = 0')} SELECT {_METRIC} AS segment, count(*) AS companies, round(100.0 * count(*)::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM g WHERE is_active GROUP BY 1", "companies", "listings")),
     "segment_ladders": (_segment_ladders, sql(f"WITH {_FLAGS.format(chr(39).join(('company_id % 3 = 0 AND (id % 11 = 0 OR mic = ', 'OOTC', ')')))} SELECT id, {_METRIC} AS metric, {_EVAL} AS evaluation, {_PROBE} AS probe FROM g", "companies", "listings")),
     "match_method_shares": (_methods, sql("SELECT match_method, count(*) AS n, round(100.0 * count(*)::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM links GROUP BY 1", "links")),
     "tier_by_feed_shares": (_tiers, sql("SELECT is_market_wide, source_tier, count(*) AS n, round(100.0 * count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY is_market_wide), 1) AS pct FROM articles GROUP BY 1, 2", "articles")),
     "news_velocity_bands": (_bands, sql("""WITH n AS (SELECT company_id, count(*) AS n FROM links GROUP BY 1), b AS (SELECT CASE WHEN n >= 450 THEN '450 and more' WHEN n >= 430 THEN '430 to 449' ELSE 'below 430' END AS band, count(*) AS companies, CAST(sum(n) AS BIGINT) AS articles FROM n GROUP BY 1)
 SELECT *, round(100.0 * articles::DOUBLE / sum(articles) OVER (), 1) AS pct FROM b""", "links")),
-    "coverage_stats": (_coverage, sql("""WITH n AS (SELECT c.id, (SELECT count(*) FROM links l WHERE l.company_id = c.id AND l.company_id % 3 <> 0) AS n FROM companies c WHERE is_active)
+    "coverage_stats": (_coverage, sql("""WITH n AS (SELECT c.id, (SELECT count(*) FROM links l WHERE l.company_id - CAST(l.company_id % 3 = 2 AS INTEGER) = c.id) AS n FROM companies c WHERE is_active)
 SELECT count(*) AS companies, count(*) FILTER (WHERE n > 0) AS with_news, round(100.0 * (count(*) FILTER (WHERE n > 0))::DOUBLE / count(*), 1) AS pct, round(avg(n) FILTER (WHERE n > 0), 1) AS avg_articles FROM n""", "companies", "links")),
     "ticker_native_articles": (_native, sql("WITH e AS (SELECT article_id, bool_or(match_method = 'ticker') AS t FROM links GROUP BY 1) SELECT count(*) FILTER (WHERE t) AS native, count(*) AS articles FROM e", "links")),
     "publishers_by_provider": (_publishers, sql("SELECT provider, count(DISTINCT source) AS sources, count(DISTINCT split_part(regexp_replace(url, '^https?://(www\\.)?', ''), '/', 1)) AS domains, count(*) AS articles FROM articles GROUP BY 1", "articles")),
@@ -243,12 +253,12 @@ SELECT user_id, segment, count(*) AS quotes, min(t) AS first_t, max(t) AS last_t
 d AS (SELECT DISTINCT event_type, s FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY s) AS i FROM d)
 SELECT event_type, 'k' AS path, 'number' AS types, count(*) AS n, (SELECT string_agg(s, chr(10) ORDER BY s) FROM r WHERE r.event_type = v.event_type AND i <= 3) AS samples FROM v GROUP BY event_type"""),
     "tool_cost_scenario": (_costs, f"WITH {_TOOLS} SELECT family, CAST(sum(keys) AS BIGINT) AS keys, sum(feed) AS feed_calls, sum(11000 * price) AS research_cost, sum(feed * price) AS feed_cost FROM w GROUP BY 1"),
-    "order_book_levels": (_book, """SELECT l_orderkey AS market, CASE l_linestatus WHEN 'O' THEN 'bid' ELSE 'offer' END AS side, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_extendedprice, l_quantity) AS level, l_extendedprice AS price, l_quantity AS quantity FROM lineitem WHERE l_orderkey < 200"""),
+    "order_book_levels": (_book, """SELECT l_orderkey AS market, CASE l_linestatus WHEN 'O' THEN 'bid' ELSE 'offer' END AS side, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_extendedprice, l_quantity) AS level, l_extendedprice AS price, l_quantity AS quantity FROM lineitem"""),
     "outcome_sides": (_sides, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_extendedprice, l_quantity) AS i FROM lineitem)
 SELECT l_orderkey AS market, max(l_quantity) FILTER (WHERE i = 1 AND l_linestatus = 'O') AS yes_price, max(l_quantity) FILTER (WHERE i = 1 AND l_linestatus = 'F') AS no_price FROM r GROUP BY 1"""),
     "manifest_summary": (_manifest, "SELECT count(*) AS requests, count(*) FILTER (WHERE event_type <> 'error') AS ok, count(*) FILTER (WHERE event_type = 'error') AS other, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events"),
     "history_windows_union": (_two_windows, "SELECT 'day' AS tag, count(*) AS n FROM events WHERE ts >= '2024-01-30' UNION ALL SELECT 'week', count(*) FROM events WHERE ts >= '2024-01-24'"),
-    "run_staleness": (_stale, sql(f"WITH f AS (SELECT max(at_ts) AS t FROM run_rows WHERE run_id <= 12) SELECT round((epoch_ms(TIMESTAMP '{DAY}') - epoch_ms(t)) / 3600000.0, 1) AS hours, round((epoch_ms(TIMESTAMP '{DAY}') - epoch_ms(t)) / 3600000.0, 1) > 36 AS stale FROM f", "run_rows")),
+    "run_staleness": (_stale, sql(f"WITH f AS (SELECT max(at_ts) AS t FROM run_rows) SELECT round((epoch_ms(TIMESTAMP '{AFTER}') - epoch_ms(t)) / 3600000.0, 1) AS hours, round((epoch_ms(TIMESTAMP '{AFTER}') - epoch_ms(t)) / 3600000.0, 1) > 36 AS stale FROM f", "run_rows")),
     "fetch_state_fold": (_fetch_state, sql("""WITH o AS (SELECT *, outcome IN ('ok', 'no_news') AS ok FROM run_events),
 l AS (SELECT company_id, provider, max(seq) FILTER (WHERE ok) AS last_ok FROM o GROUP BY 1, 2),
 s AS (SELECT o.company_id, o.provider, max(at_ts) FILTER (WHERE ok) AS succ, max(at_ts) FILTER (WHERE outcome = 'ok') AS art, count(*) FILTER (WHERE seq > coalesce(last_ok, -1)) AS fails, max(at_ts) FILTER (WHERE seq > coalesce(last_ok, -1)) AS failed_at FROM o JOIN l USING (company_id, provider) GROUP BY 1, 2)

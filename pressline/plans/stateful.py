@@ -124,12 +124,12 @@ def _expand(spark, d):
     ls = Model(spark, d).listings.select("company_id", "exchange_code", "symbol", "mic", "is_us", "is_primary", _C("confidence").cast("double").alias("confidence"), "id")
     primary = ls.filter("id % 50 = 0").withColumn("is_primary", F.lit(True))
     hints = Model(spark, d).companies.select(_C("id").alias("company_id"), exchange.hint_field(_C("exchange_hint"), "code").alias("hint_code"))
-    return resolution.expand(primary, ls.filter("id % 20 = 0"), ls.filter("id % 30 = 0").withColumn("is_primary", F.lit(False)), hints).select("company_id", "exchange_code", "symbol", "is_us", "is_primary", F.round("confidence", 6).alias("confidence"))
+    return resolution.expand(primary, ls.filter("id % 50 <> 0 AND id % 3 = 0"), ls.filter("id % 50 <> 0 AND id % 3 <> 0").withColumn("is_primary", F.lit(False)), hints).select("company_id", "exchange_code", "symbol", "is_us", "is_primary", F.round("confidence", 6).alias("confidence"))
 
 
 def _asserted(spark, d):
     m = Model(spark, d)
-    ls = m.listings.filter("company_id % 14 <> 0 OR NOT is_us").select("company_id", "exchange_code", "symbol", "mic", "is_us", "is_primary", _C("confidence").cast("double").alias("confidence"))
+    ls = m.listings.select("company_id", "exchange_code", "symbol", "mic", (_C("is_us") & (_C("company_id") % 14 != 0)).alias("is_us"), "is_primary", _C("confidence").cast("double").alias("confidence"))
     out = resolution.with_asserted(ls, resolution.asserted_us(m.companies, ls))
     return out.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_primary").alias("primaries"), F.count_if(_C("confidence") == 0.5).alias("asserted_or_half"))
 
@@ -186,7 +186,7 @@ _STORE_ROWS += "SELECT * FROM r"
 
 def _market_store(spark, d):
     m = Model(spark, d)
-    batch = _batch(m).filter("company_id % 5 = 0").select("dedupe_hash", "seq")
+    batch = _batch(m).select("dedupe_hash", "seq")
     stored = spark.range(0, 4000, 3).select(F.concat(F.lit("u"), _C("id").cast("string")).alias("dedupe_hash"), (_C("id") % 2 == 0).alias("is_market_wide"))
     return state.store_market(batch, stored).groupBy("is_market_wide").agg(F.count(F.lit(1)).alias("n"))
 
@@ -239,8 +239,8 @@ SELECT id, action, CASE WHEN action = 'kept' THEN url END AS url, CASE WHEN acti
 
 def _url_cache(spark, d):
     m = Model(spark, d)
-    seen = m.articles.filter("id % 2 = 0").select("id", "url", F.concat(F.lit("h"), (_C("id") % 3000).cast("string")).alias("content_hash"))
-    batch = m.articles.filter("id % 5 = 0").select(_C("id").alias("article_id"), F.when(_C("id") % 10 == 0, F.lit("https://finnhub.io/n")).otherwise(_C("url")).alias("url"), F.concat(F.lit("h"), (_C("id") % 3000).cast("string")).alias("content_hash"))
+    seen = m.articles.select("id", "url", F.concat(F.lit("h"), (_C("id") % 3000).cast("string")).alias("content_hash"))
+    batch = m.articles.select(_C("id").alias("article_id"), F.when(_C("id") % 10 == 0, F.lit("https://finnhub.io/n")).otherwise(_C("url")).alias("url"), F.concat(F.lit("h"), (_C("id") % 3000).cast("string")).alias("content_hash"))
     return state.known_urls(batch, seen).select("article_id", "url")
 
 
@@ -259,8 +259,8 @@ def _catalogue_merge(spark, d):
 def _listing_replace(spark, d):
     m = Model(spark, d)
     old = m.listings.select("company_id", "symbol", F.when(_C("id") % 3 == 0, "catalogue").otherwise("directory").alias("source"), _C("confidence").cast("double").alias("confidence"))
-    new = m.listings.filter("company_id % 4 = 0 AND id % 2 = 0").select("company_id", F.lower("symbol").alias("symbol"), F.lit("directory").alias("source"), F.lit(0.9).alias("confidence"))
-    asked = m.companies.filter("id % 2 = 0").select(_C("id").alias("company_id"))
+    new = m.listings.select((_C("company_id") * 4).alias("company_id"), F.lower("symbol").alias("symbol"), F.lit("directory").alias("source"), F.lit(0.9).alias("confidence"))
+    asked = m.companies.select((_C("id") * 2).alias("company_id"))
     return state.listing_replace(old, new, asked).groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(_C("source") == "catalogue").alias("asserted"))
 
 
@@ -294,7 +294,7 @@ def _feed_diff(spark, d):
     p = Model(spark, d).table("pages")
     n = _C("page_id")
     entries = p.select(n.alias("entry_id"), F.sha2("html", 256).alias("fingerprint"))
-    seen = p.filter("page_id % 3 <> 0").select(n.alias("entry_id"), F.when(n % 3 == 1, F.sha2("html", 256)).otherwise("old").alias("seen_fingerprint"), F.when(n % 7 == 0, "blocked").when(n % 7 == 1, "failed").otherwise("done").alias("status"), (n % 5).cast("int").alias("tries"), F.timestamp_seconds(F.lit(1704067200) + n * 600).alias("checked_at"))
+    seen = p.select(F.when(n % 3 == 0, -1 - n).otherwise(n).alias("entry_id"), F.when(n % 3 == 1, F.sha2("html", 256)).otherwise("old").alias("seen_fingerprint"), F.when(n % 7 == 0, "blocked").when(n % 7 == 1, "failed").otherwise("done").alias("status"), (n % 5).cast("int").alias("tries"), F.timestamp_seconds(F.lit(1704067200) + n * 600).alias("checked_at"))
     out = state.fingerprint_diff(entries, seen, F.lit("2024-01-02 12:00:00").cast("timestamp"))
     return out.select("entry_id", F.coalesce("why", F.lit("")).alias("why"))
 
@@ -304,16 +304,17 @@ _FEED_DIFF = """SELECT page_id AS entry_id, CASE WHEN page_id % 3 <> 0 AND page_
 
 
 def _rss(spark, d):
-    p = Model(spark, d).table("documents").filter("doc_id % 10 = 0")
-    safe = F.regexp_replace(F.substring("text", 1, 30), "[<>&]", "")
+    p = Model(spark, d).table("documents")
+    safe = F.regexp_replace(F.coalesce("text", F.lit("")), r"[<>&\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     item = F.concat(F.lit("<item><title>"), safe, F.lit("</title><link>https://x.example.com/"), _C("doc_id").cast("string"), F.lit("</link><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item>"))
-    feeds = p.groupBy("source").agg(F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</channel></rss>")).alias("xml"))
+    # a source has many feed documents of a bounded number of items
+    feeds = p.groupBy("source", F.floor(_C("doc_id") / 50)).agg(F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</channel></rss>")).alias("xml"))
     items = files.rss_items(feeds.select(_C("source").alias("feed"), "xml"), "xml", "feed")
     return items.groupBy("feed").agg(F.count(F.lit(1)).alias("items"), F.date_format(F.max("published_at"), "yyyy-MM-dd HH:mm:ss").alias("newest"), F.min("url").alias("first_url"))
 
 
 def _filings(spark, d):
-    li = Model(spark, d).table("lineitem").filter("l_orderkey < 300")
+    li = Model(spark, d).table("lineitem")
     acc = F.concat(F.lpad(_C("l_orderkey").cast("string"), 10, "0"), F.lit("-24-"), F.lpad(_C("l_linenumber").cast("string"), 6, "0"))
     form = F.when(_C("l_quantity") % 3 == 0, "8-K").when(_C("l_quantity") % 3 == 1, "10-Q").otherwise("4")
     one = F.struct(acc.alias("a"), form.alias("f"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"))
@@ -326,7 +327,7 @@ def _filings(spark, d):
 
 
 _FILINGS = """SELECT 'Filer ' || l_orderkey || ' — ' || CASE WHEN l_quantity % 3 = 0 THEN '8-K' ELSE '10-Q' END || ' filing' AS title, CAST(l_orderkey AS VARCHAR) AS cik,
-  lpad(CAST(l_orderkey AS VARCHAR), 10, '0') || '-24-' || lpad(CAST(l_linenumber AS VARCHAR), 6, '0') AS accession, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem WHERE l_orderkey < 300 AND l_quantity % 3 <> 2"""
+  lpad(CAST(l_orderkey AS VARCHAR), 10, '0') || '-24-' || lpad(CAST(l_linenumber AS VARCHAR), 6, '0') AS accession, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem WHERE l_quantity % 3 <> 2"""
 
 
 def _market_feed(spark, d):
@@ -416,34 +417,34 @@ FROM (SELECT *, CASE p_size % 6 WHEN 0 THEN 'XNYS' WHEN 1 THEN 'XNAS' WHEN 2 THE
 t AS (SELECT *, max(score) OVER (PARTITION BY company_id) AS top FROM c WHERE score >= 0.6)
 SELECT company_id, symbol, round(score, 6) AS score, CAST(quality AS BIGINT) AS quality FROM t WHERE score > top - 0.05 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY quality DESC, score DESC, symbol) = 1""", "listings")),
     "expand_listings": (_expand, sql("""WITH p AS (SELECT company_id, exchange_code, symbol, mic, is_us, TRUE AS is_primary, confidence::DOUBLE AS c FROM listings WHERE id % 50 = 0), cap AS (SELECT company_id, max(c) AS cap FROM p GROUP BY 1),
-r AS (SELECT company_id, exchange_code, symbol, mic, is_us, CASE WHEN id % 20 = 0 THEN is_primary ELSE FALSE END AS is_primary, least(confidence::DOUBLE, cap) AS c FROM listings JOIN cap USING (company_id) WHERE id % 20 = 0 OR id % 30 = 0),
+r AS (SELECT company_id, exchange_code, symbol, mic, is_us, CASE WHEN id % 3 = 0 THEN is_primary ELSE FALSE END AS is_primary, least(confidence::DOUBLE, cap) AS c FROM listings JOIN cap USING (company_id) WHERE id % 50 <> 0),
 u AS (SELECT company_id, exchange_code, symbol, min(mic) AS mic, bool_or(is_us) AS is_us, bool_or(is_primary) AS marked, max(c) AS confidence FROM (SELECT * FROM p UNION ALL SELECT * FROM r) GROUP BY 1, 2, 3),
 h AS (SELECT u.*, CASE exchange_hint WHEN 'NYSE' THEN 'US' WHEN 'LSE' THEN 'LN' WHEN 'XTRA' THEN 'GY' WHEN 'TSE' THEN 'JT' WHEN 'SHSE' THEN 'C1' WHEN 'OTCPK' THEN 'US' END AS hc FROM u LEFT JOIN companies c ON c.id = u.company_id)
 SELECT company_id, exchange_code, symbol, is_us, row_number() OVER (PARTITION BY company_id ORDER BY CASE WHEN marked THEN 0 WHEN exchange_code = hc THEN 1 WHEN is_us AND mic <> 'OOTC' THEN 2 ELSE 3 END, confidence DESC, exchange_code, symbol) = 1 AS is_primary, round(confidence, 6) AS confidence FROM h""", "listings", "companies")),
-    "asserted_us_lines": (_asserted, sql("""WITH l AS (SELECT * FROM listings WHERE company_id % 14 <> 0 OR NOT is_us), a AS (SELECT id FROM companies WHERE exchange_hint IN ('NYSE', 'OTCPK') AND is_us_listed AND regexp_matches(ticker, '^[A-Z][A-Z0-9]{0,5}$') AND id NOT IN (SELECT company_id FROM l WHERE is_us)),
+    "asserted_us_lines": (_asserted, sql("""WITH l AS (SELECT * REPLACE (is_us AND company_id % 14 <> 0 AS is_us) FROM listings), a AS (SELECT id FROM companies WHERE exchange_hint IN ('NYSE', 'OTCPK') AND is_us_listed AND regexp_matches(ticker, '^[A-Z][A-Z0-9]{0,5}$') AND id NOT IN (SELECT company_id FROM l WHERE is_us)),
 u AS (SELECT company_id, is_primary AND company_id NOT IN (SELECT id FROM a) AS p, confidence::DOUBLE AS c FROM l UNION ALL SELECT id, TRUE, 0.5 FROM a)
 SELECT company_id, count(*) AS n, count(*) FILTER (WHERE p) AS primaries, count(*) FILTER (WHERE c = 0.5) AS asserted_or_half FROM u GROUP BY 1""", "listings", "companies")),
     "symbol_owner": (_symbol_owner, sql("SELECT upper(symbol) AS symbol, min(company_id) AS company_id FROM listings GROUP BY 1", "listings")),
     "us_symbols": (_us_symbols, sql("SELECT company_id, count(DISTINCT upper(symbol)) FILTER (WHERE is_us) AS n, coalesce(min(upper(symbol)) FILTER (WHERE is_us), '') AS first FROM listings GROUP BY 1", "listings")),
     "store_articles": (_store_rows, _STORE_ROWS),
     "store_articles_stats": (_store, _STORE),
-    "store_market_news": (_market_store, """WITH st AS (SELECT 'u' || i AS dh, i % 2 = 0 AS w FROM range(0, 4000, 3) t(i)), b AS (SELECT DISTINCT 'u' || (l_orderkey % 4000) AS dh FROM lineitem WHERE l_suppkey % 5 = 0)
+    "store_market_news": (_market_store, """WITH st AS (SELECT 'u' || i AS dh, i % 2 = 0 AS w FROM range(0, 4000, 3) t(i)), b AS (SELECT DISTINCT 'u' || (l_orderkey % 4000) AS dh FROM lineitem)
 SELECT w AS is_market_wide, count(*) AS n FROM (SELECT w FROM st UNION ALL SELECT TRUE FROM b WHERE dh NOT IN (SELECT dh FROM st)) GROUP BY 1"""),
     "revision_history": (_history, None),
     "tombstone_scrub": (_scrubbed, None),
     "merge_colliding_links": (_collide, _COLLIDE),
-    "resolved_url_cache": (_url_cache, sql("""WITH s AS (SELECT id % 3000 AS h, arg_max(url, id) AS known FROM articles WHERE id % 2 = 0 GROUP BY 1)
-SELECT id AS article_id, CASE WHEN id % 10 = 0 THEN coalesce(known, 'https://finnhub.io/n') ELSE url END AS url FROM articles LEFT JOIN s ON h = id % 3000 WHERE id % 5 = 0""", "articles")),
+    "resolved_url_cache": (_url_cache, sql("""WITH s AS (SELECT id % 3000 AS h, arg_max(url, id) AS known FROM articles GROUP BY 1)
+SELECT id AS article_id, CASE WHEN id % 10 = 0 THEN coalesce(known, 'https://finnhub.io/n') ELSE url END AS url FROM articles LEFT JOIN s ON h = id % 3000""", "articles")),
     "catalogue_merge": (_catalogue_merge, sql("""WITH n AS (SELECT ticker, company_name || CASE WHEN id % 13 = 0 THEN ' New' ELSE '' END AS nm, exchange_hint AS h FROM companies WHERE id % 11 <> 0 UNION ALL SELECT n_name, n_name, NULL FROM nation)
 SELECT coalesce(n.ticker, o.ticker) AS ticker, coalesce(nm, company_name) AS company_name, CASE WHEN n.ticker IS NOT NULL AND (o.ticker IS NULL OR nm <> company_name) THEN 'pending' ELSE resolution_status END AS resolution_status, n.ticker IS NOT NULL AS is_active,
   CASE WHEN o.ticker IS NULL THEN 'inserted' WHEN n.ticker IS NULL THEN CASE WHEN o.is_active THEN 'deactivated' ELSE 'unchanged' END WHEN nm <> company_name OR NOT o.is_active THEN 'updated' ELSE 'unchanged' END AS change
 FROM companies o FULL JOIN n ON n.ticker = o.ticker""", "companies")),
-    "listing_replace": (_listing_replace, sql("""WITH new AS (SELECT company_id FROM listings WHERE company_id % 4 = 0 AND id % 2 = 0), k AS (SELECT company_id, id % 3 = 0 AS cat FROM listings WHERE company_id % 2 = 1 OR (company_id NOT IN (SELECT company_id FROM new) AND NOT (id % 3 = 0 AND confidence <= 0.5)))
-SELECT company_id, count(*) AS n, count(*) FILTER (WHERE cat) AS asserted FROM (SELECT * FROM k UNION ALL SELECT company_id, FALSE FROM new) GROUP BY 1""", "listings")),
+    "listing_replace": (_listing_replace, sql("""WITH asked AS (SELECT id * 2 AS company_id FROM companies), new AS (SELECT company_id * 4 AS company_id FROM listings WHERE company_id * 4 IN (SELECT company_id FROM asked)), k AS (SELECT company_id, id % 3 = 0 AS cat FROM listings WHERE company_id NOT IN (SELECT company_id FROM asked) OR (company_id NOT IN (SELECT company_id FROM new) AND NOT (id % 3 = 0 AND confidence <= 0.5)))
+SELECT company_id, count(*) AS n, count(*) FILTER (WHERE cat) AS asserted FROM (SELECT * FROM k UNION ALL SELECT company_id, FALSE FROM new) GROUP BY 1""", "listings", "companies")),
     "catalogue_audit": (_csv_audit, _AUDIT),
     "duplicate_names": (_duplicate_names, sql("SELECT name_normalized, count(DISTINCT ticker) AS tickers, min(ticker) AS first FROM companies GROUP BY 1 HAVING count(DISTINCT ticker) > 1", "companies")),
     "feed_fingerprint_diff": (_feed_diff, _FEED_DIFF),
-    "rss_items": (_rss, "SELECT source AS feed, count(*) AS items, '2024-01-02 03:04:05' AS newest, min('https://x.example.com/' || doc_id) AS first_url FROM documents WHERE doc_id % 10 = 0 GROUP BY 1"),
+    "rss_items": (_rss, "SELECT source AS feed, count(*) AS items, '2024-01-02 03:04:05' AS newest, min('https://x.example.com/' || doc_id) AS first_url FROM documents GROUP BY 1"),
     "filings_columnar": (_filings, _FILINGS),
     "market_feed_dedupe": (_market_feed, "SELECT 'u' || (event_id % 3000) AS url, event_type, 'AA|B' || (event_id % 5) AS related FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 3000 ORDER BY event_id) = 1"),
     "figure_images": (_figures, "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://i.example.com/' || page_id || '.png' END AS src, CASE WHEN page_id % 2 = 0 THEN 'a&b' END AS alt, CASE WHEN page_id % 2 = 0 THEN 'Seen. Photo : Desk ' || (page_id % 3) END AS caption, CASE WHEN page_id % 2 = 0 THEN 'Desk ' || (page_id % 3) END AS credit FROM pages"),
