@@ -37,18 +37,19 @@ FOUND = ("company_id", "how", "symbol", "exchange_code", "mic", "share_class", "
 
 
 def hinted(companies: DataFrame) -> DataFrame:
-    """companies with codes (the venues to try), hint_code and local: may the domestic directory answer first?
+    """companies with company_key (the normal name), codes (the venues to try), hint_code and local: may the domestic directory answer first?
 
     Only with a domestic hint or none: a foreign company's ticker is another company's at home.
     """
     hint = F.nullif(F.col("exchange_hint"), F.lit(""))
     domestic = exchange.hint_field(hint, "country") == "US"
-    return companies.withColumns({"codes": exchange.candidate_codes(hint), "hint_code": exchange.hint_field(hint, "code"), "local": hint.isNull() | F.coalesce(domestic, F.lit(False))})
+    return companies.withColumns({"codes": exchange.candidate_codes(hint), "hint_code": exchange.hint_field(hint, "code"), "local": hint.isNull() | F.coalesce(domestic, F.lit(False)), "company_key": names.normalize_name(F.col("company_name"))})
 
 
 def by_directory(companies: DataFrame, directory: DataFrame) -> DataFrame:
     """The best directory row of each company under any spelling of its ticker, if the names agree."""
-    hits = resolution.ticker_candidates(companies, directory).withColumn("score", names.name_similarity(F.col("company_name"), F.col("description"))).filter(F.col("score") >= names.MATCH_AT)
+    spelled = companies.select("id", "company_key", F.posexplode(names.ticker_variants(F.col("ticker"))).alias("variant", "symbol_key"))
+    hits = spelled.join(directory, "symbol_key").withColumn("score", names.key_similarity(F.col("company_key"), F.col("name_key"))).filter(F.col("score") >= names.MATCH_AT)
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "variant", "venue_rank", "symbol", "mic", "figi"))
     best = hits.withColumn("n", place).filter("n = 1")
     return best.select(F.col("id").alias("company_id"), F.lit("directory").alias("how"), "symbol", F.lit("US").alias("exchange_code"), "mic", F.nullif("share_class", F.lit("")).alias("share_class"), F.col("description").alias("found_name"), "score")
@@ -57,11 +58,11 @@ def by_directory(companies: DataFrame, directory: DataFrame) -> DataFrame:
 def best_by_name(hits: DataFrame, *by: str) -> DataFrame:
     """by and best: the best security for each value of the columns in by (shares alone, names that agree, among near ties of the best score the most useful line; null if none fits), and first, the first answer."""
     quality = exchange.listing_quality(F.col("exchange_code"), F.col("symbol"), F.col("figi"), F.col("composite"), names.home_country(F.col("company_name")))
-    scored = hits.withColumn("score", names.name_similarity(F.col("company_name"), F.coalesce("name", F.lit("")))).withColumn("quality", quality)
+    scored = hits.withColumn("score", names.key_similarity(F.col("company_key"), F.coalesce("name_key", F.lit("")))).withColumn("quality", quality)
     fits = exchange.is_equity_line(F.col("type1"), F.col("type2")) & (F.col("score") >= names.MATCH_AT) & (F.col("quality") >= 0)
     scored = scored.withColumn("fit", F.when(F.coalesce(fits, F.lit(False)), F.col("score")))
     near = F.when(F.col("fit") > F.max("fit").over(Window.partitionBy(*by)) - resolution.NEAR_TIE, F.struct("quality", "score", -F.col("place")))
-    row = F.struct("company_name", "symbol", "exchange_code", "name", "share_class", "score")
+    row = F.struct("company_key", "name_key", "symbol", "exchange_code", "name", "share_class", "score")
     return scored.withColumn("near", near).groupBy(*by).agg(F.max_by(row, "near").alias("best"), F.min_by(row, "place").alias("first"))
 
 
@@ -72,27 +73,32 @@ def _found(best: DataFrame, how: Column) -> DataFrame:
 
 def by_ticker(companies: DataFrame, ids: DataFrame) -> DataFrame:
     """The best security of each company's ticker on any venue."""
-    hits = companies.select(F.col("id").alias("company_id"), "company_name", F.upper(F.trim("ticker")).alias("key")).join(ids.withColumn("key", F.upper("symbol")), "key")
+    hits = companies.select(F.col("id").alias("company_id"), "company_name", "company_key", F.upper(F.trim("ticker")).alias("key")).join(ids.withColumn("key", F.upper("symbol")), "key")
     return _found(best_by_name(hits, "company_id").filter("best IS NOT NULL"), F.lit("bare_ticker"))
 
 
+def _shared_words(a: Column, b: Column) -> Column:
+    """Number of distinctive words that two normal names share."""
+    words = lambda key: F.filter(F.split(key, " "), lambda w: w != "")
+    return F.size(F.array_intersect(words(a), words(b)))
+
+
 def by_venue(companies: DataFrame, ids: DataFrame) -> DataFrame:
     """The security of each company's ticker on the first hinted venue that has one whose name agrees, or is a rename.
 
     A rename: no name there agrees, and that of the first answer shares a distinctive word with the company's.
     """
-    slots = companies.select(F.col("id").alias("company_id"), "company_name", F.upper(F.trim("ticker")).alias("key"), F.posexplode("codes").alias("slot", "exchange_code"))
+    slots = companies.select(F.col("id").alias("company_id"), "company_name", "company_key", F.upper(F.trim("ticker")).alias("key"), F.posexplode("codes").alias("slot", "exchange_code"))
     met = best_by_name(slots.join(ids.withColumn("key", F.upper("symbol")), ["key", "exchange_code"]), "company_id", "slot")
-    how = F.when(F.col("best").isNotNull(), "scoped_id").when(resolution.rename_accepted(F.col("first.company_name"), F.coalesce("first.name", F.lit(""))), "rename")
+    how = F.when(F.col("best").isNotNull(), "scoped_id").when(F.coalesce(_shared_words(F.col("first.company_key"), F.col("first.name_key")) >= 1, F.lit(False)), "rename")
     met = met.withColumn("how", how).filter("how IS NOT NULL").withColumn("best", F.coalesce("best", "first"))
     place = F.row_number().over(Window.partitionBy("company_id").orderBy("slot"))
     met = met.withColumn("n", place).filter("n = 1")
     return _found(met, met["how"])
 
 
-def search_names(name: Column) -> Column:
+def search_names(name: Column, normal: Column) -> Column:
     """The queries of a name search in order: the name, its normal form, its first three and two words."""
-    normal = names.normalize_name(name)
     words = F.filter(F.split(normal, " "), lambda w: w != "")
     short = [F.array_join(F.slice(words, 1, n), " ") for n in PREFIXES]
     return F.array_distinct(F.filter(F.array(F.lower(name), normal, *short), lambda q: q.isNotNull() & (q != "")))
@@ -103,8 +109,8 @@ def by_name(companies: DataFrame, ids: DataFrame) -> DataFrame:
 
     A query finds the names that it equals or is the beginning of, up to the prefixes that are searched for.
     """
-    asked = companies.select(F.col("id").alias("company_id"), "company_name", "hint_code", F.posexplode(search_names(F.col("company_name"))).alias("query", "key"))
-    keyed = ids.filter("name IS NOT NULL").select("*", F.explode(search_names(F.col("name"))).alias("key"))
+    asked = companies.select(F.col("id").alias("company_id"), "company_name", "company_key", "hint_code", F.posexplode(search_names(F.col("company_name"), F.col("company_key"))).alias("query", "key"))
+    keyed = ids.filter("name IS NOT NULL").select("*", F.explode(search_names(F.col("name"), F.col("name_key"))).alias("key"))
     hits = asked.join(keyed, "key").withColumn("scope", F.explode(F.when(F.col("exchange_code") == F.col("hint_code"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
     best = best_by_name(hits, "company_id", "query", "scope").filter("best IS NOT NULL")
     place = F.row_number().over(Window.partitionBy("company_id").orderBy("query", "scope"))
@@ -120,6 +126,7 @@ def primaries(companies: DataFrame, directory: DataFrame, ids: DataFrame) -> Dat
     a symbol for, are searched for by name, which replaces what there was.
     """
     c = hinted(companies)
+    ids = ids.withColumn("name_key", names.normalize_name(F.col("name")))
     local = c.select(F.col("id").alias("company_id"), "local", (F.size("codes") == 0).alias("nowhere"))
     home = by_directory(c, directory).join(local, "company_id").withColumn("pass", F.when(F.col("local"), 0).otherwise(2)).withColumn("how", F.when(F.col("local"), "directory").otherwise("directory_any_hint"))
     bare = by_ticker(c, ids).join(local, "company_id").withColumn("pass", F.when(F.col("nowhere"), 1).otherwise(3))

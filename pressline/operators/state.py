@@ -166,48 +166,89 @@ def cascade_outcome(attempts: Column, authoritative: Column) -> Column:
     return F.when(ok, "ok").when(failed_first, first_failure["outcome"]).when(answered, "no_news").when(first_failure.isNotNull(), first_failure["outcome"]).otherwise("skipped")
 
 
-V2_STATE = "provider_id string, source_id string, revision int, action string, headline string, body string, updated_at timestamp, content_hash string, deleted boolean, stored int"
+#: Fields of a source event beside its identity and action; those that a source lacks are null.
+FIELDS = {"headline": "string", "summary": "string", "body": "string", "url": "string", "publisher": "string", "image_url": "string", "published_at": "timestamp", "updated_at": "timestamp", "topics": "array<string>", "companies": "string", "body_allowed": "boolean", "image_allowed": "boolean"}
+EVENT = "provider_id string, source_id string, seq bigint, action string, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()) + ", content_hash string, deleted boolean"
+REVISION = EVENT + ", revision int"
+KEY = ("provider_id", "source_id")
 
 
-def _fold_revisions(strict: bool):
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
+def events_of(events: DataFrame) -> DataFrame:
+    """Source events as they are stored, with content_hash and deleted.
 
-        rows = rows.sort_values("seq")
-        state, out = None, []
+    A withdrawal keeps its identity, topics and time; headline, texts, image and rights are those of a tombstone.
+    """
+    gone = F.col("action") == "delete"
+    given = {f: F.col(f).cast(kind) if f in events.columns else F.lit(None).cast(kind) for f, kind in FIELDS.items()}
+    tomb = {"headline": F.lit(WITHDRAWN), **{f: F.lit(None).cast(FIELDS[f]) for f in ("summary", "body", "image_url", "companies")}, "body_allowed": F.lit(False), "image_allowed": F.lit(False)}
+    fields = {f: F.when(gone, tomb[f]).otherwise(c) if f in tomb else c for f, c in given.items()}
+    rows = events.select(*KEY, F.col("seq").cast("long").alias("seq"), "action", *(c.alias(f) for f, c in fields.items()))
+    # url and date of a withdrawal are the article's, whatever it says
+    hashed = [F.when(F.col("action") != "delete", F.col(f)).alias(f) if f in ("url", "published_at") else F.col(f) for f in FIELDS]
+    return rows.withColumns({"content_hash": hashing.revision_hash(F.col("action"), *hashed), "deleted": F.col("action") == "delete"})
+
+
+class Last:
+    """What the next event of an article is held against."""
+
+    def __init__(self, digest=None, updated=None, deleted=False, revision=0):
+        self.digest, self.updated, self.deleted, self.revision = digest, updated, deleted, revision
+
+    def takes(self, digest, updated, deleted: bool, strict: bool) -> bool:
+        """Is an event kept?  Equal content and stale times are not; with strict, nor is what would bring a withdrawn article back without a later time."""
+        updated = None if pd.isna(updated) else updated
+        if self.revision:
+            if digest == self.digest or (self.updated is not None and updated is not None and updated < self.updated):
+                return False
+            if strict and self.deleted and not deleted and (updated is None or self.updated is None or updated <= self.updated):
+                return False
+        self.digest, self.updated, self.deleted, self.revision = digest, updated, deleted, self.revision + 1
+        return True
+
+
+def _accepted(strict: bool):
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, last, kept = rows.sort_values(["seq", "content_hash"]), Last(), []
         for r in rows.itertuples(index=False):
-            gone = r.action == "delete"
-            head, body = (WITHDRAWN, None) if gone else (r.headline, None if pd.isna(r.body) else r.body)
-            digest = hashlib.sha256("\x1f".join([r.action, str(head), "" if body is None else body, "" if pd.isna(r.updated_at) else str(r.updated_at)]).encode()).hexdigest()
-            if state is not None:
-                if state["content_hash"] == digest:
-                    continue
-                if not pd.isna(state["updated_at"]) and not pd.isna(r.updated_at) and r.updated_at < state["updated_at"]:
-                    continue
-                if strict and state["deleted"] and not gone and (pd.isna(r.updated_at) or pd.isna(state["updated_at"]) or r.updated_at <= state["updated_at"]):
-                    continue
-            state = {"provider_id": key[0], "source_id": key[1], "revision": 1 if state is None else state["revision"] + 1, "action": r.action, "headline": head, "body": body, "updated_at": r.updated_at, "content_hash": digest, "deleted": gone}
-            out.append(dict(state))
-        if any(x["deleted"] for x in out):
-            last = max(i for i, x in enumerate(out) if x["deleted"])
-            for x in out[: last + 1]:  # a withdrawal scrubs what was kept so far
-                x["body"] = None
-        frame = pd.DataFrame(out, columns=["provider_id", "source_id", "revision", "action", "headline", "body", "updated_at", "content_hash", "deleted"])
-        return frame.assign(stored=len(out))
+            if last.takes(r.content_hash, r.updated_at, r.deleted, strict):
+                kept.append((key[0], key[1], r.seq, r.content_hash, last.revision))
+        return pd.DataFrame(kept, columns=["provider_id", "source_id", "seq", "content_hash", "revision"])
 
     return fold
 
 
+def scrubbed(history: DataFrame) -> DataFrame:
+    """Revisions as readers may see them: a withdrawal takes texts, images and rights of all before it, and has the url and date of the article."""
+    every = Window.partitionBy(*KEY)
+    tomb = F.max(F.when(F.col("deleted"), F.col("revision"))).over(every)
+    hidden = F.coalesce(F.col("revision") <= tomb, F.lit(False))
+    before = every.orderBy("revision").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = {f: F.last(F.when(~F.col("deleted"), F.col(f)), ignorenulls=True).over(before) for f in ("url", "published_at")}
+    out = history.withColumns({"__hidden": hidden, "stored": F.count(F.lit(1)).over(every).cast("int"), **{f: F.when(F.col("deleted"), F.coalesce(c, F.col(f))).otherwise(F.col(f)) for f, c in carried.items()}})
+    texts = {f: F.when(~F.col("__hidden"), F.col(f)) for f in ("summary", "body", "image_url")}
+    return out.withColumns(texts | {"body_allowed": F.col("body_allowed") & ~F.col("__hidden")}).drop("__hidden")
+
+
 def revisions(events: DataFrame, strict_tombstones: bool = False) -> DataFrame:
-    """Revision history of source articles from events (provider_id, source_id, action, headline, body, updated_at, seq).
+    """Revision history of source articles from events (provider_id, source_id, action, seq and any of FIELDS).
 
     Equal content and stale updates are skipped, a delete rewrites the article as a tombstone
-    and scrubs its bodies so far.  A stale update without a time can bring a withdrawn article
-    back, as documented; strict_tombstones keeps it withdrawn.  Each step depends on the kept
-    one before it, so this is a fold per article, one article's events at a time.
+    and scrubs what was kept so far.  A stale update without a time can bring a withdrawn
+    article back, as documented; strict_tombstones keeps it withdrawn.  Each step depends on the
+    kept one before it, so this is a fold per article, over hashes and times alone; texts stay
+    in the engine.
     """
-    cols = events.select("provider_id", "source_id", "action", "headline", "body", F.col("updated_at").cast("timestamp").alias("updated_at"), "seq")
-    return cols.groupBy("provider_id", "source_id").applyInPandas(_fold_revisions(strict_tombstones), V2_STATE)
+    rows = events_of(events).dropDuplicates([*KEY, "seq", "content_hash"])
+    thin = rows.select(*KEY, "seq", "content_hash", "updated_at", "deleted")
+    kept = thin.groupBy(*KEY).applyInPandas(_accepted(strict_tombstones), "provider_id string, source_id string, seq bigint, content_hash string, revision int")
+    return scrubbed(rows.join(kept, [*KEY, "seq", "content_hash"]))
+
+
+def revision_links(history: DataFrame, matches: DataFrame) -> DataFrame:
+    """Companies of the current articles, rebuilt at each revision: article's hints (companies: a JSON array of external names) that matches (hint, company_id) knows; none of a withdrawn one."""
+    now = current(history).filter("NOT deleted")
+    hints = now.select(*KEY, F.explode(F.from_json(F.coalesce("companies", F.lit("[]")), "array<string>")).alias("hint"))
+    return hints.join(matches, "hint").select(*KEY, "company_id").distinct()
 
 
 def current(history: DataFrame) -> DataFrame:
@@ -217,8 +258,13 @@ def current(history: DataFrame) -> DataFrame:
 
 def purge_bodies(rows: DataFrame, providers: list[str]) -> DataFrame:
     """Current rows or history after providers lost the right to show bodies."""
-    lost = F.col("provider_id").isin(*providers)
-    return rows.withColumn("body", F.when(~lost, F.col("body")))
+    lost = F.col("provider_id").isin(*providers) & F.col("body").isNotNull()
+    now = {"body": F.when(~lost, F.col("body"))}
+    if "body_allowed" in rows.columns:
+        now["body_allowed"] = F.col("body_allowed") & ~lost
+    if "content_hash" in rows.columns:  # so that the same text is taken as news once it may be shown again
+        now["content_hash"] = F.when(lost, F.concat(F.lit("purged:"), F.col("content_hash"))).otherwise(F.col("content_hash"))
+    return rows.withColumns(now)
 
 
 def purge_provider(rows: DataFrame, providers: list[str]) -> DataFrame:

@@ -353,10 +353,8 @@ def _stream_upsert(spark, d):
     events = _events(Model(spark, d))
     events.repartitionByRange(3, "seq").write.parquet(f"{folder}/in")
     stream = jobs.read_files(spark, f"{folder}/in", events.schema, 1)
-    jobs.run_upserts(stream, f"{folder}/state", f"{folder}/check", jobs.merge_revisions)
-    from pressline.sources.sinks import latest_state
-
-    h = state.revisions(latest_state(spark, f"{folder}/state"))
+    jobs.run_revisions(stream, f"{folder}/history", f"{folder}/check")
+    h = jobs.read_revisions(spark, f"{folder}/history")
     return h.select("source_id", "revision", "action", "headline", F.coalesce("body", F.lit("")).alias("body"), "deleted")
 
 

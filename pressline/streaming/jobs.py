@@ -33,33 +33,72 @@ def velocity(events: DataFrame, key: str, ts: str, window: str = "7 days", slide
     return events.withWatermark(ts, OVERLAP).groupBy(F.window(ts, window, slide), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("window.start").alias("from"), F.col("window.end").alias("to"), "n")
 
 
-FETCH_OUT = "company_id long, provider string, consecutive_failures int, last_success_at timestamp, suppressed_until timestamp"
-FETCH_STATE = "failures int, success timestamp"
+FETCH_OUT = "company_id long, provider string, consecutive_failures int, last_success_at timestamp, last_article_at timestamp, suppressed_until timestamp"
+FETCH_STATE = "failures int, success timestamp, newest timestamp"
 
 
 def _fold_fetches(key, frames, kept: GroupState):
-    failures, success = kept.get if kept.exists else (0, None)
+    failures, success, newest = kept.get if kept.exists else (0, None, None)
     until = None
     for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
         if r.ok:
             failures, success, until = 0, r.at, None
+            if not pd.isna(r.newest) and (newest is None or r.newest > newest):
+                newest = r.newest
         else:
             failures += 1
             until = r.at + pd.Timedelta(hours=state.SUPPRESS_HOURS) if failures >= state.FAILURES_TO_SUPPRESS else None
-    kept.update((failures, success))
-    yield pd.DataFrame({"company_id": [key[0]], "provider": [key[1]], "consecutive_failures": pd.array([failures], "int32"), "last_success_at": [success], "suppressed_until": [until]})
+    kept.update((failures, success, newest))
+    yield pd.DataFrame({"company_id": [key[0]], "provider": [key[1]], "consecutive_failures": pd.array([failures], "int32"), "last_success_at": [success], "last_article_at": [newest], "suppressed_until": [until]})
 
 
 def fetch_states(outcomes: DataFrame) -> DataFrame:
-    """Fetch state per (company, provider) after each batch of outcomes (company_id, provider, seq, at, ok)."""
+    """Fetch state per (company, provider) after each batch of outcomes (company_id, provider, seq, at, ok, and newest where there is one).
+
+    A batch is folded in the order of seq, batches in the order of their arrival; a failure that
+    comes after a later success counts from there on.
+    """
+    if "newest" not in outcomes.columns:
+        outcomes = outcomes.withColumn("newest", F.lit(None).cast("timestamp"))
     return outcomes.groupBy("company_id", "provider").applyInPandasWithState(_fold_fetches, FETCH_OUT, FETCH_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def merge_revisions(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """All events so far, folded anew by readers; a batch's events count once however often it is replayed."""
-    cols = batch.select("provider_id", "source_id", "action", "headline", "body", "updated_at", "seq")
-    every = cols if old is None else old.unionByName(cols)
-    return every.dropDuplicates(["provider_id", "source_id", "seq"])
+REVISION_STATE = "digest string, updated timestamp, deleted boolean, revision int"
+
+
+def _fold_events(strict: bool):
+    def fold(key, frames, kept: GroupState):
+        last = state.Last(*kept.get) if kept.exists else state.Last()
+        rows = pd.concat(list(frames)).sort_values(["seq", "content_hash"])
+        taken = [last.takes(r.content_hash, r.updated_at, r.deleted, strict) for r in rows.itertuples(index=False)]
+        kept.update((last.digest, last.updated, last.deleted, last.revision))
+        out = rows[taken]
+        yield out.assign(revision=range(last.revision - len(out) + 1, last.revision + 1))
+
+    return fold
+
+
+def revisions(events: DataFrame, strict_tombstones: bool = False) -> DataFrame:
+    """Revisions of source articles as their events arrive (columns of state.REVISION).
+
+    The state of an article is a hash, a time and a number, whatever it went through; events of
+    a batch are taken in the order of seq, batches in the order of their arrival, as an ingest
+    run would.
+    """
+    rows = state.events_of(events)
+    return rows.groupBy(*state.KEY).applyInPandasWithState(_fold_events(strict_tombstones), state.REVISION, REVISION_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def run_revisions(stream: DataFrame, path: str, checkpoint: str, strict_tombstones: bool = False):
+    """Append the revisions of all available events to the files below path; replays of a batch add nothing."""
+    query = revisions(stream, strict_tombstones).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def read_revisions(spark: SparkSession, path: str) -> DataFrame:
+    """The history that run_revisions wrote, as readers may see it."""
+    return state.scrubbed(spark.read.schema(state.REVISION).parquet(path))
 
 
 def run_upserts(stream: DataFrame, state_path: str, checkpoint: str, merge):

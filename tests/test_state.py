@@ -155,15 +155,79 @@ def test_scrub_and_topics_read_whole_texts(spark, tmp_path):
     assert "inflation" in got[2] and "inflation" not in got[3]
 
 
+def plain_revisions(events, strict=False):
+    """(source, revision, headline, body, summary, url, deleted) of each kept event, as one ingest run after the other stores them."""
+    out = {}
+    for provider, source, action, head, summary, body, url, at, _ in sorted(events, key=lambda e: e[-1]):
+        history = out.setdefault(source, [])
+        gone = action == "delete"
+        row = {"head": state.WITHDRAWN if gone else head, "summary": None if gone else summary, "body": None if gone else body, "url": url, "at": at, "gone": gone}
+        same = lambda a, b: all(a[k] == b[k] for k in ("head", "summary", "body", "at", "gone")) and (a["gone"] or a["url"] == b["url"])
+        if history:
+            last = history[-1]
+            if same(last["raw"], row) or (last["at"] and at and at < last["at"]):
+                continue
+            if strict and last["gone"] and not gone and not (at and last["at"] and at > last["at"]):
+                continue
+        kept = dict(row, raw=row)
+        if gone:
+            kept["url"] = next((h["url"] for h in reversed(history) if not h["gone"]), url)
+            for h in history:
+                h["body"] = h["summary"] = None
+        history.append(kept)
+    return sorted((s, n + 1, h["head"], h["body"], h["summary"], h["url"], h["gone"]) for s, hs in out.items() for n, h in enumerate(hs))
+
+
+FULL = "provider_id string, source_id string, action string, headline string, summary string, body string, url string, updated_at timestamp, seq long"
+SEEN = ("source_id", "revision", "headline", "body", "summary", "url", "deleted")
+
+
+def many_events(seed, n=160):
+    rng = random.Random(seed)
+    when = lambda: None if rng.random() < 0.2 else datetime(2024, 1, 1) + timedelta(hours=rng.randrange(30))
+    return [("p", f"s{rng.randrange(7)}", rng.choice(["upsert"] * 4 + ["delete"]), f"h{rng.randrange(3)}", rng.choice([None, "s1", "s2"]), f"b{rng.randrange(3)}", f"u{rng.randrange(2)}", when(), i) for i in range(n)]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_revisions_follow_a_plain_run(spark, strict):
+    for seed in (1, 2):
+        data = many_events(seed)
+        got = state.revisions(spark.createDataFrame(data, FULL), strict).select(*SEEN).collect()
+        assert sorted(map(tuple, got)) == plain_revisions(data, strict)
+
+
 def test_stream_of_revisions_equals_the_batch_and_replays_change_nothing(spark, tmp_path):
-    rng = random.Random(9)
-    data = [("p", f"s{rng.randrange(6)}", rng.choice(["upsert"] * 5 + ["delete"]), f"h{rng.randrange(3)}", f"b{rng.randrange(3)}", datetime(2024, 1, 1) + timedelta(hours=rng.randrange(30)), i) for i in range(90)]
-    df = spark.createDataFrame(data, EVENTS)
-    df.repartitionByRange(3, "seq").write.parquet(str(tmp_path / "in"))
-    for run in ("first", "second"):
-        stream = jobs.read_files(spark, str(tmp_path / "in"), EVENTS, 1)
-        jobs.run_upserts(stream, str(tmp_path / "state"), str(tmp_path / run), jobs.merge_revisions)
-    assert rows(state.revisions(latest_state(spark, str(tmp_path / "state")))) == rows(state.revisions(df))
+    data = many_events(9)
+    df = spark.createDataFrame(data, FULL)
+    for part in range(3):  # files in the order of seq, one a batch
+        df.filter(f"seq >= {part * 54} AND seq < {part * 54 + 54}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        jobs.run_revisions(jobs.read_files(spark, str(tmp_path / "in"), FULL, 1), str(tmp_path / "history"), str(tmp_path / "check"))
+    assert rows(jobs.read_revisions(spark, str(tmp_path / "history")).select(*SEEN)) == rows(state.revisions(df).select(*SEEN))
+
+
+def test_purged_bodies_and_links_of_the_current_revision(spark):
+    data = [("p", "a", "upsert", "h", "b", '["Acme", "Beta"]', 1), ("p", "b", "upsert", "h", "b", '["Acme"]', 1), ("p", "b", "delete", "h", None, '["Acme"]', 2), ("q", "c", "upsert", "h", None, None, 1), ("p", "a", "upsert", "h2", "b2", '["Beta"]', 2)]
+    history = state.revisions(spark.createDataFrame(data, "provider_id string, source_id string, action string, headline string, body string, companies string, seq long"))
+    matches = spark.createDataFrame([("Acme", 1), ("Beta", 2)], "hint string, company_id long")
+    assert rows(state.revision_links(history, matches)) == [("p", "a", 2)]
+    purged = {(r["source_id"], r["revision"]): (r["body"], r["content_hash"][:7] == "purged:") for r in state.purge_bodies(history, ["p"]).collect()}
+    assert purged == {("a", 1): (None, True), ("a", 2): (None, True), ("b", 1): (None, False), ("b", 2): (None, False), ("c", 1): (None, False)}
+
+
+def test_unfinished_versions_are_not_read(spark, tmp_path):
+    from pressline.sources.sinks import upsert_batches
+
+    add = lambda old, batch: batch if old is None else old.unionByName(batch)
+    apply = upsert_batches(str(tmp_path / "s"), add)
+    assert latest_state(spark, str(tmp_path / "s")) is None
+    for epoch in range(4):
+        apply(spark.createDataFrame([(epoch,)], "n int"), epoch)
+    apply(spark.createDataFrame([(3,)], "n int"), 3)  # a replay
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["v2", "v3"]
+    spark.createDataFrame([(9,)], "n int").write.parquet(str(tmp_path / "s" / "v4"))
+    (tmp_path / "s" / "v4" / "_SUCCESS").unlink()
+    assert rows(latest_state(spark, str(tmp_path / "s"))) == [(0,), (1,), (2,), (3,)]
 
 
 def test_catalogue_merge(spark):
