@@ -6,46 +6,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Hint, code, alternates, MIC, symbol suffix, country, currency, label; in the order that decides ties.
-_TABLE = """
-NYSE|US||XNYS||US|USD|New York Stock Exchange
-NASDAQGS|US||XNAS||US|USD|Nasdaq Global Select
-NASDAQGM|US||XNAS||US|USD|Nasdaq Global Market
-NASDAQCM|US||XNAS||US|USD|Nasdaq Capital Market
-XNAS|US||XNAS||US|USD|Nasdaq
-NYSEAM|US||XASE||US|USD|NYSE American
-OTCPK|US||OOTC||US|USD|OTC Pink
-LSE|LN||XLON|.L|GB|GBP|London Stock Exchange
-SWX|SW||XSWX|.SW|CH|CHF|SIX Swiss Exchange
-DB|GR|GY|XETR|.DE|DE|EUR|Deutsche Boerse
-XTRA|GY|GR|XETR|.DE|DE|EUR|Xetra
-ENXTPA|FP||XPAR|.PA|FR|EUR|Euronext Paris
-ENXTBR|BB||XBRU|.BR|BE|EUR|Euronext Brussels
-BIT|IM||MTAA|.MI|IT|EUR|Borsa Italiana
-WBAG|AV||XWBO|.VI|AT|EUR|Wiener Borse
-BME|SM||XMAD|.MC|ES|EUR|Bolsa de Madrid
-ENXTAM|NA||XAMS|.AS|NL|EUR|Euronext Amsterdam
-ISE|ID||XDUB|.IR|IE|EUR|Euronext Dublin
-ENXTLS|PL||XLIS|.LS|PT|EUR|Euronext Lisbon
-SHSE|CH||XSHG|.SS|CN|CNY|Shanghai Stock Exchange
-SZSE|CS||XSHE|.SZ|CN|CNY|Shenzhen Stock Exchange
-OM|SS||XSTO|.ST|SE|SEK|Nasdaq Stockholm
-CPSE|DC||XCSE|.CO|DK|DKK|Nasdaq Copenhagen
-OB|NO||XOSL|.OL|NO|NOK|Oslo Bors
-HLSE|FH||XHEL|.HE|FI|EUR|Nasdaq Helsinki
-ATSE|GA||XATH|.AT|GR|EUR|Athens Exchange
-BATS-CHIXE|EB||BATE||GB|EUR|Cboe Europe
-SEHK|HK||XHKG|.HK|HK|HKD|Hong Kong Stock Exchange
-TSE|JT|CN|XTKS|.T|JP|JPY|Tokyo Stock Exchange
-SHSE|C1||XSHG|.SS|CN|CNY|Shanghai Stock Exchange
-SZSE|C2||XSHE|.SZ|CN|CNY|Shenzhen Stock Exchange
-NSEI|IS|IN|XNSE|.NS|IN|INR|National Stock Exchange of India
-IDX|IJ||XIDX|.JK|ID|IDR|Indonesia Stock Exchange
-TSX|CN|CT|XTSE|.TO|CA|CAD|Toronto Stock Exchange
-TSXV|CV||XTSX|.V|CA|CAD|TSX Venture Exchange
-BMV|MM||XMEX|.MX|MX|MXN|Bolsa Mexicana de Valores
-"""
 FIELDS = ("hint", "code", "alternates", "mic", "suffix", "country", "currency", "label")
-REFERENCES = [dict(zip(FIELDS, line.split("|"), strict=True)) for line in _TABLE.strip().splitlines()]
+ROWS = (
+    ("NYSE", "US", "", "XNYS", "", "US", "USD", "New York Stock Exchange"),
+    ("NASDAQGS", "US", "", "XNAS", "", "US", "USD", "Nasdaq Global Select"),
+    ("NASDAQGM", "US", "", "XNAS", "", "US", "USD", "Nasdaq Global Market"),
+    ("NASDAQCM", "US", "", "XNAS", "", "US", "USD", "Nasdaq Capital Market"),
+    ("XNAS", "US", "", "XNAS", "", "US", "USD", "Nasdaq"),
+    ("NYSEAM", "US", "", "XASE", "", "US", "USD", "NYSE American"),
+    ("OTCPK", "US", "", "OOTC", "", "US", "USD", "OTC Pink"),
+    ("LSE", "LN", "", "XLON", ".L", "GB", "GBP", "London Stock Exchange"),
+    ("SWX", "SW", "", "XSWX", ".SW", "CH", "CHF", "SIX Swiss Exchange"),
+    ("DB", "GR", "GY", "XETR", ".DE", "DE", "EUR", "Deutsche Boerse"),
+    ("XTRA", "GY", "GR", "XETR", ".DE", "DE", "EUR", "Xetra"),
+    ("ENXTPA", "FP", "", "XPAR", ".PA", "FR", "EUR", "Euronext Paris"),
+    ("ENXTBR", "BB", "", "XBRU", ".BR", "BE", "EUR", "Euronext Brussels"),
+    ("BIT", "IM", "", "MTAA", ".MI", "IT", "EUR", "Borsa Italiana"),
+    ("WBAG", "AV", "", "XWBO", ".VI", "AT", "EUR", "Wiener Borse"),
+    ("BME", "SM", "", "XMAD", ".MC", "ES", "EUR", "Bolsa de Madrid"),
+    ("ENXTAM", "NA", "", "XAMS", ".AS", "NL", "EUR", "Euronext Amsterdam"),
+    ("ISE", "ID", "", "XDUB", ".IR", "IE", "EUR", "Euronext Dublin"),
+    ("ENXTLS", "PL", "", "XLIS", ".LS", "PT", "EUR", "Euronext Lisbon"),
+    ("SHSE", "CH", "", "XSHG", ".SS", "CN", "CNY", "Shanghai Stock Exchange"),
+    ("SZSE", "CS", "", "XSHE", ".SZ", "CN", "CNY", "Shenzhen Stock Exchange"),
+    ("OM", "SS", "", "XSTO", ".ST", "SE", "SEK", "Nasdaq Stockholm"),
+    ("CPSE", "DC", "", "XCSE", ".CO", "DK", "DKK", "Nasdaq Copenhagen"),
+    ("OB", "NO", "", "XOSL", ".OL", "NO", "NOK", "Oslo Bors"),
+    ("HLSE", "FH", "", "XHEL", ".HE", "FI", "EUR", "Nasdaq Helsinki"),
+    ("ATSE", "GA", "", "XATH", ".AT", "GR", "EUR", "Athens Exchange"),
+    ("BATS-CHIXE", "EB", "", "BATE", "", "GB", "EUR", "Cboe Europe"),
+    ("SEHK", "HK", "", "XHKG", ".HK", "HK", "HKD", "Hong Kong Stock Exchange"),
+    ("TSE", "JT", "CN", "XTKS", ".T", "JP", "JPY", "Tokyo Stock Exchange"),
+    ("SHSE", "C1", "", "XSHG", ".SS", "CN", "CNY", "Shanghai Stock Exchange"),
+    ("SZSE", "C2", "", "XSHE", ".SZ", "CN", "CNY", "Shenzhen Stock Exchange"),
+    ("NSEI", "IS", "IN", "XNSE", ".NS", "IN", "INR", "National Stock Exchange of India"),
+    ("IDX", "IJ", "", "XIDX", ".JK", "ID", "IDR", "Indonesia Stock Exchange"),
+    ("TSX", "CN", "CT", "XTSE", ".TO", "CA", "CAD", "Toronto Stock Exchange"),
+    ("TSXV", "CV", "", "XTSX", ".V", "CA", "CAD", "TSX Venture Exchange"),
+    ("BMV", "MM", "", "XMEX", ".MX", "MX", "MXN", "Bolsa Mexicana de Valores"),
+)
+REFERENCES = [dict(zip(FIELDS, row, strict=True)) for row in ROWS]
 BY_HINT = {r["hint"]: r for r in REFERENCES}  # the last row of a hint counts
 BY_CODE = {r["code"]: r for r in reversed(REFERENCES)}  # the first row of a code counts
 # Venue codes that roll up to the US.
@@ -55,7 +55,12 @@ VENUE_RANK = {"XNYS": 0, "XNAS": 1, "ARCX": 2, "BATS": 3, "XASE": 4, "OOTC": 9}
 OTHER_VENUE = 8
 EXCHANGE_KEYS = {"NASDAQ": "XNAS", "NASDAQGS": "XNAS", "NASDAQGM": "XNAS", "NASDAQCM": "XNAS", "NASD": "XNAS", "NYSE": "XNYS", "AMEX": "XASE", "NYSEAMERICAN": "XASE", "OTC": "OOTC", "LSE": "XLON"}
 # Language of the local news edition of a country; editions of Chinese name their script.
-LANGUAGES = dict(p.split(":") for p in "DE:de CH:de AT:de FR:fr BE:fr IT:it ES:es MX:es NL:nl SE:sv NO:no DK:da FI:fi GR:el JP:ja CN:zh-CN HK:zh-HK TW:zh-TW IN:en ID:id GB:en IE:en CA:en AU:en SG:en IL:he KZ:ru US:en".split())
+LANGUAGES = {
+    "DE": "de", "CH": "de", "AT": "de", "FR": "fr", "BE": "fr", "IT": "it", "ES": "es", "MX": "es", "NL": "nl",
+    "SE": "sv", "NO": "no", "DK": "da", "FI": "fi", "GR": "el", "JP": "ja", "CN": "zh-CN", "HK": "zh-HK",
+    "TW": "zh-TW", "IN": "en", "ID": "id", "GB": "en", "IE": "en", "CA": "en", "AU": "en", "SG": "en", "IL": "he",
+    "KZ": "ru", "US": "en",
+}
 SCRIPTS = {"CN": "zh-Hans", "HK": "zh-Hant", "TW": "zh-Hant"}
 LOCALES = {c: (lang, c, f"{c}:{SCRIPTS.get(c, lang)}") for c, lang in LANGUAGES.items()}
 

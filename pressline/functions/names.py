@@ -12,21 +12,25 @@ from pyspark.sql import functions as F
 from pressline.functions.text import fold_accents
 
 # Words that never tell two companies apart.
-NOISE = (
-    "inc incorporated corp corporation co company cos ltd limited plc llc lp llp trust the companies "
-    "sa sas sca se ag kgaa nv bv as asa ab oyj oy spa srl aps a s gmbh pcl tbk bhd pte pt abp hf ehf "
-    "holding holdings hldgs hldg group grp groupe adr adrs ads gdr gdrs spon spons sponsored unspon unsponsored repr reptg represented "
-    "reg registered regd shs shares share stk stock cl class series ser ord ordinary npv new unitary b c and of for"
-).split()
+NOISE = [
+    "inc", "incorporated", "corp", "corporation", "co", "company", "cos", "ltd", "limited", "plc", "llc", "lp", "llp",
+    "trust", "the", "companies", "sa", "sas", "sca", "se", "ag", "kgaa", "nv", "bv", "as", "asa", "ab", "oyj", "oy",
+    "spa", "srl", "aps", "a", "s", "gmbh", "pcl", "tbk", "bhd", "pte", "pt", "abp", "hf", "ehf", "holding",
+    "holdings", "hldgs", "hldg", "group", "grp", "groupe", "adr", "adrs", "ads", "gdr", "gdrs", "spon", "spons",
+    "sponsored", "unspon", "unsponsored", "repr", "reptg", "represented", "reg", "registered", "regd", "shs",
+    "shares", "share", "stk", "stock", "cl", "class", "series", "ser", "ord", "ordinary", "npv", "new", "unitary",
+    "b", "c", "and", "of", "for",
+]
 # Contractions of reference sources.
-ABBREVIATIONS = dict(
-    pair.split(":")
-    for pair in (
-        "intl:international intn:international intnl:international natl:national amer:american wash:washington mfg:manufacturing mfrs:manufacturers inds:industries indus:industries "
-        "svc:services svcs:services serv:services tech:technologies techs:technologies technol:technologies pharm:pharmaceuticals pharma:pharmaceuticals fin:financial finl:financial "
-        "rlty:realty ppty:property prop:properties comms:communications comm:communications sys:systems labs:laboratories entmt:entertainment enterp:enterprises dev:development mgmt:management"
-    ).split()
-)
+ABBREVIATIONS = {
+    "intl": "international", "intn": "international", "intnl": "international", "natl": "national",
+    "amer": "american", "wash": "washington", "mfg": "manufacturing", "mfrs": "manufacturers", "inds": "industries",
+    "indus": "industries", "svc": "services", "svcs": "services", "serv": "services", "tech": "technologies",
+    "techs": "technologies", "technol": "technologies", "pharm": "pharmaceuticals", "pharma": "pharmaceuticals",
+    "fin": "financial", "finl": "financial", "rlty": "realty", "ppty": "property", "prop": "properties",
+    "comms": "communications", "comm": "communications", "sys": "systems", "labs": "laboratories",
+    "entmt": "entertainment", "enterp": "enterprises", "dev": "development", "mgmt": "management",
+}
 # Names of one company that surface forms do not link.
 ALIASES = (
     ("wabtec", "westinghouse air brake technologies"),

@@ -20,11 +20,14 @@ BACKFILL = (
     (2, r"(marketwatch|barron|investor's business daily|forbes|fortune|business insider|economist|morningstar|investing\.com|globe and mail|south china morning post|straits times|economic times|business standard|livemint)"),
 )
 # Names that are everyday words.
-AMBIGUOUS = (
-    "kid move auto safari admiral gap next shell orange apple amazon target sound future capital national general united american global first premier pioneer summit eagle "
-    "phoenix atlas titan delta alpha omega vantage spark core edge peak bridge harbour harbor crown royal star sun moon river field stone iron steel gold silver "
-    "booking partners mosaic advance liberty heritage legacy frontier cardinal corning public middle graphic element"
-).split()
+AMBIGUOUS = [
+    "kid", "move", "auto", "safari", "admiral", "gap", "next", "shell", "orange", "apple", "amazon", "target",
+    "sound", "future", "capital", "national", "general", "united", "american", "global", "first", "premier",
+    "pioneer", "summit", "eagle", "phoenix", "atlas", "titan", "delta", "alpha", "omega", "vantage", "spark", "core",
+    "edge", "peak", "bridge", "harbour", "harbor", "crown", "royal", "star", "sun", "moon", "river", "field", "stone",
+    "iron", "steel", "gold", "silver", "booking", "partners", "mosaic", "advance", "liberty", "heritage", "legacy",
+    "frontier", "cardinal", "corning", "public", "middle", "graphic", "element",
+]
 # Fixed value: words that show an article to be about business.
 FINANCE = r"\b(shares?|stock|stocks|equity|earnings|revenue|profit|loss|guidance|forecast|dividend|buyback|acquisition|acquires?|merger|takeover|ipo|listing|delisting|quarterly|q[1-4]|fiscal|results|outlook|analyst|rating|upgrade|downgrade|price target|market cap|ceo|cfo|chairman|board|nasdaq|nyse|lse|ftse|dax|nikkei|investors?|shareholders?|trading|valuation|bond|debt|financing|contract|contract award|regulator|antitrust|sec filing|customer|supplier|deal|stake|funding|invest(?:ment|or)?|sales|layoffs|factory|plant|expansion|rival|competitor|launch)\b"
 FLOOR = 0.35
