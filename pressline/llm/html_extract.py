@@ -62,21 +62,53 @@ _DIGITS = re.compile(r"[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？、¿¡]")
 
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg canvas object audio video noframes noembed xmp".split())
-FURNITURE_TAGS = frozenset("nav aside footer form dialog menu button select option label fieldset head".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-WHOLE = frozenset("html body main article".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BLOCKS = frozenset([
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div",
+    "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
+    "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table",
+    "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+])
+VOID = frozenset([
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+])
+RAW = frozenset([
+    "script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "object", "audio",
+    "video", "noframes", "noembed", "xmp",
+])
+FURNITURE_TAGS = frozenset([
+    "nav", "aside", "footer", "form", "dialog", "menu", "button", "select", "option", "label", "fieldset", "head",
+])
+ROLES = frozenset([
+    "navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog",
+    "menu", "menubar", "toolbar",
+])
+WHOLE = frozenset([
+    "html", "body", "main", "article",
+])
+HEADINGS = frozenset([
+    "h1", "h2", "h3", "h4", "h5", "h6",
+])
 #: Elements that hold others; the content element is one of them.
-CONTAINERS = frozenset(["", *"html body main article section div center td details form aside header footer nav fieldset dialog".split()])
+CONTAINERS = frozenset([
+    "", "html", "body", "main", "article", "section", "div", "center", "td", "details", "form", "aside", "header",
+    "footer", "nav", "fieldset", "dialog",
+])
 #: Words that, first or last in a class or id, mark an element that is rarely part of an article.
-MARKS = frozenset(
-    "ad ads adsense alert announcement announcements advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related recommended recommendations replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar tooltip topbar widget".split()
-)
-NOT_MARKS = frozenset("has with without no".split())
-SITE_WORDS = frozenset("header site page global top main nav".split())
+MARKS = frozenset([
+    "ad", "ads", "adsense", "alert", "announcement", "announcements", "advert", "adverts", "advertisement",
+    "advertisements", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
+    "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal",
+    "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager",
+    "pagination", "popup", "promo", "promotion", "related", "recommended", "recommendations", "replies", "respond",
+    "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe",
+    "subscription", "toolbar", "tooltip", "topbar", "widget",
+])
+NOT_MARKS = frozenset([
+    "has", "with", "without", "no",
+])
+SITE_WORDS = frozenset([
+    "header", "site", "page", "global", "top", "main", "nav",
+])
 
 
 def marked(value: str, inside: bool) -> bool:
@@ -261,7 +293,7 @@ class Page:
 
 
 _LOOSE = ("table", "td", "th")
-_INLINE_STOP = tuple("article main section div table td th body ul ol".split())
+_INLINE_STOP = ("article", "main", "section", "div", "table", "td", "th", "body", "ul", "ol")
 _STOP = {t: _INLINE_STOP for t in ("p", "a", "span", "label", "button")} | {"li": ("ul", "ol", "menu", "body"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "table": (), "body": (), "html": ()}
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th")}
 
