@@ -1,11 +1,12 @@
-"""Small driver-side helpers: feed cursors and cron expressions (also as a Column)."""
+"""Small driver-side helpers: feed cursors, windows of sources and cron expressions (also as a Column)."""
 
 from __future__ import annotations
 
 import base64
 import json
 import re
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,3 +88,41 @@ def cron_column(expression: str, ts: Column) -> Column:
     for f, v, (_, a, b) in zip(fields, now, CRON_FIELDS, strict=True):
         out = out & v.isin(*sorted(cron_values(f, a, b)))
     return out
+
+
+# Seconds that a window reaches back before its watermark, and that the first one holds; the largest page.
+WINDOW_OVERLAP, FIRST_WINDOW, MAX_PAGE = 300, 3600, 100_000
+
+
+class Window(NamedTuple):
+    """Where a source is read: articles of [start, end], page by page, news before removals."""
+
+    start: datetime
+    end: datetime
+    page: int = 0
+    phase: str = "news"
+
+
+def window_of(checkpoint: dict | None, now: datetime) -> Window:
+    """The window that a checkpoint names, or the next one: from its watermark, with an overlap, to now; the first one is an hour."""
+    state = checkpoint or {}
+    if state.get("kind") == "window":
+        try:
+            w = Window(datetime.fromisoformat(state["from"]), datetime.fromisoformat(state["to"]), state["page"], state.get("phase") or "news")
+        except (KeyError, TypeError, ValueError) as e:
+            raise ValueError("invalid pagination checkpoint") from e
+        if w.start > w.end or type(w.page) is not int or not 0 <= w.page <= MAX_PAGE:
+            raise ValueError("invalid pagination checkpoint")
+        return w
+    mark = state.get("watermark")
+    start = datetime.fromisoformat(mark) - timedelta(seconds=WINDOW_OVERLAP) if mark else now - timedelta(seconds=FIRST_WINDOW)
+    return Window(start, now)
+
+
+def after_page(window: Window, full: bool, phases=("news",)) -> dict:
+    """The checkpoint after a page: the next page of a full one, else the next phase, else the watermark at the window's end."""
+    here = {"kind": "window", "from": window.start.isoformat(), "to": window.end.isoformat()}
+    if full and window.page < MAX_PAGE:
+        return here | {"page": window.page + 1, "phase": window.phase}
+    rest = phases[phases.index(window.phase) + 1 :]
+    return here | {"page": 0, "phase": rest[0]} if rest else {"watermark": window.end.isoformat()}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 _PARTS = r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:@]+)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _GROUPS = {"scheme": 1, "userinfo": 2, "host": 3, "port": 4, "path": 5, "query": 6, "fragment": 7}
@@ -144,6 +147,31 @@ def redact(text: Column, secrets=()) -> Column:
     return F.when(out.rlike(_PARTS), in_url).otherwise(in_text)
 
 
+def redact_nested(value: Column, kind: DataType, secrets) -> Column:
+    """value (a column of type kind) with known secrets, plain or percent-encoded, replaced in every string in it: fields of structs, elements of arrays, values of maps; keys and all else stay."""
+    spelled = [x for s in secrets if s and s.strip() for x in dict.fromkeys((s.strip(), quote(s.strip(), safe="!'()*-._~")))]
+
+    def clean(c: Column, t: DataType) -> Column:
+        if isinstance(t, StringType):
+            for s in spelled:
+                c = F.replace(c, F.lit(s), F.lit("[redacted]"))
+            return c
+        if isinstance(t, StructType):
+            return F.when(c.isNotNull(), F.struct(*(clean(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields)))
+        if isinstance(t, ArrayType):
+            return F.transform(c, lambda x: clean(x, t.elementType))
+        if isinstance(t, MapType):
+            return F.transform_values(c, lambda _, x: clean(x, t.valueType))
+        return c
+
+    return clean(value, kind)
+
+
+def redacted(df: DataFrame, secrets) -> DataFrame:
+    """df with known secrets replaced in all its strings, however deep."""
+    return df.select(*(redact_nested(F.col(f"`{f.name}`"), f.dataType, secrets).alias(f.name) for f in df.schema.fields))
+
+
 def publisher_domain(url: Column) -> Column:
     """What stands between the scheme (and www.) and the first slash."""
     return F.split_part(F.regexp_replace(url, r"^https?://(www\.)?", ""), F.lit("/"), F.lit(1))

@@ -176,6 +176,11 @@ def coverage_gaps(companies: DataFrame, listings: DataFrame, links: DataFrame) -
     return gap.select("ticker", "company_name", "resolution_status", gap_reason().alias("gap_reason"), F.coalesce("covered_as", F.lit("")).alias("also_covered_as"), F.coalesce("resolution_note", F.lit("")).alias("note"))
 
 
+def gap_export(companies: DataFrame, listings: DataFrame, links: DataFrame) -> DataFrame:
+    """The coverage gaps with the companies' countries, as sinks.write_gaps takes them."""
+    return coverage_gaps(companies, listings, links).join(companies.select("ticker", "country"), "ticker")
+
+
 def counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 

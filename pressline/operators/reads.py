@@ -141,6 +141,19 @@ def listing_mapping(companies, listings, limit=None, offset=0) -> DataFrame:
     return out.orderBy("catalogue_ticker", F.col("is_primary").desc_nulls_last(), F.col("confidence").desc_nulls_last(), "listing_id").offset(offset).limit(limit)
 
 
+#: Columns of the mapping's export beside the catalogue's; those that a source of listings lacks are null.
+EXPORTED = ("exchange_code", "mic", "symbol", "symbol_format", "security_kind", "listing_country", "currency", "figi", "share_class_figi", "isin", "is_primary", "is_us", "confidence", "source")
+
+
+def listing_export(companies, listings) -> DataFrame:
+    """The whole mapping with all columns of its export, in its order: active companies by ticker, primary and certain lines first."""
+    held = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+    c = companies.filter("is_active").select(F.col("id").alias("company_id"), F.col("ticker").alias("catalogue_ticker"), "company_name", held(companies, "country").alias("catalogue_country"), held(companies, "exchange_hint").alias("catalogue_exchange_hint"), held(companies, "is_us_listed").alias("catalogue_is_us_listed"), "resolution_status", held(companies, "resolution_note"))
+    ls = listings.withColumnRenamed("country", "listing_country").select("company_id", F.col("id").alias("listing_id"), *(held(listings.withColumnRenamed("country", "listing_country"), x) for x in EXPORTED))
+    out = c.join(ls, "company_id", "left").orderBy("catalogue_ticker", F.col("is_primary").desc_nulls_last(), F.col("confidence").desc_nulls_last(), "listing_id")
+    return out.drop("company_id", "listing_id")
+
+
 def service_counts(companies, listings, articles, links) -> DataFrame:
     """One row of totals; a scan of each table, joined as single rows."""
     n = F.count(F.lit(1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -14,6 +15,15 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+GAP_COLUMNS = ("ticker", "company_name", "country", "resolution_status", "gap_reason", "also_covered_as", "note")
+
+
+def write_gaps(gaps: DataFrame, path: str) -> None:
+    """The coverage gaps as CSV, by reason and ticker."""
+    held = [F.col(c) if c in gaps.columns else F.lit(None).cast("string").alias(c) for c in GAP_COLUMNS]
+    write_csv(gaps.select(*held).orderBy("gap_reason", "ticker"), path)
+
+
 def _versions(spark, state_path: str):
     """The file system, the root and the numbers of the whole versions below state_path, oldest first."""
     sc = spark.sparkContext
