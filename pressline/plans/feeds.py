@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from pressline.operators import reads, v2
@@ -122,9 +124,15 @@ def _display(spark, sf_dir):
     return v2.displayed(v2.entitled(m.v2_articles, m.v2_status)).select("id", "preview_text", F.col("reading_minutes").cast("long").alias("reading_minutes"), "content_mode", "source_kind", "image_url")
 
 
-def _provider_counts(spark, sf_dir):
+def _provider_status(spark, sf_dir):
+    """Providers with their settings (every sixth has none), requests of today or of the day before, and live articles."""
     m = Model(spark, sf_dir)
-    return m.v2_status.join(m.v2_articles.filter("NOT deleted").groupBy("provider_id").count(), "provider_id", "left").select("provider_id", "enabled", F.coalesce("count", F.lit(0)).alias("articles"))
+    known = m.v2_status.withColumn("n", F.regexp_extract("provider_id", "([0-9]+)$", 1).cast("int"))
+    config = known.select(F.when(F.col("n") % 6 == 0, "nobody").otherwise(F.col("provider_id")).alias("provider_id"), "enabled", "configured", "display_licensed", "full_text_enabled")
+    day = F.when(F.col("n") % 2 == 0, F.lit("2024-01-15")).otherwise("2024-01-14").cast("date")
+    state = known.select("provider_id", (F.col("n") * 3).alias("requests_today"), day.alias("budget_day"))
+    out = v2.provider_status(known.select("provider_id", "free"), config.filter("provider_id <> 'nobody'"), state, m.v2_articles, date(2024, 1, 15))
+    return out.select("provider_id", "enabled", "configured", "free", "requests_today", "articles")
 
 
 def _coverage_summary(spark, sf_dir):
@@ -180,7 +188,9 @@ SELECT id, CASE WHEN length(t) = 0 THEN NULL WHEN length(t) <= 700 THEN t ELSE r
   CASE WHEN NOT deleted AND length(b) > 0 THEN greatest(1, CAST(ceil(len(string_split({_FLATTEN.format('b')}, ' ')) / 200.0) AS BIGINT)) END AS reading_minutes,
   CASE WHEN deleted THEN 'link_only' WHEN b <> '' THEN 'full_text' WHEN summary IS NOT NULL THEN 'summary' ELSE 'link_only' END AS content_mode,
   CASE WHEN free THEN 'official' ELSE 'aggregator' END AS source_kind, CASE WHEN image_allowed AND NOT deleted THEN 'https://img.example.org/' || doc_id || '.png' END AS image_url FROM q""", "v2", "v2_status")),
-    "provider_status": (_provider_counts, sql("SELECT s.provider_id, s.enabled, (SELECT count(*) FROM v2 WHERE v2.provider_id = s.provider_id AND NOT deleted) AS articles FROM v2_status s", "v2", "v2_status")),
+    "provider_status": (_provider_status, sql("""WITH n AS (SELECT *, CAST(regexp_extract(provider_id, '([0-9]+)$', 1) AS INTEGER) AS n FROM v2_status)
+SELECT provider_id, enabled AND n % 6 <> 0 AS enabled, configured AND n % 6 <> 0 AS configured, free, CASE WHEN n % 2 = 0 THEN n * 3 ELSE 0 END AS requests_today,
+  (SELECT count(*) FROM v2 WHERE v2.provider_id = n.provider_id AND NOT deleted) AS articles FROM n""", "v2", "v2_status")),
     "coverage_summary": (_coverage_summary, sql("SELECT count(*) AS articles, count(DISTINCT provider_id) AS providers, (SELECT count(DISTINCT company_id) FROM v2_links) AS companies, strftime(min(published_at), '%Y-%m-%d %H:%M') AS oldest, strftime(max(published_at), '%Y-%m-%d %H:%M') AS newest FROM v2 WHERE NOT deleted", "v2", "v2_links")),
 }
 
