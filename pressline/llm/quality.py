@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressline.llm.common import WordHash, ship, window_hashes
+from pressline.llm.common import Sieve, WordHash, ship, window_hashes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -217,13 +217,16 @@ def holdout(votes: DataFrame, cuts: dict) -> DataFrame:
 def keep(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", stratum: str = "lang", workspace) -> DataFrame:
     """The rows of df that the rules keep, with df's columns.
 
-    The texts are measured once: rows and measures are staged together, for the cutoffs (which
-    read the measures alone) and the verdicts.
+    Texts that may be labelled, by a bounded sieve of hashed ids, are measured for the cutoffs;
+    then all are measured and judged in one pass.  Texts are neither shuffled nor staged.
     """
     m = fresh(df, "__measures")
-    measured = workspace.stage(measures(df, id_col, text_col, *(c for c in df.columns if c != id_col), into=m), "measured")
+    ids = workspace.stage(labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col).distinct(), "labelled")
+    likely = Sieve(workspace, ids, "sieve").mark(df.select(*dict.fromkeys((id_col, stratum, text_col))), id_col).filter("__held")
+    measured = workspace.stage(measures(likely, id_col, text_col, stratum, into=m), "measures")
     cuts = cutoffs(votes(measured, labels, id_col, label_col, stratum, m))
-    return measured.filter(verdict(F.col(m), F.col(stratum), cuts)).select(*df.columns)
+    others = [c for c in df.columns if c != id_col]
+    return measures(df, id_col, text_col, *others, into=m).filter(verdict(F.col(m), F.col(stratum), cuts)).select(*df.columns)
 
 
 def rules(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", stratum: str = "lang", workspace, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
