@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pressline.llm import bpe, html_extract, langid, minhash, mixing, quality, secret_scan, topk, url_filter, warc
+from pressline.llm import bpe, html_extract, langid, merkle, minhash, mixing, quality, secret_scan, topk, url_filter, warc
 from pressline.llm.common import Workspace
 
 
@@ -67,6 +67,11 @@ def op10_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("junk_score", 6).alias("junk_score"))
 
 
+def op11_merkle(spark, sf_dir):
+    rows = merkle.manifest(_read(spark, sf_dir, "documents"), claim=merkle.without_newlines(), workspace=Workspace(spark, "op11"))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 def queries():
     return {
         "op1_warc": op1_warc,
@@ -79,8 +84,9 @@ def queries():
         "op8_language_id": op8_language_id,
         "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
+        "op11_merkle": op11_merkle,
     }
 
 
 def oracle_sql():
-    return {"op6_mixing": mixing.ORACLE, "op7_topk": topk.ORACLE, "op9_url_filter": url_filter.ORACLE}
+    return {"op6_mixing": mixing.ORACLE, "op7_topk": topk.ORACLE, "op9_url_filter": url_filter.ORACLE, "op11_merkle": merkle.ORACLE}
