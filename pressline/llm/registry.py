@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pressline.llm import bpe, html_extract, langid, merkle, minhash, mixing, quality, secret_scan, topk, url_filter, warc
+from pressline.llm import bpe, hard_negatives, html_extract, langid, merkle, minhash, mixing, quality, secret_scan, token_files, topk, url_filter, warc
 from pressline.llm.common import Workspace
 
 
@@ -72,6 +72,18 @@ def op11_merkle(spark, sf_dir):
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+def op12_token_files(spark, sf_dir):
+    path = Workspace(spark, "op12").sub("corpus")
+    token_files.write(_read(spark, sf_dir, "documents"), path)
+    return token_files.checksums(token_files.read(spark, path))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, rows.filter("vec_id % 100 = 0"), label=label, workspace=Workspace(spark, "op13"))
+
+
 def queries():
     return {
         "op1_warc": op1_warc,
@@ -85,8 +97,10 @@ def queries():
         "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
         "op11_merkle": op11_merkle,
+        "op12_token_files": op12_token_files,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql():
-    return {"op6_mixing": mixing.ORACLE, "op7_topk": topk.ORACLE, "op9_url_filter": url_filter.ORACLE, "op11_merkle": merkle.ORACLE}
+    return {"op6_mixing": mixing.ORACLE, "op7_topk": topk.ORACLE, "op9_url_filter": url_filter.ORACLE, "op11_merkle": merkle.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
