@@ -43,9 +43,9 @@ from pressline.llm.common import Workspace
 from pressline.llm.topk import clipped, from_bytes, matrix, quantised, to_bytes, usable
 
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
-TREE_ROWS, TREE_BYTES, LEAF = 8192, 8 << 20, 128
+TREE_ROWS, TREE_BYTES, LEAF = 8192, 8 << 20, 64
 BLOCK, BLOCK_BYTES = 32_768, 32 << 20
-TREES_A_TASK, TOGETHER = 64, 2048
+TREES_A_TASK, TOGETHER, STRETCH = 64, 2048, 512
 _EXACT, _LEAST, _MOST = 2**53, -(2**63), 2**63 - 1
 
 
@@ -214,8 +214,8 @@ def search(tree: dict, wanted, counter=None) -> None:
             rows = slice(nodes["start"][node], nodes["end"][node])
             if counter is not None:
                 counter.add(len(at) * (rows.stop - rows.start))
-            for part in range(rows.start, rows.stop, 4 * LEAF):  # equal rows make large leaves
-                cut = slice(part, min(part + 4 * LEAF, rows.stop))
+            for part in range(rows.start, rows.stop, STRETCH):  # equal rows make large leaves
+                cut = slice(part, min(part + STRETCH, rows.stop))
                 wanted.take(begin + at, clipped(q[at] @ x[cut].T), ids[cut], labels[cut])
 
 
@@ -223,8 +223,8 @@ _TREE = "dim bigint, ids binary, labels binary, vectors binary, kind string, nod
 _INTS, _REALS = ("start", "end", "left", "right", "low", "high"), ("radius",)
 
 
-def _pack(ids: np.ndarray, labels: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    order, nodes = build(x, labels)
+def _pack(ids: np.ndarray, labels: np.ndarray, x: np.ndarray, leaf: int) -> pa.RecordBatch:
+    order, nodes = build(x, labels, leaf)
     raw, kind = to_bytes(x[order])
     parts = [nodes[c].astype(np.int64).tobytes() for c in _INTS] + [nodes[c].tobytes() for c in _REALS] + [nodes["centre"].tobytes()]
     values = [x.shape[1], ids[order].tobytes(), labels[order].tobytes(), raw, kind, b"".join(parts)]
@@ -241,7 +241,7 @@ def _unpack(r: dict) -> dict:
     return {"ids": ids, "labels": np.frombuffer(r["labels"], np.int64), "x": from_bytes(r["vectors"], r["kind"], dim, len(ids)), "nodes": nodes}
 
 
-def plant(batches):
+def plant(batches, leaf: int = LEAF):
     """Trees of the rows (id, label, q) of a partition, each of one length of vectors; what is held is bounded by one batch and TREE_ROWS."""
     held: dict[int, list] = {}
     rows: dict[int, int] = {}
@@ -253,7 +253,7 @@ def plant(batches):
         ids, labels, x = (np.concatenate(c) for c in zip(*parts, strict=True))
         for i in range(0, len(ids), limit(dim)):
             j = slice(i, i + limit(dim))
-            yield _pack(ids[j], labels[j], x[j])
+            yield _pack(ids[j], labels[j], x[j], leaf)
 
     for batch in batches:
         ids, labels = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label"))
@@ -289,7 +289,7 @@ def windows(scores: list[int], low: int, high: int) -> tuple[np.ndarray, np.ndar
     return np.array([-((-low * s) // 100) for s in scores], np.int64), np.array([high * s // 100 for s in scores], np.int64)
 
 
-def mine(df: DataFrame, anchors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label: Column | str = "label", positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, scale: int = 256, workspace: Workspace, counter=None) -> DataFrame:
+def mine(df: DataFrame, anchors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label: Column | str = "label", positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, scale: int = 256, leaf: int = LEAF, workspace: Workspace, counter=None) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score: hard negatives from df for each anchor and positive.
 
     low and high are the window's bounds in percent of the positive's score.  counter: an
@@ -304,7 +304,7 @@ def mine(df: DataFrame, anchors: DataFrame, *, id_col: str = "vec_id", vector_co
 
     asked = ws.stage(clean(anchors).distinct(), "anchors")
     tasks = max(sc.defaultParallelism, -(-df.count() // (TREES_A_TASK * TREE_ROWS)))
-    trees = ws.stage(clean(df).repartition(tasks).mapInArrow(plant, _TREE), "trees")
+    trees = ws.stage(clean(df).repartition(tasks).mapInArrow(lambda batches: plant(batches, leaf), _TREE), "trees")
 
     def results(shared, build_wanted, schema):
         """Each partition's best entries: of its anchors in phase one, of its pairs in phase two."""

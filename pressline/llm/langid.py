@@ -11,17 +11,19 @@ rows; where the runner-up is about as near, the answer is flagged as ambiguous.
 share of the nearest codeword in exp(-loss) over all codewords.
 
 Training: a hash sample of about ``sample`` labelled documents of each language (whole texts)
-and of about MAX_ROWS in all, of the MAX_LANGUAGES most frequent labels (ties: the first by
-name), so noise in labels can't make the model grow.  The executors turn them into feature
-vectors; the driver gets at most about MAX_ROWS vectors of DIMENSIONS floats (200 MB) and
-solves a system of at most DIMENSIONS unknowns (134 MB), whatever the number of languages.
+and of about MAX_ROWS in all, at least the first of each label by its hash.  Every label is
+learned, however many there are, up to MAX_ROWS: the documented bound on labelled rows is the only
+one.  Of more labels than rows, a hash sample of about MAX_ROWS labels is learned from one
+row each.  The executors turn rows into feature vectors; the driver gets at most about 2 * MAX_ROWS
+vectors of DIMENSIONS floats (400 MB; half of that unless labels are nearly as many as rows)
+and solves a system of at most DIMENSIONS unknowns (134 MB), whatever the number of languages.
 Prediction uses every whole text and nothing but the text.
 
 Defined cases: a null text and a text without any letter (an empty one too) give ``und`` with
 score 0; so does every text if nothing was learned; one learned language is predicted for any
 text with a letter, with score 1; very long texts are read whole; ties go to the first language
 by name; repeated rows each give their row; null ids stay (and are not learned from by
-``learning_part``); null labels are not learned from; an empty table gives no model and no
+``learning_part``); null labels are not learned from, and of rows that repeat id and label one (the least text); an empty table gives no model and no
 rows; other columns are not read.
 """
 
@@ -39,9 +41,11 @@ from pyspark.sql import functions as F
 from pressline.llm.common import ship
 
 DIMENSIONS = 4096
-SAMPLE, MAX_ROWS, MAX_LANGUAGES = 400, 12_000, 256
+SAMPLE, MAX_ROWS = 400, 12_000
 MAX_EXHAUSTIVE, RANDOM_BITS, MANY, MANY_BITS = 6, 48, 64, 96
 RIDGE, AMBIGUOUS = 0.05, 0.1
+TRIES, TRIES_OF_MANY, SIDE = 50, 2, 1024
+DECODED = 1 << 22
 
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -74,11 +78,15 @@ def codewords(k: int) -> np.ndarray:
         return np.vstack([-np.ones(len(splits)), rest])
     rng, best, least = np.random.default_rng(7), None, -1
     bits = RANDOM_BITS if k <= MANY else MANY_BITS
-    for _ in range(50):
+    for _ in range(TRIES if k <= SIDE else TRIES_OF_MANY):
         code = rng.choice([-1.0, 1.0], (k, bits))
         code[:, np.abs(code.sum(0)) == k] *= np.where(np.arange(k) % 2, 1, -1)[:, None]
-        agree = code @ code.T
-        far = (bits - (agree - np.diag(np.diag(agree) + bits)).max()) / 2
+        nearest = -bits
+        for i in range(0, k, SIDE):  # a strip of the table of distances at a time
+            agree = code[i : i + SIDE] @ code.T
+            agree[np.arange(len(agree)), np.arange(i, i + len(agree))] = -bits
+            nearest = max(nearest, agree.max())
+        far = (bits - nearest) / 2
         if far > least:
             best, least = code, far
     return best
@@ -126,12 +134,17 @@ def fit(vectors: np.ndarray, languages: list[str]) -> Model:
 def decode(model: Model, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Language numbers, scores and ambiguity of rows of bit values."""
     code = codewords(len(model.languages))
-    loss = np.stack([(np.logaddexp(0, -4 * c * values) * model.trust).sum(1) for c in code], 1)
-    p = np.exp(loss.min(1, keepdims=True) - loss)
-    p /= p.sum(1, keepdims=True)
-    order = np.sort(p, 1)
-    second = order[:, -2] if p.shape[1] > 1 else np.zeros(len(p))
-    return loss.argmin(1), order[:, -1], order[:, -1] - second < AMBIGUOUS
+    one, other = (code > 0).T.astype(np.float64), (code <= 0).T.astype(np.float64)
+    found = []
+    step = max(1, DECODED // len(code))
+    for i in range(0, len(values), step):
+        v = values[i : i + step]
+        loss = (np.logaddexp(0, -4 * v) * model.trust) @ one + (np.logaddexp(0, 4 * v) * model.trust) @ other
+        p = np.exp(loss.min(1, keepdims=True) - loss)
+        p /= p.sum(1, keepdims=True)
+        order = np.partition(p, p.shape[1] - 2, axis=1)[:, -2:] if p.shape[1] > 1 else np.c_[np.zeros(len(p)), p]
+        found.append((loss.argmin(1), order[:, 1], order[:, 1] - order[:, 0] < AMBIGUOUS))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def learning_part(id_col: Column) -> Column:
@@ -139,17 +152,21 @@ def learning_part(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def train(df: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES) -> Model | None:
-    """A model from about ``sample`` rows of each of the most frequent labels of df; None if df has no labelled text with letters."""
-    ship(df.sparkSession)
+def train(df: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, max_rows: int = MAX_ROWS) -> Model | None:
+    """A model from about ``sample`` rows of each label of df, ``max_rows`` in all; None if df has no labelled text with letters."""
+    spark = df.sparkSession
+    ship(spark)
     usable = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("binary").alias("raw"))
-    counts = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").limit(max_languages).collect()
-    if not counts:
+    uniform = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    draw = uniform("id", 29)
+    per_label = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("first"))
+    many = per_label.count()
+    if not many:
         return None
-    each = min(sample, max_rows // len(counts))
-    draw = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["label"], min(1.0, each / r["n"]))))
-    share = F.coalesce(F.try_element_at(shares, F.col("label")), F.lit(0.0))
+    each = max(1, min(sample, max_rows // many))
+    learned = per_label.filter(uniform("label", 31) < max_rows / many) if many > max_rows else per_label
+    counts = learned.select("label", "n", "first").toArrow()  # about max_rows rows at most
+    shares = spark.createDataFrame(counts).select(F.col("label").alias("l"), F.least(F.lit(1.0), each / F.col("n")).alias("share"), "first")
 
     def batches(it):
         for batch in it:
@@ -157,7 +174,8 @@ def train(df: DataFrame, *, id_col: str, text_col: str, label_col: str, sample:
             rows = [(label, vector(raw)) for label, raw in rows if has_letter(raw)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["label", "x"])
 
-    drawn = usable.filter(draw < share).select("label", "raw")
+    drawn = usable.join(F.broadcast(shares), F.col("label") == F.col("l")).filter((draw < F.col("share")) | (draw == F.col("first")))
+    drawn = drawn.groupBy("label", "id").agg(F.min("raw").alias("raw")).select("label", "raw")
     got = sorted(((r["label"], bytes(r["x"])) for r in drawn.mapInArrow(batches, "label string, x binary").collect()))
     if not got:
         return None

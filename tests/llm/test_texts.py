@@ -578,7 +578,7 @@ def test_fit_is_the_same_in_the_primal_and_the_dual():
 
 
 def test_many_labels_fit_in_bounded_memory(spark):
-    """200 languages and noise labels: the driver's rows are bounded, the frequent labels are learned."""
+    """200 languages and 300 noise labels: the driver's rows are bounded, every label is learned."""
     import tracemalloc
 
     rng = random.Random(18)
@@ -586,7 +586,7 @@ def test_many_labels_fit_in_bounded_memory(spark):
     docs = [(i, " ".join(rng.choice(own[name]) for _ in range(40)), name) for i, name in enumerate(sorted(own) * 25)] + [(10**6 + i, "noise text", f"noise{i}") for i in range(500)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     model = langid.train(df.filter("(doc_id DIV 200) % 5 <> 0"), id_col="doc_id", text_col="text", label_col="lang", max_rows=4400)
-    assert len(model.languages) == langid.MAX_LANGUAGES and set(own) <= set(model.languages)
+    assert len(model.languages) == 500 and set(own) <= set(model.languages)
     held = {i: name for i, _, name in docs[:5000] if i // 200 % 5 == 0}
     got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df.filter("doc_id < 5000 AND (doc_id DIV 200) % 5 = 0"), model, id_col="doc_id", text_col="text").collect()}
     assert sum(got[i] == name for i, name in held.items()) >= 0.95 * len(held)
@@ -641,3 +641,25 @@ def test_html_templates(name):
 def test_header_of_an_article_stays():
     head, rest = LONG_ARTICLE.split("<p>First", 1)
     assert html_extract.extract(f"<article><header>{head}</header><p>First{rest}{CHROME}</article>") == LONG_WANT
+
+
+def test_every_label_is_learned_however_many(spark):
+    """1,000 labels, more than the sample of rows a label, and more labels than rows."""
+    rng = random.Random(5)
+    words = {f"l{k:04}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for k in range(1000)}
+    rows = [(i, " ".join(rng.choices(w, k=30)), label) for i, (label, w) in enumerate(list(words.items()) * 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(df, id_col="doc_id", text_col="text", label_col="lang")
+    assert model.languages == sorted(words)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, model, id_col="doc_id", text_col="text").collect()}
+    assert sum(got[i] == label for i, _, label in rows) > 0.9 * len(rows)
+    few = langid.train(df, id_col="doc_id", text_col="text", label_col="lang", max_rows=100)
+    assert 60 < len(few.languages) < 140 and set(few.languages) < set(words)
+    one = langid.train(df, id_col="doc_id", text_col="text", label_col="lang", max_rows=1000)
+    assert one.languages == sorted(words)
+
+
+def test_a_hot_id_cannot_fill_the_sample(spark):
+    df = spark.createDataFrame([(7, "the same text", "en")] * 2000 + [(i, f"un autre texte {i}", "fr") for i in range(50)], "doc_id bigint, text string, lang string")
+    model = langid.train(df, id_col="doc_id", text_col="text", label_col="lang", max_rows=100)
+    assert model.languages == ["en", "fr"]

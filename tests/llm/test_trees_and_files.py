@@ -264,7 +264,7 @@ def test_trees_prune_clustered_rows(spark, ws):
     rows = [(i, [float(x) for x in centres[c] + rng.normal(0, 0.05, 16)], int(rng.integers(0, 4))) for i, c in enumerate(place)]
     made = spark.sparkContext.accumulator(0)
     df = vectors(spark, rows)
-    got = mined(df, ws, "vec_id % 100 = 0", counter=made)
+    got = mined(df, ws, "vec_id % 100 = 0", leaf=16, counter=made)
     assert got == plain_negatives(rows, lambda i: i % 100 == 0)
     assert 0 < made.value < 0.5 * 2 * 60 * 6000
 
