@@ -19,8 +19,8 @@ id once, encoded where they lie and written from there; ids never move.  Starts
 sums of a row for each part, so no document waits for another.
 
 *Scale.*  Memory is bounded by one Arrow batch, some BATCH_CHARS characters in the tokenizer (longer
-texts are cut at white space behind other characters, where no token of the pattern runs over) and
-one stripe.  A hot id (a third of the rows) spreads over partitions, as ties are ordered by
+texts are cut at white space behind other characters, where no token of the pattern runs over), the
+distinct pieces that a worker keeps, and one stripe.  A hot id (a third of the rows) spreads over partitions, as ties are ordered by
 their place in the input.  A lost executor costs its parts alone.
 
 Defined cases: a null text is empty and an empty text gives the end id alone; rows with a null id
@@ -33,7 +33,9 @@ not read, whatever their names.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -48,6 +50,13 @@ from pressline.llm.common import ship
 END_ID = 0
 STRIDE, STRIPE_BYTES, FALSE_POSITIVES = 1000, 32 << 20, 0.01
 BATCH_CHARS, BATCH_TOKENS = 1 << 20, 1 << 20
+#: Distinct pieces, and ids of pieces, that a worker keeps (some 120 MB).
+PIECES, KEPT_IDS = 500_000, 4_000_000
+TOGETHER, _LATIN = 2048, "\u0250"
+_MARKS, _PLAIN = frozenset(".,;:!?"), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: What shows that the white space of a text is more than single spaces and newlines.
+_ODD_SPACES = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 #: An index of more parts than this is not broadcast.
 MOST_PARTS = 1 << 18
 
@@ -69,15 +78,156 @@ def tokenizer(name: str):
     return found
 
 
-def encode_texts(coder, texts: list[str]):
-    """The ids of each text as an array, in order; long texts by pieces, many short ones together."""
+class Coder:
+    """Ids of texts by a tokenizer of the library, which sees each distinct piece of a text once.
+
+    A piece begins at a space or newline behind a character that is not white space, where no token
+    of the pattern runs over; so the ids of a text are those of its pieces, one after the
+    other.  Pieces are kept with their ids, up to some PIECES of them and KEPT_IDS ids; then those go that were used once.
+    """
+
+    def __init__(self, found):
+        self.tokenizer, self.model = found, found.model
+        # the visible characters that stand for bytes: themselves, or the next ones from U+0100 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        vocabulary = found.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # a character stands for a byte
+        self.clear()
+
+    def clear(self) -> None:
+        self.exact: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}  # of pieces that begin with a space, without it; those with a newline whole
+        self.flat = np.empty(1 << 16, np.int32)
+        self.first, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = np.zeros(0, np.int64)
+        self.n_pieces = self.n_ids = 0
+
+    def forget(self) -> None:
+        """Keep the pieces that were used more than once, at most half of what fits; what use was made of them counts half from now on."""
+        least = 2
+        while True:
+            keep = np.flatnonzero(self.used >= least)
+            if 2 * len(keep) <= PIECES and 2 * self.length[keep].sum() <= KEPT_IDS:
+                break
+            least *= 2
+        ids, lengths, used, old = self._gather(keep), self.length[keep], self.used[keep] // 2, (self.exact, self.spaced)
+        place = np.full(self.n_pieces, -1, np.int64)
+        place[keep] = np.arange(len(keep))
+        place = place.tolist()
+        self.clear()
+        self._keep(ids, lengths)
+        self.used = used
+        self.exact, self.spaced = ({p: place[i] for p, i in names.items() if place[i] >= 0} for names in old)
+
+    def _keep(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        """Places of new pieces, whose ids follow each other."""
+        while self.n_ids + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.n_pieces + len(lengths) > len(self.first):
+            self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length))
+        at = slice(self.n_pieces, self.n_pieces + len(lengths))
+        self.flat[self.n_ids : self.n_ids + len(ids)] = ids
+        self.length[at] = lengths
+        self.first[at] = self.n_ids + np.cumsum(lengths) - lengths
+        self.n_ids += len(ids)
+        self.n_pieces = at.stop
+        return range(at.start, at.stop)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the pieces at some places, one after the other."""
+        lengths = self.length[at]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.first[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(at) else 0)]
+
+    def _alone(self, words: list[str]) -> range:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return self._keep(np.fromiter(itertools.chain.from_iterable(lists), np.int32), np.array([len(x) for x in lists], np.int64))
+
+    def _words(self, words: list[str]) -> range:
+        """Pieces that are a space and letters, one token of the pattern each: the model's part alone."""
+        merge = self.model.tokenize
+        lists = [merge("\u0120" + (w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet))) for w in words]
+        return self._keep(np.array([t.id for x in lists for t in x], np.int32), np.array([len(x) for x in lists], np.int64))
+
+    def _together(self, words: list[str]) -> range:
+        """Pieces that begin with white space and end without, encoded as one text and told apart by their bytes."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.cumsum([len(w.encode()) for w in words])
+        after = np.cumsum(self.bytes_of[ids])
+        stops = np.searchsorted(after, ends)
+        if len(ids) and (stops < len(after)).all() and (after[stops] == ends).all():
+            return self._keep(ids, np.diff(stops + 1, prepend=0))
+        return self._alone(words)
+
+    def learn(self, exact: set[str], spaced: set[str]) -> None:
+        new = sorted(exact)
+        self.exact.update(zip(new, self._alone(new), strict=True))
+        whole = {p: p if p[:1] == "\n" else " " + p for p in spaced}
+        blank = [p for p, w in whole.items() if len(w) == 1]
+        self.spaced.update(zip(blank, self._alone([whole[p] for p in blank]), strict=True))
+        marked = {p: p[:-1] for p in spaced if p[-1:] in _MARKS and p[-2:-1] in _PLAIN}  # a word and a mark, which never share a token
+        words = [p for p in {*(p for p, w in whole.items() if len(w) > 1 and p not in marked), *(w for w in marked.values() if w not in self.spaced)} if p]
+        letters = [p for p in words if p.isalpha() and max(p) < _LATIN]
+        self.spaced.update(zip(letters, self._words(letters), strict=True))
+        words = [p for p in words if not (p.isalpha() and max(p) < _LATIN)]
+        for i in range(0, len(words), TOGETHER):
+            part = words[i : i + TOGETHER]
+            self.spaced.update(zip(part, self._together([p if p[:1] == "\n" else " " + p for p in part]), strict=True))
+        if marked:
+            marks = sorted({p[-1] for p in marked} - self.exact.keys())
+            self.exact.update(zip(marks, self._alone(marks), strict=True))
+            both = np.array([(self.spaced[w], self.exact[p[-1]]) for p, w in marked.items()])
+            lengths = self.length[both]
+            self.spaced.update(zip(marked, self._keep(self._gather(both.ravel()), lengths.sum(1)), strict=True))
+
+    def places(self, head: list[str], tail: list[str]) -> np.ndarray:
+        """Places of the pieces of a text, -1 for those that are not kept."""
+        n = len(head)
+        at = np.empty(n + len(tail), np.int64)
+        at[:n] = np.fromiter(map(self.exact.get, head, itertools.repeat(-1)), np.int64, n)
+        at[n:] = np.fromiter(map(self.spaced.get, tail, itertools.repeat(-1)), np.int64, len(tail))
+        return at
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each of some texts (together some BATCH_CHARS characters)."""
+        split = []
+        for text in texts:
+            if any(c in text for c in _ODD_SPACES):
+                split.append((_CUT.split(text), []))
+            else:
+                first, *rest = text.replace("\n", " \n").split(" ")
+                split.append(([first], rest))
+        if self.n_pieces > PIECES or self.n_ids > KEPT_IDS:
+            self.forget()
+        placed = [self.places(*s) for s in split]
+        new = []  # (places of a text, place in it, piece, is it a head)
+        for (head, tail), at in zip(split, placed, strict=True):
+            n = len(head)
+            new += [(at, i, head[i] if i < n else tail[i - n], i < n) for i in np.flatnonzero(at < 0).tolist()]
+        self.learn({p for _, _, p, first in new if first}, {p for _, _, p, first in new if not first})
+        for at, i, p, first in new:
+            at[i] = (self.exact if first else self.spaced)[p]
+        self.used = np.pad(self.used, (0, self.n_pieces - len(self.used))) + np.bincount(np.concatenate(placed), minlength=self.n_pieces)
+        return [self._gather(at) for at in placed]
+
+
+@functools.lru_cache(maxsize=2)
+def coder(name: str) -> Coder:
+    return Coder(tokenizer(name))
+
+
+def encode_texts(by: Coder, texts: list[str]):
+    """The ids of each text as an array, in order; long texts in parts, many short ones together."""
     waiting: list[str] = []
     owners: list[int] = []
     held, size, done = {}, 0, 0
 
     def run():
-        for owner, enc in zip(owners, coder.encode_batch_fast(waiting, add_special_tokens=False), strict=True):
-            held.setdefault(owner, []).append(np.array(enc.ids, np.int32))
+        for owner, ids in zip(owners, by.encode(waiting), strict=True):
+            held.setdefault(owner, []).append(ids)
 
     for i, text in enumerate(texts):
         for part in pieces(text):
@@ -106,7 +256,7 @@ def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "
     schema = f"part int, ahead bigint, id {kind}, n_tokens bigint, ids array<int>"
 
     def batches(it):
-        coder, part, ahead = tokenizer(name), TaskContext.get().partitionId(), 0
+        by, part, ahead = coder(name), TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.int32)
 
         def flush(keys, lists):
@@ -120,7 +270,7 @@ def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "
         for batch in it:
             keys, lists, first, held = batch.column(0), [], 0, 0
             texts = [(raw.as_py() or b"").decode("utf-8", "replace") for raw in batch.column(1)]
-            for i, ids in enumerate(encode_texts(coder, texts)):
+            for i, ids in enumerate(encode_texts(by, texts)):
                 lists.append(np.concatenate([ids, end]))
                 held += len(ids) + 1
                 if held >= BATCH_TOKENS:
@@ -131,7 +281,7 @@ def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "
 
     ordered = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"), F.monotonically_increasing_id().alias("at"))
     ordered = ordered.repartitionByRange("id", "at").sortWithinPartitions("id", "at").select("id", "raw")
-    options = {"orc.bloom.filter.columns": "id", "orc.bloom.filter.fpp": FALSE_POSITIVES, "orc.row.index.stride": STRIDE, "orc.stripe.size": STRIPE_BYTES, "compression": "zstd"}
+    options = {"orc.bloom.filter.columns": "id", "orc.bloom.filter.fpp": FALSE_POSITIVES, "orc.row.index.stride": STRIDE, "orc.stripe.size": STRIPE_BYTES, "compression": "lz4"}
     ordered.mapInArrow(batches, schema).write.mode("overwrite").options(**options).orc(f"{path}/tokens")
 
     tokens = spark.read.schema(schema).orc(f"{path}/tokens")

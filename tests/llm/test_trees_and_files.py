@@ -195,8 +195,23 @@ def test_tokens_of_pieces_are_those_of_the_text():
     coder = token_files.tokenizer(token_files.default_tokenizer_file())
     rng = random.Random(8)
     texts = ["".join(rng.choices(["a", "é", " ", "  ", "\n", "\t", "12", "'s", "!?", "東", " ", "　"], k=90_000)) for _ in range(4)] + ["", " ", "x" * 70_000 + " y"]
-    for text, ids in zip(texts, token_files.encode_texts(coder, texts), strict=True):
+    texts += ["\n", " x", "x ", "x\n", "a\x1c b", "!\x1c!", "a\x0bb c", "a\xa0 b", "a\xa0  b", "don't  we'll \n x", "<|endoftext|> a <|endoftext|>", "\x1c"]
+    texts += ["".join(rng.choices(["ab", "é", " ", " ", "\n", "12", "'s", "!?", "東", "x,", "\x1c"], k=rng.randrange(30))) for _ in range(3000)]
+    by = token_files.Coder(coder)
+    for _ in range(2):  # the second time from what is kept
+        for text, ids in zip(texts, token_files.encode_texts(by, texts), strict=True):
+            assert ids.tolist() == coder.encode(text, add_special_tokens=False).ids, text[:80]
+
+
+def test_kept_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "PIECES", 500)
+    monkeypatch.setattr(token_files, "BATCH_CHARS", 1000)
+    coder = token_files.tokenizer(token_files.default_tokenizer_file())
+    by = token_files.Coder(coder)
+    texts = [" ".join(f"w{i * 7 + j}" for j in range(40)) for i in range(200)]
+    for text, ids in zip(texts, token_files.encode_texts(by, texts), strict=True):
         assert ids.tolist() == coder.encode(text, add_special_tokens=False).ids
+        assert by.n_pieces < 1500 and len(by.spaced) + len(by.exact) == by.n_pieces
 
 
 def test_op12_starts_follow_each_other(spark):
