@@ -193,6 +193,8 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each of some texts (together some BATCH_CHARS characters)."""
+        if not texts:
+            return []
         split = []
         for text in texts:
             if any(c in text for c in _ODD_SPACES):

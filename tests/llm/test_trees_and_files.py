@@ -198,6 +198,8 @@ def test_tokens_of_pieces_are_those_of_the_text():
     texts += ["\n", " x", "x ", "x\n", "a\x1c b", "!\x1c!", "a\x0bb c", "a\xa0 b", "a\xa0  b", "don't  we'll \n x", "<|endoftext|> a <|endoftext|>", "\x1c"]
     texts += ["".join(rng.choices(["ab", "é", " ", " ", "\n", "12", "'s", "!?", "東", "x,", "\x1c"], k=rng.randrange(30))) for _ in range(3000)]
     by = token_files.Coder(coder)
+    assert list(token_files.encode_texts(by, [])) == []
+    assert [x.tolist() for x in token_files.encode_texts(by, ["ab " * (1 << 19)])] == [coder.encode("ab " * (1 << 19), add_special_tokens=False).ids]  # nothing is left for the end
     for _ in range(2):  # the second time from what is kept
         for text, ids in zip(texts, token_files.encode_texts(by, texts), strict=True):
             assert ids.tolist() == coder.encode(text, add_special_tokens=False).ids, text[:80]
