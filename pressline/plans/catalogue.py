@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pressline.plans import content, feeds, operations, stateful
+from pressline.plans import content, feeds, ingest, operations, stateful
 from pressline.plans.feeds import flagship
 
-_ALL = {**feeds.QUERIES, **operations.QUERIES, **content.QUERIES, **stateful.QUERIES}
+_ALL = {**feeds.QUERIES, **operations.QUERIES, **content.QUERIES, **stateful.QUERIES, **ingest.QUERIES}
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
