@@ -340,15 +340,24 @@ def known_urls(batch: DataFrame, articles: DataFrame) -> DataFrame:
     return batch.join(seen, "content_hash", "left").withColumn("url", F.when(url.is_wrapper(F.col("url")), F.coalesce("known", "url")).otherwise(F.col("url"))).drop("known")
 
 
-def fingerprint_diff(entries: DataFrame, seen: DataFrame, as_of, full_scan_hours: int = 24, retries: int = 3) -> DataFrame:
-    """Feed entries to fetch and why: new, changed, retry or due; blocked ones never.  Entries that left the feed drop out of the state."""
-    both = entries.join(seen, "entry_id", "left")
+def fingerprint_diff(entries: DataFrame, seen: DataFrame, scans: DataFrame, as_of, full_scan_hours: int = 24, retries: int = 3) -> DataFrame:
+    """The entries of one poll (feed, entry_id, fingerprint) with why: new, changed, retry, image or due; null for those that are left alone.
+
+    seen (feed, entry_id, seen_fingerprint, imported, failures, blocked, image_checked) is what
+    became of entries that were fetched; a denied one is never fetched again, a failed one three
+    more times.  scans (feed, scanned_at) tells of each feed's last full scan: after a day, or
+    without one, all its entries are due.  Entries that left the feed are in no result.
+    """
+    both = entries.join(seen, ["feed", "entry_id"], "left").join(scans, "feed", "left")
+    c = F.col
+    due = c("scanned_at").isNull() | (c("scanned_at") <= F.lit(as_of) - F.make_interval(hours=F.lit(full_scan_hours)))
     why = (
-        F.when(F.col("status") == "blocked", F.lit(None))
-        .when(F.col("seen_fingerprint").isNull(), "new")
-        .when(F.col("seen_fingerprint") != F.col("fingerprint"), "changed")
-        .when((F.col("status") == "failed") & (F.col("tries") < retries), "retry")
-        .when((F.col("status") == "done") & (F.col("checked_at") <= F.lit(as_of) - F.make_interval(hours=F.lit(full_scan_hours))), "due")
+        F.when(F.coalesce("blocked", F.lit(False)), F.lit(None))
+        .when(c("seen_fingerprint").isNull(), "new")
+        .when(c("seen_fingerprint") != c("fingerprint"), "changed")
+        .when(c("failures").between(1, retries), "retry")
+        .when(c("imported") & ~c("image_checked") & (c("failures") == 0), "image")
+        .when(due, "due")
     )
     return both.withColumn("why", why)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pressline.plans.model import Model
 from pressline.plans.stateful import shared_folder
 from pressline.sources import paged
+from pressline.streaming import feeds
 
 _C = F.col
 PAGE_ROWS = 40
@@ -64,7 +65,40 @@ _WINDOWS = _DAYS + """SELECT strftime(day, '%Y%m%d') AS day, count(DISTINCT page
   CASE WHEN any_value(bad) THEN any_value(all_pages) - 1 WHEN any_value(more) THEN any_value(all_pages) END AS next_page FROM p GROUP BY day"""
 _ARTICLES = _DAYS + "SELECT strftime(day, '%Y%m%d') AS day, CAST(event_id AS VARCHAR) AS uuid, event_type AS title FROM p WHERE NOT (bad AND page = all_pages - 1)"
 
+#: What becomes of an entry, by its page: why it is fetched at each of six polls ('' not at all, '-' it is not in the feed), and with what result.
+POLL_HOURS = (0, 1, 2, 3, 4, 30)
+STORIES = {
+    "fail": (("new", "retry", "retry", "retry", "", "due"), "failed"),
+    "blocked": (("new", "", "", "", "", ""), "blocked"),
+    "image": (("new", "image", "", "", "", "due"), "ok"),
+    "gone": (("new", "", "", "-", "new", "due"), "ok"),
+    "changed": (("new", "", "changed", "", "", "due"), "ok"),
+    "plain": (("new", "", "", "", "", "due"), "ok"),
+}
+_STORY = "CASE WHEN page_id % 7 = 1 THEN 'fail' WHEN page_id % 11 = 2 THEN 'blocked' WHEN page_id % 13 = 3 THEN 'image' WHEN page_id % 17 = 0 THEN 'gone' WHEN page_id % 5 = 0 THEN 'changed' ELSE 'plain' END"
+
+
+def _stream_fingerprints(spark, d):
+    """Six polls of feeds of some 100 pages, and the results of the fetches that each of them asks for, through the stateful stream."""
+    folder = shared_folder(spark, "feeds")
+    pages = Model(spark, d).table("pages").select("page_id", F.expr(_STORY).alias("story"), F.concat(F.lit("feed "), F.floor(_C("page_id") / 100).cast("string")).alias("feed"), F.sha2("html", 256).alias("print"))
+    at = lambda h, minutes=0: F.timestamp_seconds(F.lit(1704067200 + 3600 * h + 60 * minutes))
+    for p, hour in enumerate(POLL_HOURS):
+        why = F.element_at(F.create_map(*(F.lit(x) for s, (steps, _) in STORIES.items() for x in (s, steps[p]))), _C("story"))
+        outcome = F.element_at(F.create_map(*(F.lit(x) for s, (_, end) in STORIES.items() for x in (s, end))), _C("story"))
+        entry = pages.withColumns({"why": why, "outcome": outcome, "entry_id": _C("page_id").cast("string"), "fingerprint": F.concat("print", F.when((_C("story") == "changed") & F.lit(p >= 2), "2").otherwise("1"))}).filter("why <> '-'")
+        polls = entry.select("feed", F.lit(2 * p).cast("long").alias("number"), at(hour).alias("at"), "entry_id", "fingerprint")
+        results = entry.filter("why <> ''").select("feed", F.lit(2 * p + 1).cast("long").alias("number"), at(hour, 5).alias("at"), "entry_id", "fingerprint", "outcome", (~((_C("story") == "image") & (_C("why") == "new"))).alias("image_checked"))
+        feeds.events(polls, results).repartition(2, "feed").write.mode("append").parquet(f"{folder}/in/poll={p}")
+    stream = spark.readStream.schema(feeds.EVENTS).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    feeds.run_pending(stream, f"{folder}/out", f"{folder}/check")
+    return feeds.read_pending(spark, f"{folder}/out").select(_C("entry_id").cast("long").alias("page_id"), (_C("number") / 2).cast("long").alias("poll"), "why")
+
+
+_FINGERPRINTS = f"SELECT page_id, CAST(poll AS BIGINT) AS poll, why FROM (SELECT page_id, {_STORY} AS story FROM pages) JOIN (VALUES " + ", ".join(f"('{s}', {p}, '{why}')" for s, (steps, _) in STORIES.items() for p, why in enumerate(steps) if why.isalpha()) + ") w(story, poll, why) USING (story)"
+
 QUERIES = {
+    "stream_feed_fingerprints": (_stream_fingerprints, _FINGERPRINTS),
     "paged_windows": (_paged_windows, _WINDOWS),
     "paged_articles": (_paged_articles, _ARTICLES),
     "stream_paged_articles": (_stream_pages, _ARTICLES),

@@ -291,16 +291,20 @@ def _duplicate_names(spark, d):
 
 
 def _feed_diff(spark, d):
+    """One poll of four feeds: two of them due for a full scan, entries in all states."""
     p = Model(spark, d).table("pages")
-    n = _C("page_id")
-    entries = p.select(n.alias("entry_id"), F.sha2("html", 256).alias("fingerprint"))
-    seen = p.select(F.when(n % 3 == 0, -1 - n).otherwise(n).alias("entry_id"), F.when(n % 3 == 1, F.sha2("html", 256)).otherwise("old").alias("seen_fingerprint"), F.when(n % 7 == 0, "blocked").when(n % 7 == 1, "failed").otherwise("done").alias("status"), (n % 5).cast("int").alias("tries"), F.timestamp_seconds(F.lit(1704067200) + n * 600).alias("checked_at"))
-    out = state.fingerprint_diff(entries, seen, F.lit("2024-01-02 12:00:00").cast("timestamp"))
-    return out.select("entry_id", F.coalesce("why", F.lit("")).alias("why"))
-
-
-_FEED_DIFF = """SELECT page_id AS entry_id, CASE WHEN page_id % 3 <> 0 AND page_id % 7 = 0 THEN '' WHEN page_id % 3 = 0 THEN 'new' WHEN page_id % 3 = 2 THEN 'changed' WHEN page_id % 7 = 1 THEN CASE WHEN page_id % 5 < 3 THEN 'retry' ELSE '' END
-  WHEN page_id * 600 <= 12 * 3600 THEN 'due' ELSE '' END AS why FROM pages"""
+    n, feed = _C("page_id"), F.concat(F.lit("f"), (_C("page_id") % 4).cast("string")).alias("feed")
+    name = n.cast("string").alias("entry_id")
+    entries = p.select(feed, name, F.sha2("html", 256).alias("fingerprint"))
+    gone = F.when(n % 3 == 0, F.concat(F.lit("left-"), n.cast("string"))).otherwise(n.cast("string")).alias("entry_id")
+    seen = p.select(feed, gone, F.when(n % 3 == 1, F.sha2("html", 256)).otherwise("old").alias("seen_fingerprint"), (n % 5 < 3).alias("imported"), F.when(n % 7 > 2, n % 7 - 2).otherwise(0).cast("int").alias("failures"), (n % 11 == 0).alias("blocked"), (n % 2 == 0).alias("image_checked"))
+    scans = p.select(feed).distinct().filter("feed <> 'f0'").withColumn("scanned_at", F.when(_C("feed") == "f1", F.lit("2024-01-01 12:00:00")).otherwise(F.lit("2024-01-01 12:00:01")).cast("timestamp"))
+    out = state.fingerprint_diff(entries, seen, scans, F.lit("2024-01-02 12:00:00").cast("timestamp"))
+    return out.select(_C("entry_id").cast("long").alias("entry_id"), F.coalesce("why", F.lit("")).alias("why"))
+
+
+_FEED_DIFF = """SELECT page_id AS entry_id, CASE WHEN page_id % 3 = 0 THEN 'new' WHEN page_id % 11 = 0 THEN '' WHEN page_id % 3 = 2 THEN 'changed' WHEN page_id % 7 IN (3, 4, 5) THEN 'retry'
+  WHEN page_id % 5 < 3 AND page_id % 2 = 1 AND page_id % 7 <= 2 THEN 'image' WHEN page_id % 4 IN (0, 1) THEN 'due' ELSE '' END AS why FROM pages"""
 
 
 def _rss(spark, d):
