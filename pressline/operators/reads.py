@@ -51,8 +51,8 @@ def link_counts(links: DataFrame) -> DataFrame:
     return links.groupBy("article_id").agg(F.count(F.lit(1)).alias("company_count"), F.max("relevance").alias("best"))
 
 
-def news_matches(links: DataFrame, articles: DataFrame, companies: DataFrame, *, ticker=None, start=None, end=None, provider=None, match_method=None, min_confidence=None, market_wide=None, max_source_tier=None, min_relevance=None, max_companies=None) -> DataFrame:
-    """Distinct (id, published_at) of articles with a link that meets every filter at once."""
+def news_matches(links: DataFrame, articles: DataFrame, companies: DataFrame, *, ticker=None, start=None, end=None, provider=None, match_method=None, min_confidence=None, market_wide=None, max_source_tier=None, min_relevance=None, max_companies=None, counts=None) -> DataFrame:
+    """Distinct (id, published_at) of articles with a link that meets every filter at once; counts are maintained ones (operators.counts), else they are made from all links."""
     who = companies.filter("is_active")
     if ticker:
         who = who.filter(same_ticker(F.col("ticker"), ticker))
@@ -69,7 +69,7 @@ def news_matches(links: DataFrame, articles: DataFrame, companies: DataFrame, *,
     if min_confidence is not None:
         ln = ln.filter(F.col("confidence") >= F.lit(min_confidence).cast("decimal(3,2)"))
     if max_companies is not None or min_relevance is not None:
-        ln = ln.join(link_counts(links).select("article_id", "company_count"), "article_id")
+        ln = ln.join((link_counts(links) if counts is None else counts).select("article_id", "company_count"), "article_id")
         if max_companies is not None:
             ln = ln.filter(F.col("company_count") <= max_companies)
         if min_relevance is not None:
@@ -84,10 +84,10 @@ def newest(df: DataFrame, limit: int, offset: int = 0, ts: str = "published_at",
     return (page.offset(offset) if offset else page).limit(limit)
 
 
-def with_companies(page: DataFrame, articles: DataFrame, links: DataFrame, companies: DataFrame) -> DataFrame:
+def with_companies(page: DataFrame, articles: DataFrame, links: DataFrame, companies: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """The page's articles with active companies (by confidence, then ticker), company_count over all links, and effective relevance."""
     mine = links.join(page.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    counts = link_counts(mine)
+    counts = link_counts(mine) if counts is None else counts.join(page.select(F.col("id").alias("article_id")), "article_id", "left_semi").select("article_id", "company_count", "best")
     active = companies.filter("is_active").select(F.col("id").alias("company_id"), "ticker", "company_name")
     named = mine.join(active, "company_id").groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("k"), "ticker", "company_name", "match_method", "confidence"))).alias("companies"))
     named = named.withColumn("companies", F.transform("companies", lambda c: c.dropFields("k")))
@@ -97,8 +97,8 @@ def with_companies(page: DataFrame, articles: DataFrame, links: DataFrame, compa
     return out.withColumns({"company_count": F.coalesce("company_count", F.lit(0)), "relevance": relevance.effective_relevance(F.col("best"), F.coalesce("company_count", F.lit(0))), "companies": F.coalesce("companies", F.expr("cast(array() as array<struct<ticker:string,company_name:string,match_method:string,confidence:decimal(3,2)>>)"))}).drop("best")
 
 
-def list_news(links, articles, companies, *, limit=50, offset=0, **filters) -> DataFrame:
-    return with_companies(newest(news_matches(links, articles, companies, **filters), limit, offset), articles, links, companies)
+def list_news(links, articles, companies, *, limit=50, offset=0, counts=None, **filters) -> DataFrame:
+    return with_companies(newest(news_matches(links, articles, companies, counts=counts, **filters), limit, offset), articles, links, companies, counts)
 
 
 def count_news(links, articles, companies, **filters) -> DataFrame:

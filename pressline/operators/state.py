@@ -110,9 +110,25 @@ def store_market(batch: DataFrame, articles: DataFrame) -> DataFrame:
     return articles.unionByName(fresh.select(*[c for c in articles.columns if c in fresh.columns]), allowMissingColumns=True)
 
 
-def market_link_scores() -> tuple[Column, Column]:
-    """Confidence and relevance of a market story's links."""
-    return F.lit(0.7), F.lit(0.6)
+MARKET_CONFIDENCE, MARKET_RELEVANCE = "0.70", "0.60"
+MARKET_REASON = "market-wide story naming this company"
+
+
+def market_links(batch: DataFrame, symbols: DataFrame, companies: DataFrame, links: DataFrame) -> DataFrame:
+    """New links (dedupe_hash, company_id, match_method, confidence, relevance, relevance_reason) of market stories (dedupe_hash, headline, related).
+
+    A story is linked to the owners of the symbols that its source attached (symbols: symbol,
+    company_id, one owner each) and to companies that its headline names exactly, whether the
+    story is new or stored; a link that is there already stays as it is.
+    """
+    from pressline.operators import resolution
+
+    tagged = batch.select("dedupe_hash", F.explode("related").alias("symbol")).join(symbols.select("symbol", "company_id"), "symbol").select("dedupe_hash", "company_id")
+    named = resolution.story_mentions(batch.select(F.col("dedupe_hash").alias("story_id"), F.col("headline").alias("text")).distinct(), companies)
+    both = tagged.unionByName(named.select(F.col("story_id").alias("dedupe_hash"), "company_id")).distinct()
+    fresh = both.join(links.select("dedupe_hash", "company_id"), ["dedupe_hash", "company_id"], "left_anti")
+    value = lambda v: F.lit(v).cast("decimal(3,2)")
+    return fresh.withColumns({"match_method": F.lit("name_match"), "confidence": value(MARKET_CONFIDENCE), "relevance": value(MARKET_RELEVANCE), "relevance_reason": F.lit(MARKET_REASON)})
 
 
 def fetch_state(outcomes: DataFrame, keys=("company_id", "provider")) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pressline.plans.model import Model
+from pressline.operators import counts, reads, resolution, state
+from pressline.plans import feeds as feed_plans
+from pressline.plans.model import Model, sql
 from pressline.plans.stateful import shared_folder
-from pressline.sources import paged
+from pressline.sources import keyed, paged
 from pressline.streaming import feeds
 
 _C = F.col
@@ -97,7 +99,70 @@ def _stream_fingerprints(spark, d):
 
 _FINGERPRINTS = f"SELECT page_id, CAST(poll AS BIGINT) AS poll, why FROM (SELECT page_id, {_STORY} AS story FROM pages) JOIN (VALUES " + ", ".join(f"('{s}', {p}, '{why}')" for s, (steps, _) in STORIES.items() for p, why in enumerate(steps) if why.isalpha()) + ") w(story, poll, why) USING (story)"
 
+def _keyed_outcomes(spark, d):
+    """The last outcome of each company and run, from batches that come out of order."""
+    ev = Model(spark, d).run_events.select("run_id", "company_id", "seq", "provider", "outcome")
+    store = keyed.KeyedStore(spark, shared_folder(spark, "outcomes"), ["run_id", "company_id"], "run_id bigint, company_id bigint, seq bigint, provider string, outcome string", 8)
+    for epoch, part in enumerate((1, 0, 2)):
+        store.apply(ev.filter(F.col("seq") % 3 == part), epoch, keyed.latest(["run_id", "company_id"], "seq"))
+    return store.read()
+
+
+def _market_batch(m):
+    """Orders as market stories: one in three of a URL that is stored, with symbols and names of companies."""
+    n = _C("o_orderkey")
+    name = F.concat(F.lit("Supplier#"), F.lpad((n % 10 + 1).cast("string"), 9, "0"))
+    return m.table("orders").select(F.concat(F.lit("u"), (n % 4000).cast("string")).alias("dedupe_hash"), n.alias("seq"), F.concat(F.lit("Markets: "), F.when(n % 3 == 0, name).otherwise("no one"), F.lit(" and rates")).alias("headline"), F.array(F.concat(F.lit("P"), (_C("o_custkey") % 50).cast("string"))).alias("related"))
+
+
+def _keyed_market(spark, d):
+    """Market stories and their links through keyed states, in three batches over stored company articles."""
+    m, folder = Model(spark, d), shared_folder(spark, "market")
+    articles = keyed.KeyedStore(spark, f"{folder}/articles", ["dedupe_hash"], "dedupe_hash string, headline string, is_market_wide boolean", 8)
+    links = keyed.KeyedStore(spark, f"{folder}/links", ["dedupe_hash", "company_id"], "dedupe_hash string, company_id bigint, match_method string, confidence decimal(3,2), relevance decimal(3,2), relevance_reason string", 8)
+    articles.apply(spark.range(0, 4000, 3).select(F.concat(F.lit("u"), _C("id").cast("string")).alias("dedupe_hash"), F.lit("stored").alias("headline"), F.lit(False).alias("is_market_wide")), 0, keyed.first(["dedupe_hash"], "headline"))
+    batch, symbols = _market_batch(m), resolution.first_per_symbol(m.listings)
+    for epoch in (1, 2, 3):
+        part = batch.filter(_C("seq") % 3 == epoch - 1)
+        articles.apply(part.withColumn("is_market_wide", F.lit(True)), epoch, lambda old, new: state.store_market(new, old))
+        links.apply(state.market_links(part, symbols, m.companies, links.read()), epoch, keyed.first(["dedupe_hash", "company_id"], "relevance"))
+    out = links.read().join(articles.read().select("dedupe_hash", "is_market_wide"), "dedupe_hash")
+    return out.select("dedupe_hash", "company_id", _C("confidence").cast("double").alias("confidence"), _C("relevance").cast("double").alias("relevance"), "is_market_wide")
+
+
+_MARKET = """WITH b AS (SELECT 'u' || (o_orderkey % 4000) AS dedupe_hash, o_orderkey % 4000 % 3 <> 0 AS is_market_wide, o_orderkey AS n, o_custkey % 50 AS p FROM orders),
+o AS (SELECT symbol, min(company_id) AS company_id FROM listings GROUP BY 1)
+SELECT DISTINCT dedupe_hash, company_id, 0.7::DOUBLE AS confidence, 0.6::DOUBLE AS relevance, is_market_wide FROM (
+  SELECT dedupe_hash, company_id, is_market_wide FROM b JOIN o ON symbol = 'P' || p UNION ALL
+  SELECT dedupe_hash, c.id, is_market_wide FROM b JOIN companies c ON n % 3 = 0 AND c.company_name = 'Supplier#' || lpad(CAST(n % 10 + 1 AS VARCHAR), 9, '0'))"""
+
+
+def _counted(spark, d):
+    """The counts of all links, kept through three batches: some links, the rest less some, and those again."""
+    links = Model(spark, d).links
+    store = keyed.KeyedStore(spark, shared_folder(spark, "counts"), ["article_id"], counts.SCHEMA, 8)
+    part = _C("article_id") % 3
+    store.apply(counts.changes(links.filter(part != 2)), 0, counts.fold)
+    gone = links.filter(_C("company_id") % 7 == 0)
+    store.apply(counts.changes(links.filter(part == 2), gone.filter(part != 2)), 1, counts.fold)
+    store.apply(counts.changes(gone.filter(part != 2)), 2, counts.fold)
+    return store
+
+
+def _stored_counts(spark, d):
+    return _counted(spark, d).read().select("article_id", "company_count", _C("best").cast("double").alias("best"))
+
+
+def _feed_by_counts(spark, d):
+    m = Model(spark, d)
+    return feed_plans._flat(reads.list_news(m.links, m.articles, m.companies, min_relevance=0.8, counts=_counted(spark, d).read()))
+
+
 QUERIES = {
+    "keyed_latest_outcomes": (_keyed_outcomes, sql("SELECT run_id, company_id, seq, provider, outcome FROM run_rows", "run_rows")),
+    "keyed_market_news": (_keyed_market, sql(_MARKET, "companies", "listings")),
+    "stored_link_counts": (_stored_counts, sql("SELECT article_id, count(*) AS company_count, CAST(max(relevance) AS DOUBLE) AS best FROM links GROUP BY 1", "links")),
+    "feed_by_stored_counts": (_feed_by_counts, feed_plans.QUERIES["feed_min_relevance"][1]),
     "stream_feed_fingerprints": (_stream_fingerprints, _FINGERPRINTS),
     "paged_windows": (_paged_windows, _WINDOWS),
     "paged_articles": (_paged_articles, _ARTICLES),
