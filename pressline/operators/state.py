@@ -329,13 +329,17 @@ def merge_plan(articles: DataFrame, resolved: DataFrame) -> DataFrame:
     return plan.select("id", action.alias("action"), "survivor", F.col("new_url").alias("url"), F.col("key").alias("dedupe_hash"))
 
 
-def merge_colliding(articles: DataFrame, links: DataFrame, resolved: DataFrame) -> dict[str, DataFrame]:
+def merge_colliding(articles: DataFrame, links: DataFrame, resolved: DataFrame, stage=None) -> dict[str, DataFrame]:
     """The articles, their links and the deleted ids once wrapper links are resolved, by merge_plan.
 
     A survivor gets the companies that it lacks of the articles merged into it; where several
     bring one company, the link of the survivor itself counts, else of the smallest id.
+
+    All three results follow from the plan, a thin row for each resolved article: stage, a
+    function that writes a frame and reads it back, has it made once.
     """
     plan = merge_plan(articles, resolved)
+    plan = stage(plan) if stage else plan
     told = plan.select("id", "action", "survivor", F.col("url").alias("__url"), F.col("dedupe_hash").alias("__hash"))
     now = articles.join(told, "id", "left").withColumn("action", F.coalesce("action", F.lit("untouched")))
     moved = F.col("action") == "rewritten"

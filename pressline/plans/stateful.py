@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pressline.functions import exchange, names, url
 from pressline.operators import resolution, state, v2
+from pressline.plans.content import _PLAIN
 from pressline.plans.model import Model, sql
 from pressline.sources import files
 from pressline.streaming import jobs
@@ -28,6 +29,17 @@ def shared_folder(spark, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(spark, name: str):
+    """A function that writes a frame into a shared folder and reads it back."""
+
+    def stage(df):
+        folder = shared_folder(spark, name)
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    return stage
+
+
 def _hints(spark, d):
     m = Model(spark, d)
     ls = m.listings
@@ -221,7 +233,7 @@ def _collide(spark, d):
     """Each article that is left with its url, or what became of it, and its companies."""
     m = Model(spark, d)
     articles, resolved = _wrapped(m)
-    out = state.merge_colliding(articles, m.links.select("article_id", "company_id"), resolved)
+    out = state.merge_colliding(articles, m.links.select("article_id", "company_id"), resolved, staged(spark, "merge-plan"))
     n = F.count(F.lit(1))
     companies = out["links"].groupBy(_C("article_id").alias("id")).agg(n.alias("companies"), F.sum("company_id").cast("long").alias("company_ids"))
     kept = out["articles"].select("id", "url", F.lit("kept").alias("action")).join(companies, "id", "left")
@@ -366,12 +378,10 @@ def _stream_upsert(spark, d):
 def _stream_velocity(spark, d):
     folder = shared_folder(spark, "velocity")
     e = Model(spark, d).table("events").select(_C("ts").cast("timestamp").alias("ts"), "event_type")
-    e.repartition(1).write.parquet(f"{folder}/in")
+    e.write.parquet(f"{folder}/in")
     stream = jobs.velocity(jobs.read_files(spark, f"{folder}/in", "ts timestamp, event_type string", 10), "event_type", "ts", "7 days", "7 days")
-    name = "v" + folder[-8:]
-    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("event_type", F.date_format("from", "yyyy-MM-dd").alias("from_day"), "n")
+    last = jobs.run_states(stream, f"{folder}/out", f"{folder}/check", ["event_type", "from"])
+    return last.select("event_type", F.date_format("from", "yyyy-MM-dd").alias("from_day"), "n")
 
 
 def _stream_fetch(spark, d):
@@ -380,32 +390,46 @@ def _stream_fetch(spark, d):
     ev = Model(spark, d).run_events.select("company_id", "provider", "seq", "at", _C("outcome").isin("ok", "no_news").alias("ok"))
     ev.repartitionByRange(2, "seq").write.parquet(f"{folder}/in")
     stream = jobs.fetch_states(jobs.read_files(spark, f"{folder}/in", ev.schema, 100))
-    name = "f" + folder[-8:]
-    q = stream.writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
-    t = spark.table(name)
-    return t.select("company_id", "provider", _C("consecutive_failures").cast("long").alias("consecutive_failures"), F.date_format("suppressed_until", "yyyy-MM-dd HH:mm:ss").alias("suppressed_until"))
+    t = jobs.run_states(stream, f"{folder}/out", f"{folder}/check", ["company_id", "provider"])
+    shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("last_success_at", "suppressed_until")}
+    return t.select("company_id", "provider", _C("consecutive_failures").cast("long").alias("consecutive_failures"), *(v.alias(k) for k, v in shown.items()))
 
 
-def _figures(spark, d):
-    from pressline.functions import text
+def _images(spark, d):
+    """Pages as releases: their figures stand before the page, in it with its article as the section, or are another's."""
+    from pressline.functions import images
 
-    p = Model(spark, d).table("pages")
     n = _C("page_id")
-    dressed = F.concat(F.lit('<figure><img alt="a&amp;b" src="https://i.example.com/'), n.cast("string"), F.lit('.png"><figcaption>Seen. <b>Photo</b>: Desk '), (n % 3).cast("string"), F.lit("</figcaption></figure>"), "html")
-    return p.select("page_id", text.figure_image(F.when(n % 2 == 0, dressed).otherwise(_C("html"))).alias("f")).select("page_id", "f.*")
+    date = F.lpad((n % 12 + 1).cast("string"), 2, "0")
+    stem = F.concat(F.lit("26"), date, F.lit("07"))
+    credit = F.when(n % 5 == 0, "Source: ECB. Photo by Desk").when(n % 5 == 1, "Sources: ECB calculations based on data of the page").otherwise("Source: ECB")
+    figure = F.concat(F.lit('<div class="figure"><p class="title">Chart '), n.cast("string"), F.lit('</p><figure><img src="pr'), stem, F.lit("/ecb.pr"), stem, F.lit('.en_img1.png"><figcaption><p>'), credit, F.lit("<br>Note: none.</p></figcaption></figure></div>"))
+    section = F.lit('<main><div class="section">')
+    own = F.replace(F.replace("html", F.lit("<article>"), section), F.lit("</article>"), F.concat(figure, F.lit("</div></main>")))
+    page = F.when(n % 3 == 0, F.concat(section, figure, F.lit("</div></main>"), "html")).when(n % 3 == 1, own).otherwise(F.concat("html", figure))
+    address = F.concat(F.lit("https://www.ecb.europa.eu/press/pr/date/2026/html/ecb.pr"), stem, F.lit("~0a.en.html"))
+    found = Model(spark, d).table("pages").select("page_id", images.release_image(F.when(n % 7 == 0, "fed").otherwise("ecb"), page, address).alias("f"))
+    return found.select("page_id", "f.link", "f.attribution")
+
+
+_IMAGES = """SELECT page_id, CASE WHEN ok THEN 'https://www.ecb.europa.eu/press/pr/date/2026/html/pr' || stem || '/ecb.pr' || stem || '.en_img1.png' END AS link,
+  CASE WHEN ok THEN 'Chart ' || page_id || ' — ' || CASE WHEN page_id % 5 = 1 THEN 'Sources: ECB calculations based on data of the page' ELSE 'Source: ECB' END END AS attribution
+FROM (SELECT page_id, '26' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '07' AS stem, page_id % 3 <> 2 AND page_id % 5 <> 0 AND page_id % 7 <> 0 AS ok FROM pages)"""
 
 
 def _official(spark, d):
+    """The article of each page in the layout of one of three sources, and its text where a reader may have it."""
     from pressline.functions import text
 
-    p = Model(spark, d).table("pages")
     n = _C("page_id")
     kind = F.when(n % 3 == 0, "fed").when(n % 3 == 1, "ecb").otherwise("sec")
-    inner = F.concat(F.lit("<p>"), F.repeat(F.lit("word "), 20), F.lit("</p>"))
-    html = F.when(n % 3 == 0, F.concat(F.lit('<div id="article"><div class="heading col-sm-8 col-md-8">T</div><div class="col-xs-12 col-sm-8 col-md-8"><div>'), inner, F.lit("</div></div></div>"))).when(n % 3 == 1, F.concat(F.lit('<main><div class="section">'), inner, F.lit("<div>x</div></div></main>"))).otherwise(F.lit("<body>short</body>"))
-    return p.select("page_id", F.coalesce(text.official_body(kind, html), F.lit("")).alias("body"))
+    opened = F.when(n % 3 == 0, F.lit('<div id="article"><div class="heading col-sm-8 col-md-8">T</div><div class="col-xs-12 col-sm-8 col-md-8"><div>')).when(n % 3 == 1, '<main><div class="section">').otherwise("<body>")
+    closed = F.when(n % 3 == 0, F.lit("</div></div></div>")).when(n % 3 == 1, "</div></main>").otherwise("</body>")
+    page = F.replace(F.replace(F.regexp_replace("html", "</?body[^>]*>", ""), F.lit("<article>"), opened), F.lit("</article>"), closed)
+    return Model(spark, d).table("pages").select("page_id", text.official_body(kind, page).alias("body"))
+
 
+_ARTICLE_PLAIN = _PLAIN.replace("FROM pages", "FROM (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS html FROM pages)")
 
 QUERIES = {
     "resolve_hints": (_hints, _hint_oracle()),
@@ -450,11 +474,11 @@ SELECT company_id, count(*) AS n, count(*) FILTER (WHERE cat) AS asserted FROM (
     "rss_items": (_rss, "SELECT source AS feed, count(*) AS items, '2024-01-02 03:04:05' AS newest, min('https://x.example.com/' || doc_id) AS first_url FROM documents GROUP BY 1"),
     "filings_columnar": (_filings, _FILINGS),
     "market_feed_dedupe": (_market_feed, "SELECT 'u' || (event_id % 3000) AS url, event_type, 'AA|B' || (event_id % 5) AS related FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 3000 ORDER BY event_id) = 1"),
-    "figure_images": (_figures, "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://i.example.com/' || page_id || '.png' END AS src, CASE WHEN page_id % 2 = 0 THEN 'a&b' END AS alt, CASE WHEN page_id % 2 = 0 THEN 'Seen. Photo : Desk ' || (page_id % 3) END AS caption, CASE WHEN page_id % 2 = 0 THEN 'Desk ' || (page_id % 3) END AS credit FROM pages"),
-    "official_bodies": (_official, "SELECT page_id, CASE page_id % 3 WHEN 0 THEN trim(repeat('word ', 20)) WHEN 1 THEN trim(repeat('word ', 20)) || chr(10) || chr(10) || 'x' ELSE '' END AS body FROM pages"),
+    "release_images": (_images, _IMAGES),
+    "official_bodies": (_official, f"WITH {_ARTICLE_PLAIN} SELECT page_id, CASE WHEN length(trim(t, ' ' || chr(10))) BETWEEN 50 AND 160000 THEN trim(t, ' ' || chr(10)) END AS body FROM t5"),
     "stream_dedupe": (_stream_dedupe, "SELECT event_id, user_id FROM events"),
     "stream_upsert_state": (_stream_upsert, None),
     "stream_velocity": (_stream_velocity, "SELECT event_type, strftime(to_timestamp(floor(epoch(ts) / 604800) * 604800)::TIMESTAMP, '%Y-%m-%d') AS from_day, count(*) AS n FROM events GROUP BY 1, 2"),
     "stream_fetch_state": (_stream_fetch, sql("""WITH o AS (SELECT *, outcome IN ('ok', 'no_news') AS ok FROM run_events), l AS (SELECT company_id, provider, coalesce(max(seq) FILTER (WHERE ok), -1) AS last_ok FROM o GROUP BY 1, 2)
-SELECT o.company_id, o.provider, count(*) FILTER (WHERE seq > last_ok) AS consecutive_failures, CASE WHEN count(*) FILTER (WHERE seq > last_ok) >= 5 THEN strftime(max(at_ts) FILTER (WHERE seq > last_ok) + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') END AS suppressed_until FROM o JOIN l USING (company_id, provider) GROUP BY 1, 2""", "run_events")),
+SELECT o.company_id, o.provider, count(*) FILTER (WHERE seq > last_ok) AS consecutive_failures, CASE WHEN count(*) FILTER (WHERE seq > last_ok) >= 5 THEN strftime(max(at_ts) FILTER (WHERE seq > last_ok) + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') END AS suppressed_until, strftime(max(at_ts) FILTER (WHERE seq = last_ok), '%Y-%m-%d %H:%M:%S') AS last_success_at FROM o JOIN l USING (company_id, provider) GROUP BY 1, 2""", "run_events")),
 }

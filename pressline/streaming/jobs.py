@@ -101,6 +101,22 @@ def read_revisions(spark: SparkSession, path: str) -> DataFrame:
     return state.scrubbed(spark.read.schema(state.REVISION).parquet(path))
 
 
+def run_states(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Run all available batches of a stream of updates into files, a folder for each batch, and give each key's last update.
+
+    A batch that is run again overwrites its folder; rows stay on the executors.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    updates = spark.read.schema(stream.schema).option("basePath", path).parquet(f"{path}/epoch=*")
+    latest = F.max_by(F.struct(*stream.columns), "epoch").alias("row")
+    return updates.withColumn("epoch", F.regexp_extract(F.col("_metadata.file_path"), "epoch=([0-9]+)", 1).cast("long")).groupBy(*keys).agg(latest).select("row.*")
+
+
 def run_upserts(stream: DataFrame, state_path: str, checkpoint: str, merge):
     """Run all available batches of stream through merge into a versioned state."""
     query = stream.writeStream.foreachBatch(upsert_batches(state_path, merge)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
