@@ -55,8 +55,9 @@ def _tracking(spark, d):
 
 
 def _redacted(spark, d):
-    raw = F.concat(_C("url"), F.when(_C("url").contains("?"), "&").otherwise("?"), F.lit("token=abc&x=1"))
-    return _pages(spark, d).filter("NOT contains(url, '#')").select("page_id", url.redact(raw).alias("shown"), url.redact(F.concat(F.lit("failed: api_key=q"), _C("page_id").cast("string"))).alias("message"))
+    front = F.substring_index("url", "#", 1)
+    raw = F.concat(front, F.when(front.contains("?"), "&").otherwise("?"), F.lit("token=abc&x=1"), F.expr("substring(url, length(substring_index(url, '#', 1)) + 1)"))
+    return _pages(spark, d).select("page_id", url.redact(raw).alias("shown"), url.redact(F.concat(F.lit("failed: api_key=q"), _C("page_id").cast("string"))).alias("message"))
 
 
 def _docs(spark, d):
@@ -251,7 +252,7 @@ QUERIES = {
     "dead_or_wrapper_links": (_dead, """WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h FROM pages), d AS (SELECT *, (regexp_replace(h, '^www\\.', '') IN ('example.org', 'ththre.example.net') OR ends_with(h, '.example.org') OR ends_with(h, '.ththre.example.net')) AS dead FROM h)
 SELECT page_id, dead, FALSE AS wrapper, NOT dead AS readable, starts_with(url, 'https:') AS public_https FROM d"""),
     "tracking_param_report": (_tracking, f"""WITH q AS (SELECT unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) AS p FROM pages) SELECT split_part(p, '=', 1) AS name, count(*) AS n, bool_or(regexp_matches(split_part(p, '=', 1), '(?i){_TRACK}')) AS tracking FROM q WHERE p <> '' GROUP BY 1"""),
-    "redacted_urls": (_redacted, "SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'token=REDACTED&x=1' AS shown, 'failed: api_key=REDACTED' AS message FROM pages WHERE NOT contains(url, '#')"),
+    "redacted_urls": (_redacted, "SELECT page_id, f || CASE WHEN contains(f, '?') THEN '&' ELSE '?' END || 'token=REDACTED&x=1' || substr(url, length(f) + 1) AS shown, 'failed: api_key=REDACTED' AS message FROM (SELECT *, split_part(url, '#', 1) AS f FROM pages)"),
     "headline_content_hash": (_content_hash, r"""SELECT doc_id, substr(sha256('content:' || trim(regexp_replace(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[‘’“”]', '''', 'g'), '[^\p{L}\p{N}'']+', ' ', 'g')) || ':2024-01-0' || (1 + doc_id % 3)), 1, 40) AS content_hash FROM documents"""),
     "syndicated_duplicates": (_syndicated, r"""SELECT trim(regexp_replace(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[‘’“”]', '''', 'g'), '[^\p{L}\p{N}'']+', ' ', 'g')) AS headline, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1"""),
     "headline_full_decomposition": (_exact_headline, r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[‘’“”]', '''', 'g'), '[^\p{L}\p{N}'']+', ' ', 'g')) AS headline FROM documents"""),

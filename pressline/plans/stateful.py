@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pressline.functions import exchange, names, url
@@ -133,10 +134,11 @@ def _best(spark, d):
 
 
 def _expand(spark, d):
-    ls = Model(spark, d).listings.select("company_id", "exchange_code", "symbol", "mic", "is_us", "is_primary", _C("confidence").cast("double").alias("confidence"), "id")
-    primary = ls.filter("id % 50 = 0").withColumn("is_primary", F.lit(True))
+    """Of each company its first line as what was resolved, a third of the others as siblings, the rest as known lines."""
+    ls = Model(spark, d).listings.select("company_id", "exchange_code", "symbol", "mic", "is_us", "is_primary", _C("confidence").cast("double").alias("confidence"), "id", (_C("id") == F.min("id").over(Window.partitionBy("company_id"))).alias("first"))
+    primary = ls.filter("first").withColumn("is_primary", F.lit(True))
     hints = Model(spark, d).companies.select(_C("id").alias("company_id"), exchange.hint_field(_C("exchange_hint"), "code").alias("hint_code"))
-    return resolution.expand(primary, ls.filter("id % 50 <> 0 AND id % 3 = 0"), ls.filter("id % 50 <> 0 AND id % 3 <> 0").withColumn("is_primary", F.lit(False)), hints).select("company_id", "exchange_code", "symbol", "is_us", "is_primary", F.round("confidence", 6).alias("confidence"))
+    return resolution.expand(primary, ls.filter("NOT first AND id % 3 = 0"), ls.filter("NOT first AND id % 3 <> 0").withColumn("is_primary", F.lit(False)), hints).select("company_id", "exchange_code", "symbol", "is_us", "is_primary", F.round("confidence", 6).alias("confidence"))
 
 
 def _asserted(spark, d):
@@ -443,8 +445,8 @@ FROM (SELECT *, CASE p_size % 6 WHEN 0 THEN 'XNYS' WHEN 1 THEN 'XNAS' WHEN 2 THE
     "best_by_name_and_quality": (_best, sql("""WITH c AS (SELECT company_id, symbol, 0.5 + (id % 50) / 100.0::DOUBLE AS score, CASE WHEN exchange_code = 'SS' THEN 9 WHEN exchange_code = 'US' THEN 4 ELSE 3 END + CASE WHEN id % 4 = 0 THEN 2 ELSE 0 END + 1 AS quality FROM listings),
 t AS (SELECT *, max(score) OVER (PARTITION BY company_id) AS top FROM c WHERE score >= 0.6)
 SELECT company_id, symbol, round(score, 6) AS score, CAST(quality AS BIGINT) AS quality FROM t WHERE score > top - 0.05 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY quality DESC, score DESC, symbol) = 1""", "listings")),
-    "expand_listings": (_expand, sql("""WITH p AS (SELECT company_id, exchange_code, symbol, mic, is_us, TRUE AS is_primary, confidence::DOUBLE AS c FROM listings WHERE id % 50 = 0), cap AS (SELECT company_id, max(c) AS cap FROM p GROUP BY 1),
-r AS (SELECT company_id, exchange_code, symbol, mic, is_us, CASE WHEN id % 3 = 0 THEN is_primary ELSE FALSE END AS is_primary, least(confidence::DOUBLE, cap) AS c FROM listings JOIN cap USING (company_id) WHERE id % 50 <> 0),
+    "expand_listings": (_expand, sql("""WITH n AS (SELECT *, id = min(id) OVER (PARTITION BY company_id) AS first FROM listings), p AS (SELECT company_id, exchange_code, symbol, mic, is_us, TRUE AS is_primary, confidence::DOUBLE AS c FROM n WHERE first), cap AS (SELECT company_id, max(c) AS cap FROM p GROUP BY 1),
+r AS (SELECT company_id, exchange_code, symbol, mic, is_us, CASE WHEN id % 3 = 0 THEN is_primary ELSE FALSE END AS is_primary, least(confidence::DOUBLE, cap) AS c FROM n JOIN cap USING (company_id) WHERE NOT first),
 u AS (SELECT company_id, exchange_code, symbol, min(mic) AS mic, bool_or(is_us) AS is_us, bool_or(is_primary) AS marked, max(c) AS confidence FROM (SELECT * FROM p UNION ALL SELECT * FROM r) GROUP BY 1, 2, 3),
 h AS (SELECT u.*, CASE exchange_hint WHEN 'NYSE' THEN 'US' WHEN 'LSE' THEN 'LN' WHEN 'XTRA' THEN 'GY' WHEN 'TSE' THEN 'JT' WHEN 'SHSE' THEN 'C1' WHEN 'OTCPK' THEN 'US' END AS hc FROM u LEFT JOIN companies c ON c.id = u.company_id)
 SELECT company_id, exchange_code, symbol, is_us, row_number() OVER (PARTITION BY company_id ORDER BY CASE WHEN marked THEN 0 WHEN exchange_code = hc THEN 1 WHEN is_us AND mic <> 'OOTC' THEN 2 ELSE 3 END, confidence DESC, exchange_code, symbol) = 1 AS is_primary, round(confidence, 6) AS confidence FROM h""", "listings", "companies")),
