@@ -22,13 +22,15 @@ its payload.  After a failed check it searches from the next byte on for the nex
 version line that passes them, logs the bytes between as a quarantined gap with the reason, and
 goes on.  In a member of several records it searches the inflated bytes in the same way: records
 before and after a bad one are kept, and the gap has the member's place and says which of its
-inflated bytes are lost.  A broken member (bad checksum, cut short, bad codes) is inflated byte
-by byte up to its break; the records in it that pass their checks are kept, once each, and the
-search goes on behind the last byte that they needed.  A record's checks cover its header's form
+inflated bytes are lost.  A broken member (bad checksum, cut short, bad codes) is inflated up
+to its break, which halving of the failing step finds; the records in it that pass their checks
+are kept, once each, and the search goes on behind the last byte that they needed.  A record's checks cover its header's form
 and its digest, so a broken member's record without a digest is kept unverified, next to the
-logged gap.  Recovered stretches and gaps cover the file once; each mark is searched for once
-and a start that must meet a known fault is skipped, so the time is linear in hostile archives
-too.
+logged gap.  Recovered stretches and gaps cover the file once; each mark is searched for once,
+a start that must meet a known fault is skipped, and false starts of members may inflate a gap's
+bytes FALSE_STARTS times together, after which the search goes on at the furthest break that
+they came to: a hostile archive costs a bounded number of passes over it.  Members that such an
+archive hides between more false starts than that are part of its gap.
 
 Memory is one archive file (Spark's binaryFile source: up to 2 GB a file, so larger archives
 have to be cut before) and one inflated member with its records; the writer starts a new file every FILE_CHUNKS chunks.
@@ -56,6 +58,8 @@ from pressline.llm.common import Workspace, ship
 CHUNK_BYTES = 1 << 20
 FILE_CHUNKS = 32
 STEP = 1 << 14
+#: How often false starts may inflate the bytes of a gap, and bytes that they may inflate in any case.
+FALSE_STARTS, LEAST_SPENT = 16, 1 << 20
 _MAGIC, _WARC = b"\x1f\x8b\x08", b"WARC/1."
 _ONCE = frozenset(("warc-type", "warc-record-id", "content-length"))
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -243,35 +247,53 @@ class Member(NamedTuple):
     wrong: str  # '' if nothing is
 
 
-def _feed(raw: bytes, start: int, stop: int, step: int, into: bytearray, d=None, enough: int | None = None):
-    """Inflate raw[start:stop] step by step into ``into``; the inflater as it stands after the last good step, the place after it, and the fault if one ended it.
+def _feed(raw: bytes, start: int, stop: int, into: bytearray, enough: int | None = None):
+    """Inflate raw[start:stop] by steps into ``into``: the inflater, the place after the last good step, and the fault if one ended it.
 
-    With ``enough``, it ends as soon as so many bytes are there.
+    With ``enough``, it ends with the step by which so many bytes are there.
     """
-    d, i = d or zlib.decompressobj(-15), start
+    d, i = zlib.decompressobj(-15), start
     while i < stop and not d.eof and (enough is None or len(into) < enough):
-        before = d.copy() if step == 1 else None
         try:
-            got = d.decompress(raw[i : min(i + step, stop)])
+            into += d.decompress(raw[i : min(i + STEP, stop)])
         except zlib.error as e:
-            return before, i, str(e)
-        into += got
-        i = min(i + step, stop)
+            return d, i, str(e)
+        i = min(i + STEP, stop)
     return d, i - len(d.unused_data), ""
 
 
+def _halve(raw: bytes, i: int, n: int, d, into: bytearray, enough: int | None = None) -> int:
+    """The place of the one byte of raw[i : i + n] at which inflating fails, or gives ``enough`` bytes; what comes before goes into ``into``.
+
+    The stretch is halved: the good half is kept, so all its bytes are inflated about twice.
+    """
+    while n > 1:
+        half = n // 2
+        c = d.copy()
+        try:
+            got = c.decompress(raw[i : i + half])
+        except zlib.error:
+            n = half
+            continue
+        if enough is not None and len(into) + len(got) >= enough:
+            n = half
+            continue
+        d, i, n = c, i + half, n - half
+        into += got
+    return i
+
+
 def inflate(raw: bytes, at: int) -> Member:
     """The gzip member at ``at``: all that it holds, up to its break if it has one."""
     begin = deflate_start(raw, at)
     if begin < 0:
         return Member(b"", len(raw), "member is cut short")
     plain = bytearray()
-    d, i, fault = _feed(raw, begin, len(raw), STEP, plain)
+    d, i, fault = _feed(raw, begin, len(raw), plain)
     if fault:
-        # the bytes of the failing step are lost with it: again up to it, then byte by byte
-        plain = bytearray()
-        d = _feed(raw, begin, i, STEP, plain)[0]
-        _, i, fault = _feed(raw, i, len(raw), 1, plain, d)
+        plain = bytearray()  # again up to the failing step, whose inflater is of no use
+        d, i, _ = _feed(raw, begin, i, plain)
+        i = _halve(raw, i, min(STEP, len(raw) - i), d, plain)
         return Member(bytes(plain), i, f"member fails: {fault}")
     if not d.eof or len(raw) < i + 8:
         return Member(bytes(plain), len(raw), "member is cut short")
@@ -284,11 +306,12 @@ def inflate(raw: bytes, at: int) -> Member:
 def place_of(raw: bytes, at: int, size: int) -> int:
     """The first place by which the member at ``at`` has given ``size`` bytes."""
     begin, plain = deflate_start(raw, at), bytearray()
-    _, i, _ = _feed(raw, begin, len(raw), STEP, plain, enough=size)
-    near = max(begin, i - STEP)  # the step before the one that gave enough
-    plain = bytearray()
-    d, i, _ = _feed(raw, begin, near, STEP, plain)
-    return _feed(raw, i, len(raw), 1, plain, d, enough=size)[1]
+    if size <= 0:
+        return begin
+    _, i, _ = _feed(raw, begin, len(raw), plain, size)
+    before, plain = begin + max(0, -(-(i - begin) // STEP) - 1) * STEP, bytearray()  # the step that gave enough
+    d, i, _ = _feed(raw, begin, before, plain)
+    return _halve(raw, i, min(STEP, len(raw) - i), d, plain, size) + 1
 
 
 def walk(plain: bytes) -> Iterator[Record | Gap]:
@@ -314,7 +337,7 @@ _INSIDE = "{}; bytes {} to {} of the inflated member"
 
 
 def unpack(raw: bytes, at: int) -> tuple[list[Record | Gap], int, Bad | None]:
-    """What the gzip member at ``at`` holds, the place after what was recovered, and what is wrong with the rest.
+    """What the gzip member at ``at`` holds, the place after what was recovered (of a member that fails without any record: its break), and what is wrong with the rest.
 
     Records and inner gaps have the place of the stretch of the member that was recovered.
     """
@@ -322,7 +345,7 @@ def unpack(raw: bytes, at: int) -> tuple[list[Record | Gap], int, Bad | None]:
     parts = list(walk(m.plain))
     if not any(isinstance(x, Record) for x in parts):
         if m.wrong or not parts:
-            return [], at, Bad(m.wrong or "empty member", at + 1 if m.wrong else m.after)
+            return [], m.after if m.wrong else at, Bad(m.wrong or "empty member", at + 1 if m.wrong else m.after)
         return [], at, Bad(parts[0].reason, m.after)  # its bytes are compressed and pass the checksum: no mark in them is one
     after = m.after
     if m.wrong:
@@ -339,9 +362,12 @@ def unpack(raw: bytes, at: int) -> tuple[list[Record | Gap], int, Bad | None]:
 def salvage(raw: bytes) -> Iterator[Record | Gap]:
     """Records and quarantined gaps of an archive, in order; offsets and lengths are of its own bytes (of what is inside a member: the recovered stretch of the member).
 
-    Recovered stretches and gaps cover every byte once, and no record is given twice.
+    Recovered stretches and gaps cover every byte once, and no record is given twice.  False starts of
+    members may inflate a gap's bytes FALSE_STARTS times, together; then the search goes on at
+    the furthest break that any of them came to.
     """
     at, bad_from, reason, marks = 0, None, "", Marks(raw, _MAGIC, _WARC)
+    spent = furthest = 0
     while at < len(raw):
         found: list[Record | Gap] = []
         after = at
@@ -358,13 +384,19 @@ def salvage(raw: bytes) -> Iterator[Record | Gap]:
             if bad_from is not None:
                 yield Gap(bad_from, at - bad_from, reason)
                 bad_from = None
+            spent = furthest = 0
             yield from found
         if bad is None:
             at = after
             continue
         if bad_from is None:
-            bad_from, reason = after, bad.reason
-        at = min(marks.next(m, bad.look_from) for m in (_MAGIC, _WARC))
+            bad_from, reason = after if found else at, bad.reason
+        look_from = bad.look_from
+        if not found and after > at:
+            spent, furthest = spent + after - at, max(furthest, after)
+            if spent > FALSE_STARTS * (furthest - bad_from) + LEAST_SPENT:
+                look_from, spent = max(look_from, furthest), 0
+        at = min(marks.next(m, look_from) for m in (_MAGIC, _WARC))
     if bad_from is not None and bad_from < len(raw):
         yield Gap(bad_from, len(raw) - bad_from, reason)
 
