@@ -71,6 +71,7 @@ BLOCKS = frozenset([
 VOID = frozenset([
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
 ])
+FOREIGN = frozenset(["svg"])
 RAW = frozenset([
     "script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "object", "audio",
     "video", "noframes", "noembed", "xmp",
@@ -205,6 +206,7 @@ class Page:
 
     def _read(self, s: str) -> None:
         at, size, quotes = 0, len(s), True
+        endless: set[str] = set()
         ends = {">": -1, '"': -1, "'": -1, "-->": -1}
 
         def after(mark: str, place: int) -> int:
@@ -260,8 +262,15 @@ class Page:
                 self._close(tag)
                 continue
             if tag in RAW:
-                shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(s, at)
-                at = size if shut is None else shut.start()
+                if s[end - 1 : end] == "/" and tag in FOREIGN:
+                    continue
+                shut = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(s, at)
+                if shut is not None:
+                    at = shut.start()
+                elif tag in ("script", "style"):
+                    at = size
+                else:
+                    endless.add(tag)  # one that never ends is dropped itself, what is behind it is not
                 continue
             if tag in VOID:
                 if tag == "hr":

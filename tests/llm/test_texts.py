@@ -663,3 +663,14 @@ def test_a_hot_id_cannot_fill_the_sample(spark):
     df = spark.createDataFrame([(7, "the same text", "en")] * 2000 + [(i, f"un autre texte {i}", "fr") for i in range(50)], "doc_id bigint, text string, lang string")
     model = langid.train(df, id_col="doc_id", text_col="text", label_col="lang", max_rows=100)
     assert model.languages == ["en", "fr"]
+
+
+def test_raw_elements_without_an_end_drop_themselves():
+    para = "<p>" + "A sentence of the article, with commas, and a stop. " * 4 + "</p>"
+    text = " ".join(("A sentence of the article, with commas, and a stop. " * 4).split())
+    for raw in ('<svg class="i"/>', '<object data="x">', "<audio src=x>", "<canvas>", "<svg><path d='M0'/></svg>", "<noscript>"):
+        assert html_extract.extract(f"<html><body><article>{para}{raw}{para}</article></body></html>") == f"{text} {text}", raw
+    assert html_extract.extract(f"<article>{para}<script>var a = 1;") == text
+    began = __import__("time").time()
+    html_extract.extract("<object>x" * 100_000)
+    assert __import__("time").time() - began < 5
