@@ -234,11 +234,12 @@ def tagged_union(**frames: DataFrame) -> DataFrame:
     return out
 
 
-def json_paths(docs: DataFrame, json_col: str, *keys: str) -> DataFrame:
+def json_paths(docs: DataFrame, json_col: str, *keys: str, stage=None) -> DataFrame:
     """Leaves of JSON documents: path with [] for places, types, count and up to three distinct samples in order.
 
     Levels are taken apart one by one, as deep as the documents are; each step handles all
-    rows of a level at once.
+    rows of a level at once.  stage, a function that writes a frame and reads it back, has each
+    level made once from the one above it, so that depth d costs d passes over what is left.
     """
     level = docs.select(*keys, F.lit("").alias("path"), F.parse_json(json_col).alias("v"))
     leaves = None
@@ -246,6 +247,7 @@ def json_paths(docs: DataFrame, json_col: str, *keys: str) -> DataFrame:
         kind = F.schema_of_variant("v")
         nested = kind.startswith("OBJECT<") & (kind != "OBJECT<>") | (kind.startswith("ARRAY<") & ~kind.isin("ARRAY<>") & (F.to_json("v") != "[]"))
         level = level.withColumn("nested", nested)
+        level = stage(level) if stage else level
         done = level.filter("NOT nested").select(*keys, F.when(F.col("path") == "", "$").otherwise(F.col("path")).alias("path"), _json_type(kind).alias("type"), F.to_json("v").alias("sample"))
         leaves = done if leaves is None else leaves.unionByName(done)
         deeper = level.filter("nested")

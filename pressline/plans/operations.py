@@ -129,6 +129,17 @@ def _paths(spark, d):
     return an.json_paths(Model(spark, d).table("events"), "props", "event_type")
 
 
+def _mixed_paths(spark, d):
+    """Paths of documents with arrays in arrays, nulls, empty objects and values of several types."""
+    from pressline.plans.stateful import staged
+
+    n = F.col("event_id")
+    inner = F.when(n % 3 == 0, "1.5").when(n % 3 == 1, '"s"').otherwise("{}")
+    text = F.concat(F.lit('{"k":'), n.cast("string"), F.lit(',"a":['), (n % 3).cast("string"), F.lit(',null,"x",[true,[]]],"o":{"d":'), inner, F.lit('},"n":null,"p":'), "props", F.lit("}"))
+    paths = an.json_paths(Model(spark, d).table("events").select("event_type", text.alias("j")), "j", "event_type", stage=staged(spark, "paths"))
+    return paths.select("event_type", "path", "types", "n")
+
+
 def _tools(spark, d):
     p = Model(spark, d).table("part")
     scope = F.when(F.col("p_size") % 3 == 0, "entity").when(F.col("p_size") % 3 == 1, "demand").otherwise("global")
@@ -249,6 +260,10 @@ SELECT provider, segment, n, hit, none, refused, err, declined, articles, round(
 g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 43200 THEN 1 ELSE 0 END AS gap FROM e),
 s AS (SELECT *, CAST(sum(gap) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM g)
 SELECT user_id, segment, count(*) AS quotes, min(t) AS first_t, max(t) AS last_t FROM s GROUP BY 1, 2"""),
+    "json_mixed_paths": (_mixed_paths, """WITH l AS (SELECT event_type, unnest([
+  {'p': 'k', 't': 'number'}, {'p': 'a[]', 't': 'number'}, {'p': 'a[]', 't': 'null'}, {'p': 'a[]', 't': 'string'}, {'p': 'a[][]', 't': 'boolean'}, {'p': 'a[][]', 't': 'array (empty)'}, {'p': 'n', 't': 'null'}, {'p': 'p.k', 't': 'number'},
+  {'p': 'o.d', 't': CASE event_id % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'string' ELSE 'object (empty)' END}]) AS x FROM events)
+SELECT event_type, x.p AS path, string_agg(DISTINCT x.t, ', ' ORDER BY x.t) AS types, count(*) AS n FROM l GROUP BY 1, 2"""),
     "json_path_profile": (_paths, """WITH v AS (SELECT event_type, CAST(json_extract(props, '$.k') AS VARCHAR) AS s FROM events),
 d AS (SELECT DISTINCT event_type, s FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY s) AS i FROM d)
 SELECT event_type, 'k' AS path, 'number' AS types, count(*) AS n, (SELECT string_agg(s, chr(10) ORDER BY s) FROM r WHERE r.event_type = v.event_type AND i <= 3) AS samples FROM v GROUP BY event_type"""),
