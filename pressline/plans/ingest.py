@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressline.operators import counts, reads, resolution, state
 from pressline.plans import feeds as feed_plans
+from pressline.plans import stateful
 from pressline.plans.model import Model, sql
 from pressline.plans.stateful import shared_folder
 from pressline.sources import keyed, paged
@@ -108,6 +109,15 @@ def _keyed_outcomes(spark, d):
     return store.read()
 
 
+def _keyed_catalogue(spark, d):
+    """The catalogue through a keyed state: the stored rows, then a file that also tells by what it lacks, so every bucket is merged."""
+    old, new = stateful._old_new(Model(spark, d))
+    store = keyed.KeyedStore(spark, shared_folder(spark, "catalogue"), ["ticker"], "ticker string, company_name string, exchange_hint string, resolution_status string, is_active boolean, change string", 8)
+    store.apply(old.withColumn("change", F.lit("stored")), 0, lambda kept, rows: rows.select(*kept.columns), every=True)
+    store.apply(new, 1, state.catalogue_merge, every=True)
+    return store.read().select("ticker", "company_name", "resolution_status", "is_active", "change")
+
+
 def _market_batch(m):
     """Orders as market stories: one in three of a URL that is stored, with symbols and names of companies."""
     n = _C("o_orderkey")
@@ -160,6 +170,7 @@ def _feed_by_counts(spark, d):
 
 QUERIES = {
     "keyed_latest_outcomes": (_keyed_outcomes, sql("SELECT run_id, company_id, seq, provider, outcome FROM run_rows", "run_rows")),
+    "keyed_catalogue": (_keyed_catalogue, stateful.QUERIES["catalogue_merge"][1]),
     "keyed_market_news": (_keyed_market, sql(_MARKET, "companies", "listings")),
     "stored_link_counts": (_stored_counts, sql("SELECT article_id, count(*) AS company_count, CAST(max(relevance) AS DOUBLE) AS best FROM links GROUP BY 1", "links")),
     "feed_by_stored_counts": (_feed_by_counts, feed_plans.QUERIES["feed_min_relevance"][1]),
