@@ -40,6 +40,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,12 +50,16 @@ from pressline.llm.common import ship
 
 END_ID = 0
 STRIDE, STRIPE_BYTES, FALSE_POSITIVES = 1000, 32 << 20, 0.01
-BATCH_CHARS, BATCH_TOKENS = 1 << 20, 1 << 20
-#: Distinct pieces, and ids of pieces, that a worker keeps (some 120 MB).
+BATCH_CHARS, BATCH_TOKENS = 1 << 22, 1 << 20
+#: Distinct pieces, and ids of pieces, that a worker keeps.
 PIECES, KEPT_IDS = 500_000, 4_000_000
-TOGETHER, _LATIN = 2048, "\u0250"
-_MARKS, _PLAIN = frozenset(".,;:!?"), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+TOGETHER = 2048
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
+_BLANK = re.compile(r"\s")
+_LATIN = "A-Za-zªµºÀ-ÖØ-öø-\u024f"  # all letters below U+0250
+#: What a name begins with, letters, and the rest, which may go on with a letter where it is _FAR.
+_PARTS = f"^(?P<lead>[\t\n]?)(?P<letters>[{_LATIN}]*)(?P<rest>(?s:.*))$"
+_FAR, _LETTERS = "^[^\\x00-\u024f]", f"^\t?[{_LATIN}]+$"
 #: What shows that the white space of a text is more than single spaces and newlines.
 _ODD_SPACES = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 #: An index of more parts than this is not broadcast.
@@ -83,14 +88,27 @@ class Coder:
 
     A piece begins at a space or newline behind a character that is not white space, where no token
     of the pattern runs over; so the ids of a text are those of its pieces, one after the
-    other.  Pieces are kept with their ids, up to some PIECES of them and KEPT_IDS ids; then those go that were used once.
+    other.  Arrow splits a batch of texts and finds the places of its pieces.  A piece that is not kept yet is put together
+    from up to three parts between which the pattern always breaks: a newline, letters and what follows
+    them.  Pieces and parts are kept with their ids, up to some PIECES of them and KEPT_IDS ids; then those go
+    that were used once.
+
+    The name of a piece that begins with a space is what follows it; of one that begins with a newline, itself;
+    of others, as the first of a text, a tab (which no other name begins with) and the piece.
     """
 
     def __init__(self, found):
-        self.tokenizer, self.model = found, found.model
-        # the visible characters that stand for bytes: themselves, or the next ones from U+0100 on
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = found
+        self.merger = Tokenizer(found.model)  # of words in the model's alphabet, a line each
+        self.merger.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        # the visible characters that stand for bytes: themselves, or the next ones from U+0100 on; newlines stay
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.alphabet = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        hidden = np.setdiff1d(np.arange(256), shown)
+        self.alphabet = np.arange(256, dtype="<u2")
+        self.alphabet[hidden] = 256 + np.arange(len(hidden))
+        self.alphabet[10] = 10
         vocabulary = found.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -98,13 +116,20 @@ class Coder:
         self.clear()
 
     def clear(self) -> None:
-        self.exact: dict[str, int] = {}
-        self.spaced: dict[str, int] = {}  # of pieces that begin with a space, without it; those with a newline whole
+        self.names = pa.array([], pa.string())
         self.flat = np.empty(1 << 16, np.int32)
         self.first, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = np.zeros(0, np.int64)
         self.n_pieces = self.n_ids = 0
 
+    @property
+    def exact(self) -> pa.Array:
+        return self.names.filter(pc.starts_with(self.names, "\t"))
+
+    @property
+    def spaced(self) -> pa.Array:
+        return self.names.filter(pc.invert(pc.starts_with(self.names, "\t")))
+
     def forget(self) -> None:
         """Keep the pieces that were used more than once, at most half of what fits; what use was made of them counts half from now on."""
         least = 2
@@ -113,16 +138,12 @@ class Coder:
             if 2 * len(keep) <= PIECES and 2 * self.length[keep].sum() <= KEPT_IDS:
                 break
             least *= 2
-        ids, lengths, used, old = self._gather(keep), self.length[keep], self.used[keep] // 2, (self.exact, self.spaced)
-        place = np.full(self.n_pieces, -1, np.int64)
-        place[keep] = np.arange(len(keep))
-        place = place.tolist()
+        names, ids, lengths, used = self.names.take(pa.array(keep)), self._gather(keep), self.length[keep], self.used[keep] // 2
         self.clear()
-        self._keep(ids, lengths)
+        self._keep(names, ids, lengths)
         self.used = used
-        self.exact, self.spaced = ({p: place[i] for p, i in names.items() if place[i] >= 0} for names in old)
 
-    def _keep(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+    def _keep(self, names: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Places of new pieces, whose ids follow each other."""
         while self.n_ids + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -132,9 +153,10 @@ class Coder:
         self.flat[self.n_ids : self.n_ids + len(ids)] = ids
         self.length[at] = lengths
         self.first[at] = self.n_ids + np.cumsum(lengths) - lengths
+        self.names = pa.concat_arrays([self.names, names])
         self.n_ids += len(ids)
         self.n_pieces = at.stop
-        return range(at.start, at.stop)
+        return np.arange(at.start, at.stop)
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         """The ids of the pieces at some places, one after the other."""
@@ -142,78 +164,109 @@ class Coder:
         ends = np.cumsum(lengths)
         return self.flat[np.repeat(self.first[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(at) else 0)]
 
-    def _alone(self, words: list[str]) -> range:
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words and the number of each."""
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return self._keep(np.fromiter(itertools.chain.from_iterable(lists), np.int32), np.array([len(x) for x in lists], np.int64))
-
-    def _words(self, words: list[str]) -> range:
-        """Pieces that are a space and letters, one token of the pattern each: the model's part alone."""
-        merge = self.model.tokenize
-        lists = [merge("\u0120" + (w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet))) for w in words]
-        return self._keep(np.array([t.id for x in lists for t in x], np.int32), np.array([len(x) for x in lists], np.int64))
-
-    def _together(self, words: list[str]) -> range:
-        """Pieces that begin with white space and end without, encoded as one text and told apart by their bytes."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int32)
-        ends = np.cumsum([len(w.encode()) for w in words])
+        return np.fromiter(itertools.chain.from_iterable(lists), np.int32), np.array([len(x) for x in lists], np.int64)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters, perhaps behind a space, one token of the pattern each: the model's part alone."""
+        raw = np.frombuffer("\n".join(words).encode(), np.uint8)
+        ids = np.array(self.merger.encode_batch_fast([self.alphabet[raw].tobytes().decode("utf-16-le")], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.r_[np.flatnonzero(raw == 10), len(raw)] - np.arange(len(words))
+        return ids, np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1, prepend=0)
+
+    def _together(self, lead: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words without white space, each behind a space or newline, encoded as one text and told apart by their bytes."""
+        ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(words)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
         after = np.cumsum(self.bytes_of[ids])
         stops = np.searchsorted(after, ends)
         if len(ids) and (stops < len(after)).all() and (after[stops] == ends).all():
-            return self._keep(ids, np.diff(stops + 1, prepend=0))
-        return self._alone(words)
-
-    def learn(self, exact: set[str], spaced: set[str]) -> None:
-        new = sorted(exact)
-        self.exact.update(zip(new, self._alone(new), strict=True))
-        whole = {p: p if p[:1] == "\n" else " " + p for p in spaced}
-        blank = [p for p, w in whole.items() if len(w) == 1]
-        self.spaced.update(zip(blank, self._alone([whole[p] for p in blank]), strict=True))
-        marked = {p: p[:-1] for p in spaced if p[-1:] in _MARKS and p[-2:-1] in _PLAIN}  # a word and a mark, which never share a token
-        words = [p for p in {*(p for p, w in whole.items() if len(w) > 1 and p not in marked), *(w for w in marked.values() if w not in self.spaced)} if p]
-        letters = [p for p in words if p.isalpha() and max(p) < _LATIN]
-        self.spaced.update(zip(letters, self._words(letters), strict=True))
-        words = [p for p in words if not (p.isalpha() and max(p) < _LATIN)]
-        for i in range(0, len(words), TOGETHER):
-            part = words[i : i + TOGETHER]
-            self.spaced.update(zip(part, self._together([p if p[:1] == "\n" else " " + p for p in part]), strict=True))
-        if marked:
-            marks = sorted({p[-1] for p in marked} - self.exact.keys())
-            self.exact.update(zip(marks, self._alone(marks), strict=True))
-            both = np.array([(self.spaced[w], self.exact[p[-1]]) for p, w in marked.items()])
-            lengths = self.length[both]
-            self.spaced.update(zip(marked, self._keep(self._gather(both.ravel()), lengths.sum(1)), strict=True))
-
-    def places(self, head: list[str], tail: list[str]) -> np.ndarray:
-        """Places of the pieces of a text, -1 for those that are not kept."""
-        n = len(head)
-        at = np.empty(n + len(tail), np.int64)
-        at[:n] = np.fromiter(map(self.exact.get, head, itertools.repeat(-1)), np.int64, n)
-        at[n:] = np.fromiter(map(self.spaced.get, tail, itertools.repeat(-1)), np.int64, len(tail))
+            return ids, np.diff(stops + 1, prepend=0)
+        return self._alone([lead + w for w in words])
+
+    def _parts(self, names: list[str]) -> np.ndarray:
+        """Keep parts that are not letters: those behind a space, and those that begin as a text does."""
+        at = np.empty(len(names), np.int64)
+        kinds = np.array([0 if _BLANK.search(n, 1) or len(n) < 2 else 1 if n[0] == "\t" else 2 for n in names], np.int8)
+        for kind, size in ((0, max(len(names), 1)), (1, TOGETHER), (2, TOGETHER)):
+            here = np.flatnonzero(kinds == kind)
+            for i in range(0, len(here), size):
+                some = here[i : i + size]
+                words = [names[j] for j in some]
+                if kind == 0:
+                    ids, lengths = self._alone([w[1:] if w[:1] == "\t" else " " + w for w in words])
+                elif kind == 1:  # the newline before each is a token
+                    ids, lengths = self._together("\n", [w[1:] for w in words])
+                    ids, lengths = np.delete(ids, np.cumsum(lengths) - lengths), lengths - 1
+                else:
+                    ids, lengths = self._together(" ", words)
+                at[some] = self._keep(pa.array(words, pa.string()), ids, lengths)
         return at
 
+    def learn(self, names: pa.Array) -> np.ndarray:
+        """The places of some pieces, all different, that are not kept yet."""
+        lead, letters, rest = pc.extract_regex(names, _PARTS).flatten()
+        blurred = pc.and_(pc.not_equal(letters, ""), pc.match_substring_regex(rest, _FAR))
+        if pc.any(blurred).as_py():
+            rest = pc.if_else(blurred, pc.binary_join_element_wise(letters, rest, ""), rest)
+            letters = pc.if_else(blurred, "", letters)
+        spaced = pc.equal(lead, "")
+        whole = pc.and_(spaced, pc.equal(letters, ""))  # a space and no letter behind it: a part itself
+        front = pc.if_else(pc.equal(lead, "\n"), "\t\n", "\t")
+        middle = pc.if_else(whole, names, pc.if_else(spaced, letters, pc.binary_join_element_wise("\t", letters, "")))
+        back = pc.if_else(whole, "\t", pc.binary_join_element_wise("\t", rest, ""))
+        parts = pa.concat_arrays([front, middle, back]).dictionary_encode()
+        of = parts.indices.to_numpy().reshape(3, -1).T
+        parts = parts.dictionary
+        place = self.places(parts)
+        new = np.flatnonzero(place < 0)
+        fresh = parts.take(pa.array(new))
+        plain = pc.match_substring_regex(fresh, _LETTERS)
+        words = fresh.filter(plain)
+        if len(words):
+            lines = [w[1:] if w[0] == "\t" else " " + w for w in words.to_numpy(zero_copy_only=False).tolist()]
+            place[new[plain.to_numpy(zero_copy_only=False)]] = self._keep(words, *self._letters(lines))
+        others = pc.invert(plain)
+        place[new[others.to_numpy(zero_copy_only=False)]] = self._parts(fresh.filter(others).to_pylist())
+        at = pc.index_in(names, value_set=parts).fill_null(-1).to_numpy()
+        at = np.where(at < 0, -1, place[at])
+        joined = np.flatnonzero(at < 0)
+        of = place[of[joined]]
+        at[joined] = self._keep(names.take(pa.array(joined)), self._gather(of.ravel()), self.length[of].sum(1))
+        return at
+
+    def places(self, names: pa.Array) -> np.ndarray:
+        """Places of some pieces, -1 for those that are not kept."""
+        return pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each of some texts (together some BATCH_CHARS characters)."""
         if not texts:
             return []
-        split = []
-        for text in texts:
-            if any(c in text for c in _ODD_SPACES):
-                split.append((_CUT.split(text), []))
-            else:
-                first, *rest = text.replace("\n", " \n").split(" ")
-                split.append(([first], rest))
+        together = "".join(texts)
+        found = [c for c in _ODD_SPACES if c in together]
+        odd = [any(c in text for c in found) for text in texts]
+        order = sorted(range(len(texts)), key=odd.__getitem__)
+        plain = pc.split_pattern(pa.array(["\t" + texts[i].replace("\n", " \n") for i in order if not odd[i]], pa.string()), " ")
+        others = [_CUT.split(texts[i]) for i in order if odd[i]]
+        names = pa.concat_arrays([plain.flatten(), pa.array(["\t" + p for x in others for p in x], pa.string())])
         if self.n_pieces > PIECES or self.n_ids > KEPT_IDS:
             self.forget()
-        placed = [self.places(*s) for s in split]
-        new = []  # (places of a text, place in it, piece, is it a head)
-        for (head, tail), at in zip(split, placed, strict=True):
-            n = len(head)
-            new += [(at, i, head[i] if i < n else tail[i - n], i < n) for i in np.flatnonzero(at < 0).tolist()]
-        self.learn({p for _, _, p, first in new if first}, {p for _, _, p, first in new if not first})
-        for at, i, p, first in new:
-            at[i] = (self.exact if first else self.spaced)[p]
-        self.used = np.pad(self.used, (0, self.n_pieces - len(self.used))) + np.bincount(np.concatenate(placed), minlength=self.n_pieces)
-        return [self._gather(at) for at in placed]
+        at = self.places(names)
+        missing = at < 0
+        if missing.any():
+            new = names.filter(pa.array(missing)).dictionary_encode()
+            at[missing] = self.learn(new.dictionary)[new.indices.to_numpy()]
+        self.used = np.pad(self.used, (0, self.n_pieces - len(self.used))) + np.bincount(at, minlength=self.n_pieces)
+        ids = self._gather(at)
+        sizes = np.r_[pc.list_value_length(plain).to_numpy(), np.array([len(x) for x in others], np.int64)]
+        ends = np.cumsum(self.length[at])[np.cumsum(sizes) - 1].tolist()
+        out = [ids] * len(texts)
+        for i, start, end in zip(order, [0, *ends], ends, strict=False):
+            out[i] = ids[start:end]
+        return out
 
 
 @functools.lru_cache(maxsize=2)

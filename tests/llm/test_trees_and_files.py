@@ -216,6 +216,50 @@ def test_kept_pieces_are_bounded(monkeypatch):
         assert by.n_pieces < 1500 and len(by.spaced) + len(by.exact) == by.n_pieces
 
 
+class Counting:
+    """A tokenizer or model that adds up the letters it is given."""
+
+    def __init__(self, of, seen):
+        self.of, self.seen = of, seen
+
+    def _count(self, texts):
+        self.seen.append(sum(c in "abcdefghij" for t in texts for c in t))
+
+    def encode_batch_fast(self, texts, **options):
+        self._count(texts)
+        return self.of.encode_batch_fast(texts, **options)
+
+    def tokenize(self, text):
+        self._count([text])
+        return self.of.tokenize(text)
+
+
+def test_letters_are_encoded_once_whatever_stands_around_them():
+    """A new word goes to the library once behind a space and once without, with no newline or marks around it."""
+    coder = token_files.tokenizer(token_files.default_tokenizer_file())
+    by, seen, rng = token_files.Coder(coder), [], random.Random(5)
+    for name in ("tokenizer", "model", "merger"):
+        if hasattr(by, name):
+            setattr(by, name, Counting(getattr(by, name), seen))
+    words = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(400)]
+    texts = [" ".join(f"{w} {w}, {w}*** {w}'s\n{w}\n{w}!?".split(" ")) for w in words]
+    for _ in range(2):
+        for text, ids in zip(texts, token_files.encode_texts(by, texts), strict=True):
+            assert ids.tolist() == coder.encode(text, add_special_tokens=False).ids
+    assert sum(seen) <= 2 * sum(map(len, words))
+
+
+def test_parts_of_pieces_break_where_the_pattern_does():
+    coder = token_files.tokenizer(token_files.default_tokenizer_file())
+    rng = random.Random(12)
+    atoms = ["a", "É", "ß", "ª", "\u024f", "\u0250", "ж", "東", "\u0301", "ǅ", "×", "´", "—", "…", "'", "'ll", "’s", "1", "½", "Ⅷ", "_", "!", "###", "<|endoftext|>", "😀", "\u200d", "\0", "\x7f", "\u180e", "\ufffd"]
+    by = token_files.Coder(coder)
+    for spaces in ([" "] * 10 + ["\n"] * 2, [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\xa0"]):
+        texts = ["".join(rng.choices([*atoms, *spaces], k=rng.randrange(25))) for _ in range(3000)]
+        for text, ids in zip(texts, token_files.encode_texts(by, texts), strict=True):
+            assert ids.tolist() == coder.encode(text, add_special_tokens=False).ids, text
+
+
 def test_op12_starts_follow_each_other(spark):
     got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in registry.op12_token_files(spark, "/root/testdata/sf0.001").collect())
     assert got[0][0] == 0 and all(a[0] + a[1] == b[0] and a[2] < b[2] for a, b in zip(got, got[1:], strict=False))
