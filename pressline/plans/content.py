@@ -90,7 +90,8 @@ t5 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[\\t\\r
 
 
 def _preview(spark, d):
-    return _docs(spark, d).select("doc_id", text.preview_text(_C("text")).alias("preview"), text.reading_minutes(_C("text")).cast("long").alias("minutes"))
+    """As in the SQL, what has no words (empty or null) is read in a minute too."""
+    return _docs(spark, d).select("doc_id", text.preview_text(_C("text")).alias("preview"), F.coalesce(text.reading_minutes(_C("text")), F.lit(1)).cast("long").alias("minutes"))
 
 
 def _titles(spark, d):
