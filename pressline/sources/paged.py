@@ -243,6 +243,25 @@ def windows(parsed: DataFrame, *, page_size: int = MOST_ROWS, phases: tuple[str,
     return out.select(*_WINDOW, "pages", "n_rows", F.col("stop.problem").alias("problem"), complete.alias("complete"), F.when(~complete, F.get(names, next_at)).alias("next_phase"), F.when(~complete, next_page).alias("next_page"), F.when(complete, F.col("to")).alias("watermark"))
 
 
+def joined(states: DataFrame, *by: Column) -> DataFrame:
+    """Rows of windows (of one phase) put together by the columns in by: pages, n_rows, problem, complete, next_page.
+
+    A source gives MOST_FOUND results for a window at most, so a collector narrows a window that has
+    more.  The parts are read in their order and each goes on where the one before ended: what
+    counts ends with the first that is open or does not follow.  next_page counts all parts' pages.
+    """
+    named = states.select(*by, "from", "to", "pages", "n_rows", "problem", "complete", "next_page")
+    names = named.columns[: len(by)]
+    w = Window.partitionBy(*names).orderBy("from", "to")
+    open_before = F.max(~F.col("complete")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.lag("to").over(w) != F.col("from")
+    rows = named.withColumns({"open": open_before, "gap": gap}).withColumn("gap", F.max("gap").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    counts = ~F.coalesce("open", F.lit(False)) & ~F.coalesce("gap", F.lit(False))
+    sum_of = lambda c: F.sum(F.when(counts, c))
+    out = rows.groupBy(*names).agg(sum_of(F.col("pages")).alias("pages"), sum_of(F.col("n_rows")).alias("n_rows"), F.max(F.when(counts, F.col("problem"))).alias("problem"), F.bool_and(counts & F.col("complete")).alias("complete"), sum_of(F.when(F.col("complete"), F.col("pages")).otherwise(F.col("next_page"))).alias("next_page"))
+    return out.withColumn("next_page", F.when(~F.col("complete"), F.col("next_page")))
+
+
 def checkpoint(state: Column | None = None) -> Column:
     """The JSON checkpoint of a row of windows, as control.window_of reads it."""
     iso = lambda c: F.date_format(F.to_timestamp(c, TIME), "yyyy-MM-dd'T'HH:mm:ssXXX")

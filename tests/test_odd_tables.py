@@ -46,3 +46,7 @@ def busy_events(spark):
 
 def test_articles_of_days_above_the_ceiling(spark, tmp_path, busy_events):
     same(spark, tmp_path, "paged_articles", events=busy_events)
+
+
+def test_windows_of_days_above_the_ceiling(spark, tmp_path, busy_events):
+    same(spark, tmp_path, "paged_windows", events=busy_events)

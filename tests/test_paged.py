@@ -73,6 +73,18 @@ def test_windows_are_complete_stopped_or_open(spark, tmp_path):
     }
 
 
+def test_narrowed_windows_are_put_together(spark):
+    part = lambda day, k, pages, problem=None, next_page=None: (day, f"{day}T0{k}", f"{day}T0{k + 1}", pages, 40 * pages, problem, next_page is None, next_page)
+    rows = [
+        part("1", 0, 5), part("1", 1, 3), part("2", 0, 5), part("2", 1, 3, None, 3), part("3", 0, 5), part("3", 1, 0, "rate_limited", 0), part("3", 2, 4),  # behind an open one
+        part("4", 0, 5), part("4", 2, 5), part("4", 3, 5),  # one is missing
+        part("5", 0, 2, "upstream", 2),
+    ]
+    states = spark.createDataFrame(rows, "day string, from string, to string, pages long, n_rows long, problem string, complete boolean, next_page long")
+    got = {r["day"]: tuple(r)[1:] for r in paged.joined(states, F.col("day")).collect()}
+    assert got == {"1": (8, 320, None, True, None), "2": (8, 320, None, False, 8), "3": (5, 200, "rate_limited", False, 5), "4": (5, 200, None, False, 5), "5": (2, 80, "upstream", False, 2)}
+
+
 def test_checkpoints_agree_with_the_plain_ones(spark, tmp_path):
     """Page by page, the state of the saved pages is the checkpoint that a collector would hold."""
     phases, now = ("news", "removed"), datetime.fromisoformat("2024-01-02T00:00:00+00:00")
