@@ -50,3 +50,7 @@ def test_articles_of_days_above_the_ceiling(spark, tmp_path, busy_events):
 
 def test_windows_of_days_above_the_ceiling(spark, tmp_path, busy_events):
     same(spark, tmp_path, "paged_windows", events=busy_events)
+
+
+def test_streamed_articles_of_days_above_the_ceiling(spark, tmp_path, busy_events):
+    same(spark, tmp_path, "stream_paged_articles", events=busy_events)
