@@ -3,10 +3,14 @@
 A collector saves each page that a provider answers below
 ``provider=/request=/from=/to=/phase=/page=``: a window from ``from`` to ``to`` (compact UTC
 times) of one request (``all``, or a company), its phases one after the other (news before
-removals), pages counted from 0.  :class:`PagedEvidence` is the data source of these folders,
-registered as ``paged_evidence``: a row for each page with its payload.
-
-* In batch every (provider, request) is planned by names alone: splits of some PAGES_A_SPLIT pages.
+removals), pages counted from 0.  Pages that follow each other may lie in a bundle
+``pages=<first>-<last>`` instead, Parquet files of page and payload; :func:`save` writes these, so that
+names and files grow with the bundles and not with the pages.  A page that was saved twice counts once.
+:class:`PagedEvidence` is the data source of these folders, registered as ``paged_evidence``: a row for
+each page with its payload.
+
+* In batch every (provider, request) is planned by names alone: splits of some PAGES_A_SPLIT files, and
+  of ROWS_A_SPLIT pages at most if these are more than one file.
 * As a stream an offset is the place ``{from, to, page, phase}`` that is read next, as in the
   checkpoints of the sources (:func:`pressline.functions.control.window_of`).  The collector goes on to
   a page, phase or window only when it has the one before, so the next offset follows from the
@@ -30,6 +34,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 FORMAT = "paged_evidence"
 SCHEMA = "provider string, request string, from string, to string, phase string, page int, payload string"
 PAGES_A_SPLIT = 32
+ROWS_A_SPLIT, BUNDLE_PAGES, BATCH_PAGES = 2000, 250, 50
 PHASES = ("news", "removed")
 TIME = "yyyyMMdd'T'HHmmss'Z'"
 _FOLDERS = ("provider", "request", "from", "to", "phase", "page")
@@ -39,7 +44,9 @@ MOST_FOUND, MOST_ROWS, COMPANY_PAGES = 20_000, 100, 3
 
 
 class Pages(InputPartition):
-    def __init__(self, places: list[tuple[str, ...]]):
+    """Places, each with the first and last of its pages that are read."""
+
+    def __init__(self, places: list[tuple]):
         super().__init__(places)
         self.places = places
 
@@ -66,31 +73,97 @@ class _Folder:
         found = set()
         for info in system.get_file_info(fs.FileSelector(below, recursive=True, allow_not_found=True)):
             parts = info.path[len(root) :].strip("/").split("/")
-            named = [p.partition("=")[2] for p, k in zip(parts, _FOLDERS, strict=False) if p.startswith(k + "=")]
-            if info.type == fs.FileType.File and len(named) == len(_FOLDERS) and parts[-1][:1] not in "._" and named[5].isdigit():
-                found.add(tuple(named))
+            if info.type != fs.FileType.File or parts[-1][:1] in "._" or len(parts) <= len(_FOLDERS):
+                continue
+            named = [p.partition("=")[2] for p, k in zip(parts, _FOLDERS[:5], strict=False) if p.startswith(k + "=")]
+            page = _PAGES.fullmatch(parts[5])
+            if len(named) == 5 and page:
+                found.add((*named, page[1] or page[2]))
         return sorted(found, key=order)
 
-    def payload(self, place: tuple[str, ...]) -> str:
+    def _files(self, place: tuple[str, ...]):
         from pyarrow import fs
 
         system, root = self._open()
-        folder = "/".join([root, *(f"{k}={v}" for k, v in zip(_FOLDERS, place, strict=True))])
-        files = sorted(i.path for i in system.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.File and i.base_name[:1] not in "._")
+        last = f"{'pages' if '-' in place[5] else 'page'}={place[5]}"
+        folder = "/".join([root, *(f"{k}={v}" for k, v in zip(_FOLDERS[:5], place[:5], strict=True)), last])
+        return system, sorted(i.path for i in system.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.File and i.base_name[:1] not in "._")
+
+    def payload(self, place: tuple[str, ...]) -> str:
+        system, files = self._files(place)
         texts = []
         for f in files:
             with system.open_input_stream(f) as stream:  # decompresses by the name's end
                 texts.append(stream.read().decode("utf-8", "replace"))
         return "".join(texts)
 
-    def rows(self, places):
-        for p in places:
-            yield (*p[:5], int(p[5]), self.payload(p))
+    def bundle(self, place: tuple[str, ...], low: int, high: int):
+        """Arrow batches of SCHEMA: the pages of a bundle from low to high."""
+        import pyarrow as pa
+        from pyarrow import parquet
+
+        system, files = self._files(place)
+        seen: set[int] = set()
+        for f in files:
+            with system.open_input_file(f) as stream:
+                for batch in parquet.ParquetFile(stream).iter_batches(BATCH_PAGES, columns=["page", "payload"]):
+                    kept = [low <= n <= high and not (n in seen or seen.add(n)) for n in batch.column("page").to_pylist()]
+                    batch = batch.filter(pa.array(kept, pa.bool_()))
+                    if batch.num_rows:
+                        yield pa.RecordBatch.from_arrays([*(pa.array([v] * batch.num_rows, pa.string()) for v in place[:5]), batch.column("page").cast(pa.int32()), batch.column("payload").cast(pa.string())], names=[*_FOLDERS, "payload"])
+
+    def rows(self, planned):
+        for place, low, high in planned:
+            if "-" in place[5]:
+                yield from self.bundle(place, low, high)
+            else:
+                yield (*place[:5], low, self.payload(place))
+
+
+_PAGES = re.compile("page=([0-9]+)|pages=([0-9]+-[0-9]+)")
+
+
+def span(page: str) -> tuple[int, int]:
+    """First and last page of a place: of one page, or of a bundle."""
+    low, _, high = page.partition("-")
+    return int(low), int(high or low)
 
 
 def order(place: tuple[str, ...]) -> tuple:
     provider, request, start, end, phase, page = place
-    return provider, request, start, end, PHASES.index(phase) if phase in PHASES else len(PHASES), phase, int(page)
+    return provider, request, start, end, PHASES.index(phase) if phase in PHASES else len(PHASES), phase, *span(page)
+
+
+def planned(places: list[tuple[str, ...]], start: tuple | None = None, end: tuple | None = None) -> list[tuple]:
+    """(place, first page, last page): each page of a phase from the first place in order that has it; of a stream, from the key start to before the key end."""
+    out, of, done = [], None, -1
+    for p in places:
+        if p[:5] != of:
+            of, done = p[:5], -1
+        low, high = span(p[5])
+        low, done, key = max(low, done + 1), max(done, high), order(p)[2:6]
+        if (start and key < start[:4]) or (end and key > end[:4]):
+            continue
+        low = max(low, start[4]) if start and key == start[:4] else low
+        high = min(high, end[4] - 1) if end and key == end[:4] else high
+        if low <= high:
+            out.append((p, low, high))
+    return out
+
+
+def splits(items: list[tuple]) -> list[Pages]:
+    """Parts of what is planned: of one provider and request, bundles or single pages, up to PAGES_A_SPLIT files and ROWS_A_SPLIT pages."""
+    out: list[Pages] = []
+    kind, n = None, 0
+    for place, low, high in items:
+        of, more = (*place[:2], "-" in place[5]), high - low + 1
+        if of == kind and len(out[-1].places) < PAGES_A_SPLIT and n + more <= ROWS_A_SPLIT:
+            out[-1].places.append((place, low, high))
+            n += more
+        else:
+            out.append(Pages([(place, low, high)]))
+            kind, n = of, more
+    return out
 
 
 class _Reader(DataSourceReader):
@@ -98,13 +171,7 @@ class _Reader(DataSourceReader):
         self.folder, self.only = _Folder(options["path"]), (options.get("provider"), options.get("request"))
 
     def partitions(self):
-        splits: list[Pages] = []
-        for place in self.folder.places(*self.only):
-            if splits and len(splits[-1].places) < PAGES_A_SPLIT and splits[-1].places[-1][:2] == place[:2]:
-                splits[-1].places.append(place)
-            else:
-                splits.append(Pages([place]))
-        return splits or [Pages([])]
+        return splits(planned(self.folder.places(*self.only))) or [Pages([])]
 
     def read(self, partition):
         return self.folder.rows(partition.places)
@@ -125,8 +192,7 @@ class _Stream(DataSourceStreamReader):
         return after(self.folder.places(*self.only)) or self.initialOffset()
 
     def partitions(self, start, end):
-        places = [p for p in self.folder.places(*self.only) if _key(start) <= order(p)[2:] < _key(end)]
-        return [Pages(places[i : i + PAGES_A_SPLIT]) for i in range(0, len(places), PAGES_A_SPLIT)]
+        return splits(planned(self.folder.places(*self.only), _key(start), _key(end)))
 
     def read(self, partition):
         return self.folder.rows(partition.places)
@@ -139,13 +205,14 @@ def _key(offset: dict) -> tuple:
 
 def after(places: list[tuple[str, ...]]) -> dict | None:
     """The offset behind the last page that can be read without leaving one out; None where there is none."""
-    last = None
+    last, upto = None, -1
     for p in places:
+        low, high = span(p[5])
         first = last is None or p[2:5] != last[2:5]
-        if int(p[5]) != (0 if first else int(last[5]) + 1):
+        if low > (0 if first else upto + 1):
             break  # a page is missing
-        last = p
-    return last and {"from": last[2], "to": last[3], "page": int(last[5]) + 1, "phase": last[4]}
+        last, upto = p, high if first else max(upto, high)
+    return last and {"from": last[2], "to": last[3], "page": upto + 1, "phase": last[4]}
 
 
 class PagedEvidence(DataSource):
@@ -177,8 +244,13 @@ def read_stream(spark: SparkSession, path: str, provider: str, request: str = "a
 
 
 def save(pages: DataFrame, path: str) -> None:
-    """Pages (of SCHEMA) as a collector saves them: a folder and a file for each."""
-    pages.select(*_FOLDERS, "payload").repartition(*_FOLDERS).write.mode("append").partitionBy(*_FOLDERS).text(path)
+    """Pages (of SCHEMA) as a collector saves them: bundles of up to BUNDLE_PAGES pages that follow each other."""
+    of = _FOLDERS[:5]
+    slotted = pages.select(*_FOLDERS, F.coalesce("payload", F.lit("")).alias("payload"), F.floor(F.col("page") / BUNDLE_PAGES).alias("slot"))
+    run = F.col("page") - F.dense_rank().over(Window.partitionBy(*of, "slot").orderBy("page"))
+    bundle = Window.partitionBy(*of, "slot", "run")
+    named = slotted.withColumn("run", run).withColumn("pages", F.concat_ws("-", F.min("page").over(bundle).cast("string"), F.max("page").over(bundle).cast("string")))
+    named.select(*of, "pages", "page", "payload").write.mode("append").partitionBy(*of, "pages").parquet(path)
 
 
 PAYLOAD = "struct<error:struct<code:string,message:string>,meta:struct<found:bigint,returned:bigint,limit:bigint,page:bigint>,data:array<string>>"

@@ -188,3 +188,21 @@ def test_saved_pages_come_back(spark, tmp_path):
     pages = spark.createDataFrame([("p", "all", *window(1), "news", i, json.dumps({"meta": {"page": i + 1}, "data": [row(i)], "s": "ä\\n\"x\""})) for i in range(5)], paged.SCHEMA)
     paged.save(pages, str(tmp_path / "saved"))
     assert {tuple(r)[:6] + (json.dumps(json.loads(r["payload"])),) for r in paged.read(spark, str(tmp_path / "saved")).collect()} == {tuple(r)[:6] + (json.dumps(json.loads(r["payload"])),) for r in pages.collect()}
+
+
+def test_bundles_are_planned_and_read_by_their_names(spark, tmp_path, monkeypatch):
+    """Ten times the pages are not ten times the files; gaps stay gaps; a page that was saved twice counts once."""
+    page = lambda day, i, text="": ("p", "all", *window(day), "news", i, json.dumps({"meta": {"page": i + 1}, "data": [row(i)]}) + text)
+    frame = lambda rows: spark.createDataFrame(rows, paged.SCHEMA)
+    root = str(tmp_path / "saved")
+    paged.save(frame([page(1, i) for i in range(600)] + [page(2, i) for i in (0, 1, 2, 5, 6)]), root)
+    places = paged._Folder(root).places()
+    assert [(p[2][7:8], p[5]) for p in places] == [("1", "0-249"), ("1", "250-499"), ("1", "500-599"), ("2", "0-2"), ("2", "5-6")]
+    assert sum(f.endswith(".parquet") for _, _, names in os.walk(root) for f in names) == 5
+    assert paged.after(places) == {"from": window(2)[0], "to": window(2)[1], "page": 3, "phase": "news"}
+    monkeypatch.setattr(paged, "ROWS_A_SPLIT", 500)
+    assert [len(p.places) for p in paged.PagedEvidence({"path": root}).reader(None).partitions()] == [2, 3]
+    paged.save(frame([page(2, i, " ") for i in range(3)] + [page(1, 600)]), root)  # the same bundle again
+    paged.save(frame([page(2, i) for i in range(8)]), root)  # and one over all
+    got = [(r["from"][7:8], r["page"]) for r in paged.read(spark, root).select("from", "page").collect()]
+    assert sorted(got) == [("1", i) for i in range(601)] + [("2", i) for i in range(8)]
