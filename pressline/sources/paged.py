@@ -258,12 +258,17 @@ PAYLOAD = "struct<error:struct<code:string,message:string>,meta:struct<found:big
 
 def pages_of(pages: DataFrame) -> DataFrame:
     """Pages with found, page_limit, meta_page, error_code and rows (JSON texts); a payload may be an object with data, or an array, or an object of arrays."""
-    whole = F.from_json("payload", PAYLOAD)
-    plain = F.from_json("payload", "array<string>")
-    grouped = F.flatten(F.map_values(F.from_json("payload", "map<string,array<string>>")))
     is_list = F.trim("payload").startswith("[")
-    rows = F.when(is_list, plain).when(F.col("phase") == "removed", F.coalesce(whole["data"], grouped)).otherwise(whole["data"])
-    return pages.select(*_FOLDERS, F.when(~is_list, whole["meta"]["found"]).alias("found"), F.when(~is_list, whole["meta"]["limit"]).alias("page_limit"), F.when(~is_list, whole["meta"]["page"]).alias("meta_page"), F.when(~is_list, whole["error"]["code"]).alias("error_code"), rows.alias("rows"))
+    grouped = F.flatten(F.map_values(F.from_json("payload", "map<string,array<string>>")))
+
+    def fields(whole):
+        meta = whole["meta"]
+        rows = F.when(is_list, F.from_json("payload", "array<string>")).when(F.col("phase") == "removed", F.coalesce(whole["data"], grouped)).otherwise(whole["data"])
+        return F.struct(meta["found"].alias("found"), meta["limit"].alias("page_limit"), meta["page"].alias("meta_page"), whole["error"]["code"].alias("error_code"), rows.alias("rows"))
+
+    # one parse a page: what a generator gives is not put together with what reads it
+    parsed = F.transform(F.array(F.when(~is_list, F.from_json("payload", PAYLOAD))), fields)
+    return pages.select(*_FOLDERS, F.inline(parsed))
 
 
 def _problem(default_limit: int) -> Column:
