@@ -206,3 +206,15 @@ def test_bundles_are_planned_and_read_by_their_names(spark, tmp_path, monkeypatc
     paged.save(frame([page(2, i) for i in range(8)]), root)  # and one over all
     got = [(r["from"][7:8], r["page"]) for r in paged.read(spark, root).select("from", "page").collect()]
     assert sorted(got) == [("1", i) for i in range(601)] + [("2", i) for i in range(8)]
+
+
+def test_offsets_within_bundles():
+    """A stream that is restarted plans the same pages for the same offsets, whatever bundles came meanwhile."""
+    place = lambda page: ("p", "all", *window(1), "news", page)
+    key = lambda page: (*window(1), 0, "news", page)
+    old, new = [place("0-9"), place("10-12")], [place("0-9"), place("0-19"), place("10-12"), place("20")]
+    assert paged.after(old)["page"] == 13 and paged.after(new)["page"] == 21
+    pages = lambda items: [i for _, low, high in items for i in range(low, high + 1)]
+    assert pages(paged.planned(old, key(0), key(13))) == pages(paged.planned(new, key(0), key(13))) == list(range(13))
+    assert pages(paged.planned(new, key(13), key(21))) == list(range(13, 21))
+    assert pages(paged.planned([place("0-3"), place("6-7")])) == [0, 1, 2, 3, 6, 7]
