@@ -138,16 +138,25 @@ def us_symbols(listings: DataFrame) -> DataFrame:
 
 
 def story_mentions(stories: DataFrame, companies: DataFrame) -> DataFrame:
-    """(story_id, company_id) where the story names the company exactly.
+    """Pairs (story_id, company_id) where the story names the company exactly.
 
-    Candidates share the first word of the company's name with the story, so no story meets a
-    company it has no word of.
+    A name of several words is met as a whole: of the places where a story has a first word of
+    names, the phrases as long as such names are joined to them.  One of a single word is met by that word,
+    which is the name.  So no story meets a company whose name it does not have, however many names
+    begin alike.
     """
     from pressline.functions import relevance
 
-    who = companies.select(F.col("id").alias("company_id"), "company_name", F.get(names.name_tokens(F.col("company_name")), 0).alias("word")).filter("word IS NOT NULL")
-    told = stories.select("story_id", "text", F.explode(F.array_distinct(F.split(F.regexp_replace(F.array_join(relevance.story_words(F.col("text")), " "), "[^a-z0-9]+", " "), " "))).alias("word"))
-    return told.join(who, "word").filter(relevance.mentions_exactly(F.col("company_name"), F.col("text"))).select("story_id", "company_id")
+    phrase = F.array_join("tokens", " ")
+    who = companies.select(F.col("id").alias("company_id"), "company_name", names.name_tokens(F.col("company_name")).alias("tokens")).select("company_id", "company_name", F.get("tokens", 0).alias("word"), F.size("tokens").alias("n"), phrase.alias("phrase")).filter(F.length("phrase") >= 4)
+    words = F.filter(F.split(F.regexp_replace(F.array_join(relevance.story_words(F.col("text")), " "), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    told = stories.select("story_id", "text", words.alias("words"))
+    single = told.select("story_id", "text", F.explode(F.array_distinct("words")).alias("word")).join(who.filter("n = 1"), "word").filter(relevance.mentions_exactly(F.col("company_name"), F.col("text")))
+    several = who.filter("n > 1")
+    heads = several.groupBy("word").agg(F.collect_set("n").alias("lengths"))
+    met = told.select("story_id", "words", F.posexplode("words").alias("at", "word")).join(heads, "word")
+    phrases = met.select("story_id", F.explode(F.transform("lengths", lambda n: F.array_join(F.slice("words", F.col("at") + 1, n), " "))).alias("phrase")).distinct()
+    return single.select("story_id", "company_id").unionByName(phrases.join(several.select("phrase", "company_id"), "phrase").select("story_id", "company_id")).distinct()
 
 
 def unseen_lines(companies: DataFrame, arrays: DataFrame) -> DataFrame:
