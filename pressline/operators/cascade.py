@@ -11,6 +11,7 @@ every choice a window by company, so no company meets a security that it shares
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,8 +59,13 @@ def by_directory(companies: DataFrame, directory: DataFrame) -> DataFrame:
 def best_by_name(hits: DataFrame, *by: str) -> DataFrame:
     """by and best: the best security for each value of the columns in by (shares alone, names that agree, among near ties of the best score the most useful line; null if none fits), and first, the first answer."""
     quality = exchange.listing_quality(F.col("exchange_code"), F.col("symbol"), F.col("figi"), F.col("composite"), names.home_country(F.col("company_name")))
-    scored = hits.withColumn("score", names.key_similarity(F.col("company_key"), F.coalesce("name_key", F.lit("")))).withColumn("quality", quality)
-    fits = exchange.is_equity_line(F.col("type1"), F.col("type2")) & (F.col("score") >= names.MATCH_AT) & (F.col("quality") >= 0)
+    return _best_of(hits.withColumns({"quality": quality, "share": exchange.is_equity_line(F.col("type1"), F.col("type2"))}), *by)
+
+
+def _best_of(hits: DataFrame, *by: str) -> DataFrame:
+    """best_by_name of hits with their quality, and share: is it one?"""
+    scored = hits.withColumn("score", names.key_similarity(F.col("company_key"), F.coalesce("name_key", F.lit(""))))
+    fits = F.col("share") & (F.col("score") >= names.MATCH_AT) & (F.col("quality") >= 0)
     scored = scored.withColumn("fit", F.when(F.coalesce(fits, F.lit(False)), F.col("score")))
     near = F.when(F.col("fit") > F.max("fit").over(Window.partitionBy(*by)) - resolution.NEAR_TIE, F.struct("quality", "score", -F.col("place")))
     row = F.struct("company_key", "name_key", "symbol", "exchange_code", "name", "share_class", "score")
@@ -108,32 +114,50 @@ def by_name(companies: DataFrame, ids: DataFrame) -> DataFrame:
     """The best security that a search for each company's name finds: longer forms of the name first, each on the hinted venue, then anywhere.
 
     A query finds the names that it equals or is the beginning of, up to the prefixes that are searched for.
+    Companies that ask alike are one question; of securities that differ for none (name, venue and use
+    alike) the first stands for all.  So many companies and securities of few names make no pairs.
     """
-    asked = companies.select(F.col("id").alias("company_id"), "company_name", "company_key", "hint_code", F.posexplode(search_names(F.col("company_name"), F.col("company_key"))).alias("query", "key"))
-    keyed = ids.filter("name IS NOT NULL").select("*", F.explode(search_names(F.col("name"), F.col("name_key"))).alias("key"))
+    c = companies.select(F.col("id").alias("company_id"), F.struct(search_names(F.col("company_name"), F.col("company_key")).alias("queries"), "company_key", "hint_code", names.home_country(F.col("company_name")).alias("home")).alias("q"))
+    c = c.withColumn("question", F.to_json("q"))
+    asked = c.dropDuplicates(["question"]).select("question", "q.company_key", "q.hint_code", "q.home", F.posexplode("q.queries").alias("query", "key"))
+    use = exchange.listing_quality(F.col("exchange_code"), F.col("symbol"), F.col("figi"), F.col("composite"), F.lit(None).cast("string"))
+    fit = ids.filter(F.col("name").isNotNull() & exchange.is_equity_line(F.col("type1"), F.col("type2"))).withColumn("use", use).filter("use >= 0")
+    keyed = fit.select("*", F.explode(search_names(F.col("name"), F.col("name_key"))).alias("key"))
+    keyed = keyed.groupBy("key", "name_key", "exchange_code", "use").agg(F.min_by(F.struct("place", "symbol", "name", "share_class"), "place").alias("s")).select("key", "name_key", "exchange_code", "use", "s.*")
     hits = asked.join(keyed, "key").withColumn("scope", F.explode(F.when(F.col("exchange_code") == F.col("hint_code"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
-    best = best_by_name(hits, "company_id", "query", "scope").filter("best IS NOT NULL")
-    place = F.row_number().over(Window.partitionBy("company_id").orderBy("query", "scope"))
-    return _found(best.withColumn("n", place).filter("n = 1"), F.lit("name_search"))
+    at_home = F.coalesce(exchange.code_field(F.upper(F.coalesce("exchange_code", F.lit(""))), "country") == F.col("home"), F.lit(False))
+    hits = hits.withColumns({"quality": F.col("use") + F.when(at_home, exchange.HOME_POINTS).otherwise(0), "share": F.lit(True)})
+    best = _best_of(hits, "question", "query", "scope").filter("best IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("question").orderBy("query", "scope"))
+    answers = best.withColumn("n", place).filter("n = 1").select("question", "best")
+    return _found(c.select("company_id", "question").join(answers, "question"), F.lit("name_search"))
+
 
+def as_is(df: DataFrame) -> DataFrame:
+    return df
 
-def primaries(companies: DataFrame, directory: DataFrame, ids: DataFrame) -> DataFrame:
+
+def primaries(companies: DataFrame, directory: DataFrame, ids: DataFrame, stage: Callable[[DataFrame], DataFrame] = as_is) -> DataFrame:
     """The security of each company that has one: FOUND and confidence.
 
     In this order: the domestic directory where the hint allows it; the hinted venues (agreeing
     name or rename), or the bare ticker of a company that names no venue; the directory whatever
     the hint; the bare ticker.  Companies without any, and those whose security no provider has
-    a symbol for, are searched for by name, which replaces what there was.
+    a symbol for, are searched for by name, which replaces what there was.  stage may keep what
+    several passes read.
     """
-    c = hinted(companies)
-    ids = ids.withColumn("name_key", names.normalize_name(F.col("name")))
+    return _primaries(stage(hinted(companies)), directory, ids, stage)
+
+
+def _primaries(c: DataFrame, directory: DataFrame, ids: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    ids = stage(ids.withColumn("name_key", names.normalize_name(F.col("name"))))
     local = c.select(F.col("id").alias("company_id"), "local", (F.size("codes") == 0).alias("nowhere"))
     home = by_directory(c, directory).join(local, "company_id").withColumn("pass", F.when(F.col("local"), 0).otherwise(2)).withColumn("how", F.when(F.col("local"), "directory").otherwise("directory_any_hint"))
     bare = by_ticker(c, ids).join(local, "company_id").withColumn("pass", F.when(F.col("nowhere"), 1).otherwise(3))
     venue = by_venue(c, ids).withColumn("pass", F.lit(1))
     every = reduce(lambda a, b: a.unionByName(b), (df.select("pass", *FOUND) for df in (home, venue, bare)))
     place = F.row_number().over(Window.partitionBy("company_id").orderBy("pass"))
-    first = every.withColumn("n", place).filter("n = 1").drop("n", "pass")
+    first = stage(every.withColumn("n", place).filter("n = 1").drop("n", "pass"))
     usable = F.col("how").isin("directory", "directory_any_hint") | exchange.market_symbol(F.col("exchange_code"), F.col("symbol")).isNotNull()
     kept = first.filter(F.coalesce(usable, F.lit(False))).select(F.col("company_id").alias("id"))
     searched = by_name(c.join(kept, "id", "left_anti"), ids).withColumn("pass", F.lit(0))
@@ -142,26 +166,38 @@ def primaries(companies: DataFrame, directory: DataFrame, ids: DataFrame) -> Dat
     return won.withColumn("confidence", exchange.lookup(F.col("how"), CONFIDENCE))
 
 
-def resolve(companies: DataFrame, directory: DataFrame, ids: DataFrame) -> DataFrame:
+def resolve(companies: DataFrame, directory: DataFrame, ids: DataFrame, stage: Callable[[DataFrame], DataFrame] = as_is) -> DataFrame:
     """All lines of all companies: company_id, how, found_name, found_confidence (null where nothing was found), exchange_code, symbol, mic, is_us, is_primary, confidence; one row without a line for a company that has none.
 
     The lines are those of the security itself if it has a venue and a symbol, the directory's
     lines of its share class, and those whose name is its or the company's; what is inferred
     from a security is no more certain than the security.  A company without a domestic line
     whose supplier says twice that it has one gets that line, which then is the sole primary.
+    The result has a row for each company and line of its name: as many as there are.
     """
-    c = hinted(companies)
-    found = primaries(companies, directory, ids).withColumnRenamed("company_id", "id")
-    who = c.join(found, "id", "left").select(F.col("id").alias("company_id"), "company_name", "hint_code", "ticker", resolution.may_assert_us(c).alias("assertable"), *FOUND[1:], F.col("confidence").alias("found_confidence"))
+    return _lines(companies, directory, ids, stage, True)
+
+
+def statuses(companies: DataFrame, directory: DataFrame, ids: DataFrame, stage: Callable[[DataFrame], DataFrame] = as_is) -> DataFrame:
+    """status of resolve without all the lines: one directory row stands for those of a share class or of a name."""
+    return status(_lines(companies, directory, ids, stage, False))
+
+
+def _lines(companies: DataFrame, directory: DataFrame, ids: DataFrame, stage: Callable[[DataFrame], DataFrame], every: bool) -> DataFrame:
+    c = stage(hinted(companies))
+    found = _primaries(c, directory, ids, stage).withColumnRenamed("company_id", "id")
+    who = c.join(found, "id", "left").select(F.col("id").alias("company_id"), "company_key", "hint_code", "ticker", resolution.may_assert_us(c).alias("assertable"), *FOUND[1:], F.col("confidence").alias("found_confidence"))
     # what each company looks for in the directory, and what it has without it
-    keys = F.array_distinct(F.transform(F.array("company_name", F.coalesce("found_name", "company_name")), names.normalize_name))
+    keys = F.array_distinct(F.array("company_key", F.when(F.col("found_name").isNotNull(), names.normalize_name(F.col("found_name"))).otherwise(F.col("company_key"))))
     look = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     wanted = F.when(F.col("how").isNotNull(), F.concat(F.array(look("own", F.lit(""))), F.when(F.col("share_class").isNotNull(), F.array(look("class", F.col("share_class")))).otherwise(F.array()), F.transform(F.filter(keys, lambda k: k != ""), lambda k: look("name", k))))
     wanted = F.concat(F.coalesce(wanted, F.array()), F.array(F.struct(F.when(F.col("assertable"), "asserted").otherwise("none").alias("kind"), F.lit("").alias("key"))))
-    asked = who.select("*", F.inline(wanted))
-    us = directory.select("description", F.struct("symbol", "mic", F.nullif("share_class", F.lit("")).alias("share_class")).alias("row"), F.inline(F.array(F.struct(F.lit("class").alias("kind"), F.nullif("share_class", F.lit("")).alias("key")), F.struct(F.lit("name").alias("kind"), F.nullif("name_key", F.lit("")).alias("key"))))).filter("key IS NOT NULL")
+    # a name's lines are those whose name agrees with the company's, which the key alone tells
+    asked = who.select("*", F.inline(wanted)).filter((F.col("kind") != "name") | (F.col("key") == F.col("company_key")) | (names.key_similarity(F.col("company_key"), F.col("key")) >= names.MATCH_AT))
+    us = directory.select(F.struct("symbol", "mic", F.nullif("share_class", F.lit("")).alias("share_class")).alias("row"), F.inline(F.array(F.struct(F.lit("class").alias("kind"), F.nullif("share_class", F.lit("")).alias("key")), F.struct(F.lit("name").alias("kind"), F.nullif("name_key", F.lit("")).alias("key"))))).filter("key IS NOT NULL")
+    us = us if every else us.groupBy("kind", "key").agg(F.max("row").alias("row"))
     met = asked.join(us, ["kind", "key"], "left")
-    named = (F.col("kind") == "name") & F.col("row").isNotNull() & (names.name_similarity(F.col("company_name"), F.coalesce("description", F.lit(""))) >= names.MATCH_AT)
+    named = (F.col("kind") == "name") & F.col("row").isNotNull()
     sibling = (F.col("kind") == "class") & F.col("row").isNotNull()
     own = (F.col("kind") == "own") & (F.trim(F.coalesce("exchange_code", F.lit(""))) != "") & (F.trim(F.coalesce("symbol", F.lit(""))) != "")
     same_class = F.coalesce(F.col("row.share_class") == F.col("share_class"), F.lit(False))

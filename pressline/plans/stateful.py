@@ -116,7 +116,7 @@ def _cascade(spark, d):
     from pressline.operators import cascade
 
     companies, directory, ids = _resolution_tables(Model(spark, d))
-    return cascade.status(cascade.resolve(companies, directory, ids)).withColumn("confidence", F.round("confidence", 6))
+    return cascade.statuses(companies, directory, ids, staged(spark, "cascade")).withColumn("confidence", F.round("confidence", 6))
 
 
 def _cascade_lines(spark, d):

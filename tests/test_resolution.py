@@ -149,3 +149,29 @@ def test_empty_tables(spark, tables):
     assert cascade.primaries(companies.limit(0), directory, ids).collect() == []
     rows = cascade.resolve(companies, directory.filter("false"), ids.limit(0)).collect()
     assert {r["company_id"]: r["symbol"] for r in rows} == {c[0]: "THETA" if c[0] == 8 else None for c in COMPANIES}
+
+
+def join_rows(df):
+    """The rows that each join of an executed frame gave."""
+    told, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        nodes += [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in name:
+            told.append(node.metrics().apply("numOutputRows").value())
+    return told
+
+
+def test_many_companies_and_securities_of_one_name_make_no_pairs(spark):
+    n = F.col("id")
+    companies = cascade.hinted(spark.range(400).select("id", F.concat(F.lit("T"), n.cast("string")).alias("ticker"), F.lit("Red Widget Works").alias("company_name"), F.when(n % 2 == 0, "LSE").alias("exchange_hint"), F.lit(False).alias("is_us_listed")))
+    ids = spark.range(400).select(n.alias("place"), F.concat(F.lit("S"), n.cast("string")).alias("symbol"), F.when(n % 2 == 0, "GY").otherwise("LN").alias("exchange_code"), F.lit("Red Widget Works").alias("name"), F.lit("Common Stock").alias("type1"), F.when(n < 4, "Option").otherwise("Common Stock").alias("type2"), F.concat(F.lit("F"), n.cast("string")).alias("figi"), F.lit(None).cast("string").alias("composite"), F.lit("").alias("share_class"), F.lit("red widget works").alias("name_key"))
+    out = cascade.by_name(companies, ids).select("company_id", "symbol")
+    assert sorted(tuple(r) for r in out.collect()) == [(i, "S5" if i % 2 == 0 else "S4") for i in range(400)]
+    assert max(join_rows(out)) <= 1000
+
+
+def test_statuses_are_those_of_all_lines(tables):
+    want = sorted(map(str, cascade.status(cascade.resolve(*tables)).collect()))
+    assert sorted(map(str, cascade.statuses(*tables).collect())) == want
