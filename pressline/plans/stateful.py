@@ -123,7 +123,7 @@ def _cascade_lines(spark, d):
     from pressline.operators import cascade
 
     companies, directory, ids = _resolution_tables(Model(spark, d))
-    return cascade.resolve(companies, directory, ids).filter("symbol IS NOT NULL").select("company_id", "exchange_code", "symbol", "mic", "is_us", "is_primary", F.round("confidence", 6).alias("confidence"))
+    return cascade.resolve(companies, directory, ids, staged(spark, "cascade")).filter("symbol IS NOT NULL").select("company_id", "exchange_code", "symbol", "mic", "is_us", "is_primary", F.round("confidence", 6).alias("confidence"))
 
 
 def _best(spark, d):

@@ -175,3 +175,13 @@ def test_many_companies_and_securities_of_one_name_make_no_pairs(spark):
 def test_statuses_are_those_of_all_lines(tables):
     want = sorted(map(str, cascade.status(cascade.resolve(*tables)).collect()))
     assert sorted(map(str, cascade.statuses(*tables).collect())) == want
+
+
+def test_lines_of_names_that_do_not_agree_are_not_joined(spark):
+    """The name of a rename finds none of the many directory rows of that name."""
+    companies = spark.range(30).select("id", F.lit("DELT").alias("ticker"), F.lit("Delta Construction Group").alias("company_name"), F.lit("LSE").alias("exchange_hint"), F.lit(False).alias("is_us_listed"))
+    directory = files.us_directory(spark.range(100).select(F.concat(F.lit("X"), F.col("id").cast("string")).alias("symbol"), F.lit("DELTA INFRASTRUCTURE GROUP").alias("description"), F.lit("XNYS").alias("mic"), F.lit("").alias("share_class"), F.lit("F").alias("figi")), least=1)
+    ids = spark.createDataFrame([(0, "DELT", "LN", "DELTA INFRASTRUCTURE GROUP", "Common Stock", "Common Stock", None, "G", None)], "place long, symbol string, exchange_code string, name string, type1 string, type2 string, share_class string, figi string, composite string")
+    out = cascade.resolve(companies, directory, ids).select("company_id", "how", "exchange_code", "symbol")
+    assert sorted(tuple(r) for r in out.collect()) == [(i, "rename", "LN", "DELT") for i in range(30)]
+    assert max(join_rows(out)) <= 1000
